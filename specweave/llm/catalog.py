@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sharding
+from . import line_dedup, mixing, near_dedup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }

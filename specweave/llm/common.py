@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a compressed table below the checkpoint folder and read it again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that were cut."""
     import gc
@@ -104,16 +112,16 @@ def text_chunks(col: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> It
         base += len(a)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends (byte positions) and the first word of each row (n + 1).
 
-    Words are runs of bytes other than space and 09-0D; rows never join.
+    Words are runs of bytes outside ``gap``, by default space and 09-0D; rows never join.
     """
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~gap[buf]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     first = off[:-1][off[:-1] < off[1:]]
@@ -126,17 +134,24 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of every word; A-Z count as a-z if ``lower``."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    p, q = powers(len(buf) + 1)
-    x = (LOWER[buf] if lower else buf).astype(_U) + _U(1)
-    x *= p[: len(buf)]
-    s = np.empty(len(buf) + 1, _U)
-    s[0] = 0
-    np.cumsum(x, out=s[1:])
-    return mix((s[ends] - s[starts]) * q[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+class Spans:
+    """Hashes of any stretches of one byte buffer, from prefix sums."""
+
+    def __init__(self, buf: np.ndarray) -> None:
+        p, self.q = powers(len(buf) + 1)
+        x = buf.astype(_U)
+        x += _U(1)
+        x *= p[: len(buf)]
+        self.sums = np.zeros(len(buf) + 1, _U)
+        np.cumsum(x, out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.q[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word; A-Z count as a-z."""
+    return Spans(LOWER[buf]).hashes(starts, ends)
 
 
 def one_hash(word: bytes) -> int:
