@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup, sharding, toxicity
+from . import line_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
