@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Spans, prepare, table, text_chunks, words
+from .common import LOWER, NOT_WORD, Spans, prepare, table, text_chunks, words
 
 TRAIN_ROWS = 8_000
-TRAIN_BYTES = 32 << 20
+TRAIN_BYTES = 16 << 20
 THRESHOLD = 0.7
 FOLDS = 4
 #: Lengths in bytes of the word beginnings that the lexicon may hold; 0 is the whole word.
@@ -39,16 +39,13 @@ LEXICON = 1500
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 FEATURES = 20
 
-_GAP = np.ones(256, dtype=bool)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _GAP[_a:_b] = False
 #: Letters, with digits read as the letters they resemble.
 _FOLD = LOWER.copy()
 for _digit, _letter in zip(b"0134579", b"oieastg", strict=True):
     _FOLD[_digit] = _letter
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
-_LETTER = ~_GAP & ~_DIGIT
+_LETTER = ~NOT_WORD & ~_DIGIT
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _MARK = np.zeros(256, dtype=bool)
@@ -65,7 +62,7 @@ def _sum(row: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
 
 def scan(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Word starts, ends, first word of each row, and for each of BEGINNINGS the words' hashes (0: too short)."""
-    starts, ends, first = words(buf, off, _GAP)
+    starts, ends, first = words(buf, off, NOT_WORD)
     spans = Spans(_FOLD[buf])
     out = []
     for k in BEGINNINGS:
@@ -140,20 +137,29 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.ndar
 # --- learning --------------------------------------------------------------------------
 
 
-def mine(buf: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Lexicon:
+def _chunks(texts: list[bytes]):
+    yield from text_chunks(pa.array(texts, pa.large_binary()))
+
+
+def mine(texts: list[bytes], toxic: np.ndarray) -> Lexicon:
     """Words and beginnings with document log odds of 2 or more for toxic texts."""
-    _, _, first, hashes = scan(buf, off)
-    row = np.repeat(np.arange(len(toxic)), np.diff(first))
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in BEGINNINGS]
+    for lo, _, buf, off in _chunks(texts):
+        _, _, first, hashes = scan(buf, off)
+        row = np.repeat(np.arange(lo, lo + len(off) - 1), np.diff(first))
+        for k, h in enumerate(hashes):
+            order = np.lexsort((row, h))
+            h, r = h[order], row[order]
+            keep = h != 0
+            keep[1:] &= (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+            found[k].append((h[keep], r[keep]))
     bad, good = toxic.sum() + 1.0, (~toxic).sum() + 1.0
     least = max(4, 0.004 * bad)
     lexicon = Lexicon()
-    for k in range(len(BEGINNINGS)):
-        h, r = hashes[k], row
-        order = np.lexsort((r, h))
-        h, r = h[order], r[order]
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        h, r = h[keep & (h != 0)], r[keep & (h != 0)]
+    for k, parts in enumerate(found):
+        if not parts:
+            continue
+        h, r = (np.concatenate(x) for x in zip(*parts, strict=True))
         keys, back = np.unique(h, return_inverse=True)
         in_bad, in_good = np.bincount(back, toxic[r], len(keys)), np.bincount(back, ~toxic[r], len(keys))
         odds = np.log((in_bad + 0.1) / bad) - np.log((in_good + 0.1) / good)
@@ -265,22 +271,18 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     if not len(y) or any(y[r].all() or not y[r].any() for r in rest):
         return Model(Lexicon(), second, None, None, share)
 
-    def chosen(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        joined = b"".join(texts[i] for i in rows)
-        return np.frombuffer(joined, np.uint8), np.concatenate(([0], np.cumsum([len(texts[i]) for i in rows])))
+    def chosen(rows: np.ndarray) -> list[bytes]:
+        return [texts[i] for i in rows]
 
     def seen(rows: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-        buf, off = chosen(rows)
-        runs = text_chunks(pa.array([buf[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.large_binary()))
-        return np.concatenate([features(x, o, lexicon, second) for _, _, x, o in runs] or [np.zeros((0, FEATURES))])
+        return np.concatenate([features(x, o, lexicon, second) for _, _, x, o in _chunks(chosen(rows))] or [np.zeros((0, FEATURES))])
 
     x, raw = np.zeros((len(y), FEATURES)), np.zeros(len(y))
     for k in range(FOLDS):
-        x[part == k] = seen(np.flatnonzero(part == k), mine(*chosen(rest[k]), y[rest[k]]))
+        x[part == k] = seen(np.flatnonzero(part == k), mine(chosen(rest[k]), y[rest[k]]))
     for k in range(FOLDS):
         raw[part == k] = boost(x[rest[k]], y[rest[k]].astype(float)).raw(x[part == k])
-    everything = np.arange(len(y))
-    return Model(mine(*chosen(everything), y), second, boost(x, y.astype(float)), isotonic(raw, y.astype(float)), share)
+    return Model(mine(texts, y), second, boost(x, y.astype(float)), isotonic(raw, y.astype(float)), share)
 
 
 def _held_out() -> F.Column:
