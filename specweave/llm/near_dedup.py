@@ -9,10 +9,11 @@ only band keys that two sets share are paired up.
 
 Documents of equal sets are one node. In each bucket of a table every node is first
 verified, on full sets, against the bucket's least node; nodes found linked are joined
-up. Buckets that still hold several components are searched for the remaining pairs,
-in blocks of bounded size, by the agreement of their minhashes; those pairs are verified
-too. So a group of thousands of copies costs as many checks as it has members, and yet
-no pair of a bucket between components is passed over. Links make components by
+up. Buckets that still hold several components are searched again, in blocks of bounded
+size: every node's partners are ranked by the similarity of sketches, and rounds verify
+those of rank 0, 1 to 7, 8 to 63 and all others that are not in the node's component by
+then. So no pair between components that meets in a bucket is passed over, and yet a
+group of thousands of copies takes a few checks a member. Links make components by
 alternating stars, all as tables.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing
@@ -24,8 +25,10 @@ false); further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, free_shuffles, mix, prepare, shingles, store, table, text_chunks, word_hashes, words
@@ -37,8 +40,12 @@ PERCENT = 75
 M, R = 10, 2
 #: Nodes of a bucket that are compared with each other in memory at once.
 BLOCK = 1024
-#: Minhashes, of 2 * M * R, that must agree for a pair to be verified (chance of a miss at 0.75: 2e-6).
-AGREE = 17
+#: Bins of a sketch: the least shingle hash of each, by one permutation, as a byte.
+BINS = 128
+#: Similarity of sketches from which a pair is verified: 4.5 standard deviations below 0.75.
+CLOSE = 0.58
+#: First rank of each round; the last goes on to the end.
+RANKS = (0, 1, 8, 64)
 
 _U = np.uint64
 _N = 2 * M * R
@@ -75,8 +82,19 @@ def sets(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray,
     return shingles(word_hashes(buf, starts, ends), first, k)
 
 
+def sketches(val: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """rows x BINS: a byte of the least hash in each bin, 0 for an empty bin. Hashes are sorted within a row."""
+    out = np.zeros((len(first) - 1, BINS), np.uint8)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    bin_ = (val >> _U(57)).astype(np.int64)
+    head = np.ones(len(val), bool)
+    head[1:] = (bin_[1:] != bin_[:-1]) | (row[1:] != row[:-1])
+    out[row[head], bin_[head]] = (val[head] % _U(255)).astype(np.uint8) + 1
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, the band keys u and v, and a byte of every minhash."""
+    """doc_id, n_shingles, two hashes of the set, the band keys u and v, and a sketch."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -87,24 +105,24 @@ def signatures(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(n)
                 s1, s2 = np.zeros(len(n), _U), np.zeros(len(n), _U)
                 u = v = np.zeros((0, M), _U)
-                sig = np.zeros((0, _N), np.uint8)
+                sketch = np.zeros((0, BINS), np.uint8)
                 if len(full):
                     at = first[:-1][full]
                     s1[full], s2[full] = np.add.reduceat(mix(val + _U(0x1234567)), at), np.add.reduceat(mix(val * _U(0x2545F4914F6CDD1D) + _U(99)), at)
-                    h = minhashes(val, np.append(at, len(val)))
-                    u, v = _band_keys(h)
-                    sig = (h >> _U(24)).astype(np.uint8)
+                    at = np.append(at, len(val))
+                    u, v = _band_keys(minhashes(val, at))
+                    sketch = sketches(val, at)
                 each = np.zeros(len(n) + 1, np.int32)
                 each[1:] = np.cumsum(n > 0)
-                lists = [pa.ListArray.from_arrays(pa.array(each * M), pa.array(x.reshape(-1).view(np.int64))) for x in (u, v)]
-                bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((each * _N).astype(np.int32).tobytes()), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, bytes_], ["doc_id", "n_shingles", "s1", "s2", "u", "v", "sig"])
+                lists = [pa.ListArray.from_arrays(pa.array(each * M), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))) for x in (u, v)]
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((each * BINS).astype(np.int32).tobytes()), pa.py_buffer(sketch.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, bytes_], ["doc_id", "n_shingles", "s1", "s2", "u", "v", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, rep) of every table and node, for pairs of band keys that other nodes share."""
+    """(key, i, j, rep) of every table (i, j) and node, for pairs of band keys that other nodes share."""
 
     def shared(name: str) -> DataFrame:
         each = nodes.select("rep", F.posexplode(name).alias("i", "k"))
@@ -113,7 +131,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
     both = shared("u").join(shared("v"), "rep")
     pairs = both.select("rep", F.explode("u").alias("a"), "v").select("rep", "a", F.explode("v").alias("b"))
-    return pairs.select(F.xxhash64("a.i", "b.i", "a.k", "b.k").alias("key"), "rep")
+    return pairs.select(F.xxhash64("a.i", "b.i", "a.k", "b.k").alias("key"), F.col("a.i").cast("byte").alias("i"), F.col("b.i").cast("byte").alias("j"), "rep")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -145,71 +163,115 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def _crossing(rows: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components, whose minhashes agree often enough.
+def _partners(table: tuple[int, int], left: np.ndarray, right: np.ndarray, rep: np.ndarray, comp: np.ndarray, bands: np.ndarray, sketch: np.ndarray, low: int, high: float):
+    """Pairs (a, b) of left with right whose rank, among left's partners, is in [low, high) and whose components differ.
 
-    rows: key, rep, component, sig, held (rows of the bucket). A bucket of many rows is
-    dealt into blocks; each pair of blocks is a group of its own, of 2 * block rows or so.
+    A pair that meets in several tables counts in the first of them only.
+    """
+    step = max(1, 32768 // max(len(right), 1))
+    for lo in range(0, len(left), step):
+        mine = left[lo : lo + step]
+        here = np.ones((len(mine), len(right)), bool)
+        for side, t in ((0, table[0]), (M, table[1])):
+            for k in range(t + 1):
+                same = bands[mine, side + k][:, None] == bands[right, side + k][None, :]
+                here &= same if k == t else ~same
+        here &= rep[mine][:, None] != rep[right][None, :]
+        x, y = np.nonzero(here)
+        if not len(x):
+            continue
+        p, q = sketch[mine[x]], sketch[right[y]]
+        close = ((p == q) & (p > 0)).sum(1) / np.maximum(((p > 0) | (q > 0)).sum(1), 1)
+        x, y, close = x[close >= CLOSE], y[close >= CLOSE], close[close >= CLOSE]
+        order = np.lexsort((rep[right[y]], -close, x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        rank = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        go = (rank >= low) & (rank < high) & (comp[mine[x]] != comp[right[y]])
+        a, b = rep[mine[x[go]]], rep[right[y[go]]]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _candidates(rows: DataFrame, low: int, high: float, block: int) -> DataFrame:
+    """Distinct pairs (a, b) of these ranks between components of one bucket.
+
+    rows: key, i, j, rep, component, bands, sketch, held (rows of the bucket). A bucket of
+    many rows is dealt into blocks; each pair of blocks is a group of its own, of
+    2 * block rows or so.
     """
     n = F.ceil(F.col("held") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "component", "sig")
+    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "i", "j", "rep", "component", "bands", "sketch")
+
+    def pairs_of(c):
+        key, p, q, own, i, j, rep, comp, bands, sketch = c
+        left, right = np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0])
+        ways = [(left, right)] if p[0] == q[0] else [(left, right), (right, left)]
+        for x, y in ways:
+            yield from _partners((int(i[0]), int(j[0])), x, y, rep, comp, bands, sketch, low, high)
 
-    def pairs_of(own, rep, comp, sig, p, q):
-        left, right = (np.flatnonzero(own == p), np.flatnonzero(own == q))
-        for i in left:
-            others = right[right > i] if p == q else right
-            others = others[comp[others] != comp[i]]
-            hits = others[(sig[others] == sig[i]).sum(1) >= AGREE]
-            if len(hits):
-                yield np.minimum(rep[i], rep[hits]), np.maximum(rep[i], rep[hits])
+    def emit(found):
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, _N))
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
+            cols += [np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, 2 * M), np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(-1, BINS)]
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held is not None else cols
             edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            out = [pair for lo, hi in zip(np.concatenate(([0], edge[:-1])), edge, strict=True) for pair in pairs_of(*(c[lo:hi] for c in cols[3:]), cols[1][lo], cols[2][lo])] if len(edge) else []
+            if len(edge):
+                yield emit([f for lo, hi in zip(np.concatenate(([0], edge[:-1])), edge, strict=True) for f in pairs_of([c[lo:hi] for c in cols])])
             held = [c[edge[-1] if len(edge) else 0 :] for c in cols]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
         if held is not None and len(held[0]):
-            out = list(pairs_of(*held[3:], held[1][0], held[2][0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+            yield emit(list(pairs_of(held)))
 
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
+def _bands() -> F.Column:
+    """Low halves of all band keys, packed into bytes of the executors' order."""
+
+    @F.pandas_udf("binary")
+    def pack(u, v):
+        return pd.Series([np.concatenate((a, b)).astype(np.int64).view(np.uint64).astype(np.uint32).tobytes() for a, b in zip(u, v, strict=True)], dtype=object)
+
+    return pack("u", "v")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
+    spark = docs.sparkSession
     sig = store(signatures(docs), "signatures")
     group = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"))
     group = cut(group)
-    nodes = sig.join(group.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    nodes = nodes.where("n_shingles > 0").dropDuplicates(["rep"])
+    nodes = sig.where("n_shingles > 0").join(group.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     bucket = cut(_buckets(nodes))
-    head = bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
+    head = bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min(F.struct("i", "j", "key")).alias("table"), F.count(F.lit(1)).alias("held"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("a < z")
+    # of buckets that hold the same nodes only that of the first table is searched
+    first = F.min("table").over(W.partitionBy("a", "z", "held", "members"))
+    head = cut(head.withColumn("first", first).select("key", "a", "held", (F.col("table") == F.col("first")).alias("searched")))
     bucket = cut(bucket.join(head, "key"))
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
     near = bucket.select(F.col("rep").alias("doc_id")).distinct()
     texts = store(docs.select("doc_id", "text").join(near, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "texts")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
     stars = cut(bucket.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    links = cut(verify(stars, texts))
-    parts = components(links)
-    free_shuffles(docs.sparkSession)
-
-    placed = bucket.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held")).where("x < y").select("key", "held")
-    rest = placed.join(several, "key").join(nodes.select("rep", "sig"), "rep").select("key", "rep", "component", "sig", "held")
-    more = cut(_crossing(rest, block).join(stars, ["a", "b"], "left_anti"))
-    more = cut(verify(more, texts))
-    if not more.isEmpty():
-        parts = components(links.union(more))
+    parts = components(cut(verify(stars, texts)))
+    for low, high in zip(RANKS, (*RANKS[1:], float("inf")), strict=True):
+        free_shuffles(spark)
+        placed = bucket.where("searched").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        rest = placed.join(several, "key", "left_semi").join(nodes.select("rep", _bands().alias("bands"), "sketch"), "rep")
+        more = cut(_candidates(rest, low, high, block).join(stars, ["a", "b"], "left_anti"))
+        good = cut(verify(more, texts))
+        if not good.isEmpty():
+            parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(good))
     parts = parts.select(F.col("node").alias("rep"), F.col("component"))
     named = group.join(parts, "rep", "left").where("held > 1 or component is not null").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
