@@ -66,6 +66,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Everything but ASCII letters, digits and bytes of longer characters.
+NOT_WORD = np.ones(256, dtype=bool)
+for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    NOT_WORD[_a:_b] = False
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
