@@ -39,7 +39,7 @@ from .common import cut, free_shuffles, mix, powers, prepare, table, text_chunks
 
 LENGTH = 50
 #: Bytes of an anchor: longer ones repeat less by chance, shorter ones are fewer.
-K = 28
+K = 20
 #: Bytes to which the multikey sort goes; blind tries take over there.
 SHALLOW = 16
 #: Bytes of text for each bucket, and the least number of buckets.
@@ -107,8 +107,34 @@ def _send(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int,
             yield int(sorted_[lo]), [c[order[lo:hi]] for c in columns]
 
 
+def _codes(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each hash, and 32 bits more of it: a bucket holds so few anchors that they tell these apart.
+
+    A clash would only bring a stretch to the sort that repeats nothing.
+    """
+    b = _U(buckets)
+    return (h % b).astype(_I), ((h // b) & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _joined(bucket: np.ndarray | int, code: np.ndarray, buckets: int) -> np.ndarray:
+    return code.astype(_U) * _U(buckets) + np.asarray(bucket, _U)
+
+
+def _narrow(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """x as a least value and offsets of as few bytes as they need."""
+    low = int(x.min())
+    x = (x.view(_U) - _U(low & 0xFFFFFFFFFFFFFFFF)).astype(_U)
+    top = int(x.max())
+    return low, x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else _U)
+
+
+def _wide(low: int, raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, {2: np.uint16, 4: np.uint32, 8: _U}[len(raw) // n])
+    return (x.astype(_U) + _U(low & 0xFFFFFFFFFFFFFFFF)).view(_I)
+
+
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, h) of anchor hashes that two rows hold."""
+    """(doc_id, h) of anchor hashes, shortened by _codes(), that two rows hold."""
 
     def gather(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -127,10 +153,12 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             many[:-1] |= ~head[1:]
             many |= ~head
             # what this run shares by itself needs no partner: it goes to any bucket, marked so
-            out = [(b, True, x) for b, x in _send((mix(d[many].view(_U)) % _U(buckets)).astype(_I), [h[many], d[many]])]
-            out += [(b, False, x) for b, x in _send((h[head] % _U(buckets)).astype(_I), [h[head], d[head]])]
+            bucket, code = _codes(h, buckets)
+            out = [(b, True, x) for b, x in _send((mix(d[many].view(_U)) % _U(buckets)).astype(_I), [_joined(bucket[many], code[many], buckets), d[many]])]
+            out += [(b, False, x) for b, x in _send(bucket[head], [code[head], d[head]])]
+            low, ids = zip(*(_narrow(o[2][1]) for o in out), strict=True) if out else ((), ())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out]), *(pa.array([o[2][i].tobytes() for o in out], pa.binary()) for i in (0, 1))], ["bucket", "known", "h", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out]), pa.array([o[2][0].tobytes() for o in out], pa.binary()), pa.array(low, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["bucket", "known", "h", "low", "d"])
 
         n = 0
         for batch in batches:
@@ -146,23 +174,23 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        known = t.column("known").to_numpy(zero_copy_only=False)
-        h, d = ([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("h", _U), ("d", _I)))
-        sure = [i for i in range(len(known)) if known[i]]
-        open_ = [i for i in range(len(known)) if not known[i]]
-        oh, od = [h[i] for i in sure], [d[i] for i in sure]
-        if open_:
-            x, y = np.concatenate([h[i] for i in open_]), np.concatenate([d[i] for i in open_])
+        oh, od, x, y, bucket = [], [], [], [], 0
+        for bucket, known, h, low, d in zip(*(t.column(c).to_pylist() for c in ("bucket", "known", "h", "low", "d")), strict=True):  # noqa: B007
+            h = np.frombuffer(h, _U if known else np.uint32)
+            (oh if known else x).append(h)
+            (od if known else y).append(_wide(low, d, len(h)))
+        if x:
+            x, y = np.concatenate(x), np.concatenate(y)
             order = np.argsort(x, kind="stable")
             x, y = x[order], y[order]
             same = np.zeros(len(x), bool)
             same[1:] = x[1:] == x[:-1]
             same[:-1] |= same[1:].copy()
-            oh.append(x[same])
+            oh.append(_joined(bucket, x[same], buckets))
             od.append(y[same])
         return pa.table({"doc_id": np.concatenate(od) if od else np.zeros(0, _I), "h": (np.concatenate(oh) if oh else np.zeros(0, _U)).view(_I)})
 
-    sent = docs.select("doc_id", "text").mapInArrow(gather, "bucket int, known boolean, h binary, d binary")
+    sent = docs.select("doc_id", "text").mapInArrow(gather, "bucket int, known boolean, h binary, low long, d binary")
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, h long")
 
 
@@ -308,10 +336,11 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
                 row, start, n, h = anchors(buf, off)
                 if not len(h):
                     continue
+                code = _joined(*_codes(h, buckets), buckets)
                 edge, good = np.searchsorted(row, np.arange(len(off))), np.zeros(len(h), bool)
                 for i in range(len(off) - 1):
                     if edge[i + 1] > edge[i]:
-                        good[edge[i] : edge[i + 1]] = np.isin(h[edge[i] : edge[i + 1]], np.frombuffer(wanted[lo + i], _U))
+                        good[edge[i] : edge[i + 1]] = np.isin(code[edge[i] : edge[i + 1]], np.frombuffer(wanted[lo + i], _U))
                 s = np.flatnonzero(good)
                 if not len(s):
                     continue
@@ -370,15 +399,15 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     copies = cut(about.join(first, ["mark", "digest"]).where("doc_id > first").select("doc_id", "mark", F.lit(0).cast("long").alias("begin"), F.col("size").alias("end")))
 
     known = docs.where("doc_id is not null")
-    pairs = shared_anchors(known, buckets)
-    wanted = pairs.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))  # of one document's anchors, bounded by its length
-    wanted = wanted.select("doc_id", _packed("hs"))
-    wanted = cut(wanted)
-    free_shuffles(spark)
+    # lists of one document's anchors and ranges, bounded by its length; collected after the shuffle
+    wanted = shared_anchors(known, buckets).repartition("doc_id").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     # a copy's strings all occur in the first of its group, which alone speaks for it
-    again = known.withColumn("mark", F.xxhash64("text")).join(wanted, "doc_id").join(copies.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_anti")
+    wanted = wanted.join(copies.groupBy("doc_id").agg(F.collect_set("mark").alias("skip")), "doc_id", "left")
+    wanted = cut(wanted.select("doc_id", _packed("hs"), "skip"))
+    free_shuffles(spark)
+    again = known.join(wanted, "doc_id").withColumn("mark", F.xxhash64("text")).where(F.col("skip").isNull() | ~F.array_contains("skip", F.col("mark")))
     found = repeated_ranges(again.select("doc_id", "text", "mark", "shared"), buckets)
-    ranges = found.union(copies).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    ranges = found.union(copies).repartition("doc_id", "mark").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     ranges = cut(ranges)
     free_shuffles(spark)
     return _cut_out(docs.withColumn("mark", F.xxhash64("text")).join(ranges, ["doc_id", "mark"], "left"), keep_text)
