@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, toxicity
+from . import decontamination, html, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_html_extraction": html.op5_html_extraction,
     "op6_media": media.op6_media,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
