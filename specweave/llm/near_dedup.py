@@ -41,9 +41,9 @@ M, R = 10, 2
 #: Nodes of a bucket that are compared with each other in memory at once.
 BLOCK = 1024
 #: Bins of a sketch: the least shingle hash of each, by one permutation, as a byte.
-BINS = 128
-#: Similarity of sketches from which a pair is verified: 4.5 standard deviations below 0.75.
-CLOSE = 0.58
+BINS = 256
+#: A pair is verified unless its sketches are more standard deviations than these below the similarity asked for.
+DEVIATIONS = 4.5
 #: First rank of each round; the last goes on to the end.
 RANKS = (0, 1, 8, 64)
 
@@ -86,7 +86,7 @@ def sketches(val: np.ndarray, first: np.ndarray) -> np.ndarray:
     """rows x BINS: a byte of the least hash in each bin, 0 for an empty bin. Hashes are sorted within a row."""
     out = np.zeros((len(first) - 1, BINS), np.uint8)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    bin_ = (val >> _U(57)).astype(np.int64)
+    bin_ = (val >> _U(56)).astype(np.int64)
     head = np.ones(len(val), bool)
     head[1:] = (bin_[1:] != bin_[:-1]) | (row[1:] != row[:-1])
     out[row[head], bin_[head]] = (val[head] % _U(255)).astype(np.uint8) + 1
@@ -163,7 +163,21 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def _partners(table: tuple[int, int], left: np.ndarray, right: np.ndarray, rep: np.ndarray, comp: np.ndarray, bands: np.ndarray, sketch: np.ndarray, low: int, high: float):
+def _close(p: np.ndarray, q: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of sketches p and q, and whether the sets, of so many shingles in all, may be similar enough.
+
+    The bins that are filled draw so many shingles of the union without replacement. If the
+    sets are just similar enough the union's size follows from theirs, so small sets, hardly
+    a shingle of which is hidden, are told apart almost exactly.
+    """
+    s = PERCENT / 100
+    filled = np.maximum(((p > 0) | (q > 0)).sum(1), 1)
+    close = ((p == q) & (p > 0)).sum(1) / filled
+    hidden = np.clip(1 - filled * (1 + s) / np.maximum(sizes, 1), 0, 1)
+    return close, close >= s - DEVIATIONS * np.maximum(np.sqrt(s * (1 - s) / filled * hidden), 0.004)
+
+
+def _partners(table: tuple[int, int], left: np.ndarray, right: np.ndarray, rep: np.ndarray, comp: np.ndarray, bands: np.ndarray, sketch: np.ndarray, n: np.ndarray, low: int, high: float):
     """Pairs (a, b) of left with right whose rank, among left's partners, is in [low, high) and whose components differ.
 
     A pair that meets in several tables counts in the first of them only.
@@ -180,9 +194,8 @@ def _partners(table: tuple[int, int], left: np.ndarray, right: np.ndarray, rep:
         x, y = np.nonzero(here)
         if not len(x):
             continue
-        p, q = sketch[mine[x]], sketch[right[y]]
-        close = ((p == q) & (p > 0)).sum(1) / np.maximum(((p > 0) | (q > 0)).sum(1), 1)
-        x, y, close = x[close >= CLOSE], y[close >= CLOSE], close[close >= CLOSE]
+        close, may = _close(sketch[mine[x]], sketch[right[y]], n[mine[x]] + n[right[y]])
+        x, y, close = x[may], y[may], close[may]
         order = np.lexsort((rep[right[y]], -close, x))
         x, y = x[order], y[order]
         new = np.ones(len(x), bool)
@@ -196,21 +209,21 @@ def _partners(table: tuple[int, int], left: np.ndarray, right: np.ndarray, rep:
 def _candidates(rows: DataFrame, low: int, high: float, block: int) -> DataFrame:
     """Distinct pairs (a, b) of these ranks between components of one bucket.
 
-    rows: key, i, j, rep, component, bands, sketch, held (rows of the bucket). A bucket of
+    rows: key, i, j, rep, component, n_shingles, bands, sketch, held (rows of the bucket). A bucket of
     many rows is dealt into blocks; each pair of blocks is a group of its own, of
     2 * block rows or so.
     """
     n = F.ceil(F.col("held") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "i", "j", "rep", "component", "bands", "sketch")
+    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "i", "j", "rep", "component", "n_shingles", "bands", "sketch")
 
     def pairs_of(c):
-        key, p, q, own, i, j, rep, comp, bands, sketch = c
+        key, p, q, own, i, j, rep, comp, n, bands, sketch = c
         left, right = np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0])
         ways = [(left, right)] if p[0] == q[0] else [(left, right), (right, left)]
         for x, y in ways:
-            yield from _partners((int(i[0]), int(j[0])), x, y, rep, comp, bands, sketch, low, high)
+            yield from _partners((int(i[0]), int(j[0])), x, y, rep, comp, bands, sketch, n, low, high)
 
     def emit(found):
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
@@ -221,8 +234,8 @@ def _candidates(rows: DataFrame, low: int, high: float, block: int) -> DataFrame
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
-            cols += [np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, 2 * M), np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(-1, BINS)]
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(9)]
+            cols += [np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint32).reshape(-1, 2 * M), np.frombuffer(b"".join(batch.column(10).to_pylist()), np.uint8).reshape(-1, BINS)]
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held is not None else cols
             edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
             if len(edge):
@@ -267,7 +280,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         free_shuffles(spark)
         placed = bucket.where("searched").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        rest = placed.join(several, "key", "left_semi").join(nodes.select("rep", _bands().alias("bands"), "sketch"), "rep")
+        rest = placed.join(several, "key", "left_semi").join(nodes.select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "rep")
         more = cut(_candidates(rest, low, high, block).join(stars, ["a", "b"], "left_anti"))
         good = cut(verify(more, texts))
         if not good.isEmpty():
