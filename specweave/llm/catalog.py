@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, toxicity
+from . import decontamination, html, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_html_extraction": html.op5_html_extraction,
     "op6_media": media.op6_media,
+    "op7_token_counts": tokens.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
