@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, mix, powers, prepare, table, text_chunks
+from .common import cut, free_shuffles, mix, powers, prepare, table, text_chunks, trim
 
 LENGTH = 50
 #: Bytes of an anchor: longer ones repeat less by chance, shorter ones are fewer.
@@ -44,8 +44,8 @@ K = 20
 SHALLOW = 16
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, BUCKETS = 4 << 20, 256
-#: Anchors, or bytes of stretches, that a task gathers before it sends them off.
-RUN = 1 << 20
+#: Anchors that a task gathers before it sends them off, and bytes of stretches.
+RUN, RUN_BYTES = 1 << 19, 3 << 20
 #: Bytes of one text that are looked at in one go; pieces overlap.
 PIECE = 1 << 19
 
@@ -172,6 +172,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     n = 0
         if held:
             yield from flush()
+        trim()
 
     def meet(t: pa.Table) -> pa.Table:
         oh, od, x, y, bucket = [], [], [], [], 0
@@ -286,6 +287,17 @@ def _runs(flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(end)
 
 
+def _digests(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each stretch of buf."""
+    p, q = powers(len(buf) + 1)
+    out = []
+    for salt in (1, 0x51):
+        sums = np.zeros(len(buf) + 1, _U)
+        np.cumsum(mix(buf.astype(_U) + _U(salt)) * p[: len(buf)], out=sums[1:])
+        out.append(mix((sums[end] - sums[begin]) * q[begin]))
+    return out[0], out[1]
+
+
 _STRETCH = ["docs", "marks", "d", "start", "n", "data"]
 
 
@@ -299,15 +311,8 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
             sizes = [len(x[5]) for x in held]
             shift = np.cumsum([0, *sizes[:-1]])
             doc, mark, start, n, place = (np.concatenate([x[i] + (s if i == 4 else 0) for x, s in zip(held, shift, strict=True)]) for i in range(5))
-            h, data = np.concatenate([x[6] for x in held]), np.concatenate([x[5] for x in held])
+            data, h, *two = (np.concatenate([x[i] for x in held]) for i in range(5, 9))
             held.clear()
-            p, q = powers(len(data) + 1)
-            two = []
-            for salt in (1, 0x51):
-                sums = np.zeros(len(data) + 1, _U)
-                x = mix(data.astype(_U) + _U(salt)) * p[: len(data)]
-                np.cumsum(x, out=sums[1:])
-                two.append(mix((sums[place + n + LENGTH - 1] - sums[place]) * q[place]))
             # equal stretches: the least document's goes on, the others' strings all repeat it
             order = np.lexsort((doc, n, two[1], two[0]))
             head = np.ones(len(order), bool)
@@ -345,13 +350,14 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
                 if not len(s):
                     continue
                 size = n[s] + LENGTH - 1
-                held.append((ids[lo + row[s]], marks[lo + row[s]], start[s] - off[row[s]] + begins[row[s]], n[s], np.cumsum(size) - size, buf[_suffixes(start[s], size)], h[s]))
+                held.append((ids[lo + row[s]], marks[lo + row[s]], start[s] - off[row[s]] + begins[row[s]], n[s], np.cumsum(size) - size, buf[_suffixes(start[s], size)], h[s], *_digests(buf, start[s], start[s] + size)))
                 total += int(size.sum())
-                if total >= 8 * RUN:
+                if total >= RUN_BYTES:
                     yield from flush()
                     total = 0
         if held:
             yield from flush()
+        trim()
 
     def sort(t: pa.Table) -> pa.Table:
         direct = t.filter(t.column("doc_id").is_valid()).select(["doc_id", "mark", "begin", "end"])
@@ -369,6 +375,8 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
         a, b = _runs(flag, owner)
         o = owner[a]
         base = start - (np.cumsum(n) - n)
+        del at, owner, flag
+        trim()
         found = pa.table({"doc_id": doc[o], "mark": mark[o], "begin": base[o] + a, "end": base[o] + b + LENGTH})
         return pa.concat_tables([direct.cast(found.schema), found])
 
