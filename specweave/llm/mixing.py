@@ -50,9 +50,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     """Targets of (source, source_size), one row a source, by filling to caps.
 
     Resharing the excess by weight until no source is above its cap ends where
-    target = min(cap, level * weight); sources fill up in order of cap / weight, so
-    the level is the first that the next source in that order can hold. The two
-    windows see one row a source, after aggregation.
+    target = min(cap, level * weight). Sources fill up in order of cap / weight: with
+    those before one in that order filled, what is left gives a level for the others; it
+    rises as long as the next source cannot hold it and falls from then on, so its
+    greatest value is the one sought. The windows see one row a source.
     """
     by_point = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.row_number().over(by_point) - 1, F.lit(len(weights))).cast("int") + 1)
@@ -63,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     after = fill.rowsBetween(W.currentRow, W.unboundedFollowing)
     s = s.withColumn("total", F.sum("source_size").over(everything).cast("double"))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything))
+    s = s.withColumn("level", F.max("level").over(everything))
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
 
 
@@ -119,7 +120,7 @@ l AS (
              - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c),
-m AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS top FROM l),
+m AS (SELECT *, max(level) OVER () AS top FROM l),
 g AS (SELECT source, source_size, least(cap, coalesce(top, 0) * w) AS target FROM m),
 r AS (
   SELECT k.doc_id, k.size, g.source_size, g.target,

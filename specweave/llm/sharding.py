@@ -30,7 +30,7 @@ RANGES = 1024
 #: Rows of a range beyond which it is subdivided.
 RANGE_ROWS = 8192
 #: Share of a shard up to which a group of equal texts stays whole.
-KEEP = 0.01
+KEEP = 0.02
 
 
 def _place(key: Column, bounds: list[int]) -> Column:
