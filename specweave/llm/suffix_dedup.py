@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, mix, powers, prepare, table, text_chunks, trim
+from .common import cut, free_shuffles, mix, powers, prepare, store, table, text_chunks, trim
 
 LENGTH = 50
 #: Bytes of an anchor: longer ones repeat less by chance, shorter ones are fewer.
@@ -298,6 +298,16 @@ def _digests(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return out[0], out[1]
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """zstd bytes behind their length: stretches overlap and repeat words."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unsqueeze(b: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[4:], int.from_bytes(b[:4], "little"), "zstd", asbytes=True), kind)
+
+
 _STRETCH = ["docs", "marks", "d", "start", "n", "data"]
 
 
@@ -320,13 +330,19 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
             least = doc[order[np.flatnonzero(head)]][np.cumsum(head) - 1]
             gone = order[doc[order] > least]
             if len(gone):
-                yield _ranges(doc[gone], mark[gone], start[gone], start[gone] + n[gone] + LENGTH - 1)
+                # neighbours in a document join up before they are sent
+                gone = gone[np.lexsort((start[gone], mark[gone], doc[gone]))]
+                d, m, begin, end = doc[gone], mark[gone], start[gone], start[gone] + n[gone] + LENGTH - 1
+                new = np.ones(len(gone), bool)
+                new[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (begin[1:] > end[:-1])
+                first = np.flatnonzero(new)
+                yield _ranges(d[first], m[first], begin[first], np.maximum.reduceat(end, first))
             keep = np.sort(order[head])
             for b, (s,) in _send((h[keep] % _U(buckets)).astype(_I), [keep]):
                 names, back = np.unique(np.stack([doc[s], mark[s]]), axis=1, return_inverse=True)
                 size = n[s] + LENGTH - 1
                 parts = [names[0], names[1], back.reshape(-1).astype(np.int32), start[s].astype(_I), n[s].astype(np.int32), data[_suffixes(place[s], size)]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(4)), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts)], ["bucket", "doc_id", "mark", "begin", "end", *_STRETCH])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(4)), *(pa.array([_squeeze(x)], pa.binary()) for x in parts)], ["bucket", "doc_id", "mark", "begin", "end", *_STRETCH])
 
         def _ranges(doc, mark, begin, end):
             nothing = pa.nulls(len(doc), pa.binary())
@@ -365,7 +381,7 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
         if not parts.num_rows:
             return direct
         kinds = [_I, _I, np.int32, _I, np.int32, np.uint8]
-        got = [[np.frombuffer(x, kind) for x in parts.column(c).to_pylist()] for c, kind in zip(_STRETCH, kinds, strict=True)]
+        got = [[_unsqueeze(x, kind) for x in parts.column(c).to_pylist()] for c, kind in zip(_STRETCH, kinds, strict=True)]
         doc, mark = (np.concatenate([a[d] for a, d in zip(got[i], got[2], strict=True)]) for i in (0, 1))
         start, n, data = (np.concatenate(got[i]) for i in (3, 4, 5))
         n = n.astype(_I)
@@ -411,12 +427,12 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     wanted = shared_anchors(known, buckets).repartition("doc_id").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     # a copy's strings all occur in the first of its group, which alone speaks for it
     wanted = wanted.join(copies.groupBy("doc_id").agg(F.collect_set("mark").alias("skip")), "doc_id", "left")
-    wanted = cut(wanted.select("doc_id", _packed("hs"), "skip"))
+    wanted = store(wanted.select("doc_id", _packed("hs"), "skip"), "anchors")
     free_shuffles(spark)
     again = known.join(wanted, "doc_id").withColumn("mark", F.xxhash64("text")).where(F.col("skip").isNull() | ~F.array_contains("skip", F.col("mark")))
     found = repeated_ranges(again.select("doc_id", "text", "mark", "shared"), buckets)
     ranges = found.union(copies).repartition("doc_id", "mark").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    ranges = cut(ranges)
+    ranges = store(ranges, "ranges")
     free_shuffles(spark)
     return _cut_out(docs.withColumn("mark", F.xxhash64("text")).join(ranges, ["doc_id", "mark"], "left"), keep_text)
 
