@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import graph_queries, relational_queries, retrieval_queries, text_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_PAIRS: dict[str, tuple[Query, str | None]] = {**relational_queries.PAIRS, **graph_queries.PAIRS, **retrieval_queries.PAIRS, **text_queries.PAIRS}
+QUERIES: dict[str, Query] = {name: pair[0] for name, pair in _PAIRS.items()}
+ORACLE_SQL: dict[str, str] = {name: pair[1] for name, pair in _PAIRS.items() if pair[1]}
