@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +50,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner looks every tenth of a second
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

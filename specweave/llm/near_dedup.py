@@ -11,8 +11,7 @@ Documents of equal sets are one node. In each bucket of a table every node is fi
 verified, on full sets, against the bucket's least node; nodes found linked are joined
 up. Buckets that still hold several components are searched again, in blocks of bounded
 size: every node's partners are ranked by the similarity of sketches, and rounds verify
-those of rank 0, 1 to 7, 8 to 63 and all others that are not in the node's component by
-then. So no pair between components that meets in a bucket is passed over, and yet a
+those of ranks 0 to 7 and then all others that are not in the node's component by then. So no pair between components that meets in a bucket is passed over, and yet a
 group of thousands of copies takes a few checks a member. Links make components by
 alternating stars, all as tables.
 
@@ -45,7 +44,7 @@ BINS = 256
 #: A pair is verified unless its sketches are more standard deviations than these below the similarity asked for.
 DEVIATIONS = 4.5
 #: First rank of each round; the last goes on to the end.
-RANKS = (0, 1, 8, 64)
+RANKS = (0, 8)
 
 _U = np.uint64
 _N = 2 * M * R
@@ -124,12 +123,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(key, i, j, rep) of every table (i, j) and node, for pairs of band keys that other nodes share."""
 
-    def shared(name: str) -> DataFrame:
-        each = nodes.select("rep", F.posexplode(name).alias("i", "k"))
-        twice = each.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "k")
-        return each.join(twice, ["i", "k"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("i", "k")).alias(name))  # M at most
-
-    both = shared("u").join(shared("v"), "rep")
+    each = nodes.select("rep", F.posexplode(F.concat("u", "v")).alias("i", "k"))
+    twice = each.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "k")
+    keys = each.join(twice, ["i", "k"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("i", "k")).alias("keys"))  # 2 * M at most
+    both = keys.select("rep", F.filter("keys", lambda x: x["i"] < M).alias("u"), F.transform(F.filter("keys", lambda x: x["i"] >= M), lambda x: F.struct((x["i"] - M).alias("i"), x["k"].alias("k"))).alias("v"))
     pairs = both.select("rep", F.explode("u").alias("a"), "v").select("rep", "a", F.explode("v").alias("b"))
     return pairs.select(F.xxhash64("a.i", "b.i", "a.k", "b.k").alias("key"), F.col("a.i").cast("byte").alias("i"), F.col("b.i").cast("byte").alias("j"), "rep")
 
@@ -273,6 +270,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     free_shuffles(spark)
     near = bucket.select(F.col("rep").alias("doc_id")).distinct()
     texts = store(docs.select("doc_id", "text").join(near, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "texts")
+    slim = store(nodes.join(near.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "sketches")
     free_shuffles(spark)
     stars = cut(bucket.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
     parts = components(cut(verify(stars, texts)))
@@ -280,8 +278,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         free_shuffles(spark)
         placed = bucket.where("searched").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        rest = placed.join(several, "key", "left_semi").join(nodes.select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "rep")
+        rest = placed.join(several, "key", "left_semi").join(slim, "rep")
         more = cut(_candidates(rest, low, high, block).join(stars, ["a", "b"], "left_anti"))
+        free_shuffles(spark)
         good = cut(verify(more, texts))
         if not good.isEmpty():
             parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(good))
