@@ -50,6 +50,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
     time.sleep(0.3)  # the cleaner looks every tenth of a second
 
 

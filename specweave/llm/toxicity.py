@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WORD, Spans, prepare, table, text_chunks, words
+from .common import LOWER, NOT_WORD, Spans, prepare, table, text_chunks, trim, words
 
 TRAIN_ROWS = 8_000
-TRAIN_BYTES = 16 << 20
+TRAIN_BYTES = 12 << 20
 THRESHOLD = 0.7
 FOLDS = 4
 #: Lengths in bytes of the word beginnings that the lexicon may hold; 0 is the whole word.
@@ -295,7 +295,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
     got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("o"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("b"))
     got = got.withColumn("b", F.sum("b").over(_in_order())).where(F.col("b") <= TRAIN_BYTES).orderBy("o", "doc_id", "text").select("toxic", "text").toArrow()
-    return fit([x.encode() for x in got["text"].to_pylist()], np.array(got["toxic"].to_pylist(), dtype=np.int64) == 1)
+    texts, toxic = got["text"].cast(pa.large_binary()).to_pylist(), np.array(got["toxic"].to_pylist(), dtype=np.int64) == 1
+    del got
+    model = fit(texts, toxic)
+    del texts
+    trim()
+    return model
 
 
 def _in_order():
