@@ -61,30 +61,45 @@ def _hits(tokens: Column, words: list[str] | tuple[str, ...]) -> Column:
     return F.size(F.filter(tokens, lambda x: x.isin(*words)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _script(c: Column | str) -> Column:
+    """The strongest script besides Latin if it has a share worth naming; texts within Latin blocks are not counted."""
+    shares = F.array(*[F.struct(script_share(c, s).alias("share"), F.lit(s).alias("script")) for s in SCRIPTS if s != "Latin"])
+    strongest = _let(F.array_max(shares), lambda x: F.when(x["share"] >= PRESENT, x["script"]).otherwise("Latin"))
+    return F.when(_text(c).rlike(r"[\p{L}&&[^\x{0000}-\x{024F}]]"), strongest).otherwise("Latin")
+
+
+def _by_words(script: str, tokens: Column) -> Column:
+    """A language of this script by its marker words; one that is not the usual needs two hits."""
+    usual = DEFAULTS[script]
+    hits = F.array_max(F.array(*[F.struct(_hits(tokens, w).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, w) in enumerate(MARKERS[script].items())]))
+    found = _let(hits, lambda x: F.when((x["n"] >= 2) | ((x["n"] == 1) & (x["code"] == usual)), x["code"]).otherwise(usual))
+    if script != "Latin":
+        return found
+    roman = _hits(tokens, ROMANISED)
+    return F.when(((roman >= 2) | ((roman == 1) & (F.size(tokens) <= 6))) & (roman >= _hits(tokens, MARKERS["Latin"]["eng_Latn"])), "hin_Latn").otherwise(found)
+
+
 def detect(c: Column | str, declared: Column | None = None) -> Column:
     """struct(code, method): a declared code, else the strongest script, else its languages by marker words."""
-    tokens = _tokens(c)
-    shares = F.array(*[F.struct(script_share(c, s).alias("share"), F.lit(s).alias("script")) for s in SCRIPTS if s != "Latin"])
-    best = F.array_max(shares)
-    script = F.when(best["share"] >= PRESENT, best["script"]).otherwise(F.lit("Latin"))
-    resolved = F.lit("eng_Latn")
-    for name, code in BY_SCRIPT.items():
-        resolved = F.when(script == name, code).otherwise(resolved)
-    for name, languages in MARKERS.items():
-        ranked = F.array_max(F.array(*[F.struct(_hits(tokens, w).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, w) in enumerate(languages.items())]))
-        # a language other than the script's usual one needs two hits
-        pick = F.when((ranked["n"] >= 2) | ((ranked["n"] == 1) & (ranked["code"] == DEFAULTS[name])), ranked["code"]).otherwise(DEFAULTS[name])
-        if name == "Latin":
-            roman, english = _hits(tokens, ROMANISED), _hits(tokens, MARKERS["Latin"]["eng_Latn"])
-            pick = F.when(((roman >= 2) | ((roman == 1) & (F.size(tokens) <= 6))) & (roman >= english), "hin_Latn").otherwise(pick)
-        resolved = F.when(script == name, pick).otherwise(resolved)
-    code = resolved if declared is None else F.coalesce(declared, resolved)
-    method = F.when(script != "Latin", "script").otherwise("words")
-    return F.struct(code.alias("code"), (method if declared is None else F.when(declared.isNotNull(), "declared").otherwise(method)).alias("method"))
+
+    def choose(x: Column) -> Column:
+        one = F.create_map(*[F.lit(v) for kv in BY_SCRIPT.items() for v in kv])[x["script"]]
+        for name in MARKERS:
+            one = F.when(x["script"] == name, _by_words(name, x["tokens"])).otherwise(one)
+        return F.struct(one.alias("code"), F.when(x["script"] == "Latin", "words").otherwise("script").alias("method"))
+
+    found = _let(F.struct(_script(c).alias("script"), _tokens(c).alias("tokens")), choose)
+    if declared is None:
+        return found
+    return F.when(declared.isNotNull(), F.struct(declared.alias("code"), F.lit("declared").alias("method"))).otherwise(found)
 
 
 def reconcile(declared: Column, transcript: Column, guess: Column) -> Column:
     """Language of a transcript: declared, else by its script or words, else the recogniser's guess."""
-    seen = detect(transcript)
-    found = F.when((seen["method"] == "script") | (seen["code"] == "hin_Latn"), seen["code"])
+    found = _let(detect(transcript), lambda x: F.when((x["method"] == "script") | (x["code"] == "hin_Latn"), x["code"]))
     return F.struct(F.coalesce(declared, found, guess, F.lit("eng_Latn")).alias("code"), (F.coalesce(declared, found) != guess).alias("mismatch"))
