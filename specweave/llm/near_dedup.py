@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, mix, prepare, shingles, store, table, text_chunks, word_hashes, words
+from .common import cut, free_shuffles, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
 from .graph import components
 
 WORDS = 5
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(each * M), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))) for x in (u, v)]
                 bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((each * BINS).astype(np.int32).tobytes()), pa.py_buffer(sketch.tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, bytes_], ["doc_id", "n_shingles", "s1", "s2", "u", "v", "sketch"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch binary")
 
@@ -156,6 +157,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+        trim()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -240,6 +242,7 @@ def _candidates(rows: DataFrame, low: int, high: float, block: int) -> DataFrame
             held = [c[edge[-1] if len(edge) else 0 :] for c in cols]
         if held is not None and len(held[0]):
             yield emit(list(pairs_of(held)))
+        trim()
 
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 

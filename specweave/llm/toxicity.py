@@ -322,6 +322,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             s = [model.score(buf, off) for _, _, buf, off in text_chunks(b.column(b.schema.get_field_index("text")))]
             cols = [b.column(b.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(s) if s else np.zeros(0))], [*keep, "toxicity"])
+        trim()
 
     assert len(set(carried)) == len(carried)
     return frame.mapInArrow(run, out)
