@@ -337,7 +337,7 @@ def repeated_ranges(docs: DataFrame, buckets: int) -> DataFrame:
                 new[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (begin[1:] > end[:-1])
                 first = np.flatnonzero(new)
                 yield _ranges(d[first], m[first], begin[first], np.maximum.reduceat(end, first))
-            keep = np.sort(order[head])
+            keep = np.sort(order[doc[order] == least])  # all places in the least document: what follows decides on them
             for b, (s,) in _send((h[keep] % _U(buckets)).astype(_I), [keep]):
                 names, back = np.unique(np.stack([doc[s], mark[s]]), axis=1, return_inverse=True)
                 size = n[s] + LENGTH - 1
