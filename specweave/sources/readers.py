@@ -26,6 +26,7 @@ class ScannedDocumentError(ValueError):
 def csv_text(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
     """CSV whose fields stay as they are written: no nulls are guessed, an empty field is ''."""
     df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', nullValue="\0", emptyValue="", enforceSchema=False)
+    df = df.fillna("", df.columns)
     return df.select(*columns) if columns else df
 
 
