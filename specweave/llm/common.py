@@ -62,6 +62,7 @@ def trim() -> None:
     """Give freed memory back to the system; workers live on between stages."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:  # another C library
