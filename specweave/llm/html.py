@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, store, table
 
 REFERENCES, LEAST = 8, 3
 #: Share of an article's text that constant nodes may have to count as template.
@@ -336,7 +336,9 @@ def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
 def extract_pages(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     """page_id, url, text of every row of pages."""
     pages = pages.select("page_id", "url", "html").withColumn("host", _host("url"))
-    rows = pages.join(wrappers(pages, references), "host", "left").select("page_id", "url", "html", "constant", "slot")
+    # a written table has a size: small wrappers are broadcast, large ones are not
+    learned = store(wrappers(pages, references), "wrappers")
+    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "constant", "slot")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
 
     def run(batches):
