@@ -46,16 +46,16 @@ def past_vocab(spark, d):
 
 
 def alias_string_agg(spark, d):
-    return R.joined_text(standards(spark, d).select("dept_code", "kys_id", "title").where("kys_id <= 2000000000"), "dept_code", "title", "kys_id")
+    return R.joined_text(standards(spark, d).select("dept_code", "kys_id", "title"), "dept_code", "title", "kys_id")
 
 
 def left_lookup_default(spark, d):
-    side = R.joined_text(standards(spark, d).where("kys_id % 10 = 0"), "is_base_id", "title", "kys_id").withColumnRenamed("title", "aliases")
+    side = R.joined_text(standards(spark, d).where("status = 'withdrawn'"), "is_base_id", "title", "kys_id").withColumnRenamed("title", "aliases")
     return R.lookup(newest(spark, d).select("kys_id", "is_base_id"), side, "is_base_id", ["aliases"])
 
 
 def metadata_merge(spark, d):
-    found = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("kys_id")).agg(F.max(F.year("l_shipdate")).cast("int").alias("reaffirmed_year")).where("kys_id % 2 = 1")
+    found = read(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity < 20").groupBy(F.col("l_partkey").alias("kys_id")).agg(F.max(F.year("l_shipdate")).cast("int").alias("reaffirmed_year"))
     return R.merge_metadata(standards(spark, d), found).select("kys_id", "reaffirmed_year", "change")
 
 
@@ -166,7 +166,7 @@ words AS (SELECT h.is_base_id, h.kys_id, unnest(range(len(w))) AS pos, unnest(w)
 past AS (SELECT is_base_id, string_agg(word, ' ' ORDER BY k, p, word) AS past FROM (
   SELECT is_base_id, word, min(kys_id) AS k, arg_min(pos, kys_id * 100000 + pos) AS p FROM words GROUP BY is_base_id, word) GROUP BY is_base_id)"""
 _CLEAN = "trim(regexp_replace(regexp_replace({0}, '\\s[?]\\s', ' - ', 'g'), '\\s+', ' ', 'g'), ' -:;,')"
-_MERGE = """found AS (SELECT l_partkey AS kys_id, max(year(l_shipdate)) AS f FROM lineitem WHERE l_partkey % 2 = 1 GROUP BY 1),
+_MERGE = """found AS (SELECT l_partkey AS kys_id, max(year(l_shipdate)) AS f FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 20 GROUP BY 1),
 m AS (SELECT s.kys_id, s.reaffirmed_year AS old, f, CASE WHEN f >= coalesce(is_year, 0) THEN f END AS u FROM standards s LEFT JOIN found USING (kys_id)),
 merged AS (SELECT kys_id, CAST(greatest(coalesce(old, u), coalesce(u, old)) AS INTEGER) AS reaffirmed_year,
   CASE WHEN f IS NULL THEN 'not found' WHEN u IS NULL THEN 'dropped' WHEN old IS NULL THEN 'filled' WHEN u > old THEN 'raised' ELSE 'kept' END AS change FROM m)"""
@@ -181,7 +181,7 @@ PAIRS = {
     "semi_indexed": (semi_indexed, sql(f"SELECT is_base_id, count(*) AS n, min(kys_id) AS first_id FROM ({_H}) WHERE is_base_id IN (SELECT is_base_id FROM newest) GROUP BY is_base_id")),
     "past_vocab": (past_vocab, sql("SELECT * FROM past", _PAST)),
     "alias_string_agg": (alias_string_agg, sql("SELECT dept_code, string_agg(title, ' ' ORDER BY kys_id) AS title FROM standards GROUP BY dept_code")),
-    "left_lookup_default": (left_lookup_default, sql("SELECT n.kys_id, n.is_base_id, coalesce(a.aliases, '') AS aliases FROM newest n LEFT JOIN (SELECT is_base_id, string_agg(title, ' ' ORDER BY kys_id) AS aliases FROM standards WHERE kys_id % 10 = 0 GROUP BY 1) a USING (is_base_id)")),
+    "left_lookup_default": (left_lookup_default, sql("SELECT n.kys_id, n.is_base_id, coalesce(a.aliases, '') AS aliases FROM newest n LEFT JOIN (SELECT is_base_id, string_agg(title, ' ' ORDER BY kys_id) AS aliases FROM standards WHERE status = 'withdrawn' GROUP BY 1) a USING (is_base_id)")),
     "metadata_merge": (metadata_merge, sql("SELECT * FROM merged", _MERGE)),
     "metadata_merge_counts": (metadata_merge_counts, sql("SELECT change, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM merged GROUP BY change", _MERGE)),
     "distinct_counts": (distinct_counts, sql("SELECT count(DISTINCT is_base_id) AS bases, count(DISTINCT dept_code) AS depts, count(DISTINCT is_year) AS years, count(*) AS n FROM standards")),
