@@ -36,8 +36,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or in up to MAX_EPOCHS rows."""
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).where("epochs > 0").select("doc_id", "epochs").distinct()
-    rows = docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
+    taken = mixing.mix(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("epochs").alias("epochs")).where("epochs > 0")
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
     return rows.select(docs.columns)
 
 
