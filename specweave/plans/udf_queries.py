@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
-from ..functions import language, notation
+from ..functions import language, notation, preview, translation
+from ..operators import rag
 from ..streaming import events as E
 from .retrieval_queries import zipf_costs
 from .tables import read
+from .text_queries import PAIRS as TEXT
+from .text_queries import spec_squash_cover
 
 #: Words whose costs travel with the plan, at most: some 5 MB.
 VOCABULARY = 50_000
@@ -76,15 +79,40 @@ def rollup_events(spark, d):
     return read(spark, d, "events").rollup("event_type", F.pmod("user_id", F.lit(5)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("value"))
 
 
+def language_registry(spark, d):
+    return read(spark, d, "documents").select("doc_id", translation.resolve_language(F.col("lang")).alias("code"))
+
+
+def glossary_match(spark, d):
+    texts = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("eng_Latn").alias("lang"), F.col("p_name").alias("text"))
+    glossary = spark.createDataFrame([("eng_Latn", "ring", "loop"), ("eng_Latn", "widg", "gadget"), ("eng_Latn", "red widget", "crimson gadget"), ("eng_Latn", "bol", "never")], "lang string, term string, english string")
+    return translation.glossary_hits(texts, glossary)
+
+
+def coverage_warning(spark, d):
+    return rag.coverage_warning(spec_squash_cover(spark, d))
+
+
+def page_previews(spark, d):
+    p = read(spark, d, "pages")
+    x = preview.preview(F.col("html"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit(None).cast("string"))
+    return p.select("page_id", x.alias("x")).select("page_id", "x.scope_status", "x.scope_words", "x.n_refs")
+
+
+_COVER = TEXT["spec_squash_cover"][1]
 _PART = "SELECT p_partkey, {0} FROM part"
 PAIRS = {
     "line_items": (line_items, None),
     "strip_boilerplate": (strip_boilerplate, None),
     "word_split": (word_split, None),
     "quantities": (quantities, "SELECT p_partkey, 0 AS pos, p_size::DOUBLE AS value, 'mm' AS unit, 'size' AS field, p_size + 9.0::DOUBLE AS value_max FROM part UNION ALL SELECT p_partkey, 1, round(p_retailprice), 'L', 'capacity', NULL FROM part UNION ALL SELECT p_partkey, 2, p_size, 'DN', 'diameter', NULL FROM part"),
-    "product": (product, None),
+    "product": (product, "SELECT p_partkey, p_name || ' tank' AS product FROM part"),
     "detect_language": (detect_language, None),
-    "mask_unmask": (mask_unmask, None),
+    "mask_unmask": (mask_unmask, "SELECT p_partkey, p_name || ' @1@ @2@ as per @3@' AS masked, 'code,quantity,citation' AS kinds, 3 AS n FROM part"),
+    "language_registry": (language_registry, "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' END AS code FROM documents"),
+    "glossary_match": (glossary_match, "SELECT p_partkey AS id, g.term, g.english FROM part, (VALUES ('ring', 'loop'), ('widg', 'gadget'), ('red widget', 'crimson gadget'), ('bol', 'never')) g(term, english) WHERE CASE WHEN contains(g.term, ' ') THEN contains(' ' || p_name || ' ', ' ' || g.term || ' ') ELSE list_contains(string_split(p_name, ' '), g.term) OR (len(g.term) >= 4 AND len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, g.term))) > 0) END"),
+    "coverage_warning": (coverage_warning, "WITH m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq, term) AS n, count(*) OVER (PARTITION BY query_id) AS k FROM (" + _COVER + ") WHERE covered_by IS NULL) SELECT query_id, 'not named by any evidence: ' || string_agg(term, ', ' ORDER BY n) FILTER (WHERE n <= 6) || CASE WHEN any_value(k) > 6 THEN ' and ' || (any_value(k) - 6) || ' more' ELSE '' END AS warning FROM m GROUP BY query_id"),
+    "page_previews": (page_previews, None),
     "spoken_notation": (spoken_notation, _PART.format("'IS 1786 pipe 25 mm ' || p_name AS written")),
     "spec_terms": (spec_terms, "SELECT p_partkey, 0 AS pos, '90W' AS term, 'quantity' AS kind FROM part UNION ALL SELECT p_partkey, 1, 'IP66', 'code' FROM part UNION ALL SELECT p_partkey, 2, p_size || ' mm', 'quantity' FROM part"),
     "tumbling_events": (tumbling_events, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"),
