@@ -77,9 +77,13 @@ def shard(docs: DataFrame, n_shards: int = 24, law: str = "bytes", keep: float =
     if law == "rows":
         rows = rows.withColumn("shard", F.floor(F.col("place") * n_shards / F.lit(max(1, n))).cast("int"))
     else:
-        groups = rows.groupBy("text_crc32").agg(F.min("begin").alias("from"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("held"))
-        groups = groups.where((F.col("held") > 1) & (F.col("bytes") <= keep * size / n_shards)).select("text_crc32", (F.col("from") + F.col("bytes") / 2).alias("middle"))
-        rows = rows.join(groups, "text_crc32", "left")
+        groups = rows.groupBy("text_crc32").agg(F.min("begin").alias("from"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("held")).where("held > 1")
+        small = F.col("bytes") <= keep * size / n_shards
+        # at most n_shards / keep texts are large; their rows look for no group and are dealt out by themselves
+        large = groups.where(~small).select("text_crc32", F.lit(True).alias("large"))
+        rows = rows.join(F.broadcast(large), "text_crc32", "left")
+        rows = rows.withColumn("own", F.when(F.col("large").isNull(), F.col("text_crc32")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))))
+        rows = rows.join(groups.where(small).select(F.col("text_crc32").alias("own"), (F.col("from") + F.col("bytes") / 2).alias("middle")), "own", "left")
         middle = F.coalesce("middle", F.col("begin") + F.col("size") / 2)
         rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(float(size)))).cast("int"))
     rows = rows.select("doc_id", "size", "text_crc32", "shard", "place")
