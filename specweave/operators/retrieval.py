@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..frames import cut
 from ..functions import scoring, text
 
 # Fixed values of BM25.
@@ -15,30 +16,33 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 50
 
 
-def postings(docs: DataFrame, tokens: Column, doc: str = "doc_id") -> DataFrame:
-    """(doc, token, tf, dl) of an index."""
-    d = docs.select(doc, tokens.alias("t")).withColumn("dl", F.size("t"))
-    return d.select(doc, "dl", F.explode("t").alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def tokenised(docs: DataFrame, tokens: Column, doc: str = "doc_id") -> DataFrame:
+    """(doc, t, dl) of an index, written once and dealt out by document: what follows groups by document where it lies."""
+    return cut(docs.select(doc, tokens.alias("t")).withColumn("dl", F.size("t")).repartition(doc))
 
 
-def bm25_idf(post: DataFrame, n_docs: int, doc: str = "doc_id") -> DataFrame:
+def bm25_idf(index: DataFrame, n_docs: int) -> DataFrame:
     """(token, idf); terms in more than half of all documents get a share of the mean idf instead."""
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = index.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = df.select("token", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row of means
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("token", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, query: str = "item_id", doc: str = "doc_id", top: int = TOP) -> DataFrame:
-    """(query, doc, score, rank from 0) of the best documents with a positive score."""
-    post = postings(docs, doc_tokens, doc)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(doc_tokens)).alias("mean")).first()
-    idf = bm25_idf(post, stats["n"], doc)
+    """(query, doc, score, rank from 0) of the best documents with a positive score.
+
+    Only tokens that a query holds leave the index. If those few are broadcast, counts
+    and sums by document need no further shuffle; only each query's best rows move.
+    """
+    index = tokenised(docs, doc_tokens, doc)
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
     asked = queries.select(query, F.explode(query_tokens).alias("token")).groupBy(query, "token").agg(F.count(F.lit(1)).alias("qf"))
-    # only postings of tokens that a query holds go on
-    hits = asked.join(idf, "token").join(post, "token")
+    asked = cut(asked.join(bm25_idf(index, stats["n"]), "token"))
+    wanted = asked.select("token").distinct()
+    tf = index.select(doc, "dl", F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy(doc, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["mean"] or 1))))
-    scored = hits.groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = tf.join(asked, "token").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, query, "score", doc, top)
 
 
@@ -52,8 +56,8 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, query: str = "item_id",
     """(query, doc, score, rank) by shared tokens over the geometric mean of set sizes; an equi-join on tokens."""
     words = F.array_distinct(text.ascii_tokens("text", text.OVERLAP_STOPWORDS, 2))
     q = queries.select(query, words.alias("t")).select(query, F.size("t").alias("nq"), F.explode("t").alias("token"))
-    d = docs.select(doc, words.alias("t")).select(doc, F.size("t").alias("nd"), F.explode("t").alias("token"))
-    shared = q.join(d, "token").groupBy(query, doc, "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
+    d = docs.select(doc, words.alias("t")).repartition(doc).select(doc, F.size("t").alias("nd"), F.explode("t").alias("token"))
+    shared = d.join(q, "token").groupBy(query, doc, "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
     scored = shared.select(query, doc, F.round(F.col("n") / F.sqrt(F.col("nq").cast("double") * F.col("nd")), 4).alias("score"))
     return ranked(scored, query, "score", doc, top)
 
