@@ -18,7 +18,7 @@ TOP = 50
 
 def tokenised(docs: DataFrame, tokens: Column, doc: str = "doc_id") -> DataFrame:
     """(doc, t, dl) of an index, written once and dealt out by document: what follows groups by document where it lies."""
-    return cut(docs.select(doc, tokens.alias("t")).withColumn("dl", F.size("t")).repartition(doc))
+    return cut(docs.repartition(doc).select(doc, tokens.alias("t")).withColumn("dl", F.size("t")))
 
 
 def bm25_idf(index: DataFrame, n_docs: int) -> DataFrame:
@@ -40,7 +40,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens:
     asked = queries.select(query, F.explode(query_tokens).alias("token")).groupBy(query, "token").agg(F.count(F.lit(1)).alias("qf"))
     asked = cut(asked.join(bm25_idf(index, stats["n"]), "token"))
     wanted = asked.select("token").distinct()
-    tf = index.select(doc, "dl", F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy(doc, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = index.select(doc, "dl", F.explode_outer("t").alias("token")).join(wanted, "token", "left_semi").groupBy(doc, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["mean"] or 1))))
     scored = tf.join(asked, "token").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, query, "score", doc, top)
@@ -49,14 +49,17 @@ def bm25(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens:
 def ranked(scored: DataFrame, query: str, score: str, tie: str, top: int) -> DataFrame:
     """The best rows of each query with their rank from 0; ties go by id."""
     w = W.partitionBy(query).orderBy(F.col(score).desc(), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top)
+    # a bare limit on row_number() lets Spark cut each task's rows before they are shuffled
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return best.withColumn("rank", F.col("rank") - 1)
 
 
 def keyword_overlap(queries: DataFrame, docs: DataFrame, query: str = "item_id", doc: str = "doc_id", top: int = 5) -> DataFrame:
     """(query, doc, score, rank) by shared tokens over the geometric mean of set sizes; an equi-join on tokens."""
     words = F.array_distinct(text.ascii_tokens("text", text.OVERLAP_STOPWORDS, 2))
     q = queries.select(query, words.alias("t")).select(query, F.size("t").alias("nq"), F.explode("t").alias("token"))
-    d = docs.select(doc, words.alias("t")).repartition(doc).select(doc, F.size("t").alias("nd"), F.explode("t").alias("token"))
+    # explode_outer: a plain explode has Spark filter by the tokens' number, and so make them twice
+    d = docs.select(doc, "text").repartition(doc).select(doc, words.alias("t")).select(doc, F.size("t").alias("nd"), F.explode_outer("t").alias("token"))
     shared = d.join(q, "token").groupBy(query, doc, "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
     scored = shared.select(query, doc, F.round(F.col("n") / F.sqrt(F.col("nq").cast("double") * F.col("nd")), 4).alias("score"))
     return ranked(scored, query, "score", doc, top)

@@ -10,8 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of long texts: a small file of them may be a single row group, which one task would read and work on alone.
+TEXTS = ("documents", "pages", "conversations")
+#: Bytes for each core below which such a table is dealt out anew.
+SMALL = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
+        df = df.repartition(cores)
+    return df
 
 
 def standards(spark: SparkSession, sf_dir: str) -> DataFrame:
