@@ -25,9 +25,9 @@ def canonical(df):
     def cell(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or not isinstance(v, (list, dict, str)) and pd.isna(v):
             return "NULL"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        return f"{v:.6g}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
 
     df = df[sorted(df.columns)].astype(object)
     return sorted(tuple(cell(v) for v in r) for r in df.itertuples(index=False))
