@@ -49,6 +49,7 @@ def free_shuffles(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
+    spark.range(1).collect()  # listeners hold the last query's plan until another has ended
     spark.sparkContext._jvm.System.gc()
     trim()
     time.sleep(0.3)  # the cleaner looks every tenth of a second
