@@ -15,7 +15,7 @@ VOCABULARY_STOPWORDS = tuple(
 OVERLAP_STOPWORDS = tuple("a an and are as at be by for from in is it of on or that the this to was were which will with you".split())
 ORDINALS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|superseding|reaffirmed"
 
-#: Words of letters and digits of any script; combining vowel signs of Indic and Arabic text belong to them.
+# Words of letters and digits of any script; combining vowel signs of Indic and Arabic text belong to them.
 WORD = r"[\p{L}\p{N}]+(?:[ऀ-෿؀-ۿ][\p{L}\p{N}]*)*"
 
 
@@ -64,7 +64,7 @@ def join_parts(*parts: Column, separator: str = " | ") -> Column:
 
 # --- citations ---------------------------------------------------------------------------
 
-#: A citation: number, part, section and year are its groups.
+# The shape of a citation; number, part, section and year are its groups.
 CITATION = (
     r"(?i)\bIS(?:\s*/\s*(?:ISO|IEC|TS|TR|QC|EN))*\s*[:.]?\s*(\d{1,5})"
     r"(?:\s*\(?\s*Part\s*(\d+)\s*\)?)?(?:\s*\(?\s*Sec(?:tion)?\s*(\d+)\s*\)?)?(?:\s*[:\-]\s*((?:19|20)\d{2}))?"
