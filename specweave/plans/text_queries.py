@@ -116,7 +116,6 @@ _HTML = r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(?:p|div|br|tr|li|h[1-6]|table|ul|ol|article|section|footer|nav)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b),
 h AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM c)"""
-_CIT = r"(?i)\bIS\s*(\d{1,5})(?:\s*\(?\s*Part\s*(\d+)\s*\)?)?(?:\s*[:\-]\s*((?:19|20)\d{2}))?"
 _VSTOP = "[" + ",".join(f"'{w}'" for w in text.VOCABULARY_STOPWORDS) + "]"
 _WORDS4 = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]{{4,}}'), lambda x: NOT list_contains(" + _VSTOP + ", x)))"
 _ORD = text.ORDINALS
