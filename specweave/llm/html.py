@@ -49,9 +49,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup "
     "sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond share sharing social related recommended recommendations "
-    "widget toolbar pagination pager login register skip hidden".split()
+    "widget toolbar pagination pager login register skip hidden banner alert announcement toast".split()
 )
 
+STEMS = ("comment", "advert", "adsby", "sponsor", "cookie", "sidebar", "newsletter", "breadcrumb")
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{RAW})\b(?P<rawattr>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|</(?P<end>[a-zA-Z][\w:-]*)[^>]*(?:>|\Z)|<(?P<start>[a-zA-Z][\w:-]*)(?P<attr>(?>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*))(?:>|\Z)|<(?P<loose>[a-zA-Z][\w:-]*)[^>]*(?:>|\Z)",
     re.S | re.I,
@@ -121,7 +123,7 @@ def boilerplate(node: Node, in_article: bool) -> bool:
     if a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
     named = {w for k in ("class", "id") for w in _NAME.findall(a.get(k, ""))}
-    return bool(named & WORDS) or "header" in named and not in_article
+    return bool(named & WORDS) or any(w.startswith(STEMS) and w != "commentary" for w in named) or "header" in named and not in_article
 
 
 def blocks(node: Node, path: int = 0, in_article: bool = False) -> Iterator[tuple[int, str, Node]]:

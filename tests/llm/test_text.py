@@ -51,6 +51,11 @@ def test_pages_without_article_use_the_densest_element():
     assert html.extract(page) == "Hello & you\ntwo bold words\na\nb"
 
 
+@pytest.mark.parametrize("name", ["sidebar-left", "commentlist", "advertBox", "cookiebar", "newsletter-signup", "alert alert-info", "site_header", "main-nav", "social-share"])
+def test_class_words_tell_what_is_no_article(name):
+    assert html.extract(f'<body><div class="{name}"><p>gone</p></div><div class="commentary"><p>The article itself stays here</p></div><p id="{name}">gone too</p>') == "The article itself stays here"
+
+
 @pytest.mark.parametrize("cut", range(0, 900, 37))
 def test_markup_may_end_anywhere(cut):
     assert isinstance(html.extract(_page(3)[:cut]), str)
