@@ -154,18 +154,35 @@ def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np
 
 
 class Spans:
-    """Hashes of any stretches of one byte buffer, from prefix sums."""
+    """Hashes of stretches of one byte buffer, from prefix sums.
 
-    def __init__(self, buf: np.ndarray) -> None:
-        p, self.q = powers(len(buf) + 1)
-        x = buf.astype(_U)
-        x += _U(1)
-        x *= p[: len(buf)]
-        self.sums = np.zeros(len(buf) + 1, _U)
-        np.cumsum(x, out=self.sums[1:])
+    A long buffer is worked on in parts around the stretches asked for, so that what is
+    held beside it does not grow with its length. Hashes do not depend on places.
+    """
+
+    def __init__(self, buf: np.ndarray, whole: bool = False) -> None:
+        self.buf = buf
+        self.sums = None
+        if whole or len(buf) <= 4 * CHUNK_BYTES:
+            p, self.q = powers(len(buf) + 1)
+            x = buf.astype(_U)
+            x += _U(1)
+            x *= p[: len(buf)]
+            self.sums = np.zeros(len(buf) + 1, _U)
+            np.cumsum(x, out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.q[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        """Of buf[starts[i]:ends[i]]; starts rise."""
+        if self.sums is not None:
+            return mix((self.sums[ends] - self.sums[starts]) * self.q[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        out, i = np.empty(len(starts), _U), 0
+        while i < len(starts):
+            low = int(starts[i])
+            j = int(np.searchsorted(starts, low + CHUNK_BYTES))
+            part = Spans(self.buf[low : int(ends[i:j].max())], whole=True)
+            out[i:j] = part.hashes(starts[i:j] - low, ends[i:j] - low)
+            i = j
+        return out
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

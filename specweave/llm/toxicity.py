@@ -98,7 +98,7 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.ndar
     row = np.repeat(np.arange(n), np.diff(first))
     n_words, size = np.diff(first).astype(float), np.diff(off).astype(float)
     per_word, per_byte = 1 / np.maximum(n_words, 1), 1 / np.maximum(size, 1)
-    byte_row = np.repeat(np.arange(n), np.diff(off))
+    row_of = lambda at: np.searchsorted(off, at, side="right") - 1
     out = np.zeros((n, FEATURES))
     best = np.zeros(len(row))
     for k in range(len(BEGINNINGS)):
@@ -121,12 +121,12 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.ndar
     out[:, 10] = _sum(row, you.astype(float), n) * per_word
     for col, kind in ((11, _UPPER), (12, _MARK), (13, _SIGN), (14, _POINT), (15, _DIGIT)):
         at = np.flatnonzero(kind[buf])
-        out[:, col] = _sum(byte_row[at], None, n) * per_byte
+        out[:, col] = _sum(row_of(at), None, n) * per_byte
     same = np.flatnonzero((buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & _LETTER[buf[2:]]) if len(buf) > 2 else np.zeros(0, np.int64)
-    out[:, 16] = _sum(byte_row[same], None, n) * per_byte
+    out[:, 16] = _sum(row_of(same), None, n) * per_byte
     if len(starts):
-        digits, letters = np.concatenate(([0], np.cumsum(_DIGIT[buf]))), np.concatenate(([0], np.cumsum(_LETTER[buf])))
-        mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+        digits = np.bincount(np.searchsorted(starts, np.flatnonzero(_DIGIT[buf]), side="right") - 1, minlength=len(starts))
+        mixed = (digits > 0) & (digits < ends - starts)
         out[:, 17] = _sum(row, mixed.astype(float), n) * per_word
         joined = np.flatnonzero((starts[1:] - ends[:-1] == 1) & _SIGN[buf[ends[:-1]]] & (row[1:] == row[:-1])) if len(starts) > 1 else np.zeros(0, np.int64)
         out[:, 18] = _sum(row[joined], None, n) * per_word
