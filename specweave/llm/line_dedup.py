@@ -10,9 +10,16 @@ end the search for their windows. For the others the windows around the fingerpr
 are compared as wholes, both ways of it, against the first place that has the same
 lines: counts and minima, never pairs of places, however common a line is.
 
+``dedup_lines`` stops there, as its SQL does: a passage that stands on fewer than
+``MIN_RUN`` lines is kept however long it is, and so are copies of documents of fewer
+lines. ``dedup_passages`` takes those too: one line or two that are ``LONG_WORDS`` words
+or ``LONG_BYTES`` bytes long, and whole documents of fewer than ``MIN_RUN`` lines that
+hold a word, if the same stands at an earlier place. They have whole fingerprints.
+
 Defined cases: a null or empty text has one empty line; documents of fewer than
-``MIN_RUN`` lines lose nothing; rows that repeat a doc_id are one place (the first
-of them is kept by both); a null doc_id comes first; further columns are ignored.
+``MIN_RUN`` lines lose nothing by runs; rows that repeat a doc_id are one place (the
+first of them is kept by both); a null doc_id comes first; further columns are ignored.
+Words are parted by ASCII white space.
 """
 
 from __future__ import annotations
@@ -23,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MIN_RUN = 3
+#: Fewer lines than MIN_RUN are a passage from so many words, or bytes (for scripts without spaces).
+LONG_WORDS, LONG_BYTES = 50, 512
 
 
 def _windows(docs: DataFrame, run: int) -> DataFrame:
@@ -34,24 +43,70 @@ def _windows(docs: DataFrame, run: int) -> DataFrame:
     return d.select("doc_id", "at", F.array_min("w").alias("fp"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), F.expr(f"at + {run} - array_position(reverse(w), array_min(w))").alias("fp_at"))
 
 
-def repeated(docs: DataFrame, run: int = MIN_RUN) -> DataFrame:
-    """doc_id and removed, the sorted line numbers (from 1) that repeated runs cover."""
+def _later(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """The pieces (doc_id, at, key) whose key stands at an earlier place too."""
+    place = F.struct("doc_id", "at")
+    first = pieces.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    return pieces.join(first, key).where(~place.eqNullSafe(F.col("first")))
+
+
+def _later_runs(docs: DataFrame, run: int) -> DataFrame:
+    """doc_id and at of every run of lines that stands at an earlier place too."""
     w = _windows(docs, run)
     place = F.struct("doc_id", "fp_at")
     shared = w.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("fp")
-    near = w.join(shared, "fp", "left_semi")
-    first = near.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
-    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = near.join(first, ["k1", "k2"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
-    starts = later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))))
+    return _later(w.join(shared, "fp", "left_semi"), ["k1", "k2"])
+
+
+def _long(docs: DataFrame, run: int, words: int, size: int) -> DataFrame:
+    """doc_id, at, n (lines) and key of what is long in fewer than run lines, and of whole documents of fewer (kind 'd')."""
+    ls = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    # a line's words, and bytes, beside its hashes: lines are long or short by these alone
+    line = lambda x: F.struct(F.size(F.filter(F.split(x, r"\s+"), lambda t: t != "")).alias("w"), F.octet_length(x).alias("b"), F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"))
+    d = docs.select("doc_id", F.transform(ls, line).alias("ls"))
+    total = lambda a, c: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x[c])
+    piece = lambda kind, at, a: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), F.size(a).alias("n"), total(a, "w").alias("w"), total(a, "b").alias("b"), F.xxhash64(a["h1"]).alias("k1"), F.hash(a["h2"]).alias("k2"))
+    found = []
+    for n in range(1, run):
+        starts = F.when(F.size("ls") >= n, F.sequence(F.lit(1), F.size("ls") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(starts, lambda i: piece("l", i, F.slice("ls", i, n)))  # noqa: B023
+        found.append(F.filter(windows, lambda x: (x["w"] >= words) | (x["b"] >= size)))
+    whole = F.filter(F.array(piece("d", F.lit(1), F.slice("ls", 1, run))), lambda x: (F.size("ls") < run) & (x["w"] > 0))
+    return d.select("doc_id", F.inline(F.concat(*found, whole))).select("doc_id", "at", "n", "kind", "k1", "k2")
+
+
+def _lines(later: DataFrame) -> DataFrame:
+    """doc_id and removed, the sorted line numbers of pieces (doc_id, at, n)."""
+    starts = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
     return starts.select("doc_id", lines.alias("removed"))
 
 
+def repeated(docs: DataFrame, run: int = MIN_RUN) -> DataFrame:
+    """doc_id and removed, the sorted line numbers (from 1) that repeated runs cover."""
+    return _lines(_later_runs(docs, run).select("doc_id", "at", F.lit(run).alias("n")))
+
+
+def repeated_passages(docs: DataFrame, run: int = MIN_RUN, words: int = LONG_WORDS, size: int = LONG_BYTES) -> DataFrame:
+    """As repeated, with long passages and whole documents of fewer than run lines."""
+    runs = _later_runs(docs, run).select("doc_id", "at", F.lit(run).alias("n"))
+    return _lines(runs.union(_later(_long(docs, run, words, size), ["kind", "n", "k1", "k2"]).select("doc_id", "at", "n")))
+
+
 def dedup_lines(docs: DataFrame, run: int = MIN_RUN) -> DataFrame:
     """docs's doc_id with kept text, n_lines, n_removed (lines) and n_runs (of removed lines)."""
+    return _without(docs, repeated(docs, run))
+
+
+def dedup_passages(docs: DataFrame, run: int = MIN_RUN, words: int = LONG_WORDS, size: int = LONG_BYTES) -> DataFrame:
+    """As dedup_lines, with repeated_passages."""
+    return _without(docs, repeated_passages(docs, run, words, size))
+
+
+def _without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    r = repeated(docs, run).withColumnRenamed("doc_id", "r_id")
+    r = removed.withColumnRenamed("doc_id", "r_id")
     d = d.join(r, F.col("doc_id").eqNullSafe(F.col("r_id")), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), gone)
@@ -65,11 +120,18 @@ def dedup_lines(docs: DataFrame, run: int = MIN_RUN) -> DataFrame:
     )
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _measured(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, CAST(unnest(range(1, len(ls) - 1)) AS BIGINT) AS a, ls FROM d),

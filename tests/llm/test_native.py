@@ -165,6 +165,48 @@ def test_lines_odd(spark, odd, empty):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in _rows(line_dedup.dedup_lines(twice))) == [("1", 0), ("1", 0), ("2", 3), ("None", 0)]
 
 
+def plain_passages(docs, run=3, words=50, size=512):
+    first, out = {}, {}
+    lines = {d: (t or "").split("\n") for d, t in docs}
+
+    def pieces(ls):
+        for n in range(1, run + 1):
+            for i in range(len(ls) - n + 1):
+                w = ls[i : i + n]
+                if n == run or sum(len(x.split()) for x in w) >= words or sum(len(x.encode()) for x in w) >= size:
+                    yield ("l", *w), i, n
+        if len(ls) < run and any(x.split() for x in ls):
+            yield ("d", *ls), 0, len(ls)
+
+    for d in sorted(lines):
+        for key, i, _ in pieces(lines[d]):
+            first.setdefault(key, (d, i))
+    for d, ls in lines.items():
+        gone = {j for key, i, n in pieces(ls) if first[key] != (d, i) for j in range(i, i + n)}
+        out[d] = ("\n".join(x for j, x in enumerate(ls) if j not in gone), len(ls), len(gone), sum(j - 1 not in gone for j in gone))
+    return out
+
+
+def test_passages_match_plain_python(spark):
+    rng = random.Random(4)
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    half = [" ".join(f"{c}{i}" for i in range(30)) for c in "de"]
+    docs = [(i, "\n".join(rng.choice([*"fghij", *long, *half, "", "  "]) for _ in range(rng.randrange(1, 6)))) for i in range(150)]
+    docs += [(200, "one short line"), (201, "one short line"), (202, "one short line\nand more"), (203, "字" * 200 + "\nx"), (204, "y\n" + "字" * 200), (205, None), (206, ""), (207, " ")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["n_runs"]) for r in _rows(line_dedup.dedup_passages(frame))}
+    assert got == plain_passages(docs)
+    assert got[201][0] == "" and got[202][2] == 0 and got[204][0] == "y" and got[205][2] == got[206][2] == got[207][2] == 0
+    assert {r["doc_id"]: r["n_removed"] for r in _rows(line_dedup.dedup_lines(frame))}[201] == 0
+
+
+def test_passages_odd(odd, empty):
+    df = line_dedup.dedup_passages(odd)
+    assert df.count() == odd.count() and line_dedup.dedup_passages(empty).count() == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
 def test_no_python_in_native_plans(spark, odd):
     for df in (sharding.shard(odd), line_dedup.dedup_lines(odd)):
         plan = df._jdf.queryExecution().executedPlan().toString()
