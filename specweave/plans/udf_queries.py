@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..frames import cut
 from ..functions import language, notation, preview, translation
 from ..operators import rag
 from ..streaming import events as E
@@ -13,9 +14,6 @@ from .tables import read
 from .text_queries import PAIRS as TEXT
 from .text_queries import spec_squash_cover
 
-#: Words whose costs travel with the plan, at most: some 5 MB.
-VOCABULARY = 50_000
-
 
 def line_items(spark, d):
     items = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(D.line_items(F.col("text"))).alias("pos", "item"))
@@ -26,11 +24,25 @@ def strip_boilerplate(spark, d):
     return read(spark, d, "documents").select("doc_id", D.query_column(F.col("text")).alias("query"))
 
 
+def glued_costs(vocabulary, texts) -> dict[str, float]:
+    """Costs of the words of vocabulary (word, rank) that stand anywhere in the long runs of texts (text).
+
+    Only those travel with the plan: their number follows from the texts, that of the
+    vocabulary from the corpus. Costs and the log's base count the whole vocabulary.
+    """
+    vocabulary = cut(vocabulary.select("word", "rank"))
+    runs = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{D.LONG_RUN},}}"), F.lit(0))).alias("run")).distinct()
+    at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    pieces = at.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(D.LONGEST_WORD), F.length("run") - F.col("at") + 1)), lambda n: F.col("run").substr(F.col("at"), n))).alias("word")).distinct()
+    # the first word always goes along: no costs at all would mean no corpus
+    known = vocabulary.join(pieces, "word", "left_semi").union(vocabulary.where("rank = 0"))
+    return D.ranked_costs({r["word"]: r["rank"] for r in known.collect()}, vocabulary.count())
+
+
 def word_split(spark, d):
-    """Benchmark items with their spaces lost, split by the costs of the corpus's most frequent words."""
-    words = [r["word"] for r in zipf_costs(spark, d).orderBy("rank").limit(VOCABULARY).collect()]
-    glued = F.regexp_replace("text", r"(?<=[a-z]) (?=[a-z])", "")
-    return read(spark, d, "benchmark").select("item_id", D.query_column(glued, D.word_costs(words)).alias("split"))
+    """Benchmark items with their spaces lost, split by the costs of all words of the corpus."""
+    items = read(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", r"(?<=[a-z]) (?=[a-z])", ""))
+    return items.select("item_id", D.query_column(F.col("text"), glued_costs(zipf_costs(spark, d), items)).alias("split"))
 
 
 def quantities(spark, d):

@@ -91,6 +91,18 @@ def test_glued_words():
     assert D.split_glued("treatement construcion", costs) == "treatement construcion"
 
 
+def test_word_split_knows_every_word_of_the_corpus(spark, tmp_path):
+    from specweave.plans import udf_queries
+
+    letters = "bcdfghjklm"
+    common = [f"w{''.join(letters[int(c)] for c in f'{i:05}')}" for i in range(50_500)]  # all more frequent than the words that are asked for
+    docs = [(i, " ".join(common[i::10] * 2)) for i in range(10)] + [(10, "testing pipework"), (11, "Ünïcode")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "testing pipework"), (2, "testing,nothing unheard"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: r["split"] for r in udf_queries.word_split(spark, str(tmp_path)).collect()}
+    assert got[1] == "testing pipework" and got[2] == "testing nothingunheard" and got[3] == ""
+
+
 def test_query_text():
     assert D.query_text("3 G.I. pipes 25 mm as per IS 1239, qty 500 nos") == "G.I. pipes"
     assert "nominal" in D.query_text("nominal bore pipes no. 4")
