@@ -2,7 +2,9 @@
 
 Training rows are those of ``labels`` whose crc32(doc_id as text) mod 3 is not 1, up
 to ``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` of text, drawn in the order of a hash of
-doc_id. The lexicon (words and word beginnings that far more toxic than clean documents
+doc_id, toxic and clean ones by their shares. Texts above ``TRAIN_TEXT`` come last, the
+shortest first, so none of them keeps another out; one above ``TRAIN_BYTES`` is scored
+but never learned from. The lexicon (words and word beginnings that far more toxic than clean documents
 hold), the trees and the isotonic curve are fitted by folds, so that no step learns from
 what an earlier one has learned by heart. The model is below a few hundred KB; scoring
 is one pass over whole texts, without a shuffle.
@@ -31,6 +33,8 @@ from .common import LOWER, NOT_WORD, Spans, prepare, table, text_chunks, trim, w
 
 TRAIN_ROWS = 8_000
 TRAIN_BYTES = 12 << 20
+#: Texts of up to so many bytes are drawn before all longer ones.
+TRAIN_TEXT = 1 << 17
 THRESHOLD = 0.7
 FOLDS = 4
 #: Lengths in bytes of the word beginnings that the lexicon may hold; 0 is the whole word.
@@ -293,8 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows and TRAIN_BYTES of text that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("o"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("b"))
-    got = got.withColumn("b", F.sum("b").over(_in_order())).where(F.col("b") <= TRAIN_BYTES).orderBy("o", "doc_id", "text").select("toxic", "text").toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("o"), "doc_id")
+    got = _bounded(got, rows).orderBy("o", "doc_id", "text").select("toxic", "text").toArrow()
     texts, toxic = got["text"].cast(pa.large_binary()).to_pylist(), np.array(got["toxic"].to_pylist(), dtype=np.int64) == 1
     del got
     model = fit(texts, toxic)
@@ -303,10 +307,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
-def _in_order():
-    from pyspark.sql import Window
+def _bounded(got: DataFrame, rows: int) -> DataFrame:
+    """Rows of got (toxic, text, o, doc_id) until rows or TRAIN_BYTES are used up; no single row ends the draw for rows behind it."""
+    from pyspark.sql import Window as W
 
-    return Window.partitionBy(F.lit(1)).orderBy("o", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = ["o", "doc_id", "text"]
+    got = got.withColumn("b", F.octet_length("text").cast("long")).where(F.col("b") <= TRAIN_BYTES)
+    got = got.withColumn("long", F.when(F.col("b") > TRAIN_TEXT, F.col("b")).otherwise(0))
+    kind = W.partitionBy(F.col("long") > 0, F.col("toxic") == 1)
+    # how far a row is into those of its label: toxic and clean ones are used up alike
+    got = got.withColumn("part", F.row_number().over(kind.orderBy(*order)) / F.count(F.lit(1)).over(kind))
+    so_far = W.partitionBy(F.lit(1)).orderBy("long", "part", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return got.withColumn("n", F.count(F.lit(1)).over(so_far)).withColumn("b", F.sum("b").over(so_far)).where((F.col("n") <= rows) & (F.col("b") <= TRAIN_BYTES))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

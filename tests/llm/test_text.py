@@ -148,6 +148,30 @@ def test_held_out_labels_are_never_read(spark):
     assert a == b
 
 
+def test_a_very_long_text_keeps_no_other_out_of_training(spark, monkeypatch):
+    rows = _corpus(600)
+    taught = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    plain = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    first = plain.where(F.col("doc_id").isin(taught)).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 400_000)
+    for size in (500_000, 399_000):
+        docs = plain.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("a"), size)).otherwise(F.col("text")))
+        scored = {r["doc_id"]: r["toxicity"] for r in _rows(toxicity.score(plain, toxicity.train(docs, labels)))}
+        held = [(scored[i] >= toxicity.THRESHOLD, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+        assert np.mean([s for s, y in held if y]) > 0.9 and np.mean([s for s, y in held if not y]) < 0.03
+
+
+def test_training_rows_are_drawn_by_label(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 40_000)
+    monkeypatch.setattr(toxicity, "TRAIN_TEXT", 1_000)
+    got = spark.createDataFrame([(int(i % 10 == 0), "x" * (900 if i % 10 else 100), i, i) for i in range(200)] + [(1, "y" * 2_000, -1, 500), (0, "z" * 50_000, -2, 501), (0, "", -3, 502)], "toxic int, text string, o long, doc_id long")
+    kept = _rows(toxicity._bounded(got, 100))
+    toxic = sum(r["toxic"] for r in kept)
+    assert 45 <= len(kept) <= 60 and 4 <= toxic <= 6 and {r["doc_id"] for r in kept} & {500, 501, 502} == {502}
+    assert len(_rows(toxicity._bounded(got, 20))) == 20
+
+
 def test_isotonic_rises_and_keeps_the_mean():
     rng = np.random.default_rng(0)
     raw = rng.normal(size=400)
