@@ -12,7 +12,7 @@ from ..streaming import events as E
 from .retrieval_queries import zipf_costs
 from .tables import read
 from .text_queries import PAIRS as TEXT
-from .text_queries import spec_squash_cover
+from .text_queries import spec_cover_retrieved, spec_squash_cover
 
 
 def line_items(spark, d):
@@ -105,6 +105,10 @@ def coverage_warning(spark, d):
     return rag.coverage_warning(spec_squash_cover(spark, d))
 
 
+def coverage_warning_retrieved(spark, d):
+    return rag.coverage_warning(spec_cover_retrieved(spark, d))
+
+
 def page_previews(spark, d):
     p = read(spark, d, "pages")
     x = preview.preview(F.col("html"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit(None).cast("string"))
@@ -124,6 +128,7 @@ PAIRS = {
     "language_registry": (language_registry, "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' END AS code FROM documents"),
     "glossary_match": (glossary_match, "SELECT p_partkey AS id, g.term, g.english FROM part, (VALUES ('ring', 'loop'), ('widg', 'gadget'), ('red widget', 'crimson gadget'), ('bol', 'never')) g(term, english) WHERE CASE WHEN contains(g.term, ' ') THEN contains(' ' || p_name || ' ', ' ' || g.term || ' ') ELSE list_contains(string_split(p_name, ' '), g.term) OR (len(g.term) >= 4 AND len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, g.term))) > 0) END"),
     "coverage_warning": (coverage_warning, "WITH m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq, term) AS n, count(*) OVER (PARTITION BY query_id) AS k FROM (" + _COVER + ") WHERE covered_by IS NULL) SELECT query_id, 'not named by any evidence: ' || string_agg(term, ', ' ORDER BY n) FILTER (WHERE n <= 6) || CASE WHEN any_value(k) > 6 THEN ' and ' || (any_value(k) - 6) || ' more' ELSE '' END AS warning FROM m GROUP BY query_id"),
+    "coverage_warning_retrieved": (coverage_warning_retrieved, "WITH m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq, term) AS n, count(*) OVER (PARTITION BY query_id) AS k FROM (" + TEXT["spec_cover_retrieved"][1] + ") WHERE covered_by IS NULL) SELECT query_id, 'not named by any evidence: ' || string_agg(term, ', ' ORDER BY n) FILTER (WHERE n <= 6) || CASE WHEN any_value(k) > 6 THEN ' and ' || (any_value(k) - 6) || ' more' ELSE '' END AS warning FROM m GROUP BY query_id"),
     "page_previews": (page_previews, None),
     "spoken_notation": (spoken_notation, _PART.format("'IS 1786 pipe 25 mm ' || p_name AS written")),
     "spec_terms": (spec_terms, "SELECT p_partkey, 0 AS pos, '90W' AS term, 'quantity' AS kind FROM part UNION ALL SELECT p_partkey, 1, 'IP66', 'code' FROM part UNION ALL SELECT p_partkey, 2, p_size || ' mm', 'quantity' FROM part"),
