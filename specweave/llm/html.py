@@ -325,8 +325,12 @@ def _host(url: str):
 def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     """host, constant (keys), slot: one row a host. pages: host, page_id, html."""
     prepare(pages.sparkSession)
-    ranked = pages.where("html is not null").withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy(F.xxhash64("page_id", "html"), "page_id")))
-    picked = ranked.where(F.col("rank") <= references).select("host", "html")
+    full = pages.where(F.trim(F.translate("html", "\t\r\n\f", "    ")) != "").withColumn("digest", F.md5("html"))
+    # one row a different page of a host before the rank: copies take no places
+    ranked = full.groupBy("host", "digest").agg(F.min("page_id").alias("least")).withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy("digest")))
+    chosen = F.broadcast(ranked.where(F.col("rank") <= references).select("host", "digest", "least"))  # a few places a host
+    rows = full.join(chosen, (full["host"] == chosen["host"]) & (full["digest"] == chosen["digest"]) & full["page_id"].eqNullSafe(chosen["least"]), "left_semi")
+    picked = rows.groupBy("host", "digest").agg(F.first("html").alias("html")).select("host", "html")
 
     def learn(t: pa.Table) -> pa.Table:
         constant, slot = induce(t.column("html").to_pylist())

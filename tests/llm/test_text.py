@@ -73,6 +73,14 @@ def test_extract_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_copies_and_blank_pages_take_no_places(spark):
+    rows = [(i, _page(1)) for i in range(300)] + [(1000 + i, " \n" * (1 + i % 40)) for i in range(300)] + [(2000 + i, _page(i)) for i in range(2, 10)]
+    df = spark.createDataFrame([(i, "http://h.example.com/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in _rows(html.extract_pages(df))}
+    assert len(got) == len(rows) and "Paragraph number 5" in got[2005]
+    assert not any("Follow our channel" in t for t in got.values())
+
+
 # --- tokens
 
 BITS = [" ", "  ", "\n", "'", "ll", "'ll", "x", "12", " é", "!!", "\t ", "日本", "a b", "re "]
