@@ -29,9 +29,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item's text."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(store(found, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no test item's text; rows go by doc_id and text, so one without doc_id goes and a clean one that shares an id stays."""
+    key = F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string"))  # a null doc_id leaves the digest alone
+    found = decontamination.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct()
+    return docs.join(store(found, "contaminated"), key == F.col("found"), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

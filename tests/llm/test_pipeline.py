@@ -48,6 +48,15 @@ def test_stages(spark, folder, tmp_path):
     assert len(shards) == before.count() and {r["shard"] for r in shards} <= set(range(24))
 
 
+def test_contaminated_rows_go_by_doc_id_and_text(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(None, f"some words {item} more words"), (None, "clean and without an id"), (7, f"{item} again"), (7, "clean and of an id that another row has"), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, (r for r in rows if item not in (r[1] or ""))))
+
+
 def test_run_gives_what_the_stages_give(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     again = corpus_pipeline.run(spark, folder).collect()
