@@ -1,18 +1,21 @@
 """HTML extraction by wrapper induction.
 
-For each host a bounded number of pages, ``REFERENCES`` different ones of least hash, are
-parsed into DOM trees and aligned with the first of them by simple tree matching. Nodes
-whose text is the same in all of them are the template, the others are slots. The wrapper
-of a host is the hashes of its constant nodes (path of tags and text) and the path of the
-slot that holds most running text; it is a few hundred bytes. Every page is then read by
+The wrapper of a host is the hashes of its template blocks (path of tags and text) and the
+path of the slot that holds most running text. The slot is voted by a bounded number of
+pages, ``REFERENCES`` different ones. Template blocks are counted over all pages of the
+host: those that ``SHARE`` of its different articles of one layout (the path of the element
+that holds the article) have, and ``LEAST`` of them at least. Every page is then read by
 the wrapper of its host: text in the template goes, text in the content slot stays.
+``induce`` finds the wrapper of a few pages alone, by simple tree matching.
 
 What varies from page to page and yet is no article (menus, adverts, footers, forms,
-notices, comments) is told by tags, roles and class words. Within the article, constant
-text only goes if it is the smaller part of it, so copies of one article stay whole.
+notices, comments) is told by tags, roles and class words. Pages whose articles are equal
+count once, and the template of a host's layout only goes if it is the smaller part of all
+its different articles, so copies of one article stay whole; it goes from short and long
+pages alike.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own;
-hosts with fewer than ``LEAST`` different pages get no template; markup may be cut off
+hosts with fewer than ``LEAST`` different articles get no template; markup may be cut off
 anywhere, end tags may lack; repeated rows give equal values; further columns are ignored.
 """
 
@@ -21,7 +24,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import prepare, store, table
 
 REFERENCES, LEAST = 8, 3
-#: Share of an article's text that constant nodes may have to count as template.
+#: Share of a layout's different articles that have a template block.
+SHARE = 0.5
+#: Share of the text of a host's articles that the template may have.
 MINOR = 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -303,19 +310,33 @@ def induce(pages: list[str]) -> tuple[list[int], int | None]:
         if all(id(node) in m and text_of[i].get(id(m[id(node)])) == text for i, m in enumerate(same, 1)):
             constant.append(_key(path, text))
     slots = [dense(t)[1] for t in trees]
-    return sorted(set(constant)), max(set(slots), key=lambda s: (slots.count(s), s))
+    slot = max(set(slots), key=lambda s: (slots.count(s), s))
+    size = Counter()
+    for t in trees:
+        for p, text, _ in article(t, slot)[1]:
+            size[_key(p, text)] += len(text)
+    if sum(size[k] for k in set(constant)) > MINOR * size.total():
+        constant = [k for k in constant if k not in size]
+    return sorted(set(constant)), slot
+
+
+def vote(pages: list[str]) -> int | None:
+    """The content slot of most of the different pages."""
+    slots = [dense(parse(p))[1] for p in dict.fromkeys(pages)]
+    return max(set(slots), key=lambda s: (slots.count(s), s)) if len(slots) >= LEAST else None
+
+
+def article(root: Node, slot: int | None) -> tuple[int, list[tuple[int, str, Node]]]:
+    """Layout, the path of what holds the article, and its blocks."""
+    found = container(root, slot)
+    return found[0][1], [b for node, path in found for b in blocks(node, path, True)]
 
 
 def extract(source: str | None, constant: frozenset[int] = frozenset(), slot: int | None = None) -> str:
     """The article's text: its blocks in page order, one on a line."""
     if not source:
         return ""
-    root = parse(source)
-    found = [b for node, path in container(root, slot) for b in blocks(node, path, True)]
-    template = [_key(p, t) in constant for p, t, _ in found]
-    if any(template) and sum(len(b[1]) for b, gone in zip(found, template, strict=True) if gone) <= MINOR * sum(len(b[1]) for b in found):
-        found = [b for b, gone in zip(found, template, strict=True) if not gone]
-    return "\n".join(b[1] for b in found)
+    return "\n".join(t for p, t, _ in article(parse(source), slot)[1] if _key(p, t) not in constant)
 
 
 def _host(url: str):
@@ -333,10 +354,35 @@ def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     picked = rows.groupBy("host", "digest").agg(F.first("html").alias("html")).select("host", "html")
 
     def learn(t: pa.Table) -> pa.Table:
-        constant, slot = induce(t.column("html").to_pylist())
-        return pa.table({"host": [t.column("host")[0].as_py()], "constant": pa.array([constant], pa.list_(pa.int64())), "slot": pa.array([slot], pa.int64())})
+        return pa.table({"host": [t.column("host")[0].as_py()], "slot": pa.array([vote(t.column("html").to_pylist())], pa.int64())})
+
+    slots = store(picked.groupBy("host").applyInArrow(learn, "host string, slot long"), "slots")
+    return slots.join(_template(full.select("host", "html").join(slots, "host")), "host", "left").select("host", "constant", "slot")
 
-    return picked.groupBy("host").applyInArrow(learn, "host string, constant array<long>, slot long")
+
+def _template(pages: DataFrame) -> DataFrame:
+    """host and constant, the keys of template blocks. pages: host, html, slot."""
+
+    def count(batches):
+        for b in batches:
+            out = []
+            for source, slot in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                layout, found = article(parse(source), slot)
+                size = Counter()
+                for p, t, _ in found:
+                    size[_key(p, t)] += len(t)
+                out.append((md5("\n".join(t for _, t, _ in found).encode("utf-8", "surrogatepass")).hexdigest(), layout, list(size), list(size.values())))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["host", "digest", "layout", "keys", "sizes"])
+
+    each = pages.mapInArrow(count, "host string, digest string, layout long, keys array<long>, sizes array<long>")
+    each = store(each.dropDuplicates(["host", "layout", "digest"]), "articles")
+    whole = each.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("articles"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("chars"))
+    found = each.select("host", "layout", F.inline(F.arrays_zip("keys", "sizes"))).groupBy("host", "layout", "keys").agg(F.count(F.lit(1)).alias("n"), F.sum("sizes").alias("size"))
+    found = found.where(F.col("n") >= LEAST).join(whole, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("articles"))
+    layouts = found.groupBy("host", "layout").agg(F.collect_list("keys").alias("keys"), F.sum("size").alias("size"), F.first("chars").alias("chars")).where(F.col("size") <= MINOR * F.col("chars"))
+    return layouts.groupBy("host").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("constant"))
 
 
 def extract_pages(pages: DataFrame, references: int = REFERENCES) -> DataFrame:

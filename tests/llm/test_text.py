@@ -81,6 +81,19 @@ def test_copies_and_blank_pages_take_no_places(spark):
     assert not any("Follow our channel" in t for t in got.values())
 
 
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    notice = "<p>Read this notice</p>"
+    body = lambda i, n: f"<p>Article {i} " + " ".join(f"word{i}x{j}" for j in range(n))
+    # two pages in three have the notice, one in ten is of another layout
+    rows = [(i, _page(i, (notice if i % 3 else "") + body(i, 40))) if i % 10 else (i, f"<body><main><p>Error {i} has occurred</main>") for i in range(60)]
+    rows += [(100, _page(100, notice + "<p>Brief")), (101, _page(5, notice + body(1, 40)))]
+    df = spark.createDataFrame([(i, "http://h.example.com/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in _rows(html.extract_pages(df))}
+    assert got[100] == "Title 100\nBrief" and got[10] == "Error 10 has occurred"
+    assert all("notice" not in t and "Follow our channel" not in t for t in got.values())
+    assert all(f"word{i}x39" in got[i] for i in range(60) if i % 10)
+
+
 # --- tokens
 
 BITS = [" ", "  ", "\n", "'", "ll", "'ll", "x", "12", " é", "!!", "\t ", "日本", "a b", "re "]
