@@ -6,13 +6,17 @@ reruns agree. A source's target is met by whole epochs first; the rest of it, a
 fraction of one epoch, goes to the documents of smallest key, found by a prefix
 sum of sizes in key order.
 
-The prefix sum never sorts a source in one task: keys are cut into bins of
-bounded size, bin totals are summed up, and only rows of one bin meet in a task.
+The prefix sum never sorts a source in one task: rows are dealt out by sampled quantiles
+of (source, key, doc_id), so a bin holds about as many rows as any other whatever the
+weights are; bin totals are summed up, and only rows of one bin and source meet in a task.
+Rows that agree in all of that are told apart by a number written beside them, so even a
+doc_id that fills a third of the table is spread over bins.
 
 Defined cases: a null text has size 0 and takes part with nothing taken; a null
 source is a source of its own, the last; with no words at all every target is 0;
-ties of keys go by doc_id; rows that repeat a doc_id are separate documents with
-equal keys; further columns are ignored.
+ties of keys go by doc_id, then by size, and what still ties is alike; rows that repeat a
+doc_id are separate documents, with equal keys where their quality is equal; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ JUNK = r"[#%*$@&0-9]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
-#: Rows that one bin of keys should hold.
-BIN_ROWS = 4096
+#: Rows that one bin should hold, and the number of bins beyond which bins grow instead: their totals meet in one task.
+BIN_ROWS, BINS = 4096, 16384
 SEED = "mix"
 
 
@@ -68,17 +72,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken of every row of docs."""
+def dealt(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, key, nth and bin of every row: bins of near equal numbers of rows, in the order of source, key, doc_id."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     base = docs.select("doc_id", "source", size.alias("size"), "text").select(
-        "doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), F.col("size"))).alias("key")
+        "doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"), F.col("size"))).alias("key"), F.monotonically_increasing_id().alias("nth")
     )
-    base = cut(base)
-    n = base.count()
-    # exp(-key) is near uniform, so equal steps of it make bins of near equal size
-    bins = max(1, n // BIN_ROWS)
-    base = base.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * bins).cast("long"))
+    base = cut(base)  # fixes nth: what follows may be computed again
+    bins = max(1, min(BINS, base.count() // BIN_ROWS))
+    return cut(base.repartitionByRange(bins, "source", "key", "doc_id", "size", "nth").withColumn("bin", F.spark_partition_id().cast("long")))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, taken of every row of docs."""
+    base = dealt(docs, seed)
     per_bin = base.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goal = targets(per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, max_epochs)
     run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
@@ -86,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     both = per_bin.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "b.bin", "b.before_bin", "g.source_size", "g.target")
     rows = base.alias("r").join(both.alias("x"), F.col("r.source").eqNullSafe(F.col("x.source")) & (F.col("r.bin") == F.col("x.bin")))
     rows = rows.select("r.*", "x.before_bin", "x.source_size", "x.target")
-    in_bin = W.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    in_bin = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "nth").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("reach", F.col("before_bin") + F.sum("size").over(in_bin))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0))
     rows = rows.withColumn("whole", whole.cast("long"))

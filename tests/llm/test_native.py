@@ -72,6 +72,14 @@ def test_mix_bins_do_not_change_the_result(spark, monkeypatch):
     assert sorted(map(str, _rows(mixing.mix(docs)))) == one
 
 
+def test_no_bin_is_overfull(spark):
+    # junk of the least weight, and one doc_id that holds a third of all rows
+    junk, same = F.lit("# # # w"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+    docs = spark.range(90_000).select(same.alias("doc_id"), F.when(F.col("id") % 2 == 0, junk).otherwise(F.lit("good words")).alias("text"), F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("a")).alias("source"))
+    held = [r["count"] for r in mixing.dealt(docs).groupBy("bin").count().collect()]
+    assert sum(held) == 90_000 and len(held) == 90_000 // mixing.BIN_ROWS and max(held) <= 2 * mixing.BIN_ROWS
+
+
 def test_mix_odd(odd, empty):
     rows = _rows(mixing.mix(odd))
     assert len(rows) == odd.count()
