@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -23,36 +22,53 @@ def prepare(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts; one of our own only where none is set."""
+    """The shared folder for lineage cuts. One of our own only where none is set and one machine runs all tasks."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="specweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later plans read files that every executor can reach."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a compressed table below the checkpoint folder and read it again."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df as a compressed table below the checkpoint folder and read it again.
 
+    Its lineage ends there and its shuffle files go when the write ends. The table goes by
+    ``drop``, or else with the driver.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+cut = store
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that were cut."""
-    import gc
 
-    gc.collect()
-    spark.range(1).collect()  # listeners hold the last query's plan until another has ended
-    spark.sparkContext._jvm.System.gc()
-    trim()
-    time.sleep(0.3)  # the cleaner looks every tenth of a second
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``store`` wrote and that no later plan reads."""
+    for t in tables:
+        files, at = _files(t.sparkSession, t.stored_at)
+        files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
+from .common import cut, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
 from .graph import components
 
 WORDS = 5
@@ -270,20 +270,16 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     first = F.min("table").over(W.partitionBy("a", "z", "held", "members"))
     head = cut(head.withColumn("first", first).select("key", "a", "held", (F.col("table") == F.col("first")).alias("searched")))
     bucket = cut(bucket.join(head, "key"))
-    free_shuffles(spark)
     near = bucket.select(F.col("rep").alias("doc_id")).distinct()
     texts = store(docs.select("doc_id", "text").join(near, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "texts")
     slim = store(nodes.join(near.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "sketches")
-    free_shuffles(spark)
     stars = cut(bucket.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
     parts = components(cut(verify(stars, texts)))
     for low, high in zip(RANKS, (*RANKS[1:], float("inf")), strict=True):
-        free_shuffles(spark)
         placed = bucket.where("searched").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         rest = placed.join(several, "key", "left_semi").join(slim, "rep")
         more = cut(_candidates(rest, low, high, block).join(stars, ["a", "b"], "left_anti"))
-        free_shuffles(spark)
         good = cut(verify(more, texts))
         if not good.isEmpty():
             parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(good))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, mix, powers, prepare, store, table, text_chunks, trim
+from .common import cut, mix, powers, prepare, store, table, text_chunks, trim
 
 LENGTH = 50
 #: Bytes of an anchor: longer ones repeat less by chance, shorter ones are fewer.
@@ -428,12 +428,10 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     # a copy's strings all occur in the first of its group, which alone speaks for it
     wanted = wanted.join(copies.groupBy("doc_id").agg(F.collect_set("mark").alias("skip")), "doc_id", "left")
     wanted = store(wanted.select("doc_id", _packed("hs"), "skip"), "anchors")
-    free_shuffles(spark)
     again = known.join(wanted, "doc_id").withColumn("mark", F.xxhash64("text")).where(F.col("skip").isNull() | ~F.array_contains("skip", F.col("mark")))
     found = repeated_ranges(again.select("doc_id", "text", "mark", "shared"), buckets)
     ranges = found.union(copies).repartition("doc_id", "mark").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     ranges = store(ranges, "ranges")
-    free_shuffles(spark)
     return _cut_out(docs.withColumn("mark", F.xxhash64("text")).join(ranges, ["doc_id", "mark"], "left"), keep_text)
 
 
