@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python: texts may be long, so batches stay short.
 ARROW_ROWS = 256
@@ -71,6 +72,18 @@ def drop(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
+#: Keys that may be hot at once, so tables of them may be broadcast.
+HOT_KEYS = 4096
+
+
+def hot(counts: DataFrame, total: int, least: int) -> DataFrame:
+    """The rows of counts (a row a key, n rows of total) whose key holds more than least rows, and more than one part in HOT_KEYS of all.
+
+    There are fewer than HOT_KEYS of these, whatever the input is.
+    """
+    return counts.where(F.col("n") > max(least, total // HOT_KEYS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

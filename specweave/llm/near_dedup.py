@@ -11,13 +11,18 @@ Documents of equal sets are one node. In each bucket of a table every node is fi
 verified, on full sets, against the bucket's least node; nodes found linked are joined
 up. Buckets that still hold several components are searched again, in blocks of bounded
 size: every node's partners are ranked by the similarity of sketches, and rounds verify
-those of ranks 0 to 7 and then all others that are not in the node's component by then. So no pair between components that meets in a bucket is passed over, and yet a
-group of thousands of copies takes a few checks a member. Links make components by
-alternating stars, all as tables.
+those of ranks 0 to 7 and then all others that are not in the node's component by then.
+Pairs whose sketches lie more than ``DEVIATIONS`` standard deviations below the similarity
+asked for are left out without a look at their sets: a linked pair is lost so with chance
+4e-6 or less, beside the tables' own. All others between components are verified, and yet
+a group of thousands of copies takes a few checks a member. A verified head's text goes once
+to every ``HEAD_ROWS`` of its partners. Links make components by alternating stars, all as
+tables.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing
 and kept; texts of one to four words have one shingle, their sequence of words; rows
-that share a doc_id count as one node; a null doc_id has no component (null, kept is
+that share a doc_id count as one node, with the set of least hash where their sets differ
+(n_shingles stays each row's own, rows without words stay by themselves); a null doc_id has no component (null, kept is
 false); further columns are ignored.
 """
 
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
+from .common import cut, hot, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
 from .graph import components
 
 WORDS = 5
@@ -45,6 +50,8 @@ BINS = 256
 DEVIATIONS = 4.5
 #: First rank of each round; the last goes on to the end.
 RANKS = (0, 8)
+#: Partners that one copy of a head's text serves.
+HEAD_ROWS = 1024
 
 _U = np.uint64
 _N = 2 * M * R
@@ -93,7 +100,7 @@ def sketches(val: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, the band keys u and v, and a sketch."""
+    """doc_id, n_shingles, a hash of the text, two of the set, the band keys u and v, and a sketch."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -115,10 +122,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 each[1:] = np.cumsum(n > 0)
                 lists = [pa.ListArray.from_arrays(pa.array(each * M), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))) for x in (u, v)]
                 bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((each * BINS).astype(np.int32).tobytes()), pa.py_buffer(sketch.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, bytes_], ["doc_id", "n_shingles", "s1", "s2", "u", "v", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), b.column(2).slice(lo, hi - lo), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, bytes_], ["doc_id", "n_shingles", "mark", "s1", "s2", "u", "v", "sketch"])
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, mark long, s1 long, s2 long, u array<long>, v array<long>, sketch binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -133,33 +140,37 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
+    """Pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union.
+
+    Partners follow their head in a sorted stream, so a task holds one head's set. Heads of
+    many partners are dealt over several streams.
+    """
+    held = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    streams = hot(held, pairs.count(), HEAD_ROWS).select("a", F.ceil(F.col("n") / HEAD_ROWS).alias("streams"))
+    p = pairs.join(F.broadcast(streams), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("streams")), F.lit(0)).alias("stream"))
     t = texts.select("rep", "text")
-    left = pairs.join(t.withColumnRenamed("rep", "a").withColumnRenamed("text", "ta"), "a")
-    both = left.join(t.withColumnRenamed("rep", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
+    partners = p.join(t.withColumnRenamed("rep", "b"), "b").select("a", "stream", F.col("b").alias("node"), "text")
+    heads = p.select("a", "stream").distinct().join(t.withColumnRenamed("rep", "a"), "a").select("a", "stream", F.lit(None).cast("long").alias("node"), "text")
+    rows = partners.union(heads).repartition("a", "stream").sortWithinPartitions("a", "stream", F.col("node").asc_nulls_first())
 
     def run(batches):
+        head = np.zeros(0, _U)
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            found: list[dict] = [{}, {}]
-            for side, ids, col in ((0, a, batch.column(2)), (1, b, batch.column(3))):
-                rows = np.unique(ids, return_index=True)[1]
-                for lo, hi, buf, off in text_chunks(col.take(pa.array(rows))):
-                    val, first = sets(buf, off)
-                    found[side].update((ids[rows[i]], val[first[i - lo] : first[i - lo + 1]]) for i in range(lo, hi))
-            good = []
-            for x, y in zip(a, b, strict=True):
-                p, q = found[0][x], found[1][y]
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    good.append(False)
-                    continue
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            a, b, good = batch.column(0).to_numpy(), batch.column(2), np.zeros(batch.num_rows, bool)
+            leads = np.asarray(b.is_null())
+            for lo, hi, buf, off in text_chunks(batch.column(3)):
+                val, first = sets(buf, off)
+                for i in range(lo, hi):
+                    x = val[first[i - lo] : first[i - lo + 1]]
+                    if leads[i]:
+                        head = x.copy()
+                    elif 100 * min(len(x), len(head)) >= percent * max(len(x), len(head)):
+                        both = len(x) + len(head) - len(np.union1d(x, head))
+                        good[i] = 100 * both >= percent * (len(x) + len(head) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), b.filter(pa.array(good))], ["a", "b"])
         trim()
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _close(p: np.ndarray, q: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +272,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     spark = docs.sparkSession
     sig = store(signatures(docs), "signatures")
-    group = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"))
-    group = cut(group)
-    nodes = sig.where("n_shingles > 0").join(group.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    mine = F.struct("s1", "s2", "n_shingles", "mark")
+    one = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(mine).alias("x"), F.max(mine).alias("y"), F.count(F.lit(1)).alias("times"))
+    one = cut(one.select("doc_id", "x.*", "times", (F.col("x") != F.col("y")).alias("several")))
+    group = cut(one.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "mark", "times")).alias("x"), F.count(F.lit(1)).alias("held")).select("s1", "s2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.mark", "x.times", "held"))
+    nodes = sig.where("n_shingles > 0").join(group.select(F.col("rep").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     bucket = cut(_buckets(nodes))
     head = bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min(F.struct("i", "j", "key")).alias("table"), F.count(F.lit(1)).alias("held"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("a < z")
     # of buckets that hold the same nodes only that of the first table is searched
@@ -271,8 +284,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     head = cut(head.withColumn("first", first).select("key", "a", "held", (F.col("table") == F.col("first")).alias("searched")))
     bucket = cut(bucket.join(head, "key"))
     near = bucket.select(F.col("rep").alias("doc_id")).distinct()
-    texts = store(docs.select("doc_id", "text").join(near, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "texts")
-    slim = store(nodes.join(near.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "sketches")
+    near = cut(near.join(group.select(F.col("rep").alias("doc_id"), "mark", "times"), "doc_id"))
+    texts = store(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).join(near, ["doc_id", "mark"]).select(F.col("doc_id").alias("rep"), "text", "times"), "texts")
+    texts = texts.where("times = 1").union(texts.where("times > 1").dropDuplicates(["rep"]))
+    slim = store(nodes.join(near.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "sketches")
     stars = cut(bucket.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
     parts = components(cut(verify(stars, texts)))
     for low, high in zip(RANKS, (*RANKS[1:], float("inf")), strict=True):
@@ -285,9 +300,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(good))
     parts = parts.select(F.col("node").alias("rep"), F.col("component"))
     named = group.join(parts, "rep", "left").where("held > 1 or component is not null").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
+    # rows of one doc_id and other sets go where the chosen one goes
+    moved = one.where("several").select("doc_id", F.struct("s1", "s2", "n_shingles").alias("to"))
+    out = sig.select("doc_id", F.col("n_shingles").alias("own"), F.struct("s1", "s2", "n_shingles").alias("of")).join(moved, "doc_id", "left")
+    out = out.select("doc_id", "own", F.inline(F.array(F.when(F.col("own") > 0, F.coalesce("to", "of")).otherwise(F.col("of"))))).join(named, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("own").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from specweave.llm import decontamination, graph, near_dedup, suffix_dedup
 
@@ -128,7 +129,8 @@ def plain_near(docs):
 
 
 @pytest.mark.parametrize("block", [1024, 4])
-def test_near_copies_match_brute_force(spark, block):
+def test_near_copies_match_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HEAD_ROWS", 1024 if block == 1024 else 3)
     rng = random.Random(block)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
     docs = []
@@ -152,6 +154,23 @@ def test_near_copies_odd(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_repeated_rows_are_not_paired_with_each_other(spark):
+    one, two = " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(1, 201))
+    rows = spark.range(6000).select((F.col("id") % 2 + 5).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(one)).otherwise(F.lit(two)).alias("text"))
+    got = near_dedup.near_duplicates(rows).groupBy("doc_id", "component_id", "kept", "n_shingles").count()
+    assert sorted(map(tuple, got.collect())) == [(5, 5, True, 196, 3000), (6, 5, False, 196, 3000)]
+
+
+def test_rows_of_one_doc_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, "x y"), (4, a), (4, b), (4, ""), (2, a), (3, b), (9, b + " c")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in _rows(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert got[0] == (1, 1, 1) and [n for d, n, _ in got if d == 4] == [0, 46, 56]
+    home = {c for d, n, c in got if d == 4 and n}
+    assert len(home) == 1 and home <= {2, 3}  # both rows of 4 go where its one set goes
+    assert {c for d, _, c in got if d in (3, 9)} == {3} and [c for d, _, c in got if d == 2] == [2]
+
+
 @pytest.mark.parametrize("edges_a_task", [10, 200_000])
 def test_components(spark, monkeypatch, edges_a_task):
     monkeypatch.setattr(graph, "EDGES", edges_a_task)
