@@ -13,7 +13,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_sharding,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
-    "op4_passage_dedup": line_dedup.op4_passage_dedup,
     "op5_html_extraction": html.op5_html_extraction,
     "op6_media": media.op6_media,
     "op7_token_counts": tokens.op7_token_counts,

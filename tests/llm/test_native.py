@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from specweave.llm import line_dedup, mixing, sharding
+from specweave.llm import common, line_dedup, mixing, sharding
 
 
 def _rows(df):
@@ -144,35 +144,6 @@ def test_shard_odd(odd, empty):
 # --- line dedup
 
 
-def plain_dedup(docs, run=3):
-    first, out = {}, {}
-    lines = {d: (t or "").split("\n") for d, t in docs}
-    for d in sorted(lines):
-        for i in range(len(lines[d]) - run + 1):
-            first.setdefault(tuple(lines[d][i : i + run]), (d, i))
-    for d, ls in lines.items():
-        gone = {j for i in range(len(ls) - run + 1) if first[tuple(ls[i : i + run])] != (d, i) for j in range(i, i + run)}
-        out[d] = ("\n".join(x for j, x in enumerate(ls) if j not in gone), len(ls), len(gone), sum(j - 1 not in gone for j in gone))
-    return out
-
-
-@pytest.mark.parametrize("run", [2, 3, 5])
-def test_lines_match_plain_python(spark, run):
-    rng = random.Random(run)
-    docs = [(i, "\n".join(rng.choice("abcdefg") for _ in range(rng.randrange(30)))) for i in range(80)]
-    docs += [(100 + i, "shared\nlines\nof\nmany\ntexts\n" + f"own {i}") for i in range(40)]
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["n_runs"]) for r in _rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run))}
-    assert got == plain_dedup(docs, run)
-
-
-def test_lines_odd(spark, odd, empty):
-    rows = _rows(line_dedup.dedup_lines(odd))
-    assert len(rows) == odd.count() and all(r["text"] is not None for r in rows)
-    assert line_dedup.dedup_lines(empty).count() == 0
-    twice = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "x\ny\nz"), (2, "x\ny\nz")], "doc_id long, text string")
-    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in _rows(line_dedup.dedup_lines(twice))) == [("1", 0), ("1", 0), ("2", 3), ("None", 0)]
-
-
 def plain_passages(docs, run=3, words=50, size=512):
     first, out = {}, {}
     lines = {d: (t or "").split("\n") for d, t in docs}
@@ -195,6 +166,33 @@ def plain_passages(docs, run=3, words=50, size=512):
     return out
 
 
+@pytest.mark.parametrize(("run", "hot_rows"), [(2, 5), (3, 5), (3, 4096), (5, 4096)])
+def test_runs_match_plain_python(spark, monkeypatch, run, hot_rows):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    rng = random.Random(run)
+    docs = [(i, "\n".join(rng.choice("abcdefg") for _ in range(rng.randrange(30)))) for i in range(80)]
+    docs += [(100 + i, "shared\nlines\nof\nmany\ntexts\n" + f"own {i}") for i in range(40)]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["n_runs"]) for r in _rows(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run))}
+    assert got == plain_passages(docs, run)
+
+
+def test_fingerprints_are_window_minima_and_nothing_is_found_without_them(spark, monkeypatch):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice("abcdefghij") for _ in range(40))) for i in range(20)], "doc_id long, text string")
+    hashed = {c: h for c, h in docs.select(F.explode(F.split("text", "\n")).alias("c")).distinct().select("c", F.xxhash64("c")).collect()}
+    got = {(r["doc_id"], r["at"]) for r in _rows(line_dedup.places(docs, 3))}
+    want = set()
+    for d, t in docs.collect():
+        h = [hashed[c] for c in t.split("\n")]
+        want |= {(d, max(j for j in range(i, i + 3) if h[j] == min(h[i : i + 3])) + 1) for i in range(len(h) - 2)}
+    assert got == want and len(want) < 20 * 38
+    assert line_dedup.repeated(docs).count() > 0
+    whole = line_dedup.places
+    monkeypatch.setattr(line_dedup, "places", lambda d, run: whole(d, run).where("false"))
+    assert line_dedup.repeated(docs).count() == 0
+
+
 def test_passages_match_plain_python(spark):
     rng = random.Random(4)
     long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
@@ -202,15 +200,16 @@ def test_passages_match_plain_python(spark):
     docs = [(i, "\n".join(rng.choice([*"fghij", *long, *half, "", "  "]) for _ in range(rng.randrange(1, 6)))) for i in range(150)]
     docs += [(200, "one short line"), (201, "one short line"), (202, "one short line\nand more"), (203, "字" * 200 + "\nx"), (204, "y\n" + "字" * 200), (205, None), (206, ""), (207, " ")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["n_runs"]) for r in _rows(line_dedup.dedup_passages(frame))}
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["n_runs"]) for r in _rows(line_dedup.dedup_lines(frame))}
     assert got == plain_passages(docs)
     assert got[201][0] == "" and got[202][2] == 0 and got[204][0] == "y" and got[205][2] == got[206][2] == got[207][2] == 0
-    assert {r["doc_id"]: r["n_removed"] for r in _rows(line_dedup.dedup_lines(frame))}[201] == 0
 
 
-def test_passages_odd(odd, empty):
-    df = line_dedup.dedup_passages(odd)
-    assert df.count() == odd.count() and line_dedup.dedup_passages(empty).count() == 0
+def test_passages_odd(spark, odd, empty):
+    df = line_dedup.dedup_lines(odd)
+    assert df.count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "x\ny\nz"), (2, "x\ny\nz"), (3, "p\nq\nr"), (3, "a\nb\nc\nd")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in _rows(line_dedup.dedup_lines(twice))) == [("1", 0), ("1", 0), ("2", 3), ("3", 0), ("3", 3), ("None", 0)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
 
