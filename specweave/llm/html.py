@@ -1,30 +1,39 @@
 """HTML extraction by wrapper induction.
 
-The wrapper of a host is the hashes of its template blocks (path of tags and text) and the
-path of the slot that holds most running text. The slot is voted by a bounded number of
-pages, ``REFERENCES`` different ones. Template blocks are counted over all pages of the
-host: those that ``SHARE`` of its different articles of one layout (the path of the element
-that holds the article) have, and ``LEAST`` of them at least. Every page is then read by
-the wrapper of its host: text in the template goes, text in the content slot stays.
-``induce`` finds the wrapper of a few pages alone, by simple tree matching.
-
-What varies from page to page and yet is no article (menus, adverts, footers, forms,
-notices, comments) is told by tags, roles and class words. Pages whose articles are equal
-count once, and the template of a host's layout only goes if it is the smaller part of all
-its different articles, so copies of one article stay whole; it goes from short and long
-pages alike.
+A host's wrapper is learned from ``REFERENCES`` different pages of it. Their DOM trees are
+aligned by simple tree matching, the pages of one layout with each other: elements that all
+of them have are the template, text that differs from page to page, and elements that only
+some have, fill slots. The innermost template element whose slots hold ``MASS`` of all
+varying running text (text outside links) is the content region. Every page is read by the
+wrapper of its host: the text of the region stays, all else goes.
+
+Inside the region, text blocks that ``SHARE`` of the host's different articles of one layout
+have at one place (and ``LEAST`` of them at least) are template, too. They are counted over
+all pages of the host. Pages whose articles are equal count once, and the template of a
+layout only goes if it is the smaller part of all its different articles, so copies of one
+article stay whole; it goes from short and long pages alike.
+
+Some of what varies is no article (menus, adverts, footers, forms, notices, comments): tags,
+roles and class words tell it apart inside the region, and before the region is chosen.
+Pages that no wrapper fits (hosts of fewer than ``LEAST`` different pages, other layouts)
+are read by tags: <article>, <main>, or the element with most running text.
+
+Trees are compared up to ``NODES`` elements, the outermost first, ``KIDS`` children of an
+element and ``PAIRS`` pairs of elements; runs of like siblings (paragraphs, list items) are
+one element. What lies beyond is text of the element above it and is read like all other.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own;
-hosts with fewer than ``LEAST`` different articles get no template; markup may be cut off
-anywhere, end tags may lack; repeated rows give equal values; further columns are ignored.
+markup may be cut off anywhere, end tags may lack, elements may be nested to any depth;
+repeated rows give equal values; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -36,6 +45,12 @@ from pyspark.sql import functions as F
 from .common import prepare, store, table
 
 REFERENCES, LEAST = 8, 3
+#: Share of the varying text that the content region holds, and of elements that pages of one layout have in common.
+MASS, ALIKE = 0.8, 0.6
+#: Bounds of a comparison of trees: elements of either, children of an element, pairs.
+NODES, KIDS, PAIRS = 4096, 256, 100_000
+#: Like siblings that are one element in a comparison: these tags, and longer runs of any.
+LISTED, RUN = frozenset("p li tr dt dd h1 h2 h3 h4 h5 h6 pre blockquote option".split()), 16
 #: Share of a layout's different articles that have a template block.
 SHARE = 0.5
 #: Share of the text of a host's articles that the template may have.
@@ -52,6 +67,8 @@ ENDS = {
 #: How far up such an end may reach.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 NO_TEXT = frozenset("head script style textarea title noscript template iframe svg select nav footer aside form button input dialog menu object canvas audio video map".split())
+#: What holds no text for readers, whatever the rules are.
+ALWAYS = frozenset("head script style textarea title noscript template iframe svg select object canvas audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup "
@@ -80,7 +97,7 @@ class Node:
 def parse(source: str) -> Node:
     """A DOM tree, with the ends that HTML implies."""
     root = here = Node("html", "", None)
-    at = 0
+    at, seen = 0, set()
     for m in _TOKEN.finditer(source):
         if m.start() > at:
             here.kids.append(source[at : m.start()])
@@ -105,7 +122,8 @@ def parse(source: str) -> Node:
             here.kids.append(node)
             if tag not in VOID and not (m["attr"] or "").rstrip().endswith("/"):
                 here = node
-        elif end := m["end"]:
+                seen.add(tag)
+        elif (end := m["end"]) and end.lower() in seen:
             end, x = end.lower(), here
             while x.up is not None and x.tag != end:
                 x = x.up
@@ -133,10 +151,10 @@ def boilerplate(node: Node, in_article: bool) -> bool:
     return bool(named & WORDS) or any(w.startswith(STEMS) and w != "commentary" for w in named) or "header" in named and not in_article
 
 
-def blocks(node: Node, path: int = 0, in_article: bool = False) -> Iterator[tuple[int, str, Node]]:
+def blocks(node: Node, path: int = 0, in_article: bool = False, rules: bool = True) -> Iterator[tuple[int, str, Node]]:
     """(path hash, text, block element) of every block of a subtree that is not boilerplate."""
     held: list[str] = []
-    for item in _walk(node, path, in_article):
+    for item in _walk(node, path, in_article, rules):
         if isinstance(item, str):
             held.append(item)
         else:
@@ -151,7 +169,7 @@ def _step(path: int, tag: str) -> int:
     return zlib.crc32(tag.encode(), path)
 
 
-def _walk(node: Node, path: int, in_article: bool) -> Iterator[str | tuple[int, Node]]:
+def _walk(node: Node, path: int, in_article: bool, rules: bool = True) -> Iterator[str | tuple[int, Node]]:
     """Strings, and a (path, element) wherever a block begins or ends; without recursion."""
     stack: list[tuple[Node, int, bool, Iterator]] = [(node, path, in_article, iter(node.kids))]
     block = [(path, node)]
@@ -162,7 +180,7 @@ def _walk(node: Node, path: int, in_article: bool) -> Iterator[str | tuple[int,
                 yield kid
             elif kid.tag in ("br", "hr"):
                 yield " " if kid.tag == "br" else block[-1]
-            elif not boilerplate(kid, inside):
+            elif not (boilerplate(kid, inside) if rules else kid.tag in ALWAYS):
                 q = _step(p, kid.tag)
                 if kid.tag in BLOCK:
                     yield block[-1]
@@ -199,8 +217,8 @@ def _size(node: Node, path: int) -> int:
     return sum(len(t) for _, t, _ in blocks(node, path, True))
 
 
-def container(root: Node, slot: int | None = None) -> list[tuple[Node, int]]:
-    """The elements that hold the article: <article>, <main>, the wrapper's slot, or the densest."""
+def container(root: Node) -> list[tuple[Node, int]]:
+    """The elements that hold the article, by tags: <article>, <main>, or the densest."""
     main = lambda n: n.tag == "main" or "main" in n.attr and _words(n.attr).get("role") == "main" or "articlebody" in n.attr.lower()
     for test in (lambda n: n.tag == "article" and not boilerplate(n, True), main):
         found = _find(root, test)
@@ -210,19 +228,30 @@ def container(root: Node, slot: int | None = None) -> list[tuple[Node, int]]:
                 found = [found[sizes.index(max(sizes))]]
         if found:
             return found
-    if slot is not None and (found := _slot(root, slot)):
-        return found
     return [dense(root)]
 
 
-def _slot(root: Node, slot: int) -> list[tuple[Node, int]]:
-    todo, found = [(root, 0)], []
+def label(node: Node) -> str:
+    """Tag and class words, but those with digits, which number things."""
+    if not node.attr:
+        return node.tag
+    a = _words(node.attr)
+    return " ".join([node.tag, *sorted({w for k in ("class", "id") for w in _NAME.findall(a.get(k, "")) if w.isalpha()})])
+
+
+def region(root: Node, wanted: int, rules: bool = True) -> list[tuple[Node, int]]:
+    """The elements at a labelled path."""
+    todo, found = [(root, 0, False)], []
     while todo:
-        node, path = todo.pop()
-        if path == slot:
+        node, path, inside = todo.pop()
+        if path == wanted:
             found.append((node, path))
             continue
-        todo += [(k, _step(path, k.tag)) for k in reversed(node.kids) if isinstance(k, Node) and not boilerplate(k, False)]
+        for k in reversed(node.kids):
+            if isinstance(k, Node) and k.tag in BLOCK and not (boilerplate(k, inside) if rules else k.tag in ALWAYS):
+                todo.append((k, _step(path, label(k)), inside or k.tag in ("article", "main")))
+            elif isinstance(k, Node) and k.tag not in BLOCK and k.kids:
+                todo.append((k, path if path != wanted else 0, inside))
     return found
 
 
@@ -252,37 +281,106 @@ def dense(root: Node) -> tuple[Node, int]:
 # --- wrappers ----------------------------------------------------------------------------
 
 
+class Sketch(Node):
+    """An element of a tree made for comparison: its labelled path, a hash of its own text, and the elements it stands for."""
+
+    __slots__ = ("label", "nodes", "own", "path")
+
+    def __init__(self, tag: str, name: str, path: int, up: Node | None, nodes: list[Node]) -> None:
+        super().__init__(tag, "", up)
+        self.label, self.path, self.nodes = name, path, nodes
+        self.own: int | None = None
+
+
+def sketch(root: Node, rules: bool = True, limit: int = NODES) -> Sketch:
+    """Block elements and their running text, without links and what rules call boilerplate; limit elements at most.
+
+    Runs of like siblings are one element: of paragraphs, items and the like always, of other elements if they are long.
+    """
+    top = Sketch(root.tag, root.tag, 0, None, [root])
+    todo, held = deque([(top, False)]), 1
+    while todo:
+        s, inside = todo.popleft()
+        runs: list[tuple[str, list[Node]]] = []
+        stack = [iter(n.kids) for n in reversed(s.nodes)]
+        while stack:
+            for kid in stack[-1]:
+                if isinstance(kid, str):
+                    if text := " ".join(kid.split()):
+                        s.kids.append(text)
+                elif kid.tag == "a" or kid.tag in VOID or (boilerplate(kid, inside) if rules else kid.tag in ALWAYS):
+                    continue
+                elif kid.tag not in BLOCK or held + len(runs) >= limit:
+                    stack.append(iter(kid.kids))
+                    break
+                elif runs and runs[-1][0] == (name := label(kid)):
+                    runs[-1][1].append(kid)
+                else:
+                    runs.append((label(kid), [kid]))
+            else:
+                stack.pop()
+        s.own = zlib.crc32(" ".join(k for k in s.kids if isinstance(k, str)).encode("utf-8", "surrogatepass"))
+        for name, alike in runs:
+            for nodes in [alike] if alike[0].tag in LISTED or len(alike) > RUN or held + len(alike) > limit else [[n] for n in alike]:
+                kid = Sketch(nodes[0].tag, name, _step(s.path, name), s, nodes)
+                s.kids.append(kid)
+                held += 1
+                todo.append((kid, inside or kid.tag in ("article", "main")))
+    return top
+
+
 def _own(node: Node) -> str:
     return " ".join("".join(k for k in node.kids if isinstance(k, str)).split())
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+def _children(node: Node) -> list[Node]:
+    return [k for k in node.kids if isinstance(k, Node)][:KIDS]
+
+
+def _align(p: list[Node], q: list[Node], weight: dict[tuple[int, int], int]) -> list[list[int]]:
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, u in enumerate(p, 1):
+        row, above = best[i], best[i - 1]
+        for j, v in enumerate(q, 1):
+            row[j] = max(row[j - 1], above[j], above[j - 1] + weight.get((id(u), id(v)), 0))
+    return best
+
+
+def match(a: Node, b: Node, pairs: int = PAIRS) -> list[tuple[Node, Node]]:
     """Simple tree matching: the pairs of nodes of the heaviest alignment that keeps order and parents.
 
-    Two nodes may match if their tags do; equal own text makes a match heavier.
+    Two nodes may match if their tags do; equal own text makes a match heavier. With more
+    than ``pairs`` pairs to weigh, those below the last ones weighed count as different.
     """
-    memo: dict[tuple[int, int], tuple[int, list[list[int]], list[Node], list[Node]]] = {}
-
-    def weigh(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
-            return 0
-        p, q = ([k for k in n.kids if isinstance(k, Node)] for n in (x, y))
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i, u in enumerate(p, 1):
-            row, above = best[i], best[i - 1]
-            for j, v in enumerate(q, 1):
-                row[j] = max(row[j - 1], above[j], above[j - 1] + weigh(u, v))
-        memo[id(x), id(y)] = (0, best, p, q)
-        return best[-1][-1] + 1 + (_own(x) == _own(y))
-
-    if not weigh(a, b):
+    weight: dict[tuple[int, int], int] = {}
+    todo, own = [(a, b, False)], {}
+    left = pairs
+
+    def text(n: Node):
+        if isinstance(n, Sketch):
+            return n.own
+        if id(n) not in own:
+            own[id(n)] = _own(n)
+        return own[id(n)]
+
+    while todo:
+        x, y, ready = todo.pop()
+        p, q = _children(x), _children(y)
+        if ready:
+            weight[id(x), id(y)] = _align(p, q, weight)[-1][-1] + 1 + (text(x) is not None and text(x) == text(y))
+        elif x.tag == y.tag:
+            todo.append((x, y, True))
+            below = [(u, v, False) for u in p for v in q if u.tag == v.tag] if len(p) * len(q) <= left else []
+            left -= len(p) * len(q) if below else 0
+            todo += below
+    if (id(a), id(b)) not in weight:
         return []
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        _, best, p, q = memo[id(x), id(y)]
-        i, j = len(p), len(q)
+        p, q = _children(x), _children(y)
+        best, i, j = _align(p, q, weight), len(p), len(q)
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -294,57 +392,159 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def _key(path: int, text: str) -> int:
-    return path << 31 | zlib.crc32(text.encode("utf-8", "surrogatepass")) >> 1
+def _nodes(top: Node) -> list[Node]:
+    """All elements, parents first."""
+    out = [top]
+    for n in out:
+        out += [k for k in n.kids if isinstance(k, Node)]
+    return out
 
 
-def induce(pages: list[str]) -> tuple[list[int], int | None]:
-    """The wrapper of pages of one host: keys of constant blocks, and the path of the content slot."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    if len(trees) < LEAST:
-        return [], None
-    same = [{id(x): y for x, y in match(trees[0], t)} for t in trees[1:]]
-    text_of = [{id(n): t for _, t, n in blocks(t, 0)} for t in trees]
-    constant = []
-    for path, text, node in blocks(trees[0], 0):
-        if all(id(node) in m and text_of[i].get(id(m[id(node)])) == text for i, m in enumerate(same, 1)):
-            constant.append(_key(path, text))
-    slots = [dense(t)[1] for t in trees]
-    slot = max(set(slots), key=lambda s: (slots.count(s), s))
-    size = Counter()
+def layouts(trees: list[Sketch]) -> list[tuple[Sketch, list[dict[int, Sketch]], list[Sketch]]]:
+    """Pages of one layout: the first, and each other with its partners of the first's elements."""
+    found: list[tuple[Sketch, list[dict[int, Sketch]], list[Sketch]]] = []
     for t in trees:
-        for p, text, _ in article(t, slot)[1]:
-            size[_key(p, text)] += len(text)
-    if sum(size[k] for k in set(constant)) > MINOR * size.total():
-        constant = [k for k in constant if k not in size]
-    return sorted(set(constant)), slot
+        size = len(_nodes(t))
+        for first, partners, members in found:
+            pairs = match(first, t)
+            if 2 * len(pairs) >= ALIKE * (size + len(_nodes(first))):
+                partners.append({id(x): y for x, y in pairs})
+                members.append(t)
+                break
+        else:
+            found.append((t, [], [t]))
+    return found
+
+
+def content(first: Sketch, partners: list[dict[int, Sketch]], members: list[Sketch]) -> tuple[Sketch, set[int], dict[int, set[str]]] | None:
+    """The innermost template element whose slots hold MASS of the varying text; the template, and its elements' constant texts."""
+    order = _nodes(first)
+    template = {id(n) for n in order if all(id(n) in p for p in partners)}
+    mass: Counter[int] = Counter()
+    texts = lambda n: {k for k in n.kids if isinstance(k, str)}
+    always = {id(n): set.intersection(*(texts(p[id(n)]) for p in partners), texts(n)) for n in order if id(n) in template}
+    for page, p in zip(members, [{i: n for n in order if (i := id(n)) in template}, *partners], strict=True):
+        back = {id(y): x for x, y in p.items() if x in template}
+        holder: dict[int, int] = {}  # the template element that an element is, or lies in
+        for n in _nodes(page):
+            at = holder[id(n)] = back.get(id(n), holder.get(id(n.up), id(first)) if n.up is not None else id(first))
+            same = always[at] if id(n) in back else ()
+            mass[at] += sum(len(k) for k in n.kids if isinstance(k, str) and k not in same)
+    total = mass.total()
+    if not total:
+        return None
+    for n in reversed(order):
+        if n.up is not None:
+            mass[id(n.up)] += mass[id(n)]
+    here = first
+    while True:
+        best = max((k for k in here.kids if isinstance(k, Node) and id(k) in template), key=lambda k: mass[id(k)], default=None)
+        if best is None or mass[id(best)] < MASS * total or best.tag in LISTED and best.tag != "tr":
+            return here, template, always
+        here = best
+
+
+def induce(pages: list[str], rules: bool = True) -> list[list]:
+    """The wrapper of pages of one host: for every layout, the commonest first, the labelled path of the content region and the template.
+
+    A template is a list of elements, parents first: place of the parent, tag, hash of the
+    own text (null where it varies), and whether it is the region. It is left out where the
+    path alone tells the region.
+    """
+    trees = [sketch(parse(p), rules) for p in dict.fromkeys(pages)]
+    found = sorted((x for x in layouts(trees) if len(x[2]) >= LEAST), key=lambda x: -len(x[2]))
+    out = []
+    for first, partners, members in found:
+        got = content(first, partners, members)
+        if got is None:
+            continue
+        here, template, always = got
+        if len(found) == 1 and sum(n.path == here.path for n in _nodes(first)) == 1:
+            out.append([here.path, None])
+            continue
+        flat, at = [], {None: -1}
+        for n in _nodes(first):
+            if id(n) in template:
+                at[id(n)] = len(flat)
+                varies = any(k not in always[id(n)] for k in n.kids if isinstance(k, str))
+                flat.append([at[id(n.up) if n.up is not None else None], n.tag, None if varies else n.own, n is here])
+        out.append([here.path, flat])
+    return out
+
+
+class Wrapper:
+    """What induce() learned, ready to read pages by."""
+
+    def __init__(self, layouts: list[list] | None) -> None:
+        self.layouts = []
+        for path, flat in layouts or ():
+            nodes: list[Sketch] = []
+            wanted = None
+            for up, tag, own, here in flat or ():
+                n = Sketch(tag, tag, 0, nodes[up] if up >= 0 else None, [])
+                n.own = own
+                if up >= 0:
+                    nodes[up].kids.append(n)
+                nodes.append(n)
+                wanted = n if here else wanted
+            self.layouts.append((path, nodes, wanted))
+
+    def find(self, root: Node, rules: bool = True) -> list[tuple[Node, int]]:
+        """The elements of root that hold the article, with their paths; none if the page is of no known layout."""
+        if len(self.layouts) == 1 and not self.layouts[0][1]:
+            return region(root, self.layouts[0][0], rules)
+        best, found, page = 0.0, [], None
+        for _, nodes, wanted in self.layouts:
+            page = page or sketch(root, rules)
+            pairs = match(nodes[0], page)
+            share = len(pairs) / len(nodes)
+            partner = next((y for x, y in pairs if x is wanted), None)
+            if partner is not None and share >= ALIKE and share > best:
+                best, found = share, [(n, partner.path) for n in partner.nodes]
+        return found
 
 
-def vote(pages: list[str]) -> int | None:
-    """The content slot of most of the different pages."""
-    slots = [dense(parse(p))[1] for p in dict.fromkeys(pages)]
-    return max(set(slots), key=lambda s: (slots.count(s), s)) if len(slots) >= LEAST else None
+def _key(path: int, text: str) -> int:
+    return path << 31 | zlib.crc32(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def article(root: Node, slot: int | None) -> tuple[int, list[tuple[int, str, Node]]]:
-    """Layout, the path of what holds the article, and its blocks."""
-    found = container(root, slot)
-    return found[0][1], [b for node, path in found for b in blocks(node, path, True)]
+def article(root: Node, wrapper: Wrapper | None, rules: bool = True) -> tuple[int, list[tuple[int, str, Node]]]:
+    """Layout, the path of what holds the article, and its blocks. Where no wrapper fits, by tags."""
+    found = wrapper.find(root, rules) if wrapper is not None else []
+    read = [b for node, path in found for b in blocks(node, path, True, rules)]
+    if not read:
+        found = container(root) if rules else [(root, 0)]
+        read = [b for node, path in found for b in blocks(node, path, True, rules)]
+    return found[0][1], read
 
 
-def extract(source: str | None, constant: frozenset[int] = frozenset(), slot: int | None = None) -> str:
+def extract(source: str | None, constant: frozenset[int] = frozenset(), wrapper: Wrapper | None = None, rules: bool = True) -> str:
     """The article's text: its blocks in page order, one on a line."""
     if not source:
         return ""
-    return "\n".join(t for p, t, _ in article(parse(source), slot)[1] if _key(p, t) not in constant)
+    return "\n".join(t for p, t, _ in article(parse(source), wrapper, rules)[1] if _key(p, t) not in constant)
 
 
 def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+class _Known(dict):
+    """What JSON texts stand for; the last few hundred are kept."""
+
+    def __init__(self, kind) -> None:
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, text: str | None):
+        if len(self) > 256:
+            self.clear()
+        self[text] = None if text is None else self.kind(json.loads(text))
+        return self[text]
+
+
 def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """host, constant (keys), slot: one row a host. pages: host, page_id, html."""
+    """host, constant (keys), learned (what induce() gives, as JSON): one row a host. pages: host, page_id, html."""
     prepare(pages.sparkSession)
     full = pages.where(F.trim(F.translate("html", "\t\r\n\f", "    ")) != "").withColumn("digest", F.md5("html"))
     # one row a different page of a host before the rank: copies take no places
@@ -354,20 +554,21 @@ def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     picked = rows.groupBy("host", "digest").agg(F.first("html").alias("html")).select("host", "html")
 
     def learn(t: pa.Table) -> pa.Table:
-        return pa.table({"host": [t.column("host")[0].as_py()], "slot": pa.array([vote(t.column("html").to_pylist())], pa.int64())})
+        return pa.table({"host": [t.column("host")[0].as_py()], "learned": [json.dumps(induce(sorted(t.column("html").to_pylist())))]})
 
-    slots = store(picked.groupBy("host").applyInArrow(learn, "host string, slot long"), "slots")
-    return slots.join(_template(full.select("host", "html").join(slots, "host")), "host", "left").select("host", "constant", "slot")
+    learned = store(picked.groupBy("host").applyInArrow(learn, "host string, learned string"), "learned")
+    return learned.join(_template(full.select("host", "html").join(learned, "host")), "host", "left").select("host", "constant", "learned")
 
 
 def _template(pages: DataFrame) -> DataFrame:
-    """host and constant, the keys of template blocks. pages: host, html, slot."""
+    """host and constant, the keys of template blocks. pages: host, html, learned."""
 
     def count(batches):
+        known = _Known(Wrapper)
         for b in batches:
             out = []
-            for source, slot in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                layout, found = article(parse(source), slot)
+            for source, learned in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                layout, found = article(parse(source), known[learned])
                 size = Counter()
                 for p, t, _ in found:
                     size[_key(p, t)] += len(t)
@@ -390,16 +591,15 @@ def extract_pages(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     pages = pages.select("page_id", "url", "html").withColumn("host", _host("url"))
     # a written table has a size: small wrappers are broadcast, large ones are not
     learned = store(wrappers(pages, references), "wrappers")
-    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "constant", "slot")
+    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "constant", "learned")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
 
     def run(batches):
+        known, keys = _Known(Wrapper), _Known(frozenset)
         for b in batches:
-            keys: dict[tuple, frozenset] = {}
-            out = []
-            for source, constant, slot in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                constant = tuple(constant or ())
-                out.append(extract(source, keys.setdefault(constant, frozenset(constant)), slot))
+            learned = b.column(4).to_pylist()
+            constant = [json.dumps(c) if c else None for c in b.column(3).to_pylist()]
+            out = [extract(h, keys[c] or frozenset(), known[w]) for h, c, w in zip(b.column(2).to_pylist(), constant, learned, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, schema)

@@ -31,13 +31,72 @@ def test_article_text_by_rules():
     assert text == "Title 1\nParagraph number 1 <ok> yes more\nSecond 1 has a few more words than the others do, so that it weighs more\nFollow our channel for more"
 
 
-def test_wrapper_drops_what_all_pages_of_a_host_share():
-    constant, slot = html.induce([_page(i) for i in range(8)])
-    text = html.extract(_page(20), frozenset(constant), slot)
-    assert "Follow our channel" not in text and text.startswith("Title 20\nParagraph")
-    # copies of one article stay whole: what they share is most of it
-    constant, slot = html.induce([_page(i, "<p>The very same long paragraph on every page of this host, again and again") for i in range(8)])
-    assert "very same long paragraph" in html.extract(_page(30, "<p>The very same long paragraph on every page of this host, again and again"), frozenset(constant), slot)
+PLAIN = """<body><div><div>The shop of tools</div><div><p>{legal}</div><div><h1>Story {i}</h1><p>{text}<p>{more}</div><div><p>Written by the team {legal}</div></div>"""
+
+
+def _plain(i):
+    return PLAIN.format(i=i, legal="all prices with taxes and no word of this is ever news " * 6, text=f"what happened on day {i} is told here at length " * 3, more=f"and then came day {i + 1} with rain ")
+
+
+def test_the_wrapper_finds_the_article_where_tags_and_words_do_not():
+    wrapper = html.Wrapper(html.induce([_plain(i) for i in range(8)]))
+    with_it, without = html.extract(_plain(20), frozenset(), wrapper), html.extract(_plain(20))
+    assert with_it == "Story 20\n" + ("what happened on day 20 is told here at length " * 3).strip() + "\nand then came day 21 with rain"
+    assert "all prices" in without and with_it != without
+    # the same by alignment alone, without any rule on tags and words
+    assert html.extract(_plain(20), frozenset(), html.Wrapper(html.induce([_plain(i) for i in range(8)], rules=False)), rules=False) == with_it
+
+
+def test_wrapper_alone_reads_an_article_page_as_the_rules_do():
+    pages = [_page(i, f"<p>Paragraph {i} " + f"of some words {i} " * 30) for i in range(8)]
+    wrapper = html.Wrapper(html.induce(pages, rules=False))
+    alone = html.extract(pages[3], frozenset(), wrapper, rules=False)
+    assert alone.startswith("Title 3\nParagraph 3") and "Home" not in alone and "cookies" not in alone and "buy" not in alone
+
+
+def test_pages_of_another_layout_have_a_wrapper_of_their_own():
+    other = lambda i: f"<body><table><tr><td>Price list<td><ul><li>item {i} at {i} a piece<li>and more of {i}</ul></table><div>Bottom line</div>"
+    learned = html.induce([_plain(i) for i in range(5)] + [other(i) for i in range(3)])
+    assert len(learned) == 2
+    wrapper = html.Wrapper(learned)
+    assert html.extract(other(9), frozenset(), wrapper) == "item 9 at 9 a piece\nand more of 9" and html.extract(_plain(9), frozenset(), wrapper).startswith("Story 9")
+
+
+def plain_weight(a, b):
+    """Simple tree matching by its definition."""
+    if a.tag != b.tag:
+        return 0
+    p, q = ([k for k in n.kids if isinstance(k, html.Node)] for n in (a, b))
+
+    def best(i, j):
+        return 0 if i < 0 or j < 0 else max(best(i - 1, j), best(i, j - 1), best(i - 1, j - 1) + plain_weight(p[i], q[j]))
+
+    return best(len(p) - 1, len(q) - 1) + 1 + (html._own(a) == html._own(b))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_matching_has_the_weight_of_its_definition(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        return "".join(f"<{(t := rng.choice(['div', 'ul', 'section']))}>{rng.choice(['', 'x', 'y'])}{tree(depth - 1) if depth else ''}</{t}>" for _ in range(rng.randrange(4)))
+
+    for _ in range(12):
+        a, b = html.parse(tree(2)), html.parse(tree(2))
+        pairs = html.match(a, b)
+        assert sum(1 + (html._own(x) == html._own(y)) for x, y in pairs) == plain_weight(a, b)
+        assert all(x.tag == y.tag and (x.up is None or any(x.up is u and y.up is v for u, v in pairs)) for x, y in pairs)
+
+
+@pytest.mark.parametrize("odd", ["<div>" * 5000, "<p>a b c" * 5000, "<div><p>x</div><ul><li>y</ul>" * 2500, "</b>" * 5000 + "<i>" * 5000, "<b><div>" * 2500])
+def test_deep_and_wide_pages_end_soon(odd):
+    import time
+
+    began = time.perf_counter()
+    pages = [f"{odd}<p>own text of {i}" for i in range(8)]
+    wrapper = html.Wrapper(html.induce(pages))
+    assert all(f"own text of {i}" in html.extract(p, frozenset(), wrapper) for i, p in enumerate(pages))
+    assert time.perf_counter() - began < 20
 
 
 def test_tree_matching_is_the_heaviest_alignment():
@@ -73,6 +132,15 @@ def test_extract_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_template_goes_and_copies_of_one_article_stay(spark):
+    # what copies share is most of the article
+    same = "<p>The very same long paragraph on every page of this host, again and again"
+    rows = [(i, "http://a.example.com/", _page(i)) for i in range(8)] + [(100 + i, "http://b.example.com/", _page(i, same)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in _rows(html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all("Follow our channel" not in got[i] and got[i].startswith(f"Title {i}\nParagraph") for i in range(8))
+    assert all("very same long paragraph" in got[100 + i] for i in range(8))
+
+
 def test_copies_and_blank_pages_take_no_places(spark):
     rows = [(i, _page(1)) for i in range(300)] + [(1000 + i, " \n" * (1 + i % 40)) for i in range(300)] + [(2000 + i, _page(i)) for i in range(2, 10)]
     df = spark.createDataFrame([(i, "http://h.example.com/", h) for i, h in rows], "page_id long, url string, html string")
