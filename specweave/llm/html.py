@@ -4,7 +4,8 @@ A host's wrapper is learned from ``REFERENCES`` different pages of it. Their DOM
 aligned by simple tree matching, the pages of one layout with each other: elements that all
 of them have are the template, text that differs from page to page, and elements that only
 some have, fill slots. The innermost template element whose slots hold ``MASS`` of all
-varying running text (text outside links) is the content region. Every page is read by the
+varying running text (text outside links) is the content region; where less than ``LITTLE``
+of the text varies, pages are copies of one article and all their text counts. Every page is read by the
 wrapper of its host: the text of the region stays, all else goes.
 
 Inside the region, text blocks that ``SHARE`` of the host's different articles of one layout
@@ -47,6 +48,8 @@ from .common import prepare, store, table
 REFERENCES, LEAST = 8, 3
 #: Share of the varying text that the content region holds, and of elements that pages of one layout have in common.
 MASS, ALIKE = 0.8, 0.6
+#: Share of the text of a layout's pages below which what varies does not tell template from article.
+LITTLE = 0.1
 #: Bounds of a comparison of trees: elements of either, children of an element, pairs.
 NODES, KIDS, PAIRS = 4096, 256, 100_000
 #: Like siblings that are one element in a comparison: these tags, and longer runs of any.
@@ -420,9 +423,9 @@ def content(first: Sketch, partners: list[dict[int, Sketch]], members: list[Sket
     """The innermost template element whose slots hold MASS of the varying text; the template, and its elements' constant texts."""
     order = _nodes(first)
     template = {id(n) for n in order if all(id(n) in p for p in partners)}
-    mass: Counter[int] = Counter()
     texts = lambda n: {k for k in n.kids if isinstance(k, str)}
     always = {id(n): set.intersection(*(texts(p[id(n)]) for p in partners), texts(n)) for n in order if id(n) in template}
+    mass, whole = Counter(), Counter()
     for page, p in zip(members, [{i: n for n in order if (i := id(n)) in template}, *partners], strict=True):
         back = {id(y): x for x, y in p.items() if x in template}
         holder: dict[int, int] = {}  # the template element that an element is, or lies in
@@ -430,6 +433,8 @@ def content(first: Sketch, partners: list[dict[int, Sketch]], members: list[Sket
             at = holder[id(n)] = back.get(id(n), holder.get(id(n.up), id(first)) if n.up is not None else id(first))
             same = always[at] if id(n) in back else ()
             mass[at] += sum(len(k) for k in n.kids if isinstance(k, str) and k not in same)
+            whole[at] += sum(len(k) for k in n.kids if isinstance(k, str))
+    mass = whole if mass.total() < LITTLE * whole.total() else mass
     total = mass.total()
     if not total:
         return None
