@@ -1,13 +1,16 @@
-"""Lossless WebP (VP8L, RFC 9649): a whole decoder and a fast writer.
+"""Lossless WebP (VP8L, RFC 9649): a whole decoder, and a writer.
 
 The decoder reads simple and normal prefix codes, meta prefix codes, back-references, the
-colour cache and the predictor, cross-colour, subtract-green and palette transforms.
-Images whose channels have prefix codes of one length each, as ``write`` makes them, are
-unpacked at numpy's speed.
+colour cache and the predictor, cross-colour, subtract-green and palette transforms. The
+writer makes prefix codes from counts, back-references from repeated stretches of pixels, a
+colour cache, a palette (pixels of few colours are packed), predictor and cross-colour.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
+
 import numpy as np
 
 #: Fixed values of the format: order of the code length codes.
@@ -25,8 +28,10 @@ NEAR = (
 )
 PREDICTOR, CROSS, SUBTRACT_GREEN, PALETTE = range(4)
 MAX_SIDE = 1 << 14
-#: Cross-colour multipliers that write() uses: green to red, green to blue, red to blue.
-MULTIPLIERS = (16, 8, 4)
+#: The hash of the colour cache.
+CACHE_HASH = 0x1E35A7BD
+#: Pixels that a back-reference has at least, and at most.
+LEAST_COPY, MOST_COPY = 8, 4096
 
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.uint8)
 
@@ -63,25 +68,30 @@ class Code:
         self.symbols, self.lengths = used, lengths
         #: Bits of every symbol if all have the same number, else None.
         self.width = 0 if self.only is not None else lengths[used[0]] if all(lengths[s] == lengths[used[0]] for s in used) and len(used) == 1 << lengths[used[0]] else None
-        self._table: np.ndarray | None = None
+        self._table: tuple[list[int], int] | None = None
         if self.only is None and sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
             raise ValueError("a prefix code that is not complete")
 
-    def table(self) -> np.ndarray:
+    def table(self) -> tuple[list[int], int]:
+        """Symbol * 16 + bits by the next bits of the stream, and the mask of as many bits as the longest code has."""
         if self._table is None:
-            self._table = np.zeros(1 << 15, np.int32)
-            code, last = 0, 0
+            if self.only is not None:
+                self._table = [self.only << 4], 0
+                return self._table
+            longest = max(self.lengths[s] for s in self.symbols)
+            size = 1 << longest
+            table, code, last = [0] * size, 0, 0
             for n, s in sorted((self.lengths[s], s) for s in self.symbols):
                 code <<= n - last
                 last = n
-                self._table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = s << 4 | n
+                table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = [s << 4 | n] * (size >> n)
                 code += 1
+            self._table = table, size - 1
         return self._table
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        x = int(self.table()[bits.peek15()])
+        table, mask = self.table()
+        x = table[bits.peek15() & mask]
         bits.at += x & 15
         if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends too early")
@@ -160,49 +170,132 @@ def _fixed(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """height x width x 4 (red, green, blue, alpha) of an entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    cache = [0] * (1 << cache_bits) if cache_bits else []
     groups, per_block, wide = np.zeros((1, 1), np.int64), 0, 0
     if main and bits.read(1):
         per_block = bits.read(3) + 2
         wide = -(-width // (1 << per_block))
         meta = _image(bits, wide, -(-height // (1 << per_block)), False)
         groups = meta[:, :, 0].astype(np.int64) << 8 | meta[:, :, 1]
-    sizes = (280 + len(cache), 256, 256, 256, 40)
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, s) for s in sizes] for _ in range(int(groups.max()) + 1)]
     n = width * height
-    if groups.size == 1 and all(codes[0][c].width is not None for c in range(4)) and max(codes[0][0].symbols) < 256 and not cache:
+    if groups.size == 1 and not cache_bits and codes[0][0].width and all(codes[0][c].width is not None for c in range(4)) and codes[0][0].symbols[-1] < 256:
         return _fixed(bits, codes[0], n).reshape(height, width, 4)
-    out, i, cached = [0] * n, 0, 0
-
-    def fill(upto: int, done: int) -> int:
-        for k in range(done, upto):
-            cache[(0x1E35A7BD * out[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[k]
-        return upto
-
-    while i < n:
-        group = codes[int(groups[(i // width) >> per_block, (i % width) >> per_block])] if groups.size > 1 else codes[0]
+    if groups.size == 1:
+        return _pixels(bits, codes[0], n, width, cache_bits).reshape(height, width, 4)
+    out: list[int] = []
+    colours = Cache(cache_bits, out)
+    while (i := len(out)) < n:
+        group = codes[int(groups[(i // width) >> per_block, (i % width) >> per_block])]
         s = group[0].read(bits)
         if s < 256:
             red, blue, alpha = (group[c].read(bits) for c in (1, 2, 3))
-            out[i] = alpha << 24 | red << 16 | s << 8 | blue
-            i += 1
+            out.append(alpha << 24 | red << 16 | s << 8 | blue)
         elif s < 280:
-            length = _amount(bits, s - 256)
-            code = _amount(bits, group[4].read(bits))
-            back = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
-            if back > i or i + length > n:
-                raise ValueError("a back-reference beyond the image")
-            for _ in range(length):
-                out[i] = out[i - back]
-                i += 1
+            _copy(out, *_reference(bits, s, group[4], width), n)
         else:
-            cached = fill(i, cached) if cache else cached
-            if s - 280 >= len(cache):
-                raise ValueError("a colour that the cache cannot hold")
-            out[i] = cache[s - 280]
-            i += 1
+            out.append(colours.get(s - 280))
+    return _channels(out).reshape(height, width, 4)
+
+
+class Cache:
+    """The colour cache; it takes in the pixels read so far when a colour is asked for."""
+
+    def __init__(self, bits: int, out: list[int]) -> None:
+        self.shift, self.out, self.seen = 32 - bits, out, 0
+        self.held = [0] * (1 << bits) if bits else []
+
+    def get(self, place: int) -> int:
+        if place >= len(self.held):
+            raise ValueError("a colour that the cache cannot hold")
+        held, shift = self.held, self.shift
+        for v in self.out[self.seen :]:
+            held[(CACHE_HASH * v & 0xFFFFFFFF) >> shift] = v
+        self.seen = len(self.out)
+        return held[place]
+
+
+def _reference(bits: Bits, s: int, distances: Code, width: int) -> tuple[int, int]:
+    """Length and distance, in pixels, of a back-reference whose first symbol is s."""
+    length = _amount(bits, s - 256)
+    code = _amount(bits, distances.read(bits))
+    return length, code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
+def _copy(out, length: int, back: int, n: int) -> None:
+    """Lengthen a list or bytearray of pixels by what lies so far back in it."""
+    if back > len(out) or len(out) + length > n:
+        raise ValueError("a back-reference beyond the image")
+    start = len(out) - back
+    if back >= length:
+        out += out[start : start + length]
+    else:
+        unit = out[start:]
+        out += (unit * (length // back + 1))[:length]
+
+
+def _channels(out: list[int]) -> np.ndarray:
     a = np.array(out, np.uint32)
-    return np.stack([a >> 16 & 255, a >> 8 & 255, a & 255, a >> 24], -1).astype(np.uint8).reshape(height, width, 4)
+    return np.stack([a >> 16 & 255, a >> 8 & 255, a & 255, a >> 24], -1).astype(np.uint8)
+
+
+def _pixels(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int) -> np.ndarray:
+    """n pixels of an image with one group of codes.
+
+    Images that vary in green alone and have no cache are held as bytes of green.
+    """
+    data, end = bits.data, 8 * len(bits.data)
+    (greens, mask), others = group[0].table(), [group[c].table() for c in (1, 2, 3)]
+    plain = not cache_bits and all(group[c].only is not None for c in (1, 2, 3))
+    out: bytearray | list[int] = bytearray() if plain else []
+    colours = Cache(cache_bits, out)
+    at, left, x = bits.at, 0, 0
+    append, e = out.append, 0
+    while len(out) < n:
+        for _ in range(n - len(out)):
+            if left < 15:
+                # at: place of the stream; x: the next 57 bits or more, left of them unread
+                x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+                left = 57
+            e = greens[x & mask]
+            k = e & 15
+            x >>= k
+            at += k
+            left -= k
+            if e >= 4096:
+                break
+            if plain:
+                append(e >> 4)
+                continue
+            colour = (e >> 4) << 8
+            for (table, m), shift in zip(others, (16, 0, 24), strict=True):
+                if left < 15:
+                    x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+                    left = 57
+                e = table[x & m]
+                k = e & 15
+                x >>= k
+                at += k
+                left -= k
+                colour |= (e >> 4) << shift
+            append(colour)
+            e = 0
+        if e >= 4480:
+            append(colours.get((e >> 4) - 280))
+        elif e >= 4096:
+            bits.at = at
+            _copy(out, *_reference(bits, e >> 4, group[4], width), n)
+            at, left = bits.at, 0
+        e = 0
+    if at > end:
+        raise ValueError("the stream ends too early")
+    bits.at = at
+    if not plain:
+        return _channels(out)
+    image = np.empty((n, 4), np.uint8)
+    image[:] = [group[1].only, 0, group[2].only, group[3].only]
+    image[:, 1] = np.frombuffer(out, np.uint8)
+    return image
 
 
 # --- transforms --------------------------------------------------------------------------
@@ -369,75 +462,285 @@ class Writer:
         self.put(symbol, 8)
 
 
-def _head(width: int, height: int) -> Writer:
-    w = Writer()
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(1, 1)
-    w.put(0, 3)
-    return w
-
-
-_LATER: list[tuple[int, int]] = []
+def huffman(counts: np.ndarray, longest: int = 15) -> np.ndarray:
+    """Lengths of a prefix code for these counts; a single symbol has length 1."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    weight = counts[used].tolist()
+    while True:
+        heap = [(w, i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        up, n = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            v, i = heapq.heappop(heap)
+            w, j = heap[0]
+            heapq.heapreplace(heap, (v + w, n))
+            up[i] = up[j] = n
+            n += 1
+        depth = [0] * n
+        for i in range(n - 2, -1, -1):
+            depth[i] = depth[up[i]] + 1
+        if max(depth) <= longest:
+            out[used] = depth[: len(used)]
+            return out
+        weight = [w // 2 + 1 for w in weight]  # flatter
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Bits of each symbol's code, first bit lowest; of no bits if there is one symbol."""
+    out = np.zeros(len(lengths), np.uint64)
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return out
+    code = last = 0
+    for n, s in sorted(zip(lengths[used].tolist(), used.tolist(), strict=True)):
+        code <<= n - last
+        last = n
+        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
+    return out
 
 
-def _settings() -> tuple[int, int]:
-    """What follows the sizes up to the pixels, as (value, bits): predictor 2 and cross-colour everywhere, eight-bit codes."""
-    if _LATER:
-        return _LATER[0]
-    w = Writer()
-    for kind, pixel in ((PREDICTOR, (0, 2, 0, 255)), (CROSS, (MULTIPLIERS[2], MULTIPLIERS[1], MULTIPLIERS[0], 255))):
+def _put_code(w: Writer, lengths: np.ndarray) -> None:
+    used = np.flatnonzero(lengths).tolist() or [0]
+    if len(used) <= 2 and used[-1] < 256:
         w.put(1, 1)
-        w.put(kind, 2)
-        w.put(7, 3)  # blocks of 512 x 512; their image has one colour, so it takes no bits whatever its size
-        w.put(0, 1)
-        for symbol in (pixel[1], pixel[0], pixel[2], pixel[3], 0):
-            w.only(symbol)
-    w.put(0, 1)  # no more transforms
-    w.put(0, 1)  # no colour cache
-    w.put(0, 1)  # one group of codes
-    for _ in range(4):
-        w.put(0, 1)
-        w.put(12 - 4, 4)  # code lengths of 17, 18, 0, 1 ... 5, 16, 6, 7, 8
-        for k in LENGTH_ORDER[:12]:
-            w.put(int(k in (8, 16)), 3)
+        w.put(len(used) - 1, 1)
+        w.put(1, 1)
+        for s in used:
+            w.put(s, 8)
+        return
+    tokens: list[tuple[int, int, int]] = []  # code length symbol, extra bits, their number
+    # stretches of equal lengths
+    edge = [0, *(np.flatnonzero(np.diff(lengths[: used[-1] + 1])) + 1).tolist(), used[-1] + 1]
+    for lo, hi in zip(edge, edge[1:], strict=False):
+        n, many = int(lengths[lo]), hi - lo
+        if n:
+            tokens.append((n, 0, 0))
+            many -= 1
+        while many:
+            if n and many >= 3:
+                step = min(many, 6)
+                tokens.append((16, step - 3, 2))
+            elif not n and many >= 11:
+                step = min(many, 138)
+                tokens.append((18, step - 11, 7))
+            elif not n and many >= 3:
+                step = min(many, 10)
+                tokens.append((17, step - 3, 3))
+            else:
+                step = 1
+                tokens.append((n, 0, 0))
+            many -= step
+    if len(tokens) < 2:
+        tokens.append((0, 0, 0))
+    first = huffman(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    codes = canonical(first).tolist()
+    sizes = first.tolist() if np.count_nonzero(first) > 1 else [0] * 19
+    shown = max(4, max(i for i, k in enumerate(LENGTH_ORDER) if first[k]) + 1)
+    w.put(0, 1)
+    w.put(shown - 4, 4)
+    for k in LENGTH_ORDER[:shown]:
+        w.put(int(first[k]), 3)
+    if len(lengths) > used[-1] + 1 or len(tokens) < len(lengths):
+        n = max(2, (len(tokens) - 2).bit_length() + 1 & ~1)
         w.put(1, 1)
-        w.put(2, 3)  # six bits give the number of lengths to come
-        w.put(44 - 2, 6)
-        # canonical codes: 8 is 0, 16 is 1; one 8, then 42 times six and once three more of it
+        w.put((n - 2) // 2, 3)
+        w.put(len(tokens) - 2, n)
+    else:
         w.put(0, 1)
-        for k in range(43):
-            w.put(1, 1)
-            w.put(3 if k < 42 else 0, 2)
-    w.only(0)
-    _LATER.append((w.value, w.n))
-    return _LATER[0]
+    for s, extra, n in tokens:
+        w.put(codes[s], sizes[s])
+        w.put(extra, n)
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distance codes."""
+    v = value - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    extra = np.maximum(top - 1, 0)
+    half = v >> extra & 1
+    return np.where(v < 4, v, 2 * top + half), np.where(v < 4, 0, v & ((1 << extra) - 1)), np.where(v < 4, 0, extra)
+
+
+@functools.cache
+def _near(width: int) -> dict[int, int]:
+    """Distance codes below 121, by distance in pixels."""
+    out: dict[int, int] = {}
+    for code, (x, y) in enumerate(NEAR, 1):
+        out.setdefault(max(1, x + y * width), code)
+    return out
+
+
+def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that repeat the nearest earlier one with the same LEAST_COPY pixels."""
+    n = len(argb) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    key = argb.astype(np.uint64) + np.uint64(1)
+    have = 1
+    while have < LEAST_COPY:  # a hash of LEAST_COPY pixels, by doubling
+        key = key[:-have] * np.uint64(0x9E3779B97F4A7C15 + 2 * have) ^ (key[have:] + (key[have:] >> np.uint64(29)))
+        have *= 2
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if not same.any():
+        return []
+    before = np.full(len(key), -1)
+    before[order[1:][same]] = order[:-1][same]
+    raw, out, end = argb.tobytes(), [], 0
+    for i in np.flatnonzero(before >= 0).tolist():
+        if i < end:
+            continue
+        j, m = int(before[i]), 0
+        limit = min(MOST_COPY, len(argb) - i)
+        step = 64
+        while m < limit and step:
+            if m + step <= limit and raw[4 * (i + m) : 4 * (i + m + step)] == raw[4 * (j + m) : 4 * (j + m + step)]:
+                m += step
+            else:
+                step >>= 1
+        if m >= LEAST_COPY:
+            out.append((i, m, i - j))
+            end = i + m
+    return out
 
 
-def write(image: np.ndarray) -> bytes:
-    """A lossless WebP file of height x width x 4 pixels."""
+def _pack(code: np.ndarray, size: np.ndarray, start: int) -> tuple[np.ndarray, int]:
+    """32-bit words of fields (first bit lowest) that follow each other from bit ``start`` of the first word on; and the bits in all."""
+    at = np.cumsum(size) + start
+    total = int(at[-1]) if len(at) else start
+    at -= size
+    word, shift = at >> 5, (at & 31).astype(np.uint64)
+    value = code << shift
+    head = np.flatnonzero(np.diff(word, prepend=-1))
+    sums = np.zeros((total >> 5) + 2, np.uint64)
+    sums[word[head]] = np.add.reduceat(value, head) if len(head) else 0
+    out = (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out[1:] |= (sums[:-1] >> np.uint64(32)).astype(np.uint32)
+    return out, total
+
+
+def _put_image(w: Writer, pixels: np.ndarray, width: int, cache_bits: int = 0, references: bool = True, main: bool = True) -> bytes | None:
+    """Pixels (n x 4); the whole stream's bytes if this is the main image, which comes last."""
+    p = pixels.astype(np.uint32)
+    argb = p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+    found = copies(argb) if references else []
+    literal, n = np.ones(len(argb), bool), len(argb)
+    for i, m, _ in found:
+        literal[i : i + m] = False
+    begins = literal.copy()
+    green = pixels[:, 1].astype(np.int64)
+    hit = np.zeros(n, bool)
+    if cache_bits:
+        slot = ((np.uint64(CACHE_HASH) * argb.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        again = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+        hit[order[1:][again]] = True
+        hit &= literal
+        green[hit] = 280 + slot[hit]
+    far = np.zeros(0, np.int64)
+    if found:
+        at, length, back = np.array(found).T
+        near = _near(width)
+        far = np.array([near.get(d, d + 120) for d in back.tolist()])
+        begins[at] = True
+        by_length, by_far = _prefixes(length), _prefixes(far)
+        green[at] = 256 + by_length[0]
+    w.put(1 if cache_bits else 0, 1)
+    w.put(cache_bits, 4 if cache_bits else 0)
+    if main:
+        w.put(0, 1)
+    direct = literal & ~hit
+    tables = [huffman(np.bincount(green[begins], minlength=280 + (1 << cache_bits if cache_bits else 0)))]
+    tables += [huffman(np.bincount(pixels[direct, c], minlength=256)) for c in (0, 2, 3)]
+    tables.append(huffman(np.bincount(by_far[0], minlength=40)) if found else np.zeros(40, np.int64))
+    for t in tables:
+        _put_code(w, t)
+    codes = [canonical(t) for t in tables]
+    tables = [t if np.count_nonzero(t) > 1 else np.zeros_like(t) for t in tables]  # a single symbol takes no bits
+    code, size = np.zeros((n, 4), np.uint64), np.zeros((n, 4), np.int64)
+    code[:, 0], size[:, 0] = codes[0][green], tables[0][green]
+    for k, c in ((1, 0), (2, 2), (3, 3)):
+        if tables[k].any():
+            code[direct, k], size[direct, k] = codes[k][pixels[direct, c]], tables[k][pixels[direct, c]]
+    if found:
+        code[at, 1:], size[at, 1:] = np.stack([by_length[1], codes[4][by_far[0]], by_far[1]], -1), np.stack([by_length[2], tables[4][by_far[0]], by_far[2]], -1)
+    code, size = code[begins].reshape(-1), size[begins].reshape(-1)
+    some = size > 0
+    if not main:
+        for c, k in zip(code[some].tolist(), size[some].tolist(), strict=True):
+            w.put(c, k)
+        return None
+    whole, spare = divmod(w.n, 32)
+    head = w.value.to_bytes(4 * whole + 4, "little")
+    words, total = _pack(code[some], size[some], spare)
+    words[0] |= np.uint32(int.from_bytes(head[4 * whole :], "little"))
+    return head[: 4 * whole] + words.tobytes()[: -(-total // 8)]
+
+
+def write(image: np.ndarray, predictor: bool = False, cross: tuple[int, int, int] | None = None, palette: bool = False, cache_bits: int = 0, references: bool = True) -> bytes:
+    """A lossless WebP file of height x width x 4 pixels.
+
+    predictor: every pixel from the one above; cross: multipliers of cross-colour, green to
+    red, green to blue and red to blue; palette: of an image of up to 256 colours.
+    """
     height, width = image.shape[:2]
     if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
         raise ValueError("an image has 1 to 16384 rows and columns")
-    rest = np.empty_like(image)
-    rest[1:] = image[1:] - image[:-1]
-    rest[0, 1:] = image[0, 1:] - image[0, :-1]
-    rest[0, 0] = image[0, 0] - np.array([0, 0, 0, 255], np.uint8)
-    green, red = rest[..., 1].copy(), rest[..., 0].copy()
-    to = [np.array([m], np.uint8) for m in MULTIPLIERS]
-    rest[..., 0] = red - _delta(to[0], green)
-    rest[..., 2] -= _delta(to[1], green) + _delta(to[2], red)
-    body = _REVERSED[rest[..., [1, 0, 2, 3]].reshape(-1)]
-    w = _head(width, height)
-    w.put(*_settings())
-    whole, spare = divmod(w.n, 8)
-    first = w.value.to_bytes(whole + 1, "little")
-    bits = np.zeros(len(body) + 1, np.uint8)
-    bits[:-1] = body << spare
-    if spare:
-        bits[1:] |= body >> (8 - spare)
-    bits[0] |= first[whole]
-    stream = first[:whole] + (bits if spare else bits[:-1]).tobytes()
+    w = Writer()
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(1, 1)
+    w.put(0, 3)
+    if predictor:
+        rest = np.empty_like(image)
+        rest[1:] = image[1:] - image[:-1]
+        rest[0, 1:] = image[0, 1:] - image[0, :-1]
+        rest[0, 0] = image[0, 0] - np.array([0, 0, 0, 255], np.uint8)
+        image = rest
+        _put_transform(w, PREDICTOR, (0, 2, 0, 255))
+    if cross:
+        green, red = np.ascontiguousarray(image[..., 1]), np.ascontiguousarray(image[..., 0])
+        to = [np.array([m], np.uint8) for m in cross]
+        image = image.copy()
+        image[..., 0] = red - _delta(to[0], green)
+        image[..., 2] -= _delta(to[1], green) + _delta(to[2], red)
+        _put_transform(w, CROSS, (cross[2], cross[1], cross[0], 255))
+    if palette:
+        colours, index = np.unique(np.ascontiguousarray(image).view(np.uint32).reshape(-1), return_inverse=True)
+        if len(colours) > 256:
+            raise ValueError("a palette has up to 256 colours")
+        table = colours.view(np.uint8).reshape(-1, 4)
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(table) - 1, 8)
+        _put_image(w, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)), len(table), references=False, main=False)
+        bits = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
+        each = 8 >> bits
+        grid = np.zeros((height, -(-width // (1 << bits)) << bits), np.uint8)
+        grid[:, :width] = index.reshape(height, width)
+        packed = np.zeros((height, grid.shape[1] >> bits), np.uint8)
+        for k in range(1 << bits):
+            packed |= grid[:, k :: 1 << bits] << (k * each)
+        width = packed.shape[1]
+        image = np.zeros((height, width, 4), np.uint8)
+        image[..., 1], image[..., 3] = packed, 255
+    w.put(0, 1)  # no more transforms
+    stream = _put_image(w, image.reshape(-1, 4), width, cache_bits, references)
     pad = b"\0" * (len(stream) & 1)
     return b"RIFF" + (12 + len(stream) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + pad
+
+
+def _put_transform(w: Writer, kind: int, pixel: tuple[int, int, int, int]) -> None:
+    """A transform with one setting (red, green, blue, alpha) for all blocks: its image has one colour and takes no bits."""
+    w.put(1, 1)
+    w.put(kind, 2)
+    w.put(7, 3)  # blocks of 512 x 512
+    w.put(0, 1)
+    for symbol in (pixel[1], pixel[0], pixel[2], pixel[3], 0):
+        w.only(symbol)

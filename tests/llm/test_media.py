@@ -267,6 +267,30 @@ def test_files_round_trip_and_damage_is_told():
             webp.decode(bad)
 
 
+@pytest.mark.parametrize("cache_bits", [0, 3, 9])
+@pytest.mark.parametrize("how", [{}, {"predictor": True}, {"cross": (16, 8, 4)}, {"predictor": True, "cross": (32, 32, 0)}, {"references": False}, {"palette": True}])
+def test_what_is_written_is_read(how, cache_bits):
+    for seed in range(3):
+        for colours in (1, 2, 3, 16, 17, 200):
+            image = picture(seed, 20 + seed, 33, colours)
+            data = webp.write(image, cache_bits=cache_bits, **how)
+            assert (webp.decode(data) == image).all()
+
+
+def test_texts_are_stored_shorter_and_by_every_way(monkeypatch):
+    seen, whole = [], webp.write
+    monkeypatch.setattr(webp, "write", lambda image, **how: (seen.append(how), whole(image, **how))[1])
+    rng = random.Random(0)
+    words = ["".join(rng.choice(["th", "on", "er", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "sh", "ly", "ing", "tion", "ble", "wh"]) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+    column = b"".join(b"%06d %s\n" % (i, b"".join(rng.choice([b"a", b"b"]) for _ in range(56))) for i in range(40))
+    for text in (prose(200), prose(9000), b"0110" * 500 + b"1", prose(30) * 20, bytes(range(32, 64)) * 18 + column):
+        stored = media.store(media.payload(text))
+        assert len(stored) < len(media.payload(text)) and media.load(stored).tobytes() == media.payload(text)
+    assert {"cross", "predictor"} <= set(seen[0]) and "cache_bits" in seen[1] and "palette" in seen[2]
+    assert len(media.store(media.payload(prose(30) * 20))) < len(media.payload(prose(30) * 20)) / 8
+
+
 def test_media_columns(spark, odd, empty):
     import hashlib
     import zlib
@@ -286,4 +310,4 @@ def test_media_columns(spark, odd, empty):
 def test_long_payloads_become_several_files():
     data = media.payload(bytes(range(256)) * 37_000)
     stored = media.store(data)
-    assert stored.count(b"WEBPVP8L") == 2 and media.load(stored).tobytes() == data
+    assert stored.count(b"WEBPVP8L") == 10 and media.load(stored).tobytes() == data
