@@ -4,8 +4,11 @@ Rows are ordered by a 63-bit key: the text's CRC-32 above 31 hash bits of doc_id
 equal texts lie side by side and yet a text that fills a third of all rows can be
 split. A sample, drawn with chances in proportion to row sizes and bounded by
 ``SAMPLE``, gives splitters at its quantiles; ranges that hold too many rows are
-subdivided. Totals of the ranges are summed up, and rows of one range alone are
-sorted together, which gives every row its place in the whole order.
+subdivided by a second sample, of their rows, so that neither a text that fills part of a
+range nor rows too short to be sampled make a cell large. Rows that agree in text and
+doc_id are told apart by a number written beside them. Totals of the cells are summed up,
+and rows of one cell alone are sorted together, which gives every row its place in the
+whole order.
 
 Law ``bytes``: the order is cut into stretches of near equal bytes. A group of equal
 texts smaller than ``KEEP`` of a shard goes into one shard whole; larger groups are
@@ -27,8 +30,10 @@ from .common import cut, table
 SAMPLE = 8192
 #: Ranges before subdivision, at most.
 RANGES = 1024
-#: Rows of a range beyond which it is subdivided.
-RANGE_ROWS = 8192
+#: Rows of a cell, and the number of cells beyond which cells grow instead: their totals meet in one task.
+RANGE_ROWS, CELLS = 8192, 16384
+#: Rows of the second sample for each cell that a range is cut into.
+SECOND = 32
 #: Share of a shard up to which a group of equal texts stays whole.
 KEEP = 0.02
 
@@ -45,16 +50,21 @@ def _place(key: Column, bounds: list[int]) -> Column:
     return F.when(heads == 0, F.lit(0)).otherwise((heads - 1) * step + below(run))
 
 
-def shard(docs: DataFrame, n_shards: int = 24, law: str = "bytes", keep: float = KEEP, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs."""
-    if law not in ("bytes", "rows"):
-        raise ValueError(f"unknown law {law!r}")
+def _search(bounds: Column, x: Column) -> Column:
+    """Number of sorted bounds at or below x, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(CELLS.bit_length(), -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= x), at + step).otherwise(at))
+
+
+def dealt(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int, int]:
+    """doc_id, size, text_crc32, key, nth and the cell (part, sub) of every row, in the order of key, nth; the rows and bytes in all."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    base = base.withColumn("key", F.col("text_crc32") * (1 << 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
-    base = cut(base)
+    base = base.withColumns({"key": F.col("text_crc32") * (1 << 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "nth": F.monotonically_increasing_id()})
+    base = cut(base)  # fixes nth: what follows may be computed again
     total = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     n, size = total["n"], max(1, total["size"])
+    range_rows = max(range_rows, n // CELLS)
 
     draw = F.pmod(F.xxhash64("doc_id", F.lit("splitter")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     sample = sorted(r[0] for r in base.where(draw < F.col("size") * (SAMPLE / size)).select("key").collect())
@@ -63,13 +73,27 @@ def shard(docs: DataFrame, n_shards: int = 24, law: str = "bytes", keep: float =
     rows = base.withColumn("part", _place(F.col("key"), bounds))
 
     # one row for each of at most RANGES ranges, so this side may be broadcast
-    seen = rows.groupBy("part").agg(F.count(F.lit(1)).alias("held"), F.min("key").alias("low"), F.max("key").alias("high"))
-    cuts = F.greatest(F.lit(1), F.ceil(F.col("held") / range_rows))
-    rows = rows.join(F.broadcast(seen), "part").withColumn("sub", F.least(cuts - 1, F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low") + 1) * cuts)).cast("long")).drop("held", "low", "high")
+    fine = F.struct("key", "nth")
+    seen = rows.groupBy("part").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > range_rows)
+    cuts = F.ceil(F.col("held") / range_rows).cast("int")
+    drawn = rows.join(F.broadcast(seen), "part").where(F.pmod(F.xxhash64("doc_id", "nth", F.lit("second")), F.lit(1 << 53)) / F.lit(float(1 << 53)) < F.lit(SECOND) * cuts / F.col("held"))
+    sorted_ = F.array_sort(F.collect_list(fine))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), cuts - 1))
+    # SECOND rows or so for each of at most 2 * CELLS cells are collected, by range; their quantiles are what is broadcast
+    second = drawn.groupBy("part", "held").agg(sorted_.alias("s")).select("part", F.transform(steps, lambda i: F.get("s", F.floor(F.size("s") * i / cuts).cast("int"))).alias("bounds"))
+    rows = rows.join(F.broadcast(second), "part", "left").withColumn("sub", F.coalesce(_search(F.col("bounds"), fine), F.lit(0)).cast("long")).drop("bounds")
+    return rows, n, size
+
+
+def shard(docs: DataFrame, n_shards: int = 24, law: str = "bytes", keep: float = KEEP, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs."""
+    if law not in ("bytes", "rows"):
+        raise ValueError(f"unknown law {law!r}")
+    rows, n, size = dealt(docs, range_rows)
     before = W.orderBy("part", "sub").rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     cells = rows.groupBy("part", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("held")).select("part", "sub", zero("bytes").alias("bytes_before"), zero("held").alias("rows_before"))
-    inside = W.partitionBy("part", "sub").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("part", "sub").orderBy("key", "nth").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.join(cells, ["part", "sub"]).withColumns({
         "begin": F.col("bytes_before") + F.sum("size").over(inside) - F.col("size"),
         "place": F.col("rows_before") + F.row_number().over(inside) - 1,

@@ -122,6 +122,23 @@ def test_shards_are_even_though_a_third_is_one_text(spark, range_rows):
     assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 24
 
 
+def test_no_cell_is_overfull(spark):
+    # short rows of one text beside long ones, and a doc_id that a third of all rows repeat with one text
+    docs = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("same")).when(F.col("id") % 3 == 1, F.lit("tiny")).otherwise(F.repeat(F.lit("y"), (5000 + F.col("id") % 100).cast("int"))).alias("text"),
+    )
+    held = [r["count"] for r in sharding.dealt(docs, range_rows=500)[0].groupBy("part", "sub").count().collect()]
+    assert sum(held) == 20_000 and max(held) <= 2 * 500
+    by = {}
+    for r in _rows(sharding.shard(docs, range_rows=500)):
+        by.setdefault(r["shard"], []).append(r)
+    total = sum(r["size"] for mine in by.values() for r in mine)
+    for mine in by.values():
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        assert abs(sum(r["size"] for r in mine) - total / 24) < 12_000
+
+
 def test_small_groups_of_equal_texts_stay_together(spark):
     docs = [(i, f"text {i // 3} " + "y" * (i // 3 % 50)) for i in range(6000)]
     rows = _rows(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), keep=0.05))
