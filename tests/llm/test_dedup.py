@@ -247,3 +247,29 @@ def test_reordered_passages_are_caught_and_blocks_change_nothing(spark, odd, emp
     assert decontamination.contaminated(odd, items).count() == 0
     assert decontamination.contaminated(empty, items).count() == 0
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tiles_by_lengths_are_the_same(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        item, doc = (decontamination.mix(rng.integers(0, 1 + seed, rng.integers(0, 60)).astype(np.uint64)) for _ in range(2))
+        a, b = decontamination.window_hashes(item, 5), decontamination.window_hashes(doc, 5)
+        i, d = np.nonzero(a[:, None] == b[None, :])
+        assert decontamination.tile_by_lengths(item, doc) == decontamination.tile(i, d)
+
+
+def test_documents_of_few_words_are_tiled_in_bounded_memory():
+    import resource
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (30, 60, 200, 400)]
+    items = decontamination.Items(texts[:2] + ["x " * 15_000, None])
+    raw = [t.encode() for t in texts] + [b"x " * 60_000, b"", b"x " * 20]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    small = slice(0, off[4])
+    assert sorted(items.hits(buf[small], off[:5], 0.3, seeds=1)) == sorted(items.hits(buf[small], off[:5], 0.3))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = [x for x in items.hits(buf, off, 0.5) if x[1] == 2]
+    assert got == [(4, 2, 1, 15_000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
