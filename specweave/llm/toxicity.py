@@ -321,22 +321,22 @@ def _bounded(got: DataFrame, rows: int) -> DataFrame:
     return got.withColumn("n", F.count(F.lit(1)).over(so_far)).withColumn("b", F.sum("b").over(so_far)).where((F.col("n") <= rows) & (F.col("b") <= TRAIN_BYTES))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of docs (doc_id by default) with toxicity, the calibrated score."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+    """Columns ``keep`` of docs (doc_id by default) with the calibrated score, called ``name``."""
     prepare(docs.sparkSession)
     keep = keep or ["doc_id"]
-    carried = [c for c in keep if c != "text"]
+    if name in keep:
+        raise ValueError(f"the score needs a name of its own, not {name!r}")
     frame = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    out = frame.select(*keep).withColumn("toxicity", F.lit(0.0)).schema
+    out = frame.select(*keep).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
         for b in batches:
             s = [model.score(buf, off) for _, _, buf, off in text_chunks(b.column(b.schema.get_field_index("text")))]
             cols = [b.column(b.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(s) if s else np.zeros(0))], [*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(s) if s else np.zeros(0))], [*keep, name])
         trim()
 
-    assert len(set(carried)) == len(carried)
     return frame.mapInArrow(run, out)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -61,3 +62,19 @@ def test_run_gives_what_the_stages_give(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     again = corpus_pipeline.run(spark, folder).collect()
     assert rows and sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_columns_of_any_name_and_empty_tables_go_through(spark, folder, tmp_path):
+    names = ["toxicity", "epochs", "taken_id", "epoch", "found", "times", "size", "key", "bin", "mark", "kept", "Taken_id_", "component_id"]
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = whole
+    for i, n in enumerate(names):
+        wide = wide.withColumn(n, F.lit(f"own {i}"))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out, none = stage(spark, whole, folder), stage(spark, wide, folder), stage(spark, wide.limit(0), folder)
+        assert none.columns == out.columns and none.count() == 0
+        if name != "sharding":
+            assert out.columns == wide.columns
+            got = out.collect()
+            assert got and all(r[n] == f"own {i}" for r in got for i, n in enumerate(names))
+            assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str((r["doc_id"], r["text"])) for r in plain.collect())
