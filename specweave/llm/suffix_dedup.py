@@ -11,10 +11,13 @@ suffix array is built in parts, one for each bucket:
    chose it. Stretches go to the bucket of their anchor, equal ones of a task's run once,
    for its least document; the others of them are removals already.
 3. Sorting. A bucket orders the suffixes at all string starts by deep-shallow sorting:
-   multikey sorting by 8-byte characters to a depth of ``SHALLOW``, then blind tries for
-   the groups with a longer common prefix: a node keeps the length that its members share
-   with its head and the byte after it, all other bytes are skipped. Leaves hold equal
-   strings; all but those of the least document go.
+   multikey quicksort to a depth of ``SHALLOW`` (parts are quicksorted by one 8-byte
+   character, and what is equal in it by the next), then blind tries for the groups with a
+   longer common prefix: a node's members branch by the length that they share with its
+   head and the byte after it, and bytes that a branch has in common are not read again.
+   Branches below the head's, the head's own leaf and branches above it follow each other
+   in the order of the suffixes. Leaves hold equal strings; all but those of the least
+   document go.
 4. Ranges are merged document by document and cut out of the text.
 
 Exact copies of a whole text are handled before, by its digest. No group of copies
@@ -206,71 +209,93 @@ def _characters(data: np.ndarray) -> np.ndarray:
     return (x[:-4] << _U(32)) | x[4:]
 
 
-def _blind_tries(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int, length: int) -> np.ndarray:
-    """A leaf number for each suffix at[i]; suffixes get one number if length bytes of them are equal.
+def _multikey(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their first depth bytes, and for each, in that order, whether it begins a group that shares them."""
+    order = np.argsort(words[at])
+    w = words[at[order]]
+    new = np.ones(len(at), bool)
+    new[1:] = w[1:] != w[:-1]
+    for k in range(8, depth, 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        part = np.flatnonzero(tied)  # only what is equal so far goes on to the next character
+        if not len(part):
+            break
+        some, group = order[part], np.cumsum(new)[part]
+        w = words[at[some] + k]
+        by = np.lexsort((w, group))
+        order[part] = some[by]
+        w, group = w[by], group[by]
+        new[part[1:]] |= (w[1:] != w[:-1]) | (group[1:] != group[:-1])
+    return order, new
+
+
+def _blind_tries(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the order, and leaf number, of each suffix at[i]; one leaf holds those whose length bytes are equal.
 
     group: sorted numbers of the groups, whose members share depth bytes. All tries grow
     together, a level in each turn. A node's head is its first member; the others fall
     into children by the length shared with the head and the byte that follows, or into
     the head's leaf when nothing differs.
     """
-    leaf, n_leaves = np.empty(len(at), _I), 0
-    alive = np.arange(len(at))
-    depths = range(depth, length, 8)
+    place, leaf, n_leaves = np.empty(len(at), _I), np.empty(len(at), _I), 0
+    alive, known = np.arange(len(at)), np.full(len(at), depth, _I)
+    base = np.arange(len(at))  # of the first of a group: its place in the order
     while len(alive):
-        g = group[alive]
-        first = np.ones(len(g), bool)
-        first[1:] = g[1:] != g[:-1]
+        first = np.ones(len(alive), bool)
+        first[1:] = group[1:] != group[:-1]
+        lead = np.flatnonzero(first)
         number = np.cumsum(first) - 1
-        head = alive[np.flatnonzero(first)][number]
-        shared, branch = np.full(len(alive), length, _I), np.zeros(len(alive), _I)
-        for k in reversed(depths):
-            a, b = words[at[alive] + k], words[at[head] + k]
+        head = alive[lead][number]
+        shared, up, branch = np.full(len(alive), length, _I), np.zeros(len(alive), bool), np.zeros(len(alive), _I)
+        for k in reversed(range(depth, length, 8)):
+            read = np.flatnonzero(known < k + 8)  # the others share these bytes already
+            a, b = words[at[alive[read]] + k], words[at[head[read]] + k]
             if k + 8 > length:
                 spare = _U(8 * (k + 8 - length))
                 a, b = a >> spare << spare, b >> spare << spare
             diff = a ^ b
             other = np.flatnonzero(diff)
             if len(other):
-                lead = 7 - (np.frexp(diff[other].astype(np.float64))[1] - 1) // 8
+                d = diff[other]
+                lead_byte = 7 - (np.frexp(d.astype(np.float64))[1] - 1) // 8
                 # rounding may lift a number to the next power of two
-                lead += (lead < 7) & ((diff[other] >> (_U(56) - _U(8) * lead.astype(_U))) == 0)
-                shared[other] = k + lead
-                branch[other] = ((a[other] >> (_U(56) - _U(8) * lead.astype(_U))) & _U(255)).astype(_I)
+                lead_byte += (lead_byte < 7) & ((d >> (_U(56) - _U(8) * lead_byte.astype(_U))) == 0)
+                shared[read[other]] = k + lead_byte
+                up[read[other]] = a[other] > b[other]
+                branch[read[other]] = ((a[other] >> (_U(56) - _U(8) * lead_byte.astype(_U))) & _U(255)).astype(_I)
         done = shared >= length
-        leaf[alive[done]] = n_leaves + number[done]
-        n_leaves += int(number[-1]) + 1
-        rest = np.flatnonzero(~done)
-        key = (number[rest] * (length + 1) + shared[rest]) * 256 + branch[rest]
+        # below the head the earlier difference comes first, above it the later one
+        rank = np.where(done, length, np.where(up, 2 * length - shared, shared)) * 256 + branch
+        key = number * ((2 * length + 1) * 256) + rank
         order = np.argsort(key, kind="stable")
-        alive = alive[rest[order]]
-        group = np.empty(len(at), _I)
-        group[alive] = key[order]
-    return leaf
+        number, done, key = number[order], done[order], key[order]
+        alive, known = alive[order], shared[order] + 1
+        where = base[lead][number] + np.arange(len(order)) - lead[number]
+        place[alive[done]], leaf[alive[done]] = where[done], n_leaves + number[done]
+        n_leaves += len(lead)
+        rest = np.flatnonzero(~done)
+        alive, known, group, base = alive[rest], known[rest], key[rest], where[rest]
+    return place, leaf
 
 
 def repeats(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether the suffix at[i] shares length bytes with one of a smaller doc."""
     words = _characters(np.concatenate((data, np.zeros(length + 8, np.uint8))))
-    order = np.lexsort((*(words[at + k] for k in range(SHALLOW - 8, 0, -8)), words[at]))
-    same = np.ones(len(at), bool)
-    for k in range(0, SHALLOW, 8):
-        w = words[at[order] + k]
-        same[1:] &= w[1:] == w[:-1]
-    same[:1] = False
-    group = np.cumsum(~same)
-    tied = same.copy()
-    tied[:-1] |= same[1:]
+    order, new = _multikey(words, at, SHALLOW)
+    tied = ~new
+    tied[:-1] |= ~new[1:]
     some = order[tied]
     out = np.zeros(len(at), bool)
     if len(some):
-        leaf = _blind_tries(words, at[some], group[tied], SHALLOW, length)
-        by = np.lexsort((doc[some], leaf))
+        place, leaf = _blind_tries(words, at[some], np.cumsum(new)[tied], SHALLOW, length)
+        by = np.empty(len(some), _I)
+        by[place] = np.arange(len(some))  # the suffix array of what is tied
         l, d = leaf[by], doc[some][by]
         first = np.ones(len(l), bool)
         first[1:] = l[1:] != l[:-1]
-        least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-        out[some[by]] = d > least
+        head = np.flatnonzero(first)
+        out[some[by]] = d > np.minimum.reduceat(d, head)[np.cumsum(first) - 1]
     return out
 
 

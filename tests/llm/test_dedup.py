@@ -102,6 +102,25 @@ def test_substrings_odd(spark, odd, empty):
     assert sorted((r["doc_id"], r["n_removed"]) for r in _rows(suffix_dedup.dedup_substrings(same))) == [(1, 0), (1, 0), (2, 80)]
 
 
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcdefgh \xff\x00"])
+def test_deep_shallow_sorting_orders_suffixes(alphabet):
+    rng = np.random.default_rng(len(alphabet))
+    unit = rng.choice(np.frombuffer(alphabet, np.uint8), 70)
+    data = np.concatenate([unit, rng.choice(np.frombuffer(alphabet, np.uint8), 200), unit, unit[:60], rng.choice(np.frombuffer(alphabet, np.uint8), 90)])
+    at, length = rng.permutation(len(data) - 50), 50
+    words = suffix_dedup._characters(np.concatenate((data, np.zeros(length + 8, np.uint8))))
+    key = lambda i: data[at[i] : at[i] + length].tobytes()
+    order, new = suffix_dedup._multikey(words, at, 16)
+    assert [key(i)[:16] for i in order] == sorted(key(i)[:16] for i in range(len(at)))
+    assert new.tolist() == [k == 0 or key(order[k])[:16] != key(order[k - 1])[:16] for k in range(len(at))]
+    place, leaf = suffix_dedup._blind_tries(words, at[order], np.cumsum(new), 16, length)
+    by = np.argsort(place)
+    assert sorted(place) == list(range(len(at)))
+    got = [key(order[i]) for i in by]
+    assert got == sorted(got)
+    assert all((leaf[by[k]] == leaf[by[k - 1]]) == (got[k] == got[k - 1]) for k in range(1, len(by)))
+
+
 # --- near copies
 
 
