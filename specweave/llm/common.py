@@ -84,6 +84,19 @@ def hot(counts: DataFrame, total: int, least: int) -> DataFrame:
     return counts.where(F.col("n") > max(least, total // HOT_KEYS))
 
 
+def join_in_parts(rows: DataFrame, keyed: DataFrame, key: list[str], by: list[str], part_rows: int) -> DataFrame:
+    """rows joined with keyed, a stored table of one row a key with n, its number of rows; no part of a join holds many more than part_rows.
+
+    Rows of a hot key are dealt out by a hash of ``by``, and the key's row goes to each part.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    warm = hot(keyed, total, part_rows).select(*key, F.ceil(F.col("n") / part_rows).alias("parts"))
+    dealt = rows.join(F.broadcast(warm), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts")), F.lit(0))).drop("parts")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))
+    spread = keyed.drop("n").join(F.broadcast(warm), key, "left").withColumn("part", parts).drop("parts")
+    return dealt.join(spread, [*key, "part"]).drop("part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot, store, table
+from .common import join_in_parts, store, table
 
 MIN_RUN = 3
 #: Fewer lines than MIN_RUN are a passage from so many words, or bytes (for scripts without spaces).
@@ -87,13 +87,7 @@ def _firsts(pieces: DataFrame, key: list[str], *more: str) -> DataFrame:
 
 def _joined(pieces: DataFrame, first: DataFrame, key: list[str]) -> DataFrame:
     """Pieces with the first place of their key, but those that are it; hot keys are joined in parts."""
-    total = first.agg(F.sum("n")).first()[0] or 0
-    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
-    warm = hot(first, total, HOT_ROWS).select(*key, parts.alias("parts"))
-    dealt = pieces.join(F.broadcast(warm), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "mark", "at"), F.col("parts")), F.lit(0))).drop("parts")
-    # a first place goes to each part of its key
-    spread = first.join(F.broadcast(warm), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1))).select(*key, "part", "first")
-    out = dealt.join(spread, [*key, "part"])
+    out = join_in_parts(pieces, first, key, ["doc_id", "mark", "at"], HOT_ROWS)
     return out.where(~F.struct("doc_id", "mark", "at").eqNullSafe(F.struct("first.doc_id", "first.mark", "first.at")))
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, powers, prepare, store, table, text_chunks, trim
+from .common import cut, join_in_parts, mix, powers, prepare, store, table, text_chunks, trim
 
 LENGTH = 50
 #: Bytes of an anchor: longer ones repeat less by chance, shorter ones are fewer.
@@ -51,6 +51,8 @@ BUCKET_BYTES, BUCKETS = 4 << 20, 256
 RUN, RUN_BYTES = 1 << 19, 3 << 20
 #: Bytes of one text that are looked at in one go; pieces overlap.
 PIECE = 1 << 19
+#: Copies of one text that are joined with the first of them in one part.
+HOT_ROWS = 4096
 
 _U = np.uint64
 _I = np.int64
@@ -444,8 +446,8 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     digest = [F.xxhash64("text").alias("mark"), F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("size")]
     about = cut(docs.where("doc_id is not null").select("doc_id", *digest))
     buckets = max(BUCKETS, -(-(about.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
-    first = about.where(F.col("size") >= LENGTH).groupBy("mark", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = cut(about.join(first, ["mark", "digest"]).where("doc_id > first").select("doc_id", "mark", F.lit(0).cast("long").alias("begin"), F.col("size").alias("end")))
+    first = about.where(F.col("size") >= LENGTH).groupBy("mark", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    copies = cut(join_in_parts(about, cut(first), ["mark", "digest"], ["doc_id"], HOT_ROWS).where("doc_id > first").select("doc_id", "mark", F.lit(0).cast("long").alias("begin"), F.col("size").alias("end")))
 
     known = docs.where("doc_id is not null")
     # lists of one document's anchors and ranges, bounded by its length; collected after the shuffle
