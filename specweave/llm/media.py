@@ -38,7 +38,7 @@ GREY, PAIRS = 64, 32
 #: Different bytes up to which a palette packs several into a pixel.
 FEW = 16
 #: Samples from which pairs are tried, and bits of their colour cache.
-LONG, CACHE_BITS = 8192, 9
+LONG, CACHE_BITS = 32768, 9
 #: Cross-colour multipliers that take green off red and blue: 32 / 32 of it.
 GREY_CROSS = (32, 32, 0)
 

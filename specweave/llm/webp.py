@@ -31,7 +31,9 @@ MAX_SIDE = 1 << 14
 #: The hash of the colour cache.
 CACHE_HASH = 0x1E35A7BD
 #: Pixels that a back-reference has at least, and at most.
-LEAST_COPY, MOST_COPY = 8, 4096
+LEAST_COPY, MOST_COPY = 16, 4096
+#: Pixels from which a table of two literals at a time pays.
+TWO = 6144
 
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.uint8)
 
@@ -68,43 +70,51 @@ class Code:
         self.symbols, self.lengths = used, lengths
         #: Bits of every symbol if all have the same number, else None.
         self.width = 0 if self.only is not None else lengths[used[0]] if all(lengths[s] == lengths[used[0]] for s in used) and len(used) == 1 << lengths[used[0]] else None
-        self._table: tuple[list[int], int] | None = None
+        self._table: tuple[list[int], list[int], int] | None = None
         if self.only is None and sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
             raise ValueError("a prefix code that is not complete")
 
-    def table(self) -> tuple[list[int], int]:
-        """Symbol * 16 + bits by the next bits of the stream, and the mask of as many bits as the longest code has."""
+    @classmethod
+    def single(cls, symbol: int) -> Code:
+        self = cls.__new__(cls)
+        self.only, self.symbols, self.lengths, self.width, self._table = symbol, [symbol], [], 0, None
+        return self
+
+    def table(self) -> tuple[list[int], list[int], int]:
+        """Symbols and their bits by the next bits of the stream, and the mask of as many bits as the longest code has."""
         if self._table is None:
             if self.only is not None:
-                self._table = [self.only << 4], 0
+                self._table = [self.only], [0], 0
                 return self._table
-            longest = max(self.lengths[s] for s in self.symbols)
+            longest = max([self.lengths[s] for s in self.symbols])
             size = 1 << longest
-            table, code, last = [0] * size, 0, 0
-            for n, s in sorted((self.lengths[s], s) for s in self.symbols):
+            symbols, sizes, code, last = [0] * size, [0] * size, 0, 0
+            for n, s in sorted([(self.lengths[s], s) for s in self.symbols]):
                 code <<= n - last
                 last = n
-                table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = [s << 4 | n] * (size >> n)
+                at = slice(int(f"{code:0{n}b}"[::-1], 2), None, 1 << n)
+                symbols[at], sizes[at] = [s] * (size >> n), [n] * (size >> n)
                 code += 1
-            self._table = table, size - 1
+            self._table = symbols, sizes, size - 1
         return self._table
 
     def read(self, bits: Bits) -> int:
-        table, mask = self.table()
-        x = table[bits.peek15() & mask]
-        bits.at += x & 15
+        symbols, sizes, mask = self.table()
+        x = bits.peek15() & mask
+        bits.at += sizes[x]
         if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends too early")
-        return x >> 4
+        return symbols[x]
 
 
 def read_code(bits: Bits, size: int) -> Code:
     lengths = [0] * size
-    if bits.read(1):
+    if bits.read(1):  # one or two symbols, as they are
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        only = bits.read(8 if bits.read(1) else 1)
+        if not two:
+            return Code.single(only)
+        lengths[only] = lengths[bits.read(8)] = 1
         return Code(lengths)
     first = [0] * 19
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
@@ -167,17 +177,20 @@ def _fixed(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
     return out[:, [1, 0, 2, 3]]  # green comes first in the stream
 
 
+_ONE_GROUP = np.zeros((1, 1), np.int64)
+
+
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """height x width x 4 (red, green, blue, alpha) of an entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, per_block, wide = np.zeros((1, 1), np.int64), 0, 0
+    groups, per_block = _ONE_GROUP, 0
     if main and bits.read(1):
         per_block = bits.read(3) + 2
         wide = -(-width // (1 << per_block))
         meta = _image(bits, wide, -(-height // (1 << per_block)), False)
         groups = meta[:, :, 0].astype(np.int64) << 8 | meta[:, :, 1]
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[read_code(bits, s) for s in sizes] for _ in range(int(groups.max()) + 1)]
+    codes = [[read_code(bits, s) for s in sizes] for _ in range(1 if groups is _ONE_GROUP else int(groups.max()) + 1)]
     n = width * height
     if groups.size == 1 and not cache_bits and codes[0][0].width and all(codes[0][c].width is not None for c in range(4)) and codes[0][0].symbols[-1] < 256:
         return _fixed(bits, codes[0], n).reshape(height, width, 4)
@@ -240,62 +253,129 @@ def _channels(out: list[int]) -> np.ndarray:
 
 
 def _pixels(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int) -> np.ndarray:
-    """n pixels of an image with one group of codes.
+    """n pixels of an image with one group of codes."""
+    others = [group[c] for c in (1, 2, 3)]
+    if cache_bits or any(c.only is None for c in others):
+        return _channels(_colours(bits, group, n, width, cache_bits))
+    # green alone varies
+    image = np.empty((n, 4), np.uint8)
+    image[:] = [others[0].only, group[0].only or 0, others[1].only, others[2].only]
+    if group[0].only is None:
+        image[:, 1] = np.frombuffer(_greens(bits, group, n, width), np.uint8)
+    return image
 
-    Images that vary in green alone and have no cache are held as bytes of green.
-    """
-    data, end = bits.data, 8 * len(bits.data)
-    (greens, mask), others = group[0].table(), [group[c].table() for c in (1, 2, 3)]
-    plain = not cache_bits and all(group[c].only is not None for c in (1, 2, 3))
-    out: bytearray | list[int] = bytearray() if plain else []
-    colours = Cache(cache_bits, out)
-    at, left, x = bits.at, 0, 0
-    append, e = out.append, 0
+
+@functools.cache
+def _runs() -> list[bytes | None]:
+    """All pairs of bytes by low + 256 * high, then all single bytes, then nothing."""
+    return [bytes((x & 255, x >> 8)) for x in range(1 << 16)] + [bytes((x,)) for x in range(256)] + [None]
+
+
+def _pairs(symbols: list[int], sizes: list[int], mask: int) -> tuple[list[bytes | None], list[int]]:
+    """What the next 12 bits hold for certain, up to two literals, and the bits of it; None before anything else."""
+    i = np.arange(1 << 12)
+    symbols, sizes = np.array(symbols), np.array(sizes)
+    a, k = symbols[i & mask], sizes[i & mask]
+    rest = i >> k
+    b, m = symbols[rest & mask], sizes[rest & mask]
+    one, two = (a < 256) & (k <= 12), (a < 256) & (b < 256) & (k + m <= 12)
+    index = np.where(two, a | b << 8, np.where(one, 65536 + a, 65792))
+    return list(map(_runs().__getitem__, index.tolist())), np.where(two, k + m, k).tolist()
+
+
+def _greens(bits: Bits, group: list[Code], n: int, width: int) -> bytearray:
+    """The greens of n pixels that vary in nothing else."""
+    data = bits.data
+    symbols, sizes, mask = group[0].table()
+    out, at, left, s = bytearray(), bits.at, 57, 0
+    # at: place of the stream before the next 57 bits or more, x; left of them are unread
+    x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+    append = out.append
+    both, taken = _pairs(symbols, sizes, mask) if n >= TWO else (None, None)
     while len(out) < n:
-        for _ in range(n - len(out)):
+        if both is not None and n - len(out) > 1:
+            # two literals at a time, as far as they go
+            for _ in range((n - len(out)) // 2):
+                if left < 12:
+                    at += 57 - left
+                    x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+                    left = 57
+                i = x & 4095
+                got = both[i]
+                if got is None:
+                    break
+                out += got
+                k = taken[i]
+                x >>= k
+                left -= k
+        for _ in range(min(1, n - len(out)) if both is not None else n - len(out)):
             if left < 15:
-                # at: place of the stream; x: the next 57 bits or more, left of them unread
+                at += 57 - left
                 x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
                 left = 57
-            e = greens[x & mask]
-            k = e & 15
+            i = x & mask
+            s = symbols[i]
+            k = sizes[i]
             x >>= k
-            at += k
             left -= k
-            if e >= 4096:
+            if s > 255:
                 break
-            if plain:
-                append(e >> 4)
-                continue
-            colour = (e >> 4) << 8
-            for (table, m), shift in zip(others, (16, 0, 24), strict=True):
-                if left < 15:
-                    x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
-                    left = 57
-                e = table[x & m]
-                k = e & 15
-                x >>= k
-                at += k
-                left -= k
-                colour |= (e >> 4) << shift
-            append(colour)
-            e = 0
-        if e >= 4480:
-            append(colours.get((e >> 4) - 280))
-        elif e >= 4096:
-            bits.at = at
-            _copy(out, *_reference(bits, e >> 4, group[4], width), n)
-            at, left = bits.at, 0
-        e = 0
-    if at > end:
+            append(s)
+        if s > 255:
+            bits.at = at + 57 - left
+            if s >= 280:
+                raise ValueError("a colour that the cache cannot hold")
+            _copy(out, *_reference(bits, s, group[4], width), n)
+            at, left, s = bits.at, 57, 0
+            x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+    bits.at = at + 57 - left
+    if bits.at > 8 * len(data):
         raise ValueError("the stream ends too early")
+    return out
+
+
+def _colours(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int) -> list[int]:
+    """n pixels as numbers: alpha, red, green, blue. Pixels from the cache stay where they are in it."""
+    data = bits.data
+    (greens, sizes, mask), others = group[0].table(), [(*group[c].table(), shift) for c, shift in ((1, 16), (2, 0), (3, 24))]
+    fixed = sum(t[0][0] << t[3] for t in others if not t[2])
+    others = [t for t in others if t[2]]
+    held, down = [0] * (1 << cache_bits) if cache_bits else [], 32 - cache_bits
+    out: list[int] = []
+    append, at = out.append, bits.at
+    while len(out) < n:
+        x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+        i = x & mask
+        s, k = greens[i], sizes[i]
+        if s < 256:
+            colour = s << 8 | fixed
+            for table, size, m, shift in others:
+                i = x >> k & m  # 4 codes of 15 bits may pass the 57 that are here
+                if k > 42:
+                    i = int.from_bytes(data[at + k >> 3 : (at + k >> 3) + 3], "little") >> (at + k & 7) & m
+                colour |= table[i] << shift
+                k += size[i]
+            at += k
+            append(colour)
+            if held:
+                held[(CACHE_HASH * colour & 0xFFFFFFFF) >> down] = colour
+        elif s < 280:
+            bits.at = at + k
+            before = len(out)
+            _copy(out, *_reference(bits, s, group[4], width), n)
+            if held:
+                for colour in out[before:]:
+                    held[(CACHE_HASH * colour & 0xFFFFFFFF) >> down] = colour
+            at = bits.at
+        else:
+            at += k
+            if s - 280 >= len(held):
+                raise ValueError("a colour that the cache cannot hold")
+            append(held[s - 280])
     bits.at = at
-    if not plain:
-        return _channels(out)
-    image = np.empty((n, 4), np.uint8)
-    image[:] = [group[1].only, 0, group[2].only, group[3].only]
-    image[:, 1] = np.frombuffer(out, np.uint8)
-    return image
+    if at > 8 * len(data):
+        raise ValueError("the stream ends too early")
+    return out
 
 
 # --- transforms --------------------------------------------------------------------------
@@ -557,6 +637,12 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(extra, n)
 
 
+def _one(symbol: int) -> np.ndarray:
+    out = np.zeros(256, np.int64)
+    out[symbol] = 1
+    return out
+
+
 def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, extra bits and their number of lengths or distance codes."""
     v = value - 1
@@ -583,15 +669,16 @@ def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
     key = argb.astype(np.uint64) + np.uint64(1)
     have = 1
     while have < LEAST_COPY:  # a hash of LEAST_COPY pixels, by doubling
-        key = key[:-have] * np.uint64(0x9E3779B97F4A7C15 + 2 * have) ^ (key[have:] + (key[have:] >> np.uint64(29)))
+        key = (key[:-have] + (key[have:] ^ key[have:] >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
         have *= 2
-    order = np.argsort(key, kind="stable")
+    # sorted by 16 bits of the hash: stretches that others hide there are not found, which costs a few bytes
+    order = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     if not same.any():
         return []
     before = np.full(len(key), -1)
     before[order[1:][same]] = order[:-1][same]
-    raw, out, end = argb.tobytes(), [], 0
+    raw, wide, out, end = argb.tobytes(), argb.itemsize, [], 0
     for i in np.flatnonzero(before >= 0).tolist():
         if i < end:
             continue
@@ -599,7 +686,7 @@ def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
         limit = min(MOST_COPY, len(argb) - i)
         step = 64
         while m < limit and step:
-            if m + step <= limit and raw[4 * (i + m) : 4 * (i + m + step)] == raw[4 * (j + m) : 4 * (j + m + step)]:
+            if m + step <= limit and raw[wide * (i + m) : wide * (i + m + step)] == raw[wide * (j + m) : wide * (j + m + step)]:
                 m += step
             else:
                 step >>= 1
@@ -626,27 +713,31 @@ def _pack(code: np.ndarray, size: np.ndarray, start: int) -> tuple[np.ndarray, i
 
 def _put_image(w: Writer, pixels: np.ndarray, width: int, cache_bits: int = 0, references: bool = True, main: bool = True) -> bytes | None:
     """Pixels (n x 4); the whole stream's bytes if this is the main image, which comes last."""
-    p = pixels.astype(np.uint32)
-    argb = p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+    varies = [c for c in (0, 2, 3) if len(pixels) and (pixels[:, c] != pixels[0, c]).any()]
+    if varies or cache_bits:
+        argb = np.ascontiguousarray(pixels[:, [2, 1, 0, 3]]).view("<u4").reshape(-1)
+    else:
+        argb = np.ascontiguousarray(pixels[:, 1])
     found = copies(argb) if references else []
     literal, n = np.ones(len(argb), bool), len(argb)
     for i, m, _ in found:
         literal[i : i + m] = False
-    begins = literal.copy()
+    begins = literal
     green = pixels[:, 1].astype(np.int64)
-    hit = np.zeros(n, bool)
+    hit = None
     if cache_bits:
         slot = ((np.uint64(CACHE_HASH) * argb.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         again = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+        hit = np.zeros(n, bool)
         hit[order[1:][again]] = True
         hit &= literal
         green[hit] = 280 + slot[hit]
-    far = np.zeros(0, np.int64)
     if found:
         at, length, back = np.array(found).T
         near = _near(width)
         far = np.array([near.get(d, d + 120) for d in back.tolist()])
+        begins = literal.copy()
         begins[at] = True
         by_length, by_far = _prefixes(length), _prefixes(far)
         green[at] = 256 + by_length[0]
@@ -654,30 +745,48 @@ def _put_image(w: Writer, pixels: np.ndarray, width: int, cache_bits: int = 0, r
     w.put(cache_bits, 4 if cache_bits else 0)
     if main:
         w.put(0, 1)
-    direct = literal & ~hit
+    direct = literal & ~hit if cache_bits else literal
     tables = [huffman(np.bincount(green[begins], minlength=280 + (1 << cache_bits if cache_bits else 0)))]
-    tables += [huffman(np.bincount(pixels[direct, c], minlength=256)) for c in (0, 2, 3)]
+    for c in (0, 2, 3):
+        tables.append(huffman(np.bincount(pixels[direct, c], minlength=256)) if c in varies else _one(int(pixels[0, c])))
     tables.append(huffman(np.bincount(by_far[0], minlength=40)) if found else np.zeros(40, np.int64))
     for t in tables:
         _put_code(w, t)
-    codes = [canonical(t) for t in tables]
-    tables = [t if np.count_nonzero(t) > 1 else np.zeros_like(t) for t in tables]  # a single symbol takes no bits
-    code, size = np.zeros((n, 4), np.uint64), np.zeros((n, 4), np.int64)
-    code[:, 0], size[:, 0] = codes[0][green], tables[0][green]
-    for k, c in ((1, 0), (2, 2), (3, 3)):
-        if tables[k].any():
-            code[direct, k], size[direct, k] = codes[k][pixels[direct, c]], tables[k][pixels[direct, c]]
+    many = [np.count_nonzero(t) > 1 for t in tables]  # a single symbol takes no bits
+    # fields of the stream in order: one for a cached colour, one for each varying channel of a literal, four for a copy
+    more = [(k, c) for k, c in ((1, 0), (2, 2), (3, 3)) if many[k]]
+    fields = np.zeros(n, np.int64)
+    fields[begins] = 1
+    if more:
+        fields[direct] = 1 + len(more)
+    if found:
+        fields[at] = 4
+    first = np.cumsum(fields)
+    total = int(first[-1]) if n else 0
+    first -= fields
+    code, size = np.zeros(total, np.uint64), np.zeros(total, np.int64)
+    if many[0]:
+        to, of = first[begins], green[begins]
+        code[to], size[to] = canonical(tables[0])[of], tables[0][of]
+    for k, (t, c) in enumerate(more, 1):
+        to, of = first[direct] + k, pixels[direct, c]
+        code[to], size[to] = canonical(tables[t])[of], tables[t][of]
     if found:
-        code[at, 1:], size[at, 1:] = np.stack([by_length[1], codes[4][by_far[0]], by_far[1]], -1), np.stack([by_length[2], tables[4][by_far[0]], by_far[2]], -1)
-    code, size = code[begins].reshape(-1), size[begins].reshape(-1)
-    some = size > 0
+        to = first[at]
+        code[to + 1], size[to + 1] = by_length[1], by_length[2]
+        code[to + 3], size[to + 3] = by_far[1], by_far[2]
+        if many[4]:
+            code[to + 2], size[to + 2] = canonical(tables[4])[by_far[0]], tables[4][by_far[0]]
+    if not all(many[:1]) or found:
+        some = size > 0
+        code, size = code[some], size[some]
     if not main:
-        for c, k in zip(code[some].tolist(), size[some].tolist(), strict=True):
+        for c, k in zip(code.tolist(), size.tolist(), strict=True):
             w.put(c, k)
         return None
     whole, spare = divmod(w.n, 32)
     head = w.value.to_bytes(4 * whole + 4, "little")
-    words, total = _pack(code[some], size[some], spare)
+    words, total = _pack(code, size, spare)
     words[0] |= np.uint32(int.from_bytes(head[4 * whole :], "little"))
     return head[: 4 * whole] + words.tobytes()[: -(-total // 8)]
 
