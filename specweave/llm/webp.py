@@ -33,7 +33,7 @@ CACHE_HASH = 0x1E35A7BD
 #: Pixels that a back-reference has at least, and at most.
 LEAST_COPY, MOST_COPY = 16, 4096
 #: Pixels from which a table of two literals at a time pays.
-TWO = 6144
+TWO = 9000
 
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.uint8)
 
@@ -258,8 +258,7 @@ def _pixels(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int)
     if cache_bits or any(c.only is None for c in others):
         return _channels(_colours(bits, group, n, width, cache_bits))
     # green alone varies
-    image = np.empty((n, 4), np.uint8)
-    image[:] = [others[0].only, group[0].only or 0, others[1].only, others[2].only]
+    image = np.full(n, others[0].only | (group[0].only or 0) << 8 | others[1].only << 16 | others[2].only << 24, "<u4").view(np.uint8).reshape(n, 4)
     if group[0].only is None:
         image[:, 1] = np.frombuffer(_greens(bits, group, n, width), np.uint8)
     return image
@@ -287,46 +286,44 @@ def _greens(bits: Bits, group: list[Code], n: int, width: int) -> bytearray:
     """The greens of n pixels that vary in nothing else."""
     data = bits.data
     symbols, sizes, mask = group[0].table()
-    out, at, left, s = bytearray(), bits.at, 57, 0
+    out, at, left, i = bytearray(), bits.at, 57, 0
     # at: place of the stream before the next 57 bits or more, x; left of them are unread
     x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
     append = out.append
     both, taken = _pairs(symbols, sizes, mask) if n >= TWO else (None, None)
     while len(out) < n:
-        if both is not None and n - len(out) > 1:
-            # two literals at a time, as far as they go
-            for _ in range((n - len(out)) // 2):
-                if left < 12:
+        if both is not None:
+            try:  # two literals at a time, as far as they go
+                for _ in range((n - len(out)) // 2):
+                    if left < 12:
+                        at += 57 - left
+                        x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+                        left = 57
+                    i = x & 4095
+                    out += both[i]
+                    k = taken[i]
+                    x >>= k
+                    left -= k
+            except TypeError:  # None: nothing that is certain
+                pass
+        try:
+            for _ in range(min(1, n - len(out)) if both is not None else n - len(out)):
+                if left < 15:
                     at += 57 - left
                     x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
                     left = 57
-                i = x & 4095
-                got = both[i]
-                if got is None:
-                    break
-                out += got
-                k = taken[i]
+                i = x & mask
+                k = sizes[i]
                 x >>= k
                 left -= k
-        for _ in range(min(1, n - len(out)) if both is not None else n - len(out)):
-            if left < 15:
-                at += 57 - left
-                x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
-                left = 57
-            i = x & mask
+                append(symbols[i])
+        except ValueError:  # no byte
             s = symbols[i]
-            k = sizes[i]
-            x >>= k
-            left -= k
-            if s > 255:
-                break
-            append(s)
-        if s > 255:
             bits.at = at + 57 - left
             if s >= 280:
-                raise ValueError("a colour that the cache cannot hold")
+                raise ValueError("a colour that the cache cannot hold") from None
             _copy(out, *_reference(bits, s, group[4], width), n)
-            at, left, s = bits.at, 57, 0
+            at, left = bits.at, 57
             x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
     bits.at = at + 57 - left
     if bits.at > 8 * len(data):
@@ -382,7 +379,7 @@ def _colours(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int)
 
 
 def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (t.view(np.int8).astype(np.int32) * c.view(np.int8).astype(np.int32) >> 5).astype(np.uint8)
+    return (t.view(np.int8).astype(np.int16) * c.view(np.int8) >> 5).astype(np.uint8)
 
 
 def _spread(image: np.ndarray, bits: int, height: int, width: int) -> np.ndarray:
@@ -396,7 +393,8 @@ def undo_cross(image: np.ndarray, elements: np.ndarray, bits: int) -> np.ndarray
     red_to_blue, green_to_blue, green_to_red = (np.ascontiguousarray(e[..., c]) for c in range(3))
     red = image[..., 0] + _delta(green_to_red, green)
     out[..., 0] = red
-    out[..., 2] = image[..., 2] + _delta(green_to_blue, green) + _delta(red_to_blue, np.ascontiguousarray(red))
+    blue = image[..., 2] + _delta(green_to_blue, green)
+    out[..., 2] = blue + _delta(red_to_blue, np.ascontiguousarray(red)) if red_to_blue.any() else blue
     return out
 
 
@@ -818,7 +816,7 @@ def write(image: np.ndarray, predictor: bool = False, cross: tuple[int, int, int
         to = [np.array([m], np.uint8) for m in cross]
         image = image.copy()
         image[..., 0] = red - _delta(to[0], green)
-        image[..., 2] -= _delta(to[1], green) + _delta(to[2], red)
+        image[..., 2] -= _delta(to[1], green) + _delta(to[2], red) if cross[2] else _delta(to[1], green)
         _put_transform(w, CROSS, (cross[2], cross[1], cross[0], 255))
     if palette:
         colours, index = np.unique(np.ascontiguousarray(image).view(np.uint32).reshape(-1), return_inverse=True)
