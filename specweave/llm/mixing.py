@@ -34,7 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
 #: Rows that one bin should hold, and the number of bins beyond which bins grow instead: their totals meet in one task.
-BIN_ROWS, BINS = 4096, 16384
+BIN_ROWS, BINS = 4096, 8192
 SEED = "mix"
 
 

@@ -339,36 +339,40 @@ def _colours(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int)
     others = [t for t in others if t[2]]
     held, down = [0] * (1 << cache_bits) if cache_bits else [], 32 - cache_bits
     out: list[int] = []
-    append, at = out.append, bits.at
+    append, at, left, x = out.append, bits.at, 0, 0
+    need = 15 * (1 + len(others))
     while len(out) < n:
-        x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+        if left < need:  # x: the next bits, left of them for certain; at is where it begins
+            x = int.from_bytes(data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)
+            left = 65
         i = x & mask
         s, k = greens[i], sizes[i]
-        if s < 256:
+        x >>= k
+        if s >= 280:
+            if s - 280 >= len(held):
+                raise ValueError("a colour that the cache cannot hold")
+            append(held[s - 280])
+        elif s < 256:
             colour = s << 8 | fixed
             for table, size, m, shift in others:
-                i = x >> k & m  # 4 codes of 15 bits may pass the 57 that are here
-                if k > 42:
-                    i = int.from_bytes(data[at + k >> 3 : (at + k >> 3) + 3], "little") >> (at + k & 7) & m
+                i = x & m
                 colour |= table[i] << shift
+                x >>= size[i]
                 k += size[i]
-            at += k
             append(colour)
             if held:
                 held[(CACHE_HASH * colour & 0xFFFFFFFF) >> down] = colour
-        elif s < 280:
+        else:
             bits.at = at + k
             before = len(out)
             _copy(out, *_reference(bits, s, group[4], width), n)
             if held:
                 for colour in out[before:]:
                     held[(CACHE_HASH * colour & 0xFFFFFFFF) >> down] = colour
-            at = bits.at
-        else:
-            at += k
-            if s - 280 >= len(held):
-                raise ValueError("a colour that the cache cannot hold")
-            append(held[s - 280])
+            at, left = bits.at, 0
+            continue
+        at += k
+        left -= k
     bits.at = at
     if at > 8 * len(data):
         raise ValueError("the stream ends too early")
