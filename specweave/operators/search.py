@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..functions import requirements as R
 from ..functions import scoring, text
 from . import graph, retrieval
 
@@ -57,17 +57,12 @@ def with_pins(ranked: DataFrame, items: DataFrame, index: DataFrame, editions: D
 
 
 def requirements(items: DataFrame, gazetteer: dict[str, list[str]], key: str = "item_id", raw: str = "raw") -> DataFrame:
-    """Product, quantities and the material, property and environment terms of each item. gazetteer: reviewed lists by kind."""
-    lists = {k: sorted(gazetteer.get(k, [])) for k in ("material", "property", "environment")}
+    """key, product, material, property, environment, quantities and unmapped of each item; gazetteer: reviewed lists by kind.
 
-    @F.pandas_udf("struct<product:string,material:array<string>,property:array<string>,environment:array<string>>")
-    def read(t: pd.Series) -> pd.DataFrame:
-        plain = t.map(lambda x: D.rephrase(x or ""))
-        found = {k: plain.map(lambda x, v=v: D.terms_in(x, v)) for k, v in lists.items()}
-        return pd.DataFrame({"product": [D.product(x, lists["material"] + lists["property"]) for x in t], **found})
-
-    clean = text.strip_citations(raw)
-    return items.select(key, D.quantity_items(clean).alias("quantities"), read(clean).alias("r")).select(key, "r.*", "quantities")
+    Items with a column pairs (array of struct(k, v)) are read by their keys first.
+    """
+    pairs = F.col("pairs") if "pairs" in items.columns else F.lit(None).cast("array<struct<k:string,v:string>>")
+    return items.select(key, R.requirement_column(text.strip_citations(raw), pairs, gazetteer).alias("r")).select(key, "r.*")
 
 
 def audit(items: DataFrame, index: DataFrame, editions: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -76,7 +71,7 @@ def audit(items: DataFrame, index: DataFrame, editions: DataFrame, doc: str = "d
 
     cited = items.select(doc, "pos", F.posexplode("cited").alias("n", "base"))
     known = graph.resolve(cited, index, editions).select("base", "status")
-    cited = cited.join(known, "base", "left").select(F.col(doc).alias("doc_id"), (F.col("pos") * 1000 + F.col("n")).alias("seq"), F.col("base").alias("is_number"), F.col("base").alias("cited_as"), "status")
+    cited = cited.join(known, "base", "left").select(F.col(doc).alias("doc_id"), (F.col("pos") * (1 << 20) + F.col("n")).alias("seq"), F.col("base").alias("is_number"), F.col("base").alias("cited_as"), "status")
     return health(items.select(F.col(doc).alias("doc_id"), F.size("cited").alias("n_cited")), cited)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..frames import cut
 from ..functions import language, notation, preview, translation
+from ..functions import requirements as R
 from ..operators import rag
 from ..streaming import events as E
 from .retrieval_queries import zipf_costs
@@ -47,13 +48,13 @@ def word_split(spark, d):
 
 def quantities(spark, d):
     line = F.concat(F.lit("pipe "), F.col("p_size").cast("string"), F.lit(" mm to "), (F.col("p_size") + 9).cast("string"), F.lit(" mm diameter, capacity "), F.round("p_retailprice").cast("int").cast("string"), F.lit(" litres, DN "), F.col("p_size").cast("string"))
-    q = read(spark, d, "part").select("p_partkey", F.posexplode(D.quantity_items(line)).alias("pos", "q"))
+    q = read(spark, d, "part").select("p_partkey", F.posexplode(R.quantity_items(line)).alias("pos", "q"))
     return q.select("p_partkey", "pos", "q.value", "q.unit", "q.field", "q.value_max")
 
 
 def product(spark, d):
     line = F.concat(F.lit("Supply of 20 nos "), F.col("p_name"), F.lit(" tanks for outdoor use, "), F.col("p_size").cast("string"), F.lit(" litres"))
-    return read(spark, d, "part").select("p_partkey", D.product_column(line, ["stainless steel"]).alias("product"))
+    return read(spark, d, "part").select("p_partkey", R.product_column(line, ["stainless steel"]).alias("product"))
 
 
 def detect_language(spark, d):

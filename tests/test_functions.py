@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specweave.functions import documents as D
+from specweave.functions import requirements as R
 from specweave.functions import language, notation, scoring, text
 
 CITATIONS = [
@@ -51,7 +52,7 @@ def test_headings(spark, line, want):
 
 @pytest.mark.parametrize(("phrase", "want"), [("water tanks", "water tank"), ("batteries", "battery"), ("glass", "glass"), ("switches", "switch"), ("bus", "bus")])
 def test_singular(spark, phrase, want):
-    assert D.singular(phrase) == want
+    assert R.singular(phrase) == want
     assert one(spark, text.singular("t"), t=phrase) == want
 
 
@@ -72,17 +73,49 @@ def test_segments():
 
 def test_quantities():
     line = "Procure 100 stainless steel water storage tanks for outdoor installation, minimum capacity 500 litres, resistant to corrosion"
-    (q,) = D.quantities(line)
+    (q,) = R.quantities(line)
     assert (q.value, q.unit, q.field, q.qualifier) == (500, "L", "capacity", "minimum")
-    assert D.product(line, ["stainless steel"]) == "water storage tank"
-    assert D.terms_in(D.rephrase(line), ["corrosion resistant", "corrosion"]) == ["corrosion resistant"]
-    (q,) = D.quantities("8 mm to 32 mm diameter")
+    assert R.product(line, ["stainless steel"]) == "water storage tank"
+    assert R.terms_in(R.rephrase(line), ["corrosion resistant", "corrosion"]) == ["corrosion resistant"]
+    (q,) = R.quantities("8 mm to 32 mm diameter")
     assert (q.value, q.value_max) == (8, 32)
-    assert len(D.quantities("25 mm bore and 40 mm pipe")) == 2
-    assert [(q.unit, q.value) for q in D.quantities("DN 150")] == [("DN", 150)]
-    assert D.quantities("1,00,000 L")[0].value == 100_000
-    assert D.quantities("32 mm diameter, quantity 45 MT")[-1].field == "weight"
-    assert D.quantities("conforming to IS 269 MT") == [] and D.quantities(None) == []
+    assert len(R.quantities("25 mm bore and 40 mm pipe")) == 2
+    assert [(q.unit, q.value) for q in R.quantities("DN 150")] == [("DN", 150)]
+    assert R.quantities("1,00,000 L")[0].value == 100_000
+    assert R.quantities("32 mm diameter, quantity 45 MT")[-1].field == "weight"
+    assert R.quantities("conforming to IS 269 MT") == [] and R.quantities(None) == []
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("Fixtures and fittings", "Fixture"), ("Forged steel flanges", "Forged steel flange"), ("Offset printing paper", "Offset printing paper"), ("Theodolite tripods", "Theodolite tripod"), ("Andesite aggregate", "Andesite aggregate"),
+        ("Erection of steel towers", "steel tower"), ("Providing and fixing white vitreous china water closet pan", "white vitreous china water closet"), ("Paint, synthetic enamel", "Paint"), ("Fittings of brass", "Fitting"),
+        ("Procurement of 2 sets of pump set for borewell", "pump set"), ("bars Fe 500D grade", "bar"), ("5 nos", None), (None, None), ("", None),
+    ],
+)
+def test_products(line, want):
+    assert R.product(line) == want
+
+
+def test_requirements_of_pairs():
+    got = R.requirements("Tank with a lid, galvanised", [("Material", "SS 304 / HDPE"), ("Bore", "25 mm"), ("Colour", "blue"), ("Load", "none"), ("Item", "Water tanks"), ("Finish", "Painted and polished")], {"property": ["galvanised", "painted"]})
+    assert (got["product"], got["material"], got["property"], got["unmapped"]) == ("Water tank", ["SS 304", "HDPE"], ["Painted", "polished", "galvanised"], ["Colour: blue"])
+    assert [(q.value, q.unit, q.field) for q in got["quantities"]] == [(25, "mm", "diameter")]
+
+
+def test_lines_and_blocks():
+    assert D.rejoin("Material: steel\nplates of 5 mm\nGENERAL\nmore\n1 row here\nand on\nlast;\nnext") == ["Material: steel plates of 5 mm", "GENERAL", "more", "1 row here", "and on last;", "next"]
+    assert [t for t, _ in D.segments("Colour: sky blue\nPipes of cast iron")] == ["Colour: sky blue", "Pipes of cast iron"]
+    assert [t for t, _ in D.segments("Pipes of cast iron\nColour: sky blue")] == ["Pipes of cast iron", "Colour: sky blue"]
+    assert D.segments("Item: Valves\nSize: 25 mm\nMake: any\nGate valves of brass") == [("Valves, 25 mm", [("Item", "Valves"), ("Size", "25 mm"), ("Make", "any")]), ("Gate valves of brass", [])]
+
+
+def test_queries_of_columns_are_those_of_the_parser(spark):
+    lines = ["3 G.I. pipes 25 mm as per IS 1239, qty 500 nos", "nominal bore pipes no. 4", "स्टील पाइप 25 mm • ISI marked ÉTÉ; brand: x", "TENDER for 12,345 units @ 5% – Rs. 4", "", None, "a\u00a0b\u2003c (x) & y/z+w-v_u", "IS 456 (Part 2) concrete SHALL BE SUPPLIED"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    got = {r["i"]: r["q"] for r in df.select("i", D.query_column(F.col("t")).alias("q")).collect()}
+    assert [got[i] for i in range(len(lines))] == [D.query_text(t) for t in lines]
 
 
 def test_glued_words():
