@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,31 +68,36 @@ def classify(c: Column, enabled: bool = True) -> Column:
     return F.struct(code.alias("code"), note.alias("note"))
 
 
-def translate(texts: DataFrame, model: Callable[[list[str], str], Iterable[str]] | None, text: str = "text", enabled: bool = True) -> DataFrame:
-    """texts with english, code, engine and note. The model sees prose without notation, a batch a language.
+Backend = Callable[[list[str], str], Iterable[str]]
 
-    Each distinct text is translated once. A model that fails or says nothing leaves the
-    text as it is; nothing raises.
+
+def translate(texts: DataFrame, model: Backend | Sequence[Backend] | None, text: str = "text", enabled: bool = True) -> DataFrame:
+    """texts with english, code, engine and note. A model sees prose without notation, a batch a language.
+
+    Models are asked in order, each for what those before it left open. Each distinct text
+    is translated once. One that fails or says nothing leaves the text as it is; nothing raises.
     """
-    need = texts.select(F.coalesce(text, F.lit("")).alias("t")).distinct().withColumn("c", classify(F.col("t"), enabled and model is not None))
+    models = [] if model is None else [model] if callable(model) else list(model)
+    need = texts.select(F.coalesce(text, F.lit("")).alias("t")).distinct().withColumn("c", classify(F.col("t"), enabled and bool(models)))
 
     def run(batches):
         for b in batches:
             english, engine, note = b["t"].tolist(), ["none"] * len(b), b["note"].tolist()
             for code, part in b[b["note"].isna()].groupby("code"):
-                lifted = [notation.lift(t) for t in part["t"]]
-                try:
-                    got = list(model([p.text for p in lifted], code)) if model else []
-                except Exception as e:  # a translator's failure must not cost the query
-                    got, why = [], f"translator failed: {type(e).__name__}"
-                else:
-                    why = "translator gave nothing"
-                for i, p, g in zip(part.index, lifted, [*got, *[""] * (len(part) - len(got))], strict=False):
-                    k = b.index.get_loc(i)
-                    if g:
-                        english[k], engine[k], note[k] = notation.reattach(g, p), "model", None
-                    else:
-                        note[k] = why
+                open_ = {b.index.get_loc(i): notation.Notation(t, notation.LIFTED) for i, t in part["t"].items()}
+                for ask in models:
+                    try:
+                        got, why = list(ask([n.prose() for n in open_.values()], code)), "translator gave nothing"
+                    except Exception as e:  # a translator's failure must not cost the query
+                        got, why = [], f"translator failed: {type(e).__name__}"
+                    for (k, n), said in zip(list(open_.items()), [*got, *[""] * (len(open_) - len(got))], strict=False):
+                        if said:
+                            english[k], engine[k], note[k] = n.behind(said), "model", None
+                            del open_[k]
+                        else:
+                            note[k] = why
+                    if not open_:
+                        break
             yield pd.DataFrame({"t": b["t"], "code": b["code"], "english": english, "engine": engine, "note": note})
 
     done = need.select("t", "c.code", "c.note").mapInPandas(run, "t string, code string, english string, engine string, note string")

@@ -143,18 +143,27 @@ def test_query_text():
 
 @pytest.mark.parametrize(
     ("said", "written"),
-    [("eye ess seventeen eighty six", "IS 1786"), ("twenty five millimetre", "25 mm"), ("dee en one hundred fifty", "DN 150"), ("IS-1786 TMT bars", "IS 1786 TMT bars"), ("M 25 mm", "M 25 mm"), ("GI 25 mm pipe", "GI 25 mm pipe"), ("I see you are here", "I see you are here"), ("", "")],
+    [("eye ess seventeen eighty six", "IS 1786"), ("twenty five millimetre", "25 mm"), ("dee en one hundred fifty", "DN 150"), ("IS-1786 TMT bars", "IS 1786 TMT bars"), ("M 25 mm", "M 25 mm"), ("GI 25 mm pipe", "GI 25 mm pipe"), ("I see you are here", "I see you are here"), ("", ""),
+     ("आई एस सत्रह सौ छियासी", "IS 1786"), ("आईएस चार सौ छप्पन के अनुसार", "IS 456 के अनुसार"), ("Fay five hundred bars", "Fe500 bars"), ("dee en five", "DN 5"), ("eye ess one seven eight six", "IS 1786"),
+     ("two lakh fifty thousand litres", "250000 L"), ("IP sixty six lamp", "IP66 lamp"), ("one hundred", "one hundred"), ("oh I see", "oh I see"), ("पच्चीस litres", "25 L")],
 )
 def test_spoken_notation(said, written):
     assert notation.spoken(said)[0] == written
 
 
-def test_masks():
-    p = notation.mask("90W LED street light IP66 as per IS 10322:2014")
-    assert p.text == "@1@ LED street light @2@ as per @3@" and p.kinds == ["quantity", "code", "citation"]
-    assert notation.unmask("@ १ @ x @2@", p) == ("90W x IP66", ["IS 10322:2014"])
-    assert notation.lift("TMT bars Fe500D to IS 1786").values == ["Fe500D", "IS 1786"]
+def test_masks(spark):
+    line = "90W LED street light IP66 as per IS 10322:2014"
+    n = notation.Notation(line)
+    assert n.masked() == "@1@ LED street light @2@ as per @3@" and n.kinds == ["quantity", "code", "citation"]
+    assert n.restored(n.masked()) == (line, [])
+    assert n.restored("@ १ @ x @2@ @2@ @77@") == ("90W x IP66", ["IS 10322:2014"])
+    lifted = notation.Notation("TMT bars Fe500D to IS 1786", notation.LIFTED)
+    assert (lifted.prose(), lifted.values, lifted.behind("rods")) == ("TMT bars to", ["Fe500D", "IS 1786"], "rods Fe500D IS 1786")
+    assert notation.Notation(None).masked() == "" and notation.Notation("no notation ;").prose() == "no notation ;"
     assert notation.spec_terms("90W, IP66 and ip 66") == [("90W", "quantity"), ("IP66", "code")]
+    df = spark.createDataFrame([(line,), (None,)], "t string")
+    back = df.select(notation.restored(notation.masked(F.col("t"))["text"], F.col("t")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in back] == [(line, []), ("", [])]
 
 
 @pytest.mark.parametrize(
