@@ -67,6 +67,13 @@ def parts_of(bases: DataFrame, index: DataFrame, base: str = "base", indexed: st
     return ranked.groupBy(base).agg(F.array_join(F.array_sort(F.collect_list("part")), ", ").alias("parts"))
 
 
+def replaced(bases: DataFrame, index: DataFrame, editions: DataFrame, base: str = "base") -> DataFrame:
+    """base and replacement, the indexed base id that the newest edition of a base was replaced by. Editions without a year come first."""
+    newest = editions.where(F.col("is_base_id").isNotNull()).withColumn("n", F.row_number().over(W.partitionBy("is_base_id").orderBy(F.col("is_year").desc_nulls_last(), F.col("kys_id").desc()))).where("n = 1")
+    to = editions.select(F.col("kys_id").alias("replaced_by_id"), F.col("is_base_id").alias("replacement")).join(index.select(F.col("is_base_id").alias("replacement")).distinct(), "replacement", "left_semi")
+    return bases.select(base).distinct().join(newest.select(F.col("is_base_id").alias(base), "replaced_by_id"), base).join(to, "replaced_by_id").select(base, "replacement")
+
+
 def resolve(bases: DataFrame, index: DataFrame, all_editions: DataFrame, base: str = "base") -> DataFrame:
     """(base, kys_id, status, parts, outcome): in the index, else the newest edition ever, else its parts, else nothing."""
     here = index.select(F.col("is_base_id").alias(base), F.col("kys_id").alias("i_id"))

@@ -114,14 +114,26 @@ def test_translation(spark):
 def test_evaluation_set(spark, index):
     a = "Providing and fixing high strength deformed bars conforming to IS 1786, cut and bent to shape as drawn. Next sentence."
     b = "Supplying structural steel plates of several thicknesses to IS 2062, painted twice before they leave the works. End."
-    docs = spark.createDataFrame([(1, a + " " + b), (2, a), (3, "Laying of pipes to IS 77777 along the road in trenches of fair depth and width. X"), (4, "Fixing IS 1786 bars. Y"), (5, None)], "doc_id long, text string")
-    got = evaluation.build(docs, index.where("status = 'current'"), index)
+    docs = spark.createDataFrame([(1, a + " " + b), (2, a), (3, "Laying of pipes to IS 77777 along the road in trenches of fair depth and width. X"), (4, "Filling IS 1786 bars. Y"), (5, None)], "doc_id long, text string")
+    got = evaluation.build(docs, index.where("status = 'current'"), index.withColumn("replaced_by_id", F.lit(None).cast("long")))
     rows = {r["text"]: r["gold"] for r in got.collect()}
     assert list(rows.values()) in ([["IS 1786"], ["IS 2062 (Part 1)"]], [["IS 2062 (Part 1)"], ["IS 1786"]])
     assert all("IS" not in t for t in rows)
     keep = got.where("gold[0] = 'IS 1786'").select("id")
-    assert evaluation.build(docs, index.where("status = 'current'"), index, rejected=keep).count() == 1
-    assert evaluation.cited_items("Providing X as per IS: 2911 (Part-IV) / 1234 done.")[0][2] == ["IS 2911 (Part 4)", "IS 1234"]
+    assert evaluation.build(docs, index.where("status = 'current'"), index.withColumn("replaced_by_id", F.lit(None).cast("long")), rejected=keep).count() == 1
+
+
+def test_cited_items(spark, index):
+    far = "x" * 701
+    docs = ["Providing X as per IS: 2911 (Part-IV) / 1234 done. Next Supply of B to IS 456:2000 and I.S. 1786, ( ) 12.50 each Nos 5 6 end Laying none", f"Laying {far} IS 456", "no opener IS 456", None, "Supply of A conforming to IS 12 (Part 1/Sec 2). Then", "Filling up to IS 99 " + "y " * 400]
+    got = evaluation.cited_items(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).orderBy("doc_id", "pos").collect()
+    assert [(r["doc_id"], r["pos"], r["cited"]) for r in got] == [(0, 0, ["IS 2911 (Part 4)", "IS 1234"]), (0, docs[0].index("Supply"), ["IS 456", "IS 1786"]), (4, 0, ["IS 12 (Part 1) (Sec 2)"]), (5, 0, ["IS 99"])]
+    assert [r["text"] for r in got[:3]] == ["Providing X as per done", "Supply of B to and, each end", "Supply of A"]
+    assert got[3]["raw"] == docs[5][: len("Filling up to IS 99 ") - 1 + 300]
+    old = index.unionByName(spark.createDataFrame([(6, "IS 77:1970", "IS 77", 1970, "withdrawn", "x", None, None)], index.schema)).withColumn("replaced_by_id", F.when(F.col("kys_id") == 6, F.lit(2)))
+    items = spark.createDataFrame([(1, 0, ["IS 77", "IS 2062", "IS 8"])], "doc_id long, pos int, cited array<string>")
+    assert evaluation.gold_of(items, index.where("status = 'current'"), old.withColumn("replaced_by_id", F.col("replaced_by_id").cast("long"))).first()["gold"] == ["IS 456", "IS 2062 (Part 1)"]
+    assert spark.range(1).select(evaluation.is_constituent(F.lit("Anodized handles"), F.array(F.lit("IS 1868")))).first()[0] is True
 
 
 def test_thresholds(spark):
