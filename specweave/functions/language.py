@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ SCRIPTS = ("Latin", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "T
 #: Scripts that one language stands for.
 BY_SCRIPT = {
     "Gurmukhi": "pan_Guru", "Gujarati": "guj_Gujr", "Oriya": "ory_Orya", "Tamil": "tam_Taml", "Telugu": "tel_Telu", "Kannada": "kan_Knda",
-    "Malayalam": "mal_Mlym", "Sinhala": "sin_Sinh", "Ol_Chiki": "sat_Olck", "Meetei_Mayek": "mni_Mtei", "Cyrillic": "rus_Cyrl", "Greek": "ell_Grek", "Han": "zho_Hans",
+    "Malayalam": "mal_Mlym", "Sinhala": "sin_Sinh", "Ol_Chiki": "sat_Olck", "Meetei_Mayek": "mni_Beng", "Cyrillic": "rus_Cyrl", "Greek": "ell_Grek", "Han": "zho_Hans",
 }
 #: Words that tell languages of one script apart.
 MARKERS = {
@@ -37,6 +38,17 @@ def fold_digits(c: Column | str) -> Column:
     return F.translate(_text(c), "".join(chr(z + i) for z in DIGIT_ZEROS for i in range(10)), "0123456789" * len(DIGIT_ZEROS))
 
 
+def normalise(c: Column | str) -> Column:
+    """Composed characters and ASCII digits. Only texts with marks or other characters that may compose go to Python."""
+
+    @F.pandas_udf("string")
+    def nfc(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFC", x))
+
+    # the composed form of a text up to U+02FF is the text itself
+    return F.when(fold_digits(c).rlike(r"[^\x{0000}-\x{02FF}]"), nfc(fold_digits(c))).otherwise(fold_digits(c))
+
+
 def letters(c: Column | str) -> Column:
     return F.regexp_count(_text(c), F.lit(r"\p{L}"))
 

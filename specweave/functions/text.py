@@ -187,3 +187,18 @@ def cites_unknown_clause(reason: Column, title: Column) -> Column:
     """Whether a reason names a clause, section or part number that the title does not have."""
     found = F.regexp_extract_all(F.lower(_text(reason)), F.lit(r"\b(?:clause|section|sec|cl)\.?\s*\d+(?:\.\d+)*"), F.lit(0))
     return F.exists(found, lambda x: ~F.contains(F.lower(_text(title)), x))
+
+
+def short_title(c: Column | str, most: int) -> Column:
+    """A title for a small place: without its kind, up to the first dash or colon, cut to fit."""
+    t = F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"(?i)^(specification|code of practice|methods? of test)\s+for\s+", "")
+    t = F.trim(F.get(F.split(t, r"\s[-–—]\s|:\s", 2), F.lit(0)))
+    t = F.concat(F.upper(F.substring(t, 1, 1)), t.substr(F.lit(2), F.char_length(t)))
+    return F.when(F.char_length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
+
+
+def split_number(c: Column | str) -> Column:
+    """struct(base, part) of a number without its year: "IS 1 (Part 1) (Sec 2):2019" is IS 1 and (Part 1) (Sec 2)."""
+    bare = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r":\d{4}$", "")
+    base = F.substring_index(bare, " (", 1)
+    return F.struct(base.alias("base"), bare.substr(F.char_length(base) + 2, F.char_length(bare)).alias("part"))

@@ -11,21 +11,23 @@ from pyspark.sql import functions as F
 
 from . import language, notation
 
-#: Code, two-letter code, name.
+#: Code, short code where there is one, name.
 LANGUAGES = (
-    ("eng_Latn", "en", "english"), ("hin_Deva", "hi", "hindi"), ("mar_Deva", "mr", "marathi"), ("npi_Deva", "ne", "nepali"), ("ben_Beng", "bn", "bengali"), ("asm_Beng", "as", "assamese"),
-    ("pan_Guru", "pa", "punjabi"), ("guj_Gujr", "gu", "gujarati"), ("ory_Orya", "or", "odia"), ("tam_Taml", "ta", "tamil"), ("tel_Telu", "te", "telugu"), ("kan_Knda", "kn", "kannada"),
-    ("mal_Mlym", "ml", "malayalam"), ("sin_Sinh", "si", "sinhala"), ("urd_Arab", "ur", "urdu"), ("snd_Arab", "sd", "sindhi"), ("kas_Arab", "ks", "kashmiri"), ("sat_Olck", "sat", "santali"),
-    ("mni_Mtei", "mni", "manipuri"), ("arb_Arab", "ar", "arabic"), ("fra_Latn", "fr", "french"), ("deu_Latn", "de", "german"), ("spa_Latn", "es", "spanish"), ("rus_Cyrl", "ru", "russian"),
-    ("zho_Hans", "zh", "chinese"), ("ell_Grek", "el", "greek"),
+    ("eng_Latn", "en", "english"), ("asm_Beng", "as", "assamese"), ("ben_Beng", "bn", "bengali"), ("brx_Deva", None, "bodo"), ("doi_Deva", None, "dogri"), ("gom_Deva", "kok", "konkani"),
+    ("guj_Gujr", "gu", "gujarati"), ("hin_Deva", "hi", "hindi"), ("kan_Knda", "kn", "kannada"), ("kas_Arab", "ks", "kashmiri"), ("mai_Deva", None, "maithili"), ("mal_Mlym", "ml", "malayalam"),
+    ("mni_Beng", None, "manipuri"), ("mar_Deva", "mr", "marathi"), ("npi_Deva", "ne", "nepali"), ("ory_Orya", "or", "odia"), ("pan_Guru", "pa", "punjabi"), ("san_Deva", "sa", "sanskrit"),
+    ("sat_Olck", None, "santali"), ("snd_Arab", "sd", "sindhi"), ("tam_Taml", "ta", "tamil"), ("tel_Telu", "te", "telugu"), ("urd_Arab", "ur", "urdu"),
+    ("arb_Arab", "ar", "arabic"), ("deu_Latn", "de", "german"), ("fra_Latn", "fr", "french"), ("ind_Latn", "id", "indonesian"), ("jpn_Jpan", "ja", "japanese"), ("kor_Hang", "ko", "korean"),
+    ("pes_Arab", "fa", "persian"), ("por_Latn", "pt", "portuguese"), ("rus_Cyrl", "ru", "russian"), ("spa_Latn", "es", "spanish"), ("swh_Latn", "sw", "swahili"), ("tha_Thai", "th", "thai"),
+    ("vie_Latn", "vi", "vietnamese"), ("zho_Hans", "zh", "chinese (simplified)"),
 )
-RTL = ("urd_Arab", "snd_Arab", "kas_Arab", "arb_Arab")
+RTL = ("urd_Arab", "snd_Arab", "kas_Arab", "arb_Arab", "pes_Arab")
 PREFIX = 4
 
 
 def resolve_language(c: Column) -> Column:
     """Code of a code, short code or name; else of what stands before "_" or "-"; else null."""
-    known = {k: code for code, short, name in LANGUAGES for k in (code.lower(), short, name, code[:3])}
+    known = {k: code for code, short, name in LANGUAGES for k in (code.lower(), short, name, code[:3]) if k}
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     low = F.lower(F.trim(c))
     return F.coalesce(table[low], table[F.regexp_extract(low, r"^([^_-]+)[_-]", 1)])

@@ -115,3 +115,65 @@ def card(candidates: DataFrame, edges: DataFrame, nodes: DataFrame, key: str = "
     w = W.partitionBy("src").orderBy("dst")
     refs = refs.withColumn("n", F.row_number().over(w))
     return refs.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.col("dst")))), lambda x: x.cast("string")), ",").alias("first_refs"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "withdrawn").alias("withdrawn"))
+
+
+def references(previews: DataFrame, editions: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each reference a page lists: what it was read as, the edition it means, and why there is none.
+
+    previews: kys_id, scope_status, normative_refs ("; " between). Pages of another standard
+    and references listed twice by one page are left out. in_edges says whether some edition
+    of the citing standard refers to some edition of the cited one.
+    """
+    w = W.partitionBy("is_base_id").orderBy((F.col("status") == "current").desc(), F.coalesce("is_year", F.lit(-1)).desc(), F.col("kys_id").desc())
+    latest = editions.where("is_canonical").withColumn("n", F.row_number().over(w)).where("n = 1")
+    heads = latest.select(F.substring_index("is_base_id", " (", 1).alias("base"), F.lit(True).alias("has_parts")).where(F.instr("is_base_id", " (") > 0).distinct()
+    heads = heads.union(latest.where("is_base_id like '%) (%'").select(F.concat(F.substring_index("is_base_id", ") (", 1), F.lit(")")), F.lit(True))).distinct()
+    rows = previews.where("coalesce(scope_status, '') <> 'wrong_standard' and normative_refs is not null")
+    rows = rows.select("kys_id", "scope_status", F.explode(F.array_distinct(F.transform(F.split("normative_refs", ";"), F.trim))).alias("cited_as")).where("cited_as <> ''")
+    shape = r"(?i)^IS\s+(\d+)(?:\s*\(\s*Part\s*(\d+)\s*(?:/\s*Sec\s*(\d+)\s*)?\))?$"
+    group = lambda n: F.regexp_extract("cited_as", shape, n)
+    base = F.when(F.col("cited_as").rlike(shape), F.concat(F.lit("IS "), group(1), F.when(group(2) != "", F.concat(F.lit(" (Part "), group(2), F.lit(")"))).otherwise(""), F.when(group(3) != "", F.concat(F.lit(" (Sec "), group(3), F.lit(")"))).otherwise("")))
+    rows = rows.withColumn("base", base)
+    citing = editions.select("kys_id", F.col("is_base_id").alias("citing_base"), F.col("dept_code").alias("citing_dept"))
+    to = latest.select(F.col("is_base_id").alias("base"), F.col("kys_id").alias("cited_id"), F.col("status").alias("cited_status"), F.col("dept_code").alias("cited_dept"))
+    of = editions.select(F.col("kys_id"), "is_base_id")
+    known = edges.where("rel = 'REFERENCES'").join(of.select(F.col("kys_id").alias("src"), F.col("is_base_id").alias("citing_base")), "src").join(of.select(F.col("kys_id").alias("dst"), F.col("is_base_id").alias("base")), "dst")
+    known = known.select("citing_base", "base").distinct().withColumn("in_edges", F.lit(1))
+    out = rows.join(citing, "kys_id").join(to, "base", "left").join(heads, "base", "left").join(known, ["citing_base", "base"], "left")
+    why = F.when(F.col("base").isNull(), "unparsed (range, list or OCR damage)").when(F.col("cited_id").isNotNull(), "latest edition").when(F.col("has_parts"), "family only exists as parts").otherwise("no such standard in the dataset")
+    found = F.col("cited_id").isNotNull()
+    return out.select("kys_id", "cited_as", "base", "cited_id", "cited_status", F.when(found, (F.col("citing_dept") == F.col("cited_dept")).cast("int")).alias("same_dept"), F.when(found, F.coalesce("in_edges", F.lit(0))).alias("in_edges"), why.alias("resolution"))
+
+
+def annotate(relations: DataFrame, nodes: DataFrame, key: str = "kys_id") -> DataFrame:
+    """relations (with key) with status, base, year and, where they have none, the title of the node; unknown nodes stay as they are."""
+    n = nodes.select(key, F.col("title").alias("n_title"), "status", "is_base_id", "is_year")
+    out = relations.drop("status", "is_base_id", "is_year").join(n, key, "left")
+    return out.withColumn("title", F.coalesce(F.col("title"), "n_title") if "title" in relations.columns else F.col("n_title")).drop("n_title")
+
+
+def use_instead(nodes: DataFrame, key: str = "kys_id", next_: str = "replaced_by_id") -> DataFrame:
+    """key and use_instead of withdrawn nodes: the number of the current successor, else of what replaced them first."""
+    number = lambda c, name: nodes.select(F.col(key).alias(c), F.col("is_number").alias(name))
+    chain = successors(nodes, key, next_).where("reached").select(F.col("start").alias(key), "final")
+    gone = nodes.where("status = 'withdrawn'").select(key, F.col(next_).alias("next"))
+    out = gone.join(chain, key, "left").join(number("final", "a"), "final", "left").join(number("next", "b"), "next", "left")
+    return out.select(key, F.coalesce("a", "b").alias("use_instead"))
+
+
+#: The order of relations on a ring, and the places it has.
+RING, PLACES = ("REPLACED_BY", "REPLACES", "REFERENCES", "REFERENCED_BY"), 12
+
+
+def ring(focus: DataFrame, edges: DataFrame, key: str = "kys_id", order: tuple[str, ...] = RING, places: int = PLACES) -> DataFrame:
+    """src, dst, rel, place (from 0) and overflow: the neighbours drawn around each node, each once, by its first relation in order."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("rel"))
+    near = neighbours(focus, edges, key).where(F.col("rel").isin(*order)).withColumn("o", at)
+    once = near.groupBy("src", "dst").agg(F.min(F.struct("o", "rel")).alias("m")).select("src", "dst", "m.o", "m.rel")
+    w = W.partitionBy("src")
+    placed = once.withColumn("place", F.row_number().over(w.orderBy("o", "dst")) - 1).withColumn("overflow", F.greatest(F.count(F.lit(1)).over(w) - places, F.lit(0)))
+    return placed.where(F.col("place") < places).select("src", "dst", "rel", "place", "overflow")
+
+
+def is_empty(edges: DataFrame) -> bool:
+    return edges.isEmpty()

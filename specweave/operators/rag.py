@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import notation, text
+from . import graph
 
 ANSWER = (
     "direct_recommendations array<struct<standard_id:string,reason:string>>, "
@@ -113,3 +114,74 @@ def stub_model(prompts: list[str]) -> list[str]:
         name = p[p.find("[") + 1 : p.find("]")] if "[" in p else ""
         out.append('{"direct_recommendations": [' + (f'{{"standard_id": "{name}", "reason": "first in evidence"}}' if name else "") + '], "related_standards": [], "warnings": [], "confidence": "low"}')
     return out
+
+
+# --- the whole chain -----------------------------------------------------------------------
+
+RULES = (
+    "Recommend standards for the request from the evidence below, and nothing else.",
+    "Name a standard only if its number stands in the evidence. Cite no clause or section of it.",
+    "State a relation only if the knowledge graph lists it.",
+    "Keep what was retrieved apart from what is only related, and give a reason from the evidence for each.",
+    "Say so where evidence is weak or missing, and where a standard is withdrawn.",
+    "Imply no value that the evidence does not hold.",
+    'Answer with one JSON object: {"direct_recommendations": list of {"standard_id", "reason"}, "related_standards": list of {"standard_id", "relationship", "related_to"}, "warnings": list of text, "confidence": text}',
+)
+NO_EVIDENCE = "no standard was found for this query: it may be too vague, out of scope, or worded unlike any title"
+
+
+def prompts(queries: DataFrame, contexts: DataFrame, query: str = "query") -> DataFrame:
+    """query_id and prompt of the queries that have a context. The evidence comes first: numbers in brackets stand there alone."""
+    head = F.lit("\n".join(f"{i}. {r}" for i, r in enumerate(RULES, 1)).replace("[", "(").replace("]", ")"))
+    return queries.join(contexts, "query_id").select("query_id", F.concat_ws("\n\n", head, F.concat(F.lit("REQUEST\n"), F.col(query)), "context").alias("prompt"))
+
+
+def with_facts(related: DataFrame, nodes: DataFrame) -> DataFrame:
+    """related (standard_id) with the title and status that the data have for it, whatever the model said."""
+    facts = nodes.select(F.col("is_number").alias("standard_id"), "title", "status").dropDuplicates(["standard_id"])
+    return related.join(facts, "standard_id", "left")
+
+
+def run(queries: DataFrame, retrieved: DataFrame, nodes: DataFrame, edges: DataFrame, model: Callable[[list[str]], list[str]], most: int = 5) -> DataFrame:
+    """query_id, recommendations, related, warnings, confidence, n_evidence, rejected of every query (query_id, query).
+
+    retrieved: query_id, kys_id, rank. Evidence is hydrated and expanded by the graph (newest
+    editions, the first ``most`` of a relation), written into a prompt, answered in batches,
+    parsed and checked: what the evidence does not bear out is dropped and counted. Queries
+    without evidence get no prompt. Terms that no evidence names are warned of.
+    """
+    evidence = retrieved.join(nodes.select("kys_id", "is_number", "title", "aspect", "status"), "kys_id")
+    near = graph.neighbours(evidence.select("kys_id"), edges).select("src", "rel", F.col("dst").alias("kys_id")).withColumn("seq", F.col("kys_id"))
+    pruned = graph.prune_editions(graph.annotate(near, nodes)).select("src", "rel", "kys_id")
+    names = nodes.select("kys_id", F.col("is_number").alias("t"))
+    relations = capped(pruned.join(names, "kys_id"), ["src", "rel"], [F.col("t"), F.col("kys_id")], most)
+    relations = relations.join(evidence.select("query_id", F.col("kys_id").alias("src"), F.col("is_number").alias("s"), "rank"), "src")
+    line = W.partitionBy("query_id").orderBy("rank", "rel", "t")
+    triples = relations.select("query_id", "s", "rel", "t", F.row_number().over(line).alias("n"))
+    asked = prompts(queries, context(evidence, triples))
+    answers = parse_answer(generate(asked, model)).select("query_id", "parsed", "parse_error")
+    direct = check_recommendations(answers.select("query_id", F.inline("parsed.direct_recommendations")), evidence)
+    claims = answers.select("query_id", F.inline("parsed.related_standards")).select("query_id", F.col("related_to").alias("s"), F.col("relationship").alias("rel"), F.col("standard_id").alias("t"))
+    related = with_facts(check_triples(claims, triples, evidence).withColumnRenamed("t", "standard_id"), nodes)
+    listed = lambda df, name, *cols: df.where("reject_reason is null").groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct(*cols))).alias(name))
+    refused = direct.select("query_id", "reject_reason").union(related.select("query_id", "reject_reason")).where("reject_reason is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("rejected"))
+    terms = queries.select("query_id", F.posexplode(notation.spec_term_items(F.col("query"))).alias("seq", "x")).select("query_id", "seq", "x.term")
+    seen = evidence.select("query_id", "rank", "is_number", F.concat_ws(" ", "title", "aspect").alias("text"))
+    uncovered = coverage_warning(coverage(terms, seen)).withColumnRenamed("warning", "uncovered")
+    out = queries.join(evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence")), "query_id", "left").join(answers, "query_id", "left")
+    for part in (listed(direct, "recommendations", "standard_id", "reason"), listed(related, "related", "standard_id", "rel", F.col("s").alias("related_to"), "title", "status"), refused, uncovered):
+        out = out.join(part, "query_id", "left")
+    none, broken = F.col("n_evidence").isNull(), F.coalesce("parse_error", F.lit(False))
+    said = F.coalesce("parsed.warnings", F.array().cast("array<string>"))
+    rejections = F.when(F.col("rejected") > 0, F.concat(F.col("rejected").cast("string"), F.lit(" claims were not borne out by the evidence and are left out")))
+    warnings = F.array_compact(F.concat(said, F.array(rejections, F.when(~none, F.col("uncovered")), F.when(none, F.lit(NO_EVIDENCE)), F.when(broken, F.lit("the answer could not be read")))))
+    confidence = F.when(none, "insufficient_evidence").when(broken, "low").otherwise(F.coalesce("parsed.confidence", F.lit("low")))
+    return out.select("query_id", "recommendations", "related", warnings.alias("warnings"), confidence.alias("confidence"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+def evidence_of(recommended: DataFrame, evidence: DataFrame) -> DataFrame:
+    """recommended (query_id, standard_id, evidence_tag) with the rank of its evidence: by tag, else by number, the first of each."""
+    by_tag = evidence.groupBy("query_id", F.col("tag").alias("evidence_tag")).agg(F.min("rank").alias("tag_rank"))
+    by_number = evidence.groupBy("query_id", F.col("is_number").alias("standard_id")).agg(F.min("rank").alias("number_rank"))
+    out = recommended.join(by_tag, ["query_id", "evidence_tag"], "left").join(by_number, ["query_id", "standard_id"], "left")
+    return out.withColumn("rank", F.coalesce("tag_rank", "number_rank")).drop("tag_rank", "number_rank")

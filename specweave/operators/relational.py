@@ -52,7 +52,8 @@ def joined_text(df: DataFrame, key: str, value: str, order: str, separator: str
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     n = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))), 6))
+    total = n.agg(F.sum("n").alias("all"))  # one row
+    return n.crossJoin(F.broadcast(total)).select(column, "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 
 def merge_metadata(base: DataFrame, found: DataFrame, key: str = "kys_id", year: str = "reaffirmed_year", edition: str = "is_year") -> DataFrame:
@@ -78,3 +79,40 @@ def fingerprint(df: DataFrame, order: str, text: str, digits: int = 16) -> DataF
     row = F.sha2(F.concat(F.col(order).cast("string"), F.lit("\0"), F.coalesce(F.col(text), F.lit(""))), 256)
     cells = df.groupBy(F.pmod(F.col(order), F.lit(4096)).alias("cell")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("h"))
     return cells.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "h"))), lambda x: x["h"]), ""), 256), 1, digits).alias("fingerprint"))
+
+
+def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key that is not empty: the last in order, as a table loaded row by row would leave it."""
+    w = W.partitionBy(key).orderBy(F.col(order).desc())
+    return df.where(F.coalesce(key, F.lit("")) != "").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def required(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """df, whose columns must be there with these types and without nulls: types are checked now, values when rows are read."""
+    for name, kind in fields.items():
+        if name not in df.columns:
+            raise ValueError(f"the column {name} is missing")
+        if df.schema[name].dataType.simpleString() != kind:
+            raise TypeError(f"{name} is {df.schema[name].dataType.simpleString()}, not {kind}")
+    cols = {n: F.when(F.col(n).isNull(), F.raise_error(F.lit(f"{n} is null")).cast(k)).otherwise(F.col(n)) for n, k in fields.items()}
+    return df.withColumns(cols)
+
+
+def unchanged_shape(before: DataFrame, after: DataFrame) -> DataFrame:
+    """after, if a merge kept the columns in their order and the number of rows; else an error."""
+    if before.columns != after.columns:
+        raise ValueError(f"columns changed: {before.columns} became {after.columns}")
+    n, m = before.count(), after.count()
+    if n != m:
+        raise ValueError(f"{n} rows became {m}")
+    return after
+
+
+def smallest(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows of least value: a top-k, cut in every task."""
+    return df.orderBy(column).limit(n)
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows by a hash of key and seed, the same in every run and for any partitioning."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from ..functions import scoring, text
 from . import graph, retrieval
 
 FINAL = 10
+#: Share of a title's words that a sound scope holds.
+SCOPE_OVERLAP = 0.35
 
 
 def items_of(documents: DataFrame, costs: dict[str, float] | None = None, doc: str = "doc_id", body: str = "text") -> DataFrame:
@@ -45,6 +51,75 @@ def candidates(items: DataFrame, index: DataFrame, this_year: int, key: str = "i
     return ranked.select(key, "place", "kys_id", "is_number", "score", scoring.tier(F.col("score")).alias("tier"), F.when(F.size(why) == 0, "ranked by hybrid retrieval").otherwise(F.array_join(why, "; ")).alias("why"))
 
 
+def sound_scopes(previews: DataFrame) -> DataFrame:
+    """Scopes that may be searched: found, not empty, and about what the title says."""
+    return previews.where((F.col("scope_status") == "ok") & (F.col("title_overlap") >= SCOPE_OVERLAP) & (F.coalesce("scope_text", F.lit("")) != ""))
+
+
+@dataclass(frozen=True)
+class Parts:
+    """What a search may use besides keywords; what is not there, or was built from other data, is left out.
+
+    scopes: kys_id, scope_text. dense, fallback: a function from items (key, query) to a
+    ranked list (key, kys_id, rank); *_built: the fingerprint of the texts they were made from.
+    rerank: a function from (queries, texts) to relevances in [0, 1].
+    """
+
+    scopes: DataFrame | None = None
+    dense: Callable[[DataFrame], DataFrame] | None = None
+    dense_built: str | None = None
+    fallback: Callable[[DataFrame], DataFrame] | None = None
+    fallback_built: str | None = None
+    rerank: Callable[[list[str], list[str]], list[float]] | None = None
+
+    def usable(self, built: str | None) -> Parts:
+        """Without encoders whose vectors were made from other texts than those fingerprinted as built."""
+        stale = lambda own: built is not None and own is not None and own != built
+        dense = None if self.dense is None or stale(self.dense_built) else self.dense
+        fallback = None if self.fallback is None or stale(self.fallback_built) else self.fallback
+        return replace(self, dense=dense, fallback=fallback)
+
+
+def ranked_lists(items: DataFrame, index: DataFrame, parts: Parts, key: str = "item_id") -> dict[str, DataFrame]:
+    """Ranked lists beside the keywords' that these parts give: scopes, and vectors by the encoder each line goes to."""
+    out: dict[str, DataFrame] = {}
+    if parts.scopes is not None:
+        q, d = items.select(key, F.col("query").alias("text")), sound_or_all(parts.scopes).join(index.select("kys_id"), "kys_id", "left_semi").select("kys_id", F.col("scope_text").alias("text"))
+        out["scope"] = retrieval.bm25(q, d, text.tokens("text"), text.tokens("text"), key, "kys_id")
+    if parts.dense is not None:
+        if parts.fallback is None:
+            out["semantic"] = parts.dense(items)
+        else:
+            to = route(F.col("query"), True)
+            out["semantic"] = parts.dense(items.where(to == "english")).unionByName(parts.fallback(items.where(to == "multilingual")))
+    return out
+
+
+def sound_or_all(scopes: DataFrame) -> DataFrame:
+    return sound_scopes(scopes) if {"scope_status", "title_overlap"} <= set(scopes.columns) else scopes
+
+
+def reranked(ranked: DataFrame, items: DataFrame, index: DataFrame, model: Callable[[list[str], list[str]], list[float]], this_year: int, key: str = "item_id", top: int = FINAL) -> DataFrame:
+    """ranked (key, kys_id) scored anew by a model that reads query and document together, boosted as before."""
+    rows = ranked.select(key, "kys_id").join(items.select(key, "query"), key).join(index, "kys_id")
+
+    @F.pandas_udf("double")
+    def relevance(q: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(model(q.tolist(), d.tolist()), dtype="float64")
+
+    score = scoring.combine(relevance("query", "lexical_text"), scoring.boost(F.col("aspect"), F.col("mandatory_cert"), F.col("is_year"), this_year))
+    rows = rows.select(key, "kys_id", "is_number", score.alias("score"))
+    out = rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc(), "kys_id"))).where(F.col("place") <= top)
+    return out.withColumn("tier", scoring.tier(F.col("score")))
+
+
+def retrieve(items: DataFrame, index: DataFrame, this_year: int, parts: Parts | None = None, built: str | None = None, key: str = "item_id", top: int = FINAL) -> DataFrame:
+    """Candidates by all that can be used: keywords always; scopes, vectors and the second reading where they are there and fresh."""
+    use = (parts or Parts()).usable(built)
+    found = candidates(items, index, this_year, key, top if use.rerank is None else retrieval.TOP, ranked_lists(items, index, use, key))
+    return found if use.rerank is None else reranked(found, items, index, use.rerank, this_year, key, top)
+
+
 def with_pins(ranked: DataFrame, items: DataFrame, index: DataFrame, editions: DataFrame, key: str = "item_id", top: int = FINAL) -> DataFrame:
     """Cited standards first, then indexed parts of split ones, then what was ranked."""
     cited = items.select(key, F.posexplode("cited").alias("n", "base"))
