@@ -129,7 +129,7 @@ def references(previews: DataFrame, editions: DataFrame, edges: DataFrame) -> Da
     heads = latest.select(F.substring_index("is_base_id", " (", 1).alias("base"), F.lit(True).alias("has_parts")).where(F.instr("is_base_id", " (") > 0).distinct()
     heads = heads.union(latest.where("is_base_id like '%) (%'").select(F.concat(F.substring_index("is_base_id", ") (", 1), F.lit(")")), F.lit(True))).distinct()
     rows = previews.where("coalesce(scope_status, '') <> 'wrong_standard' and normative_refs is not null")
-    rows = rows.select("kys_id", "scope_status", F.explode(F.array_distinct(F.transform(F.split("normative_refs", ";"), F.trim))).alias("cited_as")).where("cited_as <> ''")
+    rows = rows.select("kys_id", "scope_status", F.explode(F.array_distinct(F.transform(F.split("normative_refs", ";"), lambda x: F.trim(x)))).alias("cited_as")).where("cited_as <> ''")
     shape = r"(?i)^IS\s+(\d+)(?:\s*\(\s*Part\s*(\d+)\s*(?:/\s*Sec\s*(\d+)\s*)?\))?$"
     group = lambda n: F.regexp_extract("cited_as", shape, n)
     base = F.when(F.col("cited_as").rlike(shape), F.concat(F.lit("IS "), group(1), F.when(group(2) != "", F.concat(F.lit(" (Part "), group(2), F.lit(")"))).otherwise(""), F.when(group(3) != "", F.concat(F.lit(" (Sec "), group(3), F.lit(")"))).otherwise("")))

@@ -132,3 +132,27 @@ def recall(ranked_rows: DataFrame, gold: DataFrame, query: str = "item_id", doc:
     all_ = gold.select(query).distinct().join(hit, query, "left")
     shares = [F.round(F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in at]
     return all_.agg(F.count(F.lit(1)).alias("n"), *shares, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def family_recall(ranked_rows: DataFrame, gold: DataFrame, query: str = "item_id", doc: str = "doc_id", family: str = "family", at: int = 5) -> DataFrame:
+    """One row: share of queries whose gold family stands among the first rows. Both have family, what comes before a part."""
+    best = ranked_rows.join(gold.select(query, family).distinct(), [query, family]).groupBy(query).agg((F.min("rank") + 1).alias("first"))
+    all_ = gold.select(query).distinct().join(best, query, "left")
+    return all_.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce((F.col("first") <= at).cast("double"), F.lit(0.0))), 6).alias(f"family_recall_{at}"))
+
+
+def mined_terms(texts: DataFrame, body: str, seeds: list[str], heads: list[str], modifiers_out: list[str], generic: list[str], reviewed_out: list[str], least: int = 25, alone: bool = False) -> DataFrame:
+    """term and n of a gazetteer: seeds that the texts use, two words that end in a head word, and (alone) head words by themselves.
+
+    A modifier has three letters at least and is none of modifiers_out; generic words and
+    terms that a review took out never count.
+    """
+    w = texts.select(F.regexp_extract_all(F.lower(body), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    one = w.select(F.explode("w").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("a"), "b", "n")
+    two = w.where(F.size("w") > 1).select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    every = one.unionByName(two).where(F.col("n") >= least).withColumn("term", F.concat_ws(" ", "a", "b"))
+    headed = F.col("b").isin(heads) & F.col("a").isNotNull() & (F.char_length("a") >= 3) & ~F.col("a").isin(modifiers_out or [""])
+    bare = F.lit(alone) & F.col("a").isNull() & F.col("b").isin(heads)
+    out = every.where(F.col("term").isin(seeds or [""]) | headed | bare)
+    return out.where(~F.col("term").isin([*generic, *reviewed_out, ""])).select("term", "n")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions import scoring
+from ..operators import evaluation
 from ..operators import relational as R
 from .tables import edges, read, sql, standards
 
@@ -85,16 +87,14 @@ def percentiles(spark, d):
 
 
 def threshold_fit(spark, d):
-    gold = read(spark, d, "documents").join(read(spark, d, "labels").where("quality = 1"), "doc_id").select((F.col("n_chars") / 20000.0).alias("score"))
-    p = gold.agg(F.percentile("score", F.array(F.lit(0.05), F.lit(0.3))).alias("p"))
-    high = F.round(F.col("p")[1], 2)
-    low = F.round(F.col("p")[0], 2)
-    return p.select(high.alias("high_min"), F.when(low >= high, F.round(high - 0.05, 2)).otherwise(low).alias("related_min"))
+    good = read(spark, d, "labels").withColumn("is_gold", F.col("quality") == 1).select("doc_id", "is_gold")
+    return evaluation.fit_thresholds(read(spark, d, "documents").join(good, "doc_id").withColumn("score", F.col("n_chars") / 20000.0))
 
 
 def tier_shares(spark, d):
-    s = read(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("score"))
-    return s.agg(F.round(F.avg((F.col("score") >= 0.95).cast("double")), 6).alias("high"), F.round(F.avg(((F.col("score") >= 0.82) & (F.col("score") < 0.95)).cast("double")), 6).alias("related"), F.round(F.avg((F.col("score") < 0.82).cast("double")), 6).alias("possible"))
+    tier = scoring.tier(F.col("l_discount") * 10)
+    share = lambda name: F.round(F.avg((tier == name).cast("double")), 6)
+    return read(spark, d, "lineitem").agg(share("Highly relevant").alias("high"), share("Related").alias("related"), share("Possibly relevant").alias("possible"))
 
 
 def cap_per_key(spark, d):
@@ -154,8 +154,24 @@ def typed_coercion(spark, d):
 
 
 def fingerprint_rows(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))), lambda x: x["h"]), "")).alias("fingerprint"))
+    """One fingerprint of all documents, by ranges of ids."""
+    return R.fingerprint(read(spark, d, "documents"), "doc_id", "text")
+
+
+def last_by_number(spark, d):
+    return R.last_by(standards(spark, d).select("kys_id", "is_number", "status"), "is_number", "kys_id")
+
+
+def smallest_prices(spark, d):
+    """Parts of least price: a top-k report."""
+    p = read(spark, d, "part").select("p_partkey", F.struct("p_retailprice", "p_partkey").alias("o"))
+    return R.smallest(p, "o", 25).select("p_partkey")
+
+
+def display_names(spark, d):
+    n = text.split_number("is_number")
+    title = F.concat(F.lit("Specification for "), F.col("title"), F.when(F.col("kys_id") % 3 == 0, F.lit(" - general")).otherwise(""))
+    return standards(spark, d).select("kys_id", text.short_title(title, 12).alias("short"), n["base"].alias("base"), n["part"].alias("part"))
 
 
 _H = "SELECT * FROM standards WHERE kys_id NOT IN (SELECT kys_id FROM newest)"
@@ -200,5 +216,8 @@ PAIRS = {
     "corpus_build": (corpus_build, sql("SELECT kys_id, is_base_id, doc_text, concat_ws(' | ', doc_text, nullif(past, ''), is_number) AS lexical_text FROM (SELECT n.kys_id, n.is_base_id, n.is_number, past, concat_ws(' | ', nullif(" + _CLEAN.format("title") + ", ''), aspect, " + _CLEAN.format("dept_code") + ") AS doc_text FROM newest n LEFT JOIN past USING (is_base_id))", _PAST)),
     "lookup_build": (lookup_build, sql("SELECT kys_id, is_number, is_base_id, is_year, status, is_canonical, replaced_by_id, " + _CLEAN.format("title") + " AS title_display FROM standards")),
     "typed_coercion": (typed_coercion, "SELECT event_id, try_cast(nullif(regexp_extract(props, '(-?[0-9]+)', 1), '') AS BIGINT) AS number, len(regexp_extract(props, '(-?[0-9]+)', 1)) > 0 AS has_number FROM events"),
-    "fingerprint_rows": (fingerprint_rows, "SELECT source, count(*) AS n, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source"),
+    "fingerprint_rows": (fingerprint_rows, "WITH r AS (SELECT doc_id % 4096 AS cell, sha256(encode(CAST(doc_id AS VARCHAR)) || '\x00'::BLOB || encode(coalesce(text, ''))) AS h FROM documents), c AS (SELECT cell, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY cell) SELECT substr(sha256(string_agg(h, '' ORDER BY cell)), 1, 16) AS fingerprint FROM c"),
+    "last_by_number": (last_by_number, sql("SELECT kys_id, is_number, status FROM (SELECT *, row_number() OVER (PARTITION BY is_number ORDER BY kys_id DESC) AS n FROM standards) WHERE n = 1")),
+    "smallest_prices": (smallest_prices, "SELECT p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT 25"),
+    "display_names": (display_names, sql("SELECT kys_id, CASE WHEN len(t) > 12 THEN rtrim(substr(t, 1, 11)) || '…' ELSE t END AS short, split_part(b, ' (', 1) AS base, substr(b, len(split_part(b, ' (', 1)) + 2) AS part FROM (SELECT kys_id, upper(substr(title, 1, 1)) || substr(title, 2) AS t, regexp_replace(is_number, ':[0-9]{4}$', '') AS b FROM standards)")),
 }

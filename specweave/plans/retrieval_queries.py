@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..frames import cut
 from ..functions import scoring, text
 from ..operators import retrieval as R
 from .tables import read, sql, standards
@@ -74,17 +75,20 @@ def token_counts(spark, d):
     return _docs(spark, d).select(F.explode(text.tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def zipf_costs(spark, d):
+def zipf_costs(spark, d, bin_words: int = 65536):
     """Cost ln((rank + 1) ln n) of each word by frequency; ties go by the word."""
     from pyspark.sql import Window as W
 
     words = _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("length(word) between 2 and 20 or word = 'a'")
-    # one row a distinct word, ranked in ranges of frequency: words of one count meet, all words never
-    by_count = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    before = by_count.withColumn("before", F.coalesce(F.sum("words").over(W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = by_count.agg(F.sum("words").alias("all_words"))
-    ranked = words.join(before.select("n", "before"), "n").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("n").orderBy("word")) - 1)
-    return ranked.join(F.broadcast(total)).select("word", "rank", F.round(F.log((F.col("rank") + 1) * F.log(F.col("all_words").cast("double"))), 6).alias("cost"))  # one row of totals
+    # words are dealt out by sampled quantiles of their order, so that those of one count (half of all occur once) meet in many tasks
+    words = cut(words)
+    total = words.count()
+    order = [F.col("n").desc(), F.col("word")]
+    dealt = cut(words.repartitionByRange(max(1, min(8192, total // bin_words)), *order).withColumn("bin", F.spark_partition_id()))
+    bins = dealt.groupBy("bin").agg(F.count(F.lit(1)).alias("held"))
+    before = bins.select("bin", F.coalesce(F.sum("held").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a bin
+    ranked = dealt.join(F.broadcast(before), "bin").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("bin").orderBy(*order)) - 1)
+    return ranked.select("word", "rank", F.round(F.log((F.col("rank") + 1) * F.log(F.lit(float(total)))), 6).alias("cost"))
 
 
 def bigram_mining(spark, d, least: int = 25):

@@ -38,7 +38,7 @@ def standards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("title"),
         F.when(k % 2 == 0, "Product Specification").when(k % 9 == 0, "Methods of Test").alias("aspect"),
         F.col("p_brand").alias("dept_code"),
-        F.when(k % 11 != 0, F.col("p_retailprice") > 1400).alias("mandatory_cert"),
+        F.when(k % 11 != 0, F.col("p_retailprice") > 950).alias("mandatory_cert"),
         F.when((k % 3 == 0) & (k > 3), F.floor(k / 3).cast("long")).alias("replaced_by_id"),
         F.when(k % 4 != 0, 1970 + F.col("p_size") + (k % 9) - 4).cast("int").alias("reaffirmed_year"),
     )
@@ -58,7 +58,7 @@ standards AS (
          CASE WHEN p_partkey % 3 = 0 THEN 'withdrawn' ELSE 'current' END AS status,
          p_partkey % 5 <> 0 AS is_canonical, p_name AS title,
          CASE WHEN p_partkey % 2 = 0 THEN 'Product Specification' WHEN p_partkey % 9 = 0 THEN 'Methods of Test' END AS aspect,
-         p_brand AS dept_code, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice > 1400 END AS mandatory_cert,
+         p_brand AS dept_code, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice > 950 END AS mandatory_cert,
          CASE WHEN p_partkey % 3 = 0 AND p_partkey > 3 THEN CAST(floor(p_partkey / 3) AS BIGINT) END AS replaced_by_id,
          CASE WHEN p_partkey % 4 <> 0 THEN CAST(1970 + p_size + (p_partkey % 9) - 4 AS INTEGER) END AS reaffirmed_year
   FROM (SELECT *, 'IS ' || CAST(100 + p_partkey % 97 AS VARCHAR) || CASE WHEN p_partkey % 4 = 1 THEN ' (Part ' || CAST(1 + p_partkey % 3 AS VARCHAR) || ')' ELSE '' END AS b FROM part)),

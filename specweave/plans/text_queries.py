@@ -55,16 +55,6 @@ def heading_lines(spark, d):
 
 
 def spec_squash_cover(spark, d):
-    """Whether the first six words of benchmark items stand, squashed, in the documents whose doc_id modulo 40 is the item's id.
-
-    Evidence is dealt out by number, as in its SQL: items from 40 on have none. spec_cover_retrieved retrieves it.
-    """
-    e = read(spark, d, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("is_number"), "text")
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(F.split("text", r"[ ]+"), 1, 6)).alias("seq", "term"))
-    return rag.coverage(q, e)
-
-
-def spec_cover_retrieved(spark, d):
     """Whether each word of benchmark items stands, squashed, in the documents that keyword overlap finds for the item among all."""
     docs, items = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text")
     top = retrieval.keyword_overlap(items, docs, top=TOP).select("item_id", "doc_id", "rank")
@@ -142,8 +132,7 @@ PAIRS = {
     "script_profile": (script_profile, r"SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE len(regexp_extract_all(text, '\p{Latin}')) / n::DOUBLE END, 6) AS latin, round(CASE WHEN n = 0 THEN 0 ELSE len(regexp_extract_all(text, '\p{Cyrillic}')) / n::DOUBLE END, 6) AS cyrillic, n AS letters FROM (SELECT *, len(regexp_extract_all(text, '\p{L}')) AS n FROM documents)"),
     "digit_fold": (digit_fold, "SELECT p_partkey, '123 456 ' || p_name || ' ' || p_size AS folded FROM part"),
     "heading_lines": (heading_lines, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, line, regexp_extract_all(lower(line), '[a-z]+') AS w FROM l) SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE ends_with(trim(line), ':')) AS colons, count(*) FILTER (WHERE len(w) BETWEEN 2 AND 8 AND len(list_filter(w, lambda x: NOT list_contains([" + ",".join(f"'{w}'" for w in text.HEADER_WORDS) + "], x))) = 0) AS headers FROM w GROUP BY doc_id"),
-    "spec_squash_cover": (spec_squash_cover, r"WITH q AS (SELECT item_id AS query_id, unnest(range(0, len(w))) AS seq, unnest(w) AS term FROM (SELECT item_id, regexp_split_to_array(text, '[ ]+')[1:6] AS w FROM benchmark)), n AS (SELECT *, regexp_replace(lower(term), '[\s\-_/]+', '', 'g') AS needle FROM q), e AS (SELECT doc_id % 40 AS query_id, doc_id AS rank, regexp_replace(lower(text), '[\s\-_/]+', '', 'g') AS hay FROM documents) SELECT n.query_id, seq, term, CAST((SELECT min(rank) FROM e WHERE e.query_id = n.query_id AND contains(e.hay, n.needle)) AS VARCHAR) AS covered_by FROM n WHERE needle <> ''"),
-    "spec_cover_retrieved": (spec_cover_retrieved, "WITH " + _overlap(TOP) + r", q AS (SELECT item_id AS query_id, unnest(range(0, len(w))) AS seq, unnest(w) AS term FROM (SELECT item_id, regexp_split_to_array(text, '[ ]+') AS w FROM benchmark)), n AS (SELECT *, regexp_replace(lower(term), '[\s\-_/]+', '', 'g') AS needle FROM q), e AS (SELECT item_id AS query_id, rank, doc_id, regexp_replace(lower(text), '[\s\-_/]+', '', 'g') AS hay FROM ov JOIN documents USING (doc_id)), h AS (SELECT n.query_id, seq, CAST(arg_min(doc_id, rank) AS VARCHAR) AS covered_by FROM n JOIN e ON e.query_id = n.query_id AND contains(e.hay, n.needle) GROUP BY n.query_id, seq) SELECT n.query_id, n.seq, n.term, h.covered_by FROM n LEFT JOIN h USING (query_id, seq) WHERE needle <> ''"),
+    "spec_squash_cover": (spec_squash_cover, "WITH " + _overlap(TOP) + r", q AS (SELECT item_id AS query_id, unnest(range(0, len(w))) AS seq, unnest(w) AS term FROM (SELECT item_id, regexp_split_to_array(text, '[ ]+') AS w FROM benchmark)), n AS (SELECT *, regexp_replace(lower(term), '[\s\-_/]+', '', 'g') AS needle FROM q), e AS (SELECT item_id AS query_id, rank, doc_id, regexp_replace(lower(text), '[\s\-_/]+', '', 'g') AS hay FROM ov JOIN documents USING (doc_id)), h AS (SELECT n.query_id, seq, CAST(arg_min(doc_id, rank) AS VARCHAR) AS covered_by FROM n JOIN e ON e.query_id = n.query_id AND contains(e.hay, n.needle) GROUP BY n.query_id, seq) SELECT n.query_id, n.seq, n.term, h.covered_by FROM n LEFT JOIN h USING (query_id, seq) WHERE needle <> ''"),
     "ground_triples": (ground_triples, """WITH tr AS (SELECT DISTINCT l_suppkey % 10 AS q, 'S' || l_suppkey AS s, 'REFERENCES' AS rel, 'P' || (l_partkey % 50) AS t FROM lineitem),
 ids AS (SELECT q, s AS id FROM tr UNION SELECT q, t FROM tr), either AS (SELECT q, s, rel, t FROM tr UNION SELECT q, t, rel, s FROM tr),
 c0 AS (SELECT DISTINCT l_suppkey % 10 AS q, 'S' || (l_suppkey + l_linenumber % 2 * 10) AS s, CASE WHEN l_linenumber % 3 = 0 THEN 'REPLACES' ELSE 'REFERENCES' END AS rel, 'P' || (l_partkey % 60) AS t FROM lineitem),

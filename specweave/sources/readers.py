@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,17 @@ def csv_with_comments(spark: SparkSession, path: str, columns: tuple[str, ...] =
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = EVALUATION) -> DataFrame:
-    """One record a line; blank and broken lines give no row."""
+    """One record a line; blank and broken lines give no row. broken_lines() counts the latter."""
     lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+    return lines.where(_is_object("value")).select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+
+
+def _is_object(c: str) -> Column:
+    return F.expr(f"coalesce(schema_of_variant(try_parse_json({c})) like 'OBJECT%', false)")
+
+
+def broken_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).where("trim(value) <> ''").where(~_is_object("value")).count()
 
 
 def term_list(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +74,12 @@ def term_list(spark: SparkSession, path: str) -> DataFrame:
     return t.where("term <> '' and not startswith(term, '#')").distinct()
 
 
+def line_list(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as they are, trimmed, in order (n from 0); "#" starts a comment line. Addresses keep their case."""
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
+    return t.select("n", F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')")
+
+
 def gazetteer(spark: SparkSession, *paths: str) -> DataFrame:
     """Mined and reviewed terms together."""
     out = term_list(spark, paths[0])
@@ -123,3 +137,36 @@ def one_document(spark: SparkSession, text: str) -> DataFrame:
 def not_yet_done(wanted: DataFrame, status: DataFrame, key: str = "kys_id", final: tuple[str, ...] = ("ok", "no_preview_link", "preview_empty")) -> DataFrame:
     """What a resumed fetch still has to do: rows without a final status."""
     return wanted.join(status.where(F.col("status").isin(*final)).select(key).distinct(), key, "left_anti")
+
+
+def flattened_documents(documents: DataFrame, cache: str | None = None) -> DataFrame:
+    """path and text as one line of ASCII, without codes of missing glyphs. With a cache folder, documents read before are not read again."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\(cid:\d+\)", " "), r"[^\x00-\x7f]+", " "), r"\s+", " "))
+    out = documents.select("path", flat.alias("text"))
+    if cache is None:
+        return out
+    spark = documents.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        held = spark.read.schema("path string, text string").parquet(cache)
+        out.join(held.select("path"), "path", "left_anti").write.mode("append").parquet(cache)
+    else:
+        out.write.parquet(cache)
+    return spark.read.schema("path string, text string").parquet(cache).join(documents.select("path"), "path", "left_semi")
+
+
+def cache_names(urls: DataFrame, url: str = "line") -> DataFrame:
+    """urls with the name that a download of each is kept under."""
+    return urls.withColumn("name", F.concat(F.substring(F.md5(url), 1, 10), F.lit(".pdf")))
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """kys_id, vector as they were saved."""
+    return spark.read.schema("kys_id long, vector array<float>").parquet(path)
+
+
+def thresholds(spark: SparkSession, path: str, high: float, related: float) -> tuple[float, float]:
+    """Stored lower bounds of the tiers, or those given where none are stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    row = spark.read.parquet(path).first() if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+    return (row["high_min"], row["related_min"]) if row else (high, related)

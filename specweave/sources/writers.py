@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,9 +46,27 @@ def term_list(df: DataFrame, path: str, header: str) -> None:
     head.union(body).coalesce(1).sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Target with a batch's rows in place of those of equal keys; writing it twice changes nothing."""
-    return target.join(batch.select(*keys), keys, "left_anti").unionByName(batch.dropDuplicates(keys))
+def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Target with a batch's rows in place of those of equal keys; writing it twice changes nothing.
+
+    Of several rows of one key in a batch the last in ``order`` wins; without an order they are
+    compared column by column, so that it is always the same one.
+    """
+    by = [F.col(c).desc_nulls_last() for c in order or [c for c in batch.columns if c not in keys] or keys]
+    newest = batch.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("__n = 1").drop("__n")
+    return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(newest)
+
+
+def vectors(df: DataFrame, path: str, key: str = "kys_id", vector: str = "embedding") -> None:
+    """Vectors as floats, of length 1, ready for inner products; zero vectors stay."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform(vector, lambda x: (x / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).cast("float"))
+    df.select(F.col(key).cast("long").alias("kys_id"), unit.alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def thresholds(fitted: DataFrame, path: str) -> None:
+    """The tiers' lower bounds as a table that readers.thresholds() finds: no source is rewritten."""
+    fitted.select("high_min", "related_min").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def index_metadata(df: DataFrame, path: str, **about: object) -> None:

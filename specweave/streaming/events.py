@@ -39,15 +39,19 @@ def without_repeats(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch that keeps the newest row of each key in versions of a Parquet table; a batch done twice changes nothing."""
+def upsert_into(path: str, keys: list[str], order: list[str] | None = None):
+    """A foreachBatch that keeps the newest row of each key (the last in ``order``) in versions of a Parquet table.
+
+    A batch done twice changes nothing: it starts from the newest version before its own,
+    whichever that is, so a stream that was restarted goes on from what is there.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            now = batch.dropDuplicates(keys)
-        else:
-            now = upsert(spark.read.parquet(f"{path}/v{batch_id - 1}"), batch, keys)
-        now.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*")
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        before = max((n for n in (int(f.getPath().getName()[1:]) for f in there) if n < batch_id), default=None)
+        held = batch.limit(0) if before is None else spark.read.schema(batch.schema).parquet(f"{path}/v{before}")
+        upsert(held, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return run

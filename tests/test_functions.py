@@ -145,7 +145,7 @@ def test_query_text():
     ("said", "written"),
     [("eye ess seventeen eighty six", "IS 1786"), ("twenty five millimetre", "25 mm"), ("dee en one hundred fifty", "DN 150"), ("IS-1786 TMT bars", "IS 1786 TMT bars"), ("M 25 mm", "M 25 mm"), ("GI 25 mm pipe", "GI 25 mm pipe"), ("I see you are here", "I see you are here"), ("", ""),
      ("आई एस सत्रह सौ छियासी", "IS 1786"), ("आईएस चार सौ छप्पन के अनुसार", "IS 456 के अनुसार"), ("Fay five hundred bars", "Fe500 bars"), ("dee en five", "DN 5"), ("eye ess one seven eight six", "IS 1786"),
-     ("two lakh fifty thousand litres", "250000 L"), ("IP sixty six lamp", "IP66 lamp"), ("one hundred", "one hundred"), ("oh I see", "oh I see"), ("पच्चीस litres", "25 L")],
+     ("two lakh fifty thousand litres", "250000 L"), ("IP sixty six lamp", "IP66 lamp"), ("one hundred", "one hundred"), ("oh I see", "oh I see"), ("IS-1786 bars", "IS 1786 bars"), ("IS 1786 bars of 5 bars", "IS 1786 bars of 5 bar"), ("पच्चीस litres", "25 L")],
 )
 def test_spoken_notation(said, written):
     assert notation.spoken(said)[0] == written

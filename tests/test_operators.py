@@ -131,9 +131,9 @@ def test_every_item_has_its_evidence_among_all_documents(spark, tmp_path):
     docs = [(i, f"filler number{i} about other things") for i in range(50)] + [(90, "one two three four five six seven eight-nine")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(77, "one two three four five six seven eightnine zebra"), (78, "unheard")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r["query_id"], r["seq"]): r["covered_by"] for r in text_queries.spec_cover_retrieved(spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["seq"]): r["covered_by"] for r in text_queries.spec_squash_cover(spark, str(tmp_path)).collect()}
     assert got == {(77, i): "90" for i in range(8)} | {(77, 8): None, (78, 0): None}
-    warned = {r["query_id"]: r["warning"] for r in udf_queries.coverage_warning_retrieved(spark, str(tmp_path)).collect()}
+    warned = {r["query_id"]: r["warning"] for r in udf_queries.coverage_warning(spark, str(tmp_path)).collect()}
     assert warned == {77: "not named by any evidence: zebra", 78: "not named by any evidence: unheard"}
 
 
