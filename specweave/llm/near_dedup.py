@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hot, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
+from .common import hot, mix, prepare, shingles, store, table, text_chunks, trim, word_hashes, words
 from .graph import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ DEVIATIONS = 4.5
 #: First rank of each round; the last goes on to the end.
 RANKS = (0, 8)
 #: Partners that one copy of a head's text serves.
-HEAD_ROWS = 1024
+HEAD_ROWS = 256
 
 _U = np.uint64
 _N = 2 * M * R
@@ -148,7 +148,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     held = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     streams = hot(held, pairs.count(), HEAD_ROWS).select("a", F.ceil(F.col("n") / HEAD_ROWS).alias("streams"))
     p = pairs.join(F.broadcast(streams), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("streams")), F.lit(0)).alias("stream"))
-    t = texts.select("rep", "text")
+    t = texts.select("rep", "text").hint("merge")
     partners = p.join(t.withColumnRenamed("rep", "b"), "b").select("a", "stream", F.col("b").alias("node"), "text")
     heads = p.select("a", "stream").distinct().join(t.withColumnRenamed("rep", "a"), "a").select("a", "stream", F.lit(None).cast("long").alias("node"), "text")
     rows = partners.union(heads).repartition("a", "stream").sortWithinPartitions("a", "stream", F.col("node").asc_nulls_first())
@@ -268,34 +268,39 @@ def _bands() -> F.Column:
     return pack("u", "v")
 
 
+def _kept(df: DataFrame, name: str = "cut") -> DataFrame:
+    """A stored table for merge joins: it grows with the documents, and its compressed size says nothing about memory."""
+    return store(df, name).hint("merge")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     spark = docs.sparkSession
-    sig = store(signatures(docs), "signatures")
+    sig = _kept(signatures(docs), "signatures")
     mine = F.struct("s1", "s2", "n_shingles", "mark")
     one = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(mine).alias("x"), F.max(mine).alias("y"), F.count(F.lit(1)).alias("times"))
-    one = cut(one.select("doc_id", "x.*", "times", (F.col("x") != F.col("y")).alias("several")))
-    group = cut(one.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "mark", "times")).alias("x"), F.count(F.lit(1)).alias("held")).select("s1", "s2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.mark", "x.times", "held"))
+    one = _kept(one.select("doc_id", "x.*", "times", (F.col("x") != F.col("y")).alias("several")))
+    group = _kept(one.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "mark", "times")).alias("x"), F.count(F.lit(1)).alias("held")).select("s1", "s2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.mark", "x.times", "held"))
     nodes = sig.where("n_shingles > 0").join(group.select(F.col("rep").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    bucket = cut(_buckets(nodes))
+    bucket = _kept(_buckets(nodes))
     head = bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min(F.struct("i", "j", "key")).alias("table"), F.count(F.lit(1)).alias("held"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("a < z")
     # of buckets that hold the same nodes only that of the first table is searched
     first = F.min("table").over(W.partitionBy("a", "z", "held", "members"))
-    head = cut(head.withColumn("first", first).select("key", "a", "held", (F.col("table") == F.col("first")).alias("searched")))
-    bucket = cut(bucket.join(head, "key"))
+    head = _kept(head.withColumn("first", first).select("key", "a", "held", (F.col("table") == F.col("first")).alias("searched")))
+    bucket = _kept(bucket.join(head, "key"))
     near = bucket.select(F.col("rep").alias("doc_id")).distinct()
-    near = cut(near.join(group.select(F.col("rep").alias("doc_id"), "mark", "times"), "doc_id"))
-    texts = store(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).join(near, ["doc_id", "mark"]).select(F.col("doc_id").alias("rep"), "text", "times"), "texts")
+    near = _kept(near.join(group.select(F.col("rep").alias("doc_id"), "mark", "times"), "doc_id"))
+    texts = _kept(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).join(near, ["doc_id", "mark"]).select(F.col("doc_id").alias("rep"), "text", "times"), "texts")
     texts = texts.where("times = 1").union(texts.where("times > 1").dropDuplicates(["rep"]))
-    slim = store(nodes.join(near.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "sketches")
-    stars = cut(bucket.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    parts = components(cut(verify(stars, texts)))
+    slim = _kept(nodes.join(near.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "n_shingles", _bands().alias("bands"), "sketch"), "sketches")
+    stars = _kept(bucket.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    parts = components(_kept(verify(stars, texts)))
     for low, high in zip(RANKS, (*RANKS[1:], float("inf")), strict=True):
         placed = bucket.where("searched").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         rest = placed.join(several, "key", "left_semi").join(slim, "rep")
-        more = cut(_candidates(rest, low, high, block).join(stars, ["a", "b"], "left_anti"))
-        good = cut(verify(more, texts))
+        more = _kept(_candidates(rest, low, high, block).join(stars, ["a", "b"], "left_anti"))
+        good = _kept(verify(more, texts))
         if not good.isEmpty():
             parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(good))
     parts = parts.select(F.col("node").alias("rep"), F.col("component"))

@@ -149,7 +149,7 @@ def plain_near(docs):
 
 @pytest.mark.parametrize("block", [1024, 4])
 def test_near_copies_match_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HEAD_ROWS", 1024 if block == 1024 else 3)
+    monkeypatch.setattr(near_dedup, "HEAD_ROWS", 256 if block == 1024 else 3)
     rng = random.Random(block)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
     docs = []
