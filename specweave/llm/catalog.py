@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, tokens, toxicity
+from . import byte_bpe, decontamination, fill_middle, html, line_dedup, media, mixing, near_dedup, sharding, spelling, suffix_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_spelling": spelling.ORACLE_SQL,
+    "op13_fill_middle": fill_middle.ORACLE_SQL,
 }
