@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..frames import cut
 from ..functions import notation, text
 from . import graph
 
@@ -159,7 +160,8 @@ def run(queries: DataFrame, retrieved: DataFrame, nodes: DataFrame, edges: DataF
     line = W.partitionBy("query_id").orderBy("rank", "rel", "t")
     triples = relations.select("query_id", "s", "rel", "t", F.row_number().over(line).alias("n"))
     asked = prompts(queries, context(evidence, triples))
-    answers = parse_answer(generate(asked, model)).select("query_id", "parsed", "parse_error")
+    # written once: recommendations, relations and warnings come from one answer, and each query is asked once
+    answers = parse_answer(cut(generate(asked, model).select("query_id", "answer"))).select("query_id", "parsed", "parse_error")
     direct = check_recommendations(answers.select("query_id", F.inline("parsed.direct_recommendations")), evidence)
     claims = answers.select("query_id", F.inline("parsed.related_standards")).select("query_id", F.col("related_to").alias("s"), F.col("relationship").alias("rel"), F.col("standard_id").alias("t"))
     related = with_facts(check_triples(claims, triples, evidence).withColumnRenamed("t", "standard_id"), nodes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import language, notation, text
@@ -14,8 +16,8 @@ from ..operators import search as S
 from .graph_queries import PAIRS as GRAPH
 from .graph_queries import loaded
 from .relational_queries import newest
-from .retrieval_queries import _OTOK, _TOK, _bm25, _docs, _items, _overlap
-from .tables import edges, read, sql, standards
+from .retrieval_queries import _OTOK, _TOK, _bm25, _docs, _items, _overlap, index
+from .tables import edges, read, sql, standards, stored_index
 
 # --- references ----------------------------------------------------------------------------
 
@@ -69,8 +71,8 @@ def sound_scopes(spark, d):
 def scope_fusion(spark, d):
     """Three lists: whole texts by keywords and by overlap, and first lines as scopes."""
     first = _docs(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    words = text.tokens("text")
-    lists = {"keyword": R.bm25(_items(spark, d), _docs(spark, d), words, words), "overlap": R.keyword_overlap(_items(spark, d), _docs(spark, d), top=R.TOP), "scope": R.bm25(_items(spark, d), first, words, words)}
+    words, items = text.tokens("text"), _items(spark, d)
+    lists = {"keyword": index(spark, d).search(items, words), "overlap": R.keyword_overlap(items, _docs(spark, d), top=R.TOP), "scope": stored_index(spark, d, "first-lines", first, words).search(items, words)}
     return R.fuse(lists, top=10)
 
 
@@ -89,13 +91,32 @@ def mined_terms(spark, d):
     return R.mined_terms(_docs(spark, d), "text", SEEDS, HEADS, OUT, GENERIC, ["for that"], 25, alone=True)
 
 
+def faulty_model(prompts: list[str]) -> list[str]:
+    """A model that answers by the number of its first evidence: soundly, with claims no evidence bears out, with relations of which one is made up, or with broken JSON."""
+    out = []
+    for p in prompts:
+        name = p[p.find("[") + 1 : p.find("]")]
+        kind = int(name[1:]) % 4
+        direct, related = [{"standard_id": name, "reason": "first in evidence"}], []
+        if kind == 1:
+            direct += [{"standard_id": "X1", "reason": "made up"}, {"standard_id": name, "reason": "see clause 4.2"}]
+        if kind == 2:
+            line = p.split("KNOWLEDGE GRAPH\n", 1)[1].split("\n")[0].split(" ")
+            related = [{"standard_id": name, "relationship": "EQUALS", "related_to": name}]
+            related += [{"standard_id": line[2], "relationship": line[1], "related_to": line[0]}] if len(line) == 3 else []
+        said = json.dumps({"direct_recommendations": direct, "related_standards": related, "warnings": [], "confidence": "high" if kind == 0 else "low"})
+        out.append(said[:-9] if kind == 3 else said)
+    return out
+
+
 def answers(spark, d):
-    """Every benchmark item asked of all documents, by a model that recommends the first evidence."""
+    """Every benchmark item asked of all documents, by a model that makes mistakes of every kind."""
     docs = read(spark, d, "documents")
     nodes = docs.select(F.col("doc_id").alias("kys_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("is_number"), F.concat(F.lit("D "), (F.col("doc_id") % 50).cast("string")).alias("is_base_id"), F.lit(2000).alias("is_year"), F.lit("current").alias("status"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("aspect"))
     top = R.keyword_overlap(_items(spark, d), _docs(spark, d), top=10).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("kys_id"), "rank")
-    out = rag.run(_items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), top, nodes, G.load_edges(edges(spark, d), nodes), rag.stub_model)
-    return out.select("query_id", F.get("recommendations.standard_id", F.lit(0)).alias("standard_id"), "n_evidence", "rejected", "confidence")
+    out = rag.run(_items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), top, nodes, G.load_edges(edges(spark, d), nodes), faulty_model)
+    n = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0))
+    return out.select("query_id", F.get("recommendations.standard_id", F.lit(0)).alias("standard_id"), n("related").alias("n_related"), "n_evidence", "rejected", "confidence")
 
 
 def evidence_links(spark, d):
@@ -206,7 +227,10 @@ PAIRS = {
     "scope_fusion": (scope_fusion, "WITH firsts AS (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents), " + _bm25(_TOK, 50) + ", " + _SCOPES + ", " + _overlap(50) + ", u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, 'keyword' AS src FROM bm25 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'overlap' FROM ov UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'scope' FROM s_bm25), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY item_id, doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM f) WHERE rank < 10"),
     "family_recall": (family_recall, "WITH " + _overlap(10) + ", g AS (SELECT item_id, source FROM benchmark JOIN documents ON documents.doc_id = item_id * 7), h AS (SELECT g.item_id, min(CASE WHEN d.source = g.source THEN o.rank + 1 END) AS f FROM g LEFT JOIN ov o USING (item_id) LEFT JOIN documents d ON d.doc_id = o.doc_id GROUP BY g.item_id) SELECT count(*) AS n, round(avg(coalesce((f <= 5)::INT, 0)), 6) AS family_recall_5 FROM h"),
     "mined_terms": (mined_terms, "WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), t AS (SELECT NULL AS a, unnest(w) AS b FROM w UNION ALL SELECT unnest(w[1:len(w) - 1]), unnest(w[2:]) FROM w WHERE len(w) > 1), c AS (SELECT a, b, concat_ws(' ', a, b) AS term, count(*) AS n FROM t GROUP BY a, b HAVING count(*) >= 25) SELECT term, n FROM c WHERE (term IN ('the', 'of the', 'not there') OR (a IS NOT NULL AND list_contains(" + _HEADS + ", b) AND len(a) >= 3 AND a NOT IN ('and', 'the', 'of')) OR (a IS NULL AND list_contains(" + _HEADS + ", b))) AND term NOT IN ('was', 'for that')"),
-    "answers": (answers, "WITH " + _overlap(10) + " SELECT b.item_id AS query_id, 'D' || min(CASE WHEN rank = 0 THEN doc_id END) AS standard_id, count(o.doc_id) AS n_evidence, 0 AS rejected, CASE WHEN count(o.doc_id) = 0 THEN 'insufficient_evidence' ELSE 'low' END AS confidence FROM benchmark b LEFT JOIN ov o USING (item_id) GROUP BY b.item_id"),
+    "answers": (answers, sql(
+        "SELECT item_id AS query_id, CASE WHEN k <> 3 THEN 'D' || f END AS standard_id, CASE WHEN k = 2 AND near THEN 1 ELSE 0 END AS n_related, n AS n_evidence, CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS rejected, CASE WHEN n = 0 THEN 'insufficient_evidence' WHEN k = 0 THEN 'high' ELSE 'low' END AS confidence FROM a",
+        _overlap(10), "e AS (SELECT src, dst FROM raw_edges WHERE src IN (SELECT doc_id FROM documents) AND dst IN (SELECT doc_id FROM documents))",
+        "a AS (SELECT b.item_id, min(CASE WHEN rank = 0 THEN doc_id END) AS f, min(CASE WHEN rank = 0 THEN doc_id END) % 4 AS k, count(o.doc_id) AS n, coalesce(bool_or(doc_id IN (SELECT src FROM e UNION ALL SELECT dst FROM e)), false) AS near FROM benchmark b LEFT JOIN ov o USING (item_id) GROUP BY b.item_id)")),
     "evidence_links": (evidence_links, "WITH e AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, 'P' || l_partkey AS is_number, 'E' || l_linenumber AS tag FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS query_id, 'P' || (l_partkey + l_linenumber % 2) AS standard_id, CASE WHEN l_linenumber % 3 = 0 THEN 'E' || (l_linenumber + 1) END AS evidence_tag FROM lineitem), a AS (SELECT query_id, tag, min(rank) AS rank FROM e GROUP BY ALL), b AS (SELECT query_id, is_number, min(rank) AS rank FROM e GROUP BY ALL) SELECT r.query_id, r.standard_id, r.evidence_tag, coalesce(a.rank, b.rank) AS rank FROM r LEFT JOIN a ON a.query_id = r.query_id AND a.tag = r.evidence_tag LEFT JOIN b ON b.query_id = r.query_id AND b.is_number = r.standard_id"),
     "quantities_varied": (quantities_varied, "SELECT p_partkey, 0 AS pos, p_size::DOUBLE AS value, " + _case([u[1] for u in _UNITS], "p_partkey % 7") + " AS unit, " + _case([u[2] for u in _UNITS], "p_partkey % 7") + " AS field, " + _case([b[1] for b in _BOUNDS], "p_partkey % 4") + " AS qualifier, " + _case([b[0] for b in _BOUNDS], "p_partkey % 4") + " || p_size || ' ' || " + _case([u[0] for u in _UNITS], "p_partkey % 7") + " AS raw FROM part"),
     "products_varied": (products_varied, "SELECT p_partkey, " + _case(_SINGULAR, "p_partkey % 8") + " AS product FROM part"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..frames import cut
+from ..frames import cut, shared_folder
 from ..functions import scoring, text
+from ..operators import lexical
 from ..operators import retrieval as R
-from .tables import read, sql, standards
+from .tables import read, sql, standards, stored_index
 
 TOP = 10
 YEAR = 2026
@@ -26,8 +29,23 @@ def keyword_overlap_topk(spark, d):
     return out.withColumn("tier", scoring.tier(F.col("score")))
 
 
+def index(spark, d):
+    return stored_index(spark, d, "texts", _docs(spark, d), text.tokens("text"))
+
+
 def bm25_topk(spark, d):
-    return R.bm25(_items(spark, d), _docs(spark, d), text.tokens("text"), text.tokens("text"), top=TOP)
+    return index(spark, d).search(_items(spark, d), text.tokens("text"), top=TOP)
+
+
+def bm25_segments(spark, d):
+    """Documents in three batches, one of them with older texts that the last replaces, and one compaction: ranks are those of one build."""
+    docs = _docs(spark, d)
+    at = lexical.Index(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    old = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("older words of it "), F.substring("text", 1, 300)))
+    for batch, rows in (("a", docs.where("doc_id % 3 = 1").union(old)), ("b", docs.where("doc_id % 3 = 2")), ("c", docs.where("doc_id % 3 = 0"))):
+        at.add(rows, text.tokens("text"), batch)
+    at.compact(2)
+    return at.search(_items(spark, d), text.tokens("text"), top=TOP)
 
 
 def bm25_ablation(spark, d):
@@ -35,7 +53,8 @@ def bm25_ablation(spark, d):
     out = None
     for name, stop in (("with stopwords", ()), ("without", text.INDEX_STOPWORDS)):
         words = text.tokens("text", stop) if stop else F.regexp_extract_all(F.lower("text"), F.lit(text.WORD), F.lit(0))
-        one = R.bm25(_items(spark, d), _docs(spark, d), words, words, top=1)
+        kept = stored_index(spark, d, "all-words", _docs(spark, d), words) if not stop else index(spark, d)
+        one = kept.search(_items(spark, d), words, top=1)
         one = one.agg(F.lit(name).alias("config"), F.count(F.lit(1)).alias("answered"), F.round(F.avg("score"), 4).alias("mean_score"))
         out = one if out is None else out.union(one)
     return out
@@ -48,7 +67,7 @@ def dense_topk(spark, d):
 
 
 def rrf_hybrid(spark, d):
-    lists = {"keyword": R.bm25(_items(spark, d), _docs(spark, d), text.tokens("text"), text.tokens("text")), "overlap": R.keyword_overlap(_items(spark, d), _docs(spark, d), top=R.TOP)}
+    lists = {"keyword": index(spark, d).search(_items(spark, d), text.tokens("text")), "overlap": R.keyword_overlap(_items(spark, d), _docs(spark, d), top=R.TOP)}
     return R.fuse(lists, top=TOP)
 
 
@@ -60,7 +79,7 @@ def boost_and_tier(spark, d):
 
 
 def why_overlap(spark, d):
-    top = R.bm25(_items(spark, d), _docs(spark, d), text.tokens("text"), text.tokens("text"), top=3)
+    top = index(spark, d).search(_items(spark, d), text.tokens("text"), top=3)
     both = top.join(_items(spark, d).withColumnRenamed("text", "q"), "item_id").join(_docs(spark, d), "doc_id")
     return both.select("item_id", "doc_id", R.matched_words(text.tokens("q"), text.tokens("text")).alias("matched"))
 
@@ -141,6 +160,7 @@ _BOOST = """(CASE lower(aspect) WHEN 'product specification' THEN 0.06::DOUBLE W
 PAIRS = {
     "keyword_overlap_topk": (keyword_overlap_topk, "WITH " + _overlap(5) + " SELECT *, CASE WHEN score >= 0.95 THEN 'Highly relevant' WHEN score >= 0.82 THEN 'Related' ELSE 'Possibly relevant' END AS tier FROM ov"),
     "bm25_topk": (bm25_topk, "WITH " + _bm25(_TOK, TOP) + " SELECT item_id, doc_id, score, rank FROM bm25"),
+    "bm25_segments": (bm25_segments, "WITH " + _bm25(_TOK, TOP) + " SELECT item_id, doc_id, score, rank FROM bm25"),
     "bm25_ablation": (bm25_ablation, "WITH " + _bm25(_ALL, 1, "a_") + ", " + _bm25(_TOK, 1, "b_") + " SELECT 'with stopwords' AS config, count(*) AS answered, round(avg(score), 4) AS mean_score FROM a_bm25 UNION ALL SELECT 'without', count(*), round(avg(score), 4) FROM b_bm25"),
     "dense_topk": (dense_topk, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) WHERE rank < 10"),
     "rrf_hybrid": (rrf_hybrid, "WITH " + _bm25(_TOK, 50) + ", " + _overlap(50) + ", u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, 'keyword' AS src FROM bm25 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'overlap' FROM ov), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY item_id, doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM f) WHERE rank < 10"),

@@ -6,9 +6,13 @@ twin in SQL (``CTES``) states the same mapping for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frames import shared_folder
+from ..operators import lexical
 
 #: Tables of long texts: a small file of them may be a single row group, which one task would read and work on alone.
 TEXTS = ("documents", "pages", "conversations")
@@ -24,6 +28,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def stored_index(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, tokens: Column, table: str = "documents") -> lexical.Index:
+    """The stored index of a table's texts, made once for a state of its files and read by every later query; it goes with the checkpoint folder."""
+    at = hashlib.sha256(f"{sf_dir}:{table}:{name}".encode()).hexdigest()[:16]
+    return lexical.of_source(spark, f"{shared_folder(spark)}/index-{name}-{at}", docs, tokens, lexical.fingerprint(spark, f"{sf_dir}/{table}.parquet"))
+
+
 def standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Editions: several to a base id, some without a year, some withdrawn, some parts of a number."""
     k = F.col("p_partkey")

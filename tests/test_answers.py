@@ -61,6 +61,26 @@ def test_prompts_of_queries_without_evidence_are_never_written(spark, nodes, edg
     assert broken[1]["confidence"] == "low" and "the answer could not be read" in broken[1]["warnings"] and broken[2]["confidence"] == "insufficient_evidence"
 
 
+def test_each_query_is_asked_once(spark, nodes, edges, tmp_path):
+    """Whatever the plans above read, a model sees a prompt once, and all that is said of a query comes from one answer."""
+
+    def model(prompts):
+        import uuid
+
+        for p in prompts:
+            open(f"{tmp_path}/{uuid.uuid4().hex}", "w").write(p)
+        mark = uuid.uuid4().hex
+        return [json.dumps({"direct_recommendations": [{"standard_id": "IS 10322:2014", "reason": mark}], "related_standards": [], "warnings": [mark], "confidence": mark})] * len(prompts)
+
+    queries = spark.createDataFrame([(i, "LED street light") for i in range(5)], "query_id long, query string")
+    found = spark.createDataFrame([(i, 1, 0) for i in range(5)], "query_id long, kys_id long, rank int")
+    out = rag.run(queries, found, nodes, edges, model)
+    for _ in range(2):
+        for r in out.collect():
+            assert r["recommendations"][0]["reason"] == r["warnings"][0] == r["confidence"]
+    assert len(list(tmp_path.iterdir())) == 5
+
+
 def test_references_say_why_they_lead_nowhere(spark, nodes, edges):
     previews = spark.createDataFrame([(1, "ok", "IS 1; IS 9; IS 9 (Part 1/Sec 2); IS 9 (Part 1); IS 77; IS 9 (Parts 1 To 4); IS 1"), (3, "wrong_standard", "IS 1"), (4, "ok", None)], "kys_id long, scope_status string, normative_refs string")
     got = {r["cited_as"]: r for r in graph.references(previews, nodes, edges).collect()}
