@@ -113,6 +113,36 @@ def fuse(lists: dict[str, DataFrame], query: str = "item_id", doc: str = "doc_id
     return ranked(summed, query, "score", doc, top)
 
 
+def fuse_subsets(lists: dict[str, DataFrame], query: str = "item_id", doc: str = "doc_id", top: int = TOP) -> DataFrame:
+    """Reciprocal rank fusion of every subset of the lists: (config, query, doc, score, rank).
+
+    Each list is worked out once; its rows go to the subsets that have it. config names the
+    lists, joined by "+".
+    """
+    names, every = list(lists), None
+    configs = ["+".join(n for i, n in enumerate(names) if mask >> i & 1) for mask in range(1, 1 << len(names))]
+    for name, one in lists.items():
+        mine = F.array(*[F.lit(c) for c in configs if name in c.split("+")])
+        part = one.select(query, doc, scoring.rrf(F.col("rank")).alias("share"), mine.alias("configs"))
+        every = part if every is None else every.unionByName(part)
+    summed = every.select(F.explode("configs").alias("config"), query, doc, "share").groupBy("config", query, doc).agg(F.round(F.sum("share"), 9).alias("score"))
+    w = W.partitionBy("config", query).orderBy(F.col("score").desc(), F.col(doc))
+    best = summed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return best.withColumn("rank", F.col("rank") - 1)
+
+
+def recall_by(ranked_rows: DataFrame, gold: DataFrame, configs: DataFrame, query: str = "item_id", doc: str = "doc_id", at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """recall() for each of configs (config); those that rank nothing have shares of 0."""
+    gold = gold.select(query, doc).distinct()
+    hit = ranked_rows.join(gold, [query, doc]).groupBy("config", query).agg((F.min("rank") + 1).alias("first"))
+    n = gold.select(query).distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
+    sums = [F.count_if(F.col("first") <= k).alias(f"hits_{k}") for k in at]
+    per = hit.groupBy("config").agg(*sums, F.sum(1.0 / F.col("first")).alias("gain"))
+    out = configs.join(per, "config", "left").crossJoin(F.broadcast(n))
+    shares = [F.round(F.coalesce(f"hits_{k}", F.lit(0)) / F.col("n"), 6).alias(f"recall_{k}") for k in at]
+    return out.select("config", "n", *shares, F.round(F.coalesce("gain", F.lit(0.0)) / F.col("n"), 6).alias("mrr"))
+
+
 def pin(ranked_rows: DataFrame, pinned: DataFrame, query: str = "item_id", doc: str = "doc_id", top: int = 10) -> DataFrame:
     """Pinned rows first, then the others in their order; both have query, doc, score, rank."""
     rest = ranked_rows.join(pinned.select(query, doc), [query, doc], "left_anti")

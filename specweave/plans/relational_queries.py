@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frames import shared_folder
 from ..functions import text
 from ..functions import scoring
 from ..operators import evaluation
 from ..operators import relational as R
+from ..sources import merge
 from .tables import edges, read, sql, standards
 
 _LIVE = "status = 'current' and is_canonical"
@@ -188,7 +192,20 @@ merged AS (SELECT kys_id, CAST(greatest(coalesce(old, u), coalesce(u, old)) AS I
   CASE WHEN f IS NULL THEN 'not found' WHEN u IS NULL THEN 'dropped' WHEN old IS NULL THEN 'filled' WHEN u > old THEN 'raised' ELSE 'kept' END AS change FROM m)"""
 _PICK = "SELECT is_base_id, kys_id, is_year, status FROM (SELECT *, row_number() OVER (PARTITION BY is_base_id ORDER BY {0}) AS k FROM standards {1}) WHERE k = 1"
 
+def merged_orders(spark, d):
+    """A keyed table of orders after three batches: new rows, changed ones, and a batch that takes some away; the last is done twice."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = merge.KeyedTable(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", ["o_orderkey"], "o_orderkey long, o_orderstatus string, o_totalprice double", 16)
+    table.merge(o.where("o_orderkey % 5 <> 0"), batch="new")
+    late = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("L"))
+    table.merge(late.union(late.withColumn("o_orderstatus", F.lit("A"))), ["o_orderstatus"], "late")
+    for _ in range(2):
+        table.merge(o.where("o_orderkey % 7 = 0").withColumn("gone", F.lit(True)), batch="gone", deleted="gone")
+    return table.read()
+
+
 PAIRS = {
+    "merged_orders": (merged_orders, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'L' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0)"),
     "latest_edition": (latest_edition, sql("SELECT is_base_id, kys_id, is_year, status FROM newest")),
     "latest_current_first": (latest_current_first, sql(_PICK.format("CASE status WHEN 'current' THEN 0 ELSE 1 END, coalesce(is_year, -1) DESC, kys_id DESC", ""))),
     "latest_unknown_year_wins": (latest_unknown_year_wins, sql(_PICK.format("is_year DESC NULLS FIRST, kys_id DESC", "WHERE status = 'current' AND is_canonical"))),

@@ -118,13 +118,31 @@ def bigram_mining(spark, d, least: int = 25):
     return both.groupBy("term", "words").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def recall_mrr(spark, d):
-    """Retrieval of each item against the documents that hold all of its tokens."""
+def _gold(spark, d):
+    """(item, document) where the document holds all of the item's tokens."""
     q = _items(spark, d).select("item_id", F.explode(F.array_distinct(text.ascii_tokens("text", text.OVERLAP_STOPWORDS, 2))).alias("token"))
     n = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("need"))
     t = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(text.ascii_tokens("text", text.OVERLAP_STOPWORDS, 2))).alias("token"))
-    gold = q.join(t, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("has")).join(n, "item_id").where("has = need").select("item_id", "doc_id")
-    return R.recall(R.keyword_overlap(_items(spark, d), _docs(spark, d), top=10), gold)
+    return q.join(t, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("has")).join(n, "item_id").where("has = need").select("item_id", "doc_id")
+
+
+def recall_mrr(spark, d):
+    """Retrieval of each item against the documents that hold all of its tokens."""
+    return R.recall(R.keyword_overlap(_items(spark, d), _docs(spark, d), top=10), _gold(spark, d))
+
+
+def first_lines(spark, d):
+    return _docs(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+
+
+def ablation_grid(spark, d):
+    """Recall of every subset of three lists, and of none: eight configurations, each list ranked once."""
+    items, words = _items(spark, d), text.tokens("text")
+    scopes = stored_index(spark, d, "first-lines", first_lines(spark, d), words)
+    lists = {"keyword": index(spark, d).search(items, words), "overlap": R.keyword_overlap(items, _docs(spark, d), top=R.TOP), "scope": scopes.search(items, words)}
+    names = ["none", "keyword", "overlap", "scope", "keyword+overlap", "keyword+scope", "overlap+scope", "keyword+overlap+scope"]
+    configs = spark.createDataFrame([(n,) for n in names], "config string")
+    return R.recall_by(R.fuse_subsets(lists, top=10), _gold(spark, d), configs)
 
 
 _STOP = "[" + ",".join(f"'{w}'" for w in text.INDEX_STOPWORDS) + "]"
@@ -157,7 +175,16 @@ _BOOST = """(CASE lower(aspect) WHEN 'product specification' THEN 0.06::DOUBLE W
  + CASE WHEN coalesce(mandatory_cert, false) THEN 0.03::DOUBLE ELSE 0 END
  + CASE WHEN is_year > 1980 THEN 0.02::DOUBLE * least((is_year - 1980) / 46.0::DOUBLE, 1) ELSE 0 END)"""
 
+#: Rows of the lists with what each gives a document, and the first lines as scopes.
+_LISTS = _bm25(_TOK, 50) + ", " + _bm25(_TOK, 50, "s_").replace("FROM documents", "FROM firsts") + ", " + _overlap(50)
+_SHARES = "u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, 'keyword' AS src FROM bm25 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'overlap' FROM ov UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'scope' FROM s_bm25)"
+FIRSTS = "firsts AS (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)"
 PAIRS = {
+    "ablation_grid": (ablation_grid, "WITH " + FIRSTS + ", " + _LISTS + ", " + _SHARES + ", c AS (SELECT unnest(['none', 'keyword', 'overlap', 'scope', 'keyword+overlap', 'keyword+scope', 'overlap+scope', 'keyword+overlap+scope']) AS config), "
+        "f AS (SELECT config, item_id, doc_id, round(sum(s), 9) AS score FROM u JOIN c ON list_contains(string_split(config, '+'), src) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY config, item_id ORDER BY score DESC, doc_id) AS place FROM f), "
+        "gold AS (SELECT item_id, doc_id FROM oq JOIN od USING (token) GROUP BY item_id, doc_id HAVING count(*) = any_value(nq)), "
+        "h AS (SELECT c.config, g.item_id, min(CASE WHEN place <= 10 THEN place END) AS first FROM c CROSS JOIN gold g LEFT JOIN rk ON rk.config = c.config AND rk.item_id = g.item_id AND rk.doc_id = g.doc_id GROUP BY ALL) "
+        "SELECT config, count(*) AS n, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM h GROUP BY config"),
     "keyword_overlap_topk": (keyword_overlap_topk, "WITH " + _overlap(5) + " SELECT *, CASE WHEN score >= 0.95 THEN 'Highly relevant' WHEN score >= 0.82 THEN 'Related' ELSE 'Possibly relevant' END AS tier FROM ov"),
     "bm25_topk": (bm25_topk, "WITH " + _bm25(_TOK, TOP) + " SELECT item_id, doc_id, score, rank FROM bm25"),
     "bm25_segments": (bm25_segments, "WITH " + _bm25(_TOK, TOP) + " SELECT item_id, doc_id, score, rank FROM bm25"),

@@ -8,7 +8,7 @@ from ..functions import documents as D
 from ..frames import cut
 from ..functions import language, notation, preview, translation
 from ..functions import requirements as R
-from ..operators import rag
+from ..operators import rag, segmentation
 from ..streaming import events as E
 from .retrieval_queries import zipf_costs
 from .tables import read
@@ -46,6 +46,13 @@ def word_split(spark, d):
     return items.select("item_id", D.query_column(F.col("text"), glued_costs(zipf_costs(spark, d), items)).alias("split"))
 
 
+def unjoined_words(spark, d):
+    """Neighbouring words of benchmark items without the space between them, put apart by counts over all documents."""
+    model = segmentation.counted(read(spark, d, "documents"))
+    glued = read(spark, d, "benchmark").select(F.explode(segmentation.glued("text")).alias("run")).where(F.char_length("run") >= segmentation.LONG).distinct()
+    return segmentation.split(glued, model)
+
+
 def quantities(spark, d):
     line = F.concat(F.lit("pipe "), F.col("p_size").cast("string"), F.lit(" mm to "), (F.col("p_size") + 9).cast("string"), F.lit(" mm diameter, capacity "), F.round("p_retailprice").cast("int").cast("string"), F.lit(" litres, DN "), F.col("p_size").cast("string"))
     q = read(spark, d, "part").select("p_partkey", F.posexplode(R.quantity_items(line)).alias("pos", "q"))
@@ -118,6 +125,18 @@ PAIRS = {
     "line_items": (line_items, None),
     "strip_boilerplate": (strip_boilerplate, None),
     "word_split": (word_split, None),
+    "unjoined_words": (unjoined_words, r"""WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+u AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word),
+b AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM t WHERE len(w) > 1) GROUP BY a, b),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM u),
+g AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+r AS MATERIALIZED (SELECT DISTINCT run FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) AS run FROM g) WHERE len(run) >= 8),
+p AS MATERIALIZED (SELECT run, i AS s, j AS e, word, u.n FROM (SELECT run, i, unnest(range(i + 2, least(len(run), i + 20) + 1)) AS j FROM (SELECT run, unnest(range(0, len(run) - 1)) AS i FROM r)) JOIN u ON u.word = substr(run, i + 1, j - i)),
+one AS (SELECT run, e AS stop, word AS last, n AS last_n, word AS words, -ln(n / total) AS cost FROM p, tot WHERE s = 0),
+two AS (SELECT o.run, p.e AS stop, p.word AS last, p.n AS last_n, o.words || ' ' || p.word AS words, cost + CASE WHEN b.n IS NULL THEN -ln(0.4::DOUBLE * p.n / total) ELSE -ln(b.n / CAST(o.last_n AS DOUBLE)) END AS cost FROM one o JOIN p ON p.run = o.run AND p.s = o.stop LEFT JOIN b ON b.a = o.last AND b.b = p.word, tot),
+three AS (SELECT o.run, p.e AS stop, o.words || ' ' || p.word AS words, cost + CASE WHEN b.n IS NULL THEN -ln(0.4::DOUBLE * p.n / total) ELSE -ln(b.n / CAST(o.last_n AS DOUBLE)) END AS cost FROM two o JOIN p ON p.run = o.run AND p.s = o.stop LEFT JOIN b ON b.a = o.last AND b.b = p.word, tot),
+every AS (SELECT run, words, cost, 2 AS k FROM two WHERE stop = len(run) UNION ALL SELECT run, words, cost, 3 FROM three WHERE stop = len(run) UNION ALL SELECT r.run, r.run, CASE WHEN u.n IS NULL THEN ln(total / 10) + len(r.run) * ln(10.0::DOUBLE) ELSE -ln(u.n / total) END, 1 FROM r LEFT JOIN u ON u.word = r.run, tot)
+SELECT run, words, cost FROM (SELECT run, words, round(cost, 6) AS cost, row_number() OVER (PARTITION BY run ORDER BY round(cost, 6), k, words) AS x FROM every) WHERE x = 1"""),
     "quantities": (quantities, "SELECT p_partkey, 0 AS pos, p_size::DOUBLE AS value, 'mm' AS unit, 'size' AS field, p_size + 9.0::DOUBLE AS value_max FROM part UNION ALL SELECT p_partkey, 1, round(p_retailprice), 'L', 'capacity', NULL FROM part UNION ALL SELECT p_partkey, 2, p_size, 'DN', 'diameter', NULL FROM part"),
     "product": (product, "SELECT p_partkey, p_name || ' tank' AS product FROM part"),
     "detect_language": (detect_language, None),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.writers import upsert
+from ..sources.merge import KeyedTable
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LATE = "1 hour"
@@ -39,19 +39,13 @@ def without_repeats(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def upsert_into(path: str, keys: list[str], order: list[str] | None = None):
-    """A foreachBatch that keeps the newest row of each key (the last in ``order``) in versions of a Parquet table.
+def upsert_into(table: KeyedTable, order: list[str] | None = None, stream: str = "upsert"):
+    """A foreachBatch that merges each batch into a table: the newest row of a key (the last in ``order``) stays, untouched partitions keep their files.
 
-    A batch done twice changes nothing: it starts from the newest version before its own,
-    whichever that is, so a stream that was restarted goes on from what is there.
+    A batch done twice changes nothing: the table knows which ones of this stream it has.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*")
-        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
-        before = max((n for n in (int(f.getPath().getName()[1:]) for f in there) if n < batch_id), default=None)
-        held = batch.limit(0) if before is None else spark.read.schema(batch.schema).parquet(f"{path}/v{before}")
-        upsert(held, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        table.merge(batch, order, f"{stream}:{batch_id}")
 
     return run

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specweave.operators import graph, rag, relational, retrieval, search
-from specweave.sources import readers, writers
+from specweave.sources import merge, readers, writers
 from specweave.streaming import events
 
 NODES = "kys_id long, is_number string, is_base_id string, is_year int, status string, title string, aspect string, dept_code string, is_canonical boolean, replaced_by_id long, lexical_text string, mandatory_cert boolean"
@@ -147,13 +147,40 @@ def test_sources_and_sinks_of_few_lines(spark, tmp_path):
     assert readers.thresholds(spark, f"{d}/t", 0.95, 0.82) == (0.9, 0.7)
 
 
+def _files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
 def test_upserts_keep_the_newest_and_go_on_after_a_restart(spark, tmp_path):
     frame = lambda *rows: spark.createDataFrame(list(rows), "k long, at long, v string")
-    into = events.upsert_into(str(tmp_path), ["k"], ["at"])
+    table = merge.KeyedTable(spark, str(tmp_path), ["k"], "k long, at long, v string", 8)
+    into = events.upsert_into(table, ["at"])
     into(frame((1, 1, "old"), (1, 3, "new"), (1, 2, "mid"), (2, 1, "x")), 4)
     into(frame((2, 9, "y"), (3, 1, "z")), 7)
-    into(frame((2, 9, "y"), (3, 1, "z")), 7)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/v7").collect()) == [(1, 3, "new"), (2, 9, "y"), (3, 1, "z")]
+    into(frame((2, 0, "again"), (3, 1, "z")), 7)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 3, "new"), (2, 9, "y"), (3, 1, "z")]
+    assert sorted(tuple(r) for r in table.read(1).collect()) == [(1, 3, "new"), (2, 1, "x")]
+    assert [tuple(r) for r in table.lookup(frame((3, 0, ""))).collect()] == [(3, 1, "z")]
+
+
+def test_a_merge_of_few_keys_leaves_other_partitions_alone(spark, tmp_path, monkeypatch):
+    rows = spark.range(500).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("a").alias("v"))
+    table = merge.KeyedTable(spark, str(tmp_path), ["k"], "k long, v string", 16)
+    table.merge(rows, batch="0")
+    before, few = _files(tmp_path), spark.createDataFrame([(7, "b", False), (None, "b", False), (9, "x", True)], "k long, v string, gone boolean")
+    v = table.merge(few, batch="1", deleted="gone")
+    assert before.items() <= _files(tmp_path).items() and 1 <= sum(f == v.folders[p] for p, f in v.folders.items() if f not in table.version(1).folders.values()) <= 3
+    want = {(r["k"], r["v"]) for r in rows.collect()} - {(7, "a"), (None, "a"), (9, "a")} | {(7, "b"), (None, "b")}
+    assert {tuple(r) for r in table.read().collect()} == want and table.read().count() == 499
+    # a batch that breaks off before its manifest is not there
+    monkeypatch.setattr(merge.json, "dumps", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.merge(few.withColumn("v", F.lit("c")), batch="2", deleted="gone")
+    monkeypatch.undo()
+    assert table.version() == v and {tuple(r) for r in table.read().collect()} == want
+    assert table.vacuum() > 0 and {tuple(r) for r in table.read().collect()} == want and table.versions() == [2]
+    table.merge(table.read().withColumn("gone", F.lit(True)), deleted="gone")
+    assert table.read().count() == 0
 
 
 def test_mined_terms(spark):
