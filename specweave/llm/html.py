@@ -3,10 +3,12 @@
 A host's wrapper is learned from ``REFERENCES`` different pages of it. Their DOM trees are
 aligned by simple tree matching, the pages of one layout with each other: elements that all
 of them have are the template, text that differs from page to page, and elements that only
-some have, fill slots. The innermost template element whose slots hold ``MASS`` of all
-varying running text (text outside links) is the content region; where less than ``LITTLE``
-of the text varies, pages are copies of one article and all their text counts. Every page is read by the
-wrapper of its host: the text of the region stays, all else goes.
+some have, fill slots. The smallest template element whose slots hold all varying running text
+(text outside links and boilerplate) is the content region, so that titles, leads and sections
+beside an article's body stay with it; where <article> or <main> hold more than half of
+what varies, the region is sought inside them. Where less than ``LITTLE`` of the text varies,
+pages are copies of one article and all their text counts. Every page is read by the wrapper
+of its host: the text of the region stays, all else goes.
 
 Inside the region, text blocks that ``SHARE`` of the host's different articles of one layout
 have at one place (and ``LEAST`` of them at least) are template, too. They are counted over
@@ -46,8 +48,10 @@ from pyspark.sql import functions as F
 from .common import prepare, store, table
 
 REFERENCES, LEAST = 8, 3
-#: Share of the varying text that the content region holds, and of elements that pages of one layout have in common.
-MASS, ALIKE = 0.8, 0.6
+#: Share of elements that pages of one layout have in common.
+ALIKE = 0.6
+#: Share of the varying text that the region may leave outside where no rule on tags and words tells boilerplate.
+LOOSE = 0.2
 #: Share of the text of a layout's pages below which what varies does not tell template from article.
 LITTLE = 0.1
 #: Bounds of a comparison of trees: elements of either, children of an element, pairs.
@@ -220,9 +224,17 @@ def _size(node: Node, path: int) -> int:
     return sum(len(t) for _, t, _ in blocks(node, path, True))
 
 
+def main(node: Node) -> bool:
+    """Whether an element says that it is the page's main part."""
+    return node.tag == "main" or "main" in node.attr and _words(node.attr).get("role") == "main" or "articlebody" in node.attr.lower()
+
+
+def tells(node: Node) -> bool:
+    return node.tag == "article" and not boilerplate(node, True) or main(node)
+
+
 def container(root: Node) -> list[tuple[Node, int]]:
     """The elements that hold the article, by tags: <article>, <main>, or the densest."""
-    main = lambda n: n.tag == "main" or "main" in n.attr and _words(n.attr).get("role") == "main" or "articlebody" in n.attr.lower()
     for test in (lambda n: n.tag == "article" and not boilerplate(n, True), main):
         found = _find(root, test)
         if len(found) > 1:
@@ -259,24 +271,23 @@ def region(root: Node, wanted: int, rules: bool = True) -> list[tuple[Node, int]
 
 
 def dense(root: Node) -> tuple[Node, int]:
-    """The innermost element with four fifths of the text outside links."""
-
-    def weigh() -> dict[int, int]:
-        weight: dict[int, int] = {}
-        order, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += [k for k in node.kids if isinstance(k, Node) and k.tag != "a" and not boilerplate(k, False)]
-        for node in reversed(order):
-            weight[id(node)] = sum(len(k.strip()) if isinstance(k, str) else weight.get(id(k), 0) for k in node.kids)
-        return weight
-
-    weight, node, path = weigh(), root, 0
-    total = weight[id(root)]
+    """The innermost element with all headings, paragraphs and items outside links and boilerplate, and four fifths of the other text."""
+    weight: dict[int, int] = {}  # characters, and of those in LISTED elements
+    prose: dict[int, int] = {}
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if isinstance(k, Node) and k.tag != "a" and not boilerplate(k, False)]
+    for node in reversed(order):
+        weight[id(node)] = sum(len(k.strip()) if isinstance(k, str) else weight.get(id(k), 0) for k in node.kids)
+        prose[id(node)] = weight[id(node)] if node.tag in LISTED else sum(prose.get(id(k), 0) for k in node.kids if isinstance(k, Node))
+    node, path = root, 0
     while True:
         best = max((k for k in node.kids if isinstance(k, Node)), key=lambda k: weight.get(id(k), 0), default=None)
-        if best is None or weight.get(id(best), 0) < 0.8 * total or not total or best.tag not in BLOCK or best.tag in ("p", "li", "td", "h1", "h2", "h3"):
+        if best is None or not weight.get(id(best)) or weight[id(best)] < 0.8 * weight[id(root)] or prose[id(best)] < prose[id(node)]:
+            return node, path
+        if best.tag not in BLOCK or best.tag in ("p", "li", "td", "h1", "h2", "h3"):
             return node, path
         node, path = best, _step(path, best.tag)
 
@@ -419,8 +430,11 @@ def layouts(trees: list[Sketch]) -> list[tuple[Sketch, list[dict[int, Sketch]],
     return found
 
 
-def content(first: Sketch, partners: list[dict[int, Sketch]], members: list[Sketch]) -> tuple[Sketch, set[int], dict[int, set[str]]] | None:
-    """The innermost template element whose slots hold MASS of the varying text; the template, and its elements' constant texts."""
+def content(first: Sketch, partners: list[dict[int, Sketch]], members: list[Sketch], loss: float = 0.0) -> tuple[Sketch, set[int], dict[int, set[str]]] | None:
+    """The smallest template element whose slots hold all varying text but a share of ``loss``; the template, and its elements' constant texts.
+
+    Where an element that says it is the article holds more than half of what varies, only its inside counts.
+    """
     order = _nodes(first)
     template = {id(n) for n in order if all(id(n) in p for p in partners)}
     texts = lambda n: {k for k in n.kids if isinstance(k, str)}
@@ -435,16 +449,17 @@ def content(first: Sketch, partners: list[dict[int, Sketch]], members: list[Sket
             mass[at] += sum(len(k) for k in n.kids if isinstance(k, str) and k not in same)
             whole[at] += sum(len(k) for k in n.kids if isinstance(k, str))
     mass = whole if mass.total() < LITTLE * whole.total() else mass
-    total = mass.total()
-    if not total:
+    if not mass.total():
         return None
     for n in reversed(order):
         if n.up is not None:
             mass[id(n.up)] += mass[id(n)]
-    here = first
+    told = [n for n in order if id(n) in template and tells(n.nodes[0])]
+    here = max(told, key=lambda n: mass[id(n)], default=first)
+    here = here if 2 * mass[id(here)] > mass[id(first)] else first
     while True:
         best = max((k for k in here.kids if isinstance(k, Node) and id(k) in template), key=lambda k: mass[id(k)], default=None)
-        if best is None or mass[id(best)] < MASS * total or best.tag in LISTED and best.tag != "tr":
+        if best is None or mass[id(best)] < (1 - loss) * mass[id(here)] or best.tag in LISTED and best.tag != "tr":
             return here, template, always
         here = best
 
@@ -460,7 +475,7 @@ def induce(pages: list[str], rules: bool = True) -> list[list]:
     found = sorted((x for x in layouts(trees) if len(x[2]) >= LEAST), key=lambda x: -len(x[2]))
     out = []
     for first, partners, members in found:
-        got = content(first, partners, members)
+        got = content(first, partners, members, 0.0 if rules else LOOSE)
         if got is None:
             continue
         here, template, always = got
@@ -554,7 +569,8 @@ def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     full = pages.where(F.trim(F.translate("html", "\t\r\n\f", "    ")) != "").withColumn("digest", F.md5("html"))
     # one row a different page of a host before the rank: copies take no places
     ranked = full.groupBy("host", "digest").agg(F.min("page_id").alias("least")).withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy("digest")))
-    chosen = F.broadcast(ranked.where(F.col("rank") <= references).select("host", "digest", "least"))  # a few places a host
+    # a written table: Spark knows its size and sends it to the pages only if it is small
+    chosen = store(ranked.where(F.col("rank") <= references).select("host", "digest", "least"), "references")
     rows = full.join(chosen, (full["host"] == chosen["host"]) & (full["digest"] == chosen["digest"]) & full["page_id"].eqNullSafe(chosen["least"]), "left_semi")
     picked = rows.groupBy("host", "digest").agg(F.first("html").alias("html")).select("host", "html")
 
