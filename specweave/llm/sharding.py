@@ -6,7 +6,8 @@ split. A sample, drawn with chances in proportion to row sizes and bounded by
 ``SAMPLE``, gives splitters at its quantiles; ranges that hold too many rows are
 subdivided by a second sample, of their rows, so that neither a text that fills part of a
 range nor rows too short to be sampled make a cell large. Rows that agree in text and
-doc_id are told apart by a number written beside them. Totals of the cells are summed up,
+doc_id are told apart by a number written beside them; samples draw by it, too, so that
+rows of one doc_id, or of none, are sampled like all others. Totals of the cells are summed up,
 and rows of one cell alone are sorted together, which gives every row its place in the
 whole order.
 
@@ -15,7 +16,8 @@ texts smaller than ``KEEP`` of a shard goes into one shard whole; larger groups
 cut like other rows. Law ``rows``: cut by places, counts at most one apart.
 
 Defined cases: a null text counts as empty (size 8, CRC 0); an empty table gives no
-row; repeated rows are separate rows; further columns are ignored.
+row; repeated rows, and rows that share a doc_id or have none, are separate rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def dealt(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int
     n, size = total["n"], max(1, total["size"])
     range_rows = max(range_rows, n // CELLS)
 
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("splitter")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    draw = F.pmod(F.xxhash64("doc_id", "nth", F.lit("splitter")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     sample = sorted(r[0] for r in base.where(draw < F.col("size") * (SAMPLE / size)).select("key").collect())
     ranges = max(1, min(RANGES, n // range_rows * 4, len(sample)))
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})
@@ -106,7 +108,7 @@ def shard(docs: DataFrame, n_shards: int = 24, law: str = "bytes", keep: float =
         # at most n_shards / keep texts are large; their rows look for no group and are dealt out by themselves
         large = groups.where(~small).select("text_crc32", F.lit(True).alias("large"))
         rows = rows.join(F.broadcast(large), "text_crc32", "left")
-        rows = rows.withColumn("own", F.when(F.col("large").isNull(), F.col("text_crc32")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))))
+        rows = rows.withColumn("own", F.when(F.col("large").isNull(), F.col("text_crc32")).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "nth"), F.lit(1 << 31))))
         rows = rows.join(groups.where(small).select(F.col("text_crc32").alias("own"), (F.col("from") + F.col("bytes") / 2).alias("middle")), "own", "left")
         middle = F.coalesce("middle", F.col("begin") + F.col("size") / 2)
         rows = rows.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(float(size)))).cast("int"))

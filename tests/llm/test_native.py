@@ -236,3 +236,11 @@ def test_no_python_in_native_plans(spark, odd):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
     assert hashlib.sha256(b"").hexdigest() == odd.select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_splitters_of_rows_that_share_a_doc_id(spark):
+    """The sample draws rows, not ids: as many as of distinct ids, whichever id it is."""
+    for doc_id in (1, 2, 13, None):
+        docs = spark.range(30_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+        got = sharding.shard(docs, 24).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(got) == 24 and max(r["n"] for r in got) < 1.2 * 30_000 / 24
