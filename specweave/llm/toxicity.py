@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_WORD, Spans, prepare, table, text_chunks, trim, words
@@ -297,8 +297,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows and TRAIN_BYTES of text that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("o"), "doc_id")
-    got = _bounded(got, rows).orderBy("o", "doc_id", "text").select("toxic", "text").toArrow()
+    mark = F.xxhash64("text")
+    rows_ = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    # ranked without their texts: a few numbers a row
+    drawn = _bounded(rows_.select("doc_id", "toxic", mark.alias("mark"), F.octet_length("text").cast("long").alias("b"), F.xxhash64("doc_id").alias("o")), rows)
+    drawn = F.broadcast(drawn.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times")))  # at most ``rows`` rows
+    got = rows_.withColumn("mark", mark).join(drawn, ["doc_id", "mark"])
+    # equal rows of one document count as often as they were drawn
+    nth = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("text"))
+    got = got.withColumn("nth", nth).where(F.col("nth") <= F.col("times")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("toxic", "text").toArrow()
     texts, toxic = got["text"].cast(pa.large_binary()).to_pylist(), np.array(got["toxic"].to_pylist(), dtype=np.int64) == 1
     del got
     model = fit(texts, toxic)
@@ -308,16 +315,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def _bounded(got: DataFrame, rows: int) -> DataFrame:
-    """Rows of got (toxic, text, o, doc_id) until rows or TRAIN_BYTES are used up; no single row ends the draw for rows behind it."""
-    from pyspark.sql import Window as W
-
-    order = ["o", "doc_id", "text"]
-    got = got.withColumn("b", F.octet_length("text").cast("long")).where(F.col("b") <= TRAIN_BYTES)
+    """Rows of got (toxic, b bytes of text, o, doc_id, mark) until rows or TRAIN_BYTES are used up; no single row ends the draw for rows behind it."""
+    order = ["o", "doc_id", "mark"]
+    got = got.where(F.col("b") <= TRAIN_BYTES)
     got = got.withColumn("long", F.when(F.col("b") > TRAIN_TEXT, F.col("b")).otherwise(0))
-    kind = W.partitionBy(F.col("long") > 0, F.col("toxic") == 1)
+    kind = Window.partitionBy(F.col("long") > 0, F.col("toxic") == 1)
     # how far a row is into those of its label: toxic and clean ones are used up alike
     got = got.withColumn("part", F.row_number().over(kind.orderBy(*order)) / F.count(F.lit(1)).over(kind))
-    so_far = W.partitionBy(F.lit(1)).orderBy("long", "part", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = Window.partitionBy(F.lit(1)).orderBy("long", "part", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return got.withColumn("n", F.count(F.lit(1)).over(so_far)).withColumn("b", F.sum("b").over(so_far)).where((F.col("n") <= rows) & (F.col("b") <= TRAIN_BYTES))
 
 
