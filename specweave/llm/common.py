@@ -72,20 +72,23 @@ def drop(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
-#: Keys that may be hot at once, so tables of them may be broadcast.
+#: Keys that may be hot at once however few tasks there are, so tables of them may be broadcast.
 HOT_KEYS = 4096
 
 
 def hot(counts: DataFrame, total: int, least: int) -> DataFrame:
-    """The rows of counts (a row a key, n rows of total) whose key holds more than least rows, and more than one part in HOT_KEYS of all.
+    """The rows of counts (a row a key, n rows of total) whose key holds more than least rows, and more than a task's even share.
 
-    There are fewer than HOT_KEYS of these, whatever the input is.
+    A task's share is total by the session's shuffle partitions, or by HOT_KEYS if those are
+    fewer. Fewer keys than these can hold more than that, so the result has a row or so for each
+    task at most, of a few bytes.
     """
-    return counts.where(F.col("n") > max(least, total // HOT_KEYS))
+    tasks = max(HOT_KEYS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return counts.where(F.col("n") > max(least, total // tasks))
 
 
 def join_in_parts(rows: DataFrame, keyed: DataFrame, key: list[str], by: list[str], part_rows: int) -> DataFrame:
-    """rows joined with keyed, a stored table of one row a key with n, its number of rows; no part of a join holds many more than part_rows.
+    """rows joined with keyed, a stored table of one row a key with n, its number of rows; no key adds many more than part_rows, or a task's even share of all rows, to a part of the join.
 
     Rows of a hot key are dealt out by a hash of ``by``, and the key's row goes to each part.
     """

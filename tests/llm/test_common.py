@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from specweave.llm import common
 
@@ -43,3 +44,31 @@ def test_shingles_are_sets_of_word_runs():
 
     a, b, c, d, e = sets(["a b c d e f", "x a b c d e f", "a b", "", "a b c d e a b c d e"])
     assert len(a) == 2 and len(a & b) == 2 and len(b) == 3 and len(c) == 1 and not d and len(e) == 5
+
+
+def test_keys_are_hot_above_an_even_share_of_a_task(spark):
+    """With many tasks, a key of one part in 5000 of all rows is more than a task's share."""
+    counts = spark.createDataFrame([(i, 200_000_000 if i == 7 else 9) for i in range(50)], "k long, n long")
+    total, key = 1_000_000_000_000, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    assert common.hot(counts, total, 10_000).count() == 0  # one part in 5000: with few tasks, less than a task's share
+    try:
+        spark.conf.set(key, "20000")
+        assert [r["k"] for r in common.hot(counts, total, 10_000).collect()] == [7]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_key_with_a_third_of_all_rows_is_joined_in_even_parts(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    keyed = common.store(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("mark", F.col("k") * 2))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = common.join_in_parts(rows, keyed, ["k"], ["v"], 500)
+        held = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(held) == 30_000 and max(held) < 2 * 30_000 / len(held) and out.where("mark <> 2 * k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
