@@ -10,21 +10,47 @@ from pyspark.sql import functions as F
 
 #: First code points of decimal digit blocks besides ASCII: built from the Unicode database.
 DIGIT_ZEROS = tuple(c for c in range(0x0660, 0xFF20) if unicodedata.decimal(chr(c), -1) == 0 and all(unicodedata.decimal(chr(c + i), -1) == i for i in range(10)))
-SCRIPTS = ("Latin", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Arabic", "Ol_Chiki", "Meetei_Mayek", "Cyrillic", "Greek", "Han")
+SCRIPTS = ("Latin", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Arabic", "Ol_Chiki", "Meetei_Mayek", "Cyrillic", "Greek", "Thai", "Hiragana", "Katakana", "Hangul", "Han")
 #: Scripts that one language stands for.
 BY_SCRIPT = {
-    "Gurmukhi": "pan_Guru", "Gujarati": "guj_Gujr", "Oriya": "ory_Orya", "Tamil": "tam_Taml", "Telugu": "tel_Telu", "Kannada": "kan_Knda",
-    "Malayalam": "mal_Mlym", "Sinhala": "sin_Sinh", "Ol_Chiki": "sat_Olck", "Meetei_Mayek": "mni_Beng", "Cyrillic": "rus_Cyrl", "Greek": "ell_Grek", "Han": "zho_Hans",
+    "Gurmukhi": "pan_Guru", "Gujarati": "guj_Gujr", "Oriya": "ory_Orya", "Tamil": "tam_Taml", "Telugu": "tel_Telu", "Kannada": "kan_Knda", "Malayalam": "mal_Mlym", "Sinhala": "sin_Sinh",
+    "Ol_Chiki": "sat_Olck", "Meetei_Mayek": "mni_Beng", "Cyrillic": "rus_Cyrl", "Greek": "ell_Grek", "Thai": "tha_Thai", "Hiragana": "jpn_Jpan", "Katakana": "jpn_Jpan", "Hangul": "kor_Hang", "Han": "zho_Hans",
 }
-#: Words that tell languages of one script apart.
+#: Words that tell languages of one script apart; the first of a script is the usual one.
 MARKERS = {
-    "Devanagari": {"hin_Deva": "है हैं का की के में से और को पर यह के लिए चाहिए".split(), "mar_Deva": "आहे आहेत आणि च्या मध्ये साठी नाही करणे पाहिजे".split(), "npi_Deva": "छ छन् को हरू लागि गर्न भएको".split()},
-    "Bengali": {"ben_Beng": "এবং জন্য হয় করা এর থেকে".split(), "asm_Beng": "আৰু বাবে হয় কৰা ৰ পৰা".split()},
-    "Arabic": {"urd_Arab": "ہے ہیں اور کے کی کا میں سے".split(), "snd_Arab": "آهي ۽ جو جي ۾ لاءِ".split(), "kas_Arab": "چھُ تہٕ مَنز".split(), "arb_Arab": "في من على هذا إلى".split()},
-    "Latin": {"eng_Latn": "the of and for with is to in".split(), "fra_Latn": "le la les des une et est dans pour".split(), "deu_Latn": "der die und das ist nicht für mit".split(), "spa_Latn": "el los las una que del para con".split()},
+    "Devanagari": {
+        "hin_Deva": "है हैं का की के को लिये लिए और में नहीं होगा क्या इस उस वाला".split(), "mar_Deva": "आहे आणि साठी च्या ची चे मध्ये नाही पाहिजे असलेल्या".split(), "npi_Deva": "छ छन् लागि र पर्छ गर्ने भयो".split(),
+        "san_Deva": "अस्ति च इति भवति एव तथा".split(), "mai_Deva": "अडि अछि लेल केँ".split(), "gom_Deva": "आसा आनी खातीर जाल्यार".split(), "brx_Deva": "आरो थाखाय बुं गोनां".split(), "doi_Deva": "हैगा गीं देंदे".split(),
+    },
+    "Bengali": {"ben_Beng": "আর করা হবে জন্য আছে এবং নয় কি".split(), "asm_Beng": "আৰু হয় কৰি লাগিব আছে".split(), "mni_Beng": "অমসুং মখোয় কোয় ওইরিবা".split()},
+    "Arabic": {"urd_Arab": "ہے کے اور کۓ کا کی لیہ میں چاہیے".split(), "snd_Arab": "اڳي جي هتي احم".split(), "pes_Arab": "است برای و می‌شود".split(), "arb_Arab": "هو ذلك في من على".split()},
+    "Latin": {
+        "fra_Latn": "le la les des une pour avec dans est sont doit nous vous cette".split(), "spa_Latn": "el la los las una para con del que son debe este esta".split(), "por_Latn": "o a os as uma para com dos que sao deve este esta nao".split(),
+        "deu_Latn": "der die das und mit fur ist sind muss eine einen nicht".split(), "ind_Latn": "dan yang untuk dengan adalah harus ini itu dari pada".split(), "vie_Latn": "va cua cho voi la phai nay khong trong duoc".split(),
+        "swh_Latn": "na ya kwa katika ni lazima hii hiyo ajili".split(),
+    },
 }
-#: Hindi in Latin letters.
-ROMANISED = tuple("hai hain ka ki ke ko mein aur chahiye liye kaam wala sariya paani se hoga".split())
+#: Letters that one language of a script has and its neighbours have not, and how sure they make.
+LETTERS = {"Bengali": (("asm_Beng", "ৰৱ", 0.9),), "Arabic": (("snd_Arab", "ٻڀٿٽڦڻڱڳڇڄ", 0.85), ("kas_Arab", "ۆۄݜٲٳ", 0.8))}
+#: How sure a script makes of its usual language without a marker word, with one, for each more, and at most.
+SURE = {"Devanagari": (0.7, 0.75, 0.1, 0.95), "Bengali": (0.75, 0.8, 0.1, 0.95), "Arabic": (0.6, 0.75, 0.1, 0.9)}
+#: What one word of another language than Hindi is worth in Devanagari, a script of one language, no letters at all, other languages in Latin letters, English with and without its words.
+ONE_WORD, ONE_LANGUAGE, NOTHING, OTHER_LATIN, ENGLISH, MAYBE_ENGLISH = 0.6, 0.95, 0.3, 0.55, 0.8, 0.6
+#: Languages of other scripts in Latin letters, and words of English.
+ROMANISED = {
+    "hin_Deva": (
+        "ka ki ke kaa kii liye lie hai hain hei hona hoga chahiye chahiyay chaahiye aur ya se mein kya kyon kaise kitna kitne kitni nahi nahin yeh woh wala wali wale iske uske jarurat zaroorat jaruri "
+        "zaroori banane banwana lagana kharidna khareedna saman samagri kaam sariya gitti balu reti bijli paani tanki makan dukan sadak chhota bada naya purana accha achha behtar sasta mehenga"
+    ).split(),
+    "mar_Deva": "aahe ahe aani ani sathi saathi chya chi che madhe nahi pahije paahije asleli karaycha havi hava lagnar".split(),
+    "ben_Beng": "ache achhe ebong jonno korte hobe amar tomar kintu tahole khub bhalo lagbe dorkar".split(),
+}
+ENGLISH_WORDS = (
+    "the a an and or of for with to in on at by from as is are be been shall must should will not no any each per than that this these those it its their there required supply supplied provide "
+    "provided make made used using type grade"
+).split()
+#: What parts words; marks of vowels do not.
+BETWEEN = r"""[\s,;:.()\[\]/\\|"'!?%+*=<>@#&~`{}^_–—-]+"""
 DEFAULTS = {"Devanagari": "hin_Deva", "Bengali": "ben_Beng", "Arabic": "urd_Arab", "Latin": "eng_Latn"}
 PRESENT = 0.10
 
@@ -66,7 +92,7 @@ def non_latin_share(c: Column | str) -> Column:
 
 
 def _tokens(c: Column | str) -> Column:
-    return F.filter(F.split(F.lower(_text(c)), r"[\s\p{P}\p{S}\p{Nd}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(_text(c)), BETWEEN), lambda x: x != "")
 
 
 def _hits(tokens: Column, words: list[str] | tuple[str, ...]) -> Column:
@@ -85,33 +111,83 @@ def _script(c: Column | str) -> Column:
     return F.when(_text(c).rlike(r"[\p{L}&&[^\x{0000}-\x{024F}]]"), strongest).otherwise("Latin")
 
 
-def _by_words(script: str, tokens: Column) -> Column:
-    """A language of this script by its marker words; one that is not the usual needs two hits."""
-    usual = DEFAULTS[script]
-    hits = F.array_max(F.array(*[F.struct(_hits(tokens, w).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, w) in enumerate(MARKERS[script].items())]))
-    found = _let(hits, lambda x: F.when((x["n"] >= 2) | ((x["n"] == 1) & (x["code"] == usual)), x["code"]).otherwise(usual))
-    if script != "Latin":
-        return found
-    roman = _hits(tokens, ROMANISED)
-    return F.when(((roman >= 2) | ((roman == 1) & (F.size(tokens) <= 6))) & (roman >= _hits(tokens, MARKERS["Latin"]["eng_Latn"])), "hin_Latn").otherwise(found)
+FOUND = "struct<code:string,confidence:double,method:string,script:string,romanised:boolean>"
 
 
-def detect(c: Column | str, declared: Column | None = None) -> Column:
-    """struct(code, method): a declared code, else the strongest script, else its languages by marker words."""
+def _found(code: Column | str, confidence: Column | float, method: str, script: str, romanised: bool = False) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(code).alias("code"), F.round(lit(confidence), 6).alias("confidence"), F.lit(method).alias("method"), F.lit(script).alias("script"), F.lit(romanised).alias("romanised"))
+
+
+def _most_hits(tokens: Column, table: dict[str, list[str]]) -> Column:
+    """struct(n, order, code): the language with most marker words, of equal ones the first of the table."""
+    return F.array_max(F.array(*[F.struct(_hits(tokens, w).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, w) in enumerate(table.items())]))
+
+
+def _of_script(script: str, text: Column, tokens: Column) -> Column:
+    """A language of a script that several share: by letters of its own, else by marker words, else the usual one."""
+    usual, (none, one, more, most) = DEFAULTS[script], SURE[script]
+
+    def by_words(x: Column) -> Column:
+        sure = _found(x["code"], F.least(one + more * (x["n"] - 1), F.lit(most)), "script+markers", script)
+        out = F.when(x["n"] == 0, _found(usual, none, "script", script))
+        if script == "Devanagari":  # words this short: a single one does not outweigh the usual language
+            out = out.when((x["n"] == 1) & (x["code"] != usual), _found(usual, ONE_WORD, "script", script))
+        return out.otherwise(sure)
+
+    found = _let(_most_hits(tokens, MARKERS[script]), by_words)
+    for code, own, confidence in reversed(LETTERS.get(script, ())):
+        found = F.when(text.rlike(f"[{own}]"), _found(code, confidence, "script+markers", script)).otherwise(found)
+    return found
+
+
+def _of_latin(tokens: Column) -> Column:
+    """English, another language in Latin letters, or one of another script that is written in them."""
+
+    def choose(x: Column) -> Column:
+        n, roman, other = F.size(tokens), x["roman"], x["other"]
+        enough = ((roman["n"] >= 2) | ((roman["n"] == 1) & (n <= 6))) & (roman["n"] >= x["english"])
+        return (
+            F.when(n == 0, _found("eng_Latn", NOTHING, "default", "Latin"))
+            .when(enough, _found(roman["code"], F.least(0.45 + roman["n"] / n, F.lit(0.8)), "romanised", "Latin", True))
+            .when((other["n"] >= 2) & (other["n"] > x["english"]), _found(other["code"], OTHER_LATIN, "script+markers", "Latin"))
+            .otherwise(_found("eng_Latn", F.when(x["english"] > 0, ENGLISH).otherwise(MAYBE_ENGLISH), "script", "Latin"))
+        )
+
+    return _let(F.struct(_most_hits(tokens, ROMANISED).alias("roman"), _most_hits(tokens, MARKERS["Latin"]).alias("other"), _hits(tokens, ENGLISH_WORDS).alias("english")), choose)
+
+
+def detection(c: Column | str, declared: Column | None = None) -> Column:
+    """struct(code, confidence, method, script, romanised) of a text.
+
+    A declared code that is known wins; then the strongest script besides Latin with a tenth of all
+    letters, its languages told apart by their own letters and by marker words; then words in
+    Latin letters. method: declared, script, script+markers, romanised or default.
+    """
 
     def choose(x: Column) -> Column:
         one = F.create_map(*[F.lit(v) for kv in BY_SCRIPT.items() for v in kv])[x["script"]]
-        for name in MARKERS:
-            one = F.when(x["script"] == name, _by_words(name, x["tokens"])).otherwise(one)
-        return F.struct(one.alias("code"), F.when(x["script"] == "Latin", "words").otherwise("script").alias("method"))
+        out = _of_latin(x["tokens"])
+        for script in SURE:
+            out = F.when(x["script"] == script, _of_script(script, x["text"], x["tokens"])).otherwise(out)
+        single = F.struct(one.alias("code"), F.lit(ONE_LANGUAGE).alias("confidence"), F.lit("script").alias("method"), x["script"].alias("script"), F.lit(False).alias("romanised"))
+        return F.when(one.isNotNull(), single).when(~x["text"].rlike(r"\p{L}"), _found("eng_Latn", NOTHING, "default", "Latin")).otherwise(out)
 
-    found = _let(F.struct(_script(c).alias("script"), _tokens(c).alias("tokens")), choose)
+    found = _let(F.struct(_script(c).alias("script"), _tokens(c).alias("tokens"), _text(c).alias("text")), choose)
     if declared is None:
         return found
-    return F.when(declared.isNotNull(), F.struct(declared.alias("code"), F.lit("declared").alias("method"))).otherwise(found)
+    named = F.struct(declared.alias("code"), F.lit(1.0).alias("confidence"), F.lit("declared").alias("method"), F.lit(None).cast("string").alias("script"), F.lit(False).alias("romanised"))
+    return F.when(declared.isNotNull(), named).otherwise(found)
+
+
+def detect(c: Column | str, declared: Column | None = None) -> Column:
+    """struct(code, method): what detection() finds, Hindi in Latin letters as a language of its own; by script, by words or declared."""
+    kind = lambda x: F.when(x["method"] == "declared", "declared").when(x["script"] == "Latin", "words").otherwise("script")
+    code = lambda x: F.when(x["romanised"], F.concat(F.substring(x["code"], 1, 3), F.lit("_Latn"))).otherwise(x["code"])
+    return _let(detection(c, declared), lambda x: F.struct(code(x).alias("code"), kind(x).alias("method")))
 
 
 def reconcile(declared: Column, transcript: Column, guess: Column) -> Column:
     """Language of a transcript: declared, else by its script or words, else the recogniser's guess."""
-    found = _let(detect(transcript), lambda x: F.when((x["method"] == "script") | (x["code"] == "hin_Latn"), x["code"]))
+    found = _let(detect(transcript), lambda x: F.when((x["method"] == "script") | x["code"].isin(*[f"{k[:3]}_Latn" for k in ROMANISED]), x["code"]))
     return F.struct(F.coalesce(declared, found, guess, F.lit("eng_Latn")).alias("code"), (F.coalesce(declared, found) != guess).alias("mismatch"))

@@ -65,7 +65,7 @@ def classify(c: Column, enabled: bool = True) -> Column:
     code = language.detect(c)["code"]
     bare = F.regexp_replace(c, "|".join(f"(?:{p.replace('(?i)', '')})" for _, p in notation.SHAPES[:4]), "")
     note = (
-        F.when(code == "eng_Latn", "already English").when(code == "hin_Latn", "romanised").when(F.lit(not enabled), "translation disabled").when(~bare.rlike(r"\p{L}"), "notation only")
+        F.when(code == "eng_Latn", "already English").when(code.isin(*[f"{k[:3]}_Latn" for k in language.ROMANISED]), "romanised").when(F.lit(not enabled), "translation disabled").when(~bare.rlike(r"\p{L}"), "notation only")
     )
     return F.struct(code.alias("code"), note.alias("note"))
 

@@ -69,6 +69,33 @@ def detect_language(spark, d):
     return read(spark, d, "documents").select("doc_id", "lang", found["code"].alias("code"), found["method"].alias("method"))
 
 
+def detection_confidence(spark, d):
+    """Language, confidence and method of every document."""
+    return read(spark, d, "documents").select("doc_id", language.detection("text").alias("x")).select("doc_id", "x.code", "x.confidence", "x.method", "x.romanised")
+
+
+#: Lines of one language each, with what is said of them.
+LINES = (
+    ("पाइप", "hin_Deva", 0.7, "script"), ("पानी के लिए टंकी और पाइप", "hin_Deva", 0.95, "script+markers"), ("पाइप आहे आणि साठी", "mar_Deva", 0.95, "script+markers"), ("पाण्याची टाकी पाहिजे", "hin_Deva", 0.6, "script"),
+    ("पानीको लागि ट्याङ्की छ", "npi_Deva", 0.85, "script+markers"), ("जलं अस्ति तथा भवति", "san_Deva", 0.95, "script+markers"), ("पानि लेल टंकी अछि", "mai_Deva", 0.85, "script+markers"), ("उदक आसा आनी खातीर", "gom_Deva", 0.95, "script+markers"),
+    ("दै थाखाय आरो", "brx_Deva", 0.85, "script+markers"), ("पानी गीं हैगा", "doi_Deva", 0.85, "script+markers"),
+    ("পাইপ", "ben_Beng", 0.75, "script"), ("পানির জন্য এবং", "ben_Beng", 0.9, "script+markers"), ("পানীৰ বাবে", "asm_Beng", 0.9, "script+markers"), ("ঈশিং অমসুং", "mni_Beng", 0.8, "script+markers"),
+    ("پانی", "urd_Arab", 0.6, "script"), ("پانی کے لیہ اور", "urd_Arab", 0.9, "script+markers"), ("پاڻي", "snd_Arab", 0.85, "script+markers"), ("آبۄ", "kas_Arab", 0.8, "script+markers"), ("لوله برای آب است", "pes_Arab", 0.85, "script+markers"), ("أنابيب من الماء في", "arb_Arab", 0.85, "script+markers"),
+    ("குழாய்", "tam_Taml", 0.95, "script"), ("ಕೊಳವೆ", "kan_Knda", 0.95, "script"), ("పైపు", "tel_Telu", 0.95, "script"), ("പൈപ്പ്", "mal_Mlym", 0.95, "script"), ("પાઇપ", "guj_Gujr", 0.95, "script"), ("ਪਾਈਪ", "pan_Guru", 0.95, "script"), ("ପାଇପ", "ory_Orya", 0.95, "script"),
+    ("ᱫᱟᱜ", "sat_Olck", 0.95, "script"), ("труба", "rus_Cyrl", 0.95, "script"), ("ท่อ", "tha_Thai", 0.95, "script"), ("パイプ", "jpn_Jpan", 0.95, "script"), ("파이프", "kor_Hang", 0.95, "script"), ("管道", "zho_Hans", 0.95, "script"),
+    ("les tuyaux sont pour une maison", "fra_Latn", 0.55, "script+markers"), ("los tubos para una casa", "spa_Latn", 0.55, "script+markers"), ("die rohre und das dach", "deu_Latn", 0.55, "script+markers"), ("pipa yang untuk rumah ini", "ind_Latn", 0.55, "script+markers"),
+    ("ong cho nha va nuoc cua", "vie_Latn", 0.55, "script+markers"), ("mabomba ya maji kwa nyumba katika mji wetu", "swh_Latn", 0.55, "script+markers"), ("tubos para uma casa com os", "por_Latn", 0.55, "script+markers"),
+    ("supply of the pipes", "eng_Latn", 0.8, "script"), ("steel pipes", "eng_Latn", 0.6, "script"), ("paani ki tanki chahiye", "hin_Deva", 0.8, "romanised"), ("loha sathi dara", "mar_Deva", 0.783333, "romanised"), ("12 34", "eng_Latn", 0.3, "default"),
+)
+
+
+def languages_varied(spark, d):
+    """Every part's name behind a line of one of many languages: few Latin letters must not outweigh a script."""
+    k = F.col("p_partkey") % len(LINES)
+    line = F.get(F.array(*[F.lit(t) for t, *_ in LINES]), k.cast("int"))
+    return read(spark, d, "part").select("p_partkey", language.detection(line).alias("x")).select("p_partkey", "x.code", "x.confidence", "x.method")
+
+
 def mask_unmask(spark, d):
     m = notation.masked(F.concat(F.col("p_name"), F.lit(" IP66 "), F.col("p_size").cast("string"), F.lit(" mm as per IS "), F.col("p_partkey").cast("string")))
     return read(spark, d, "part").select("p_partkey", m["text"].alias("masked"), F.array_join(m["kinds"], ",").alias("kinds"), F.size(m["values"]).alias("n"))
@@ -119,6 +146,23 @@ def page_previews(spark, d):
     return p.select("page_id", x.alias("x")).select("page_id", "x.scope_status", "x.scope_words", "x.n_refs")
 
 
+def _q(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _hits_sql(table: dict) -> str:
+    """A list of (hits, order, code), the most first."""
+    return "list_sort([" + ", ".join(f"{{'n': len(list_filter(t, lambda w: list_contains({_q(w)}, w))), 'o': {-i}, 'code': '{c}'}}" for i, (c, w) in enumerate(table.items())) + "], 'DESC')[1]"
+
+
+#: Documents hold no letters beyond Latin ones but in junk: those with a tenth of others are left to languages_varied by a test.
+_DETECT = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS x, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '" + language.BETWEEN.replace("'", "''") + "'), lambda w: w <> '') AS t FROM documents), "
+    "h AS (SELECT doc_id, x, len(t) AS n, " + _hits_sql(language.ROMANISED) + " AS r, " + _hits_sql(language.MARKERS["Latin"]) + " AS o, len(list_filter(t, lambda w: list_contains(" + _q(language.ENGLISH_WORDS) + ", w))) AS e FROM d), "
+    "k AS (SELECT *, CASE WHEN n = 0 OR NOT regexp_matches(x, '\\p{L}') THEN 'default' WHEN (r.n >= 2 OR r.n = 1 AND n <= 6) AND r.n >= e THEN 'romanised' WHEN o.n >= 2 AND o.n > e THEN 'script+markers' ELSE 'script' END AS method FROM h) "
+    "SELECT doc_id, CASE method WHEN 'romanised' THEN r.code WHEN 'script+markers' THEN o.code ELSE 'eng_Latn' END AS code, "
+    "round(CASE method WHEN 'default' THEN 0.3::DOUBLE WHEN 'romanised' THEN least(0.45::DOUBLE + r.n / n, 0.8::DOUBLE) WHEN 'script+markers' THEN 0.55::DOUBLE ELSE CASE WHEN e > 0 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END END, 6) AS confidence, method, method = 'romanised' AS romanised FROM k"
+)
 _COVER = TEXT["spec_squash_cover"][1]
 _PART = "SELECT p_partkey, {0} FROM part"
 PAIRS = {
@@ -140,6 +184,8 @@ SELECT run, words, cost FROM (SELECT run, words, round(cost, 6) AS cost, row_num
     "quantities": (quantities, "SELECT p_partkey, 0 AS pos, p_size::DOUBLE AS value, 'mm' AS unit, 'size' AS field, p_size + 9.0::DOUBLE AS value_max FROM part UNION ALL SELECT p_partkey, 1, round(p_retailprice), 'L', 'capacity', NULL FROM part UNION ALL SELECT p_partkey, 2, p_size, 'DN', 'diameter', NULL FROM part"),
     "product": (product, "SELECT p_partkey, p_name || ' tank' AS product FROM part"),
     "detect_language": (detect_language, None),
+    "detection_confidence": (detection_confidence, _DETECT),
+    "languages_varied": (languages_varied, "SELECT p_partkey, x.code AS code, x.confidence AS confidence, x.method AS method FROM (SELECT p_partkey, [" + ", ".join(f"{{'code': '{c}', 'confidence': {s}::DOUBLE, 'method': '{m}'}}" for _, c, s, m in LINES) + f"][CAST(p_partkey % {len(LINES)} + 1 AS INTEGER)] AS x FROM part)"),
     "mask_unmask": (mask_unmask, "SELECT p_partkey, p_name || ' @1@ @2@ as per @3@' AS masked, 'code,quantity,citation' AS kinds, 3 AS n FROM part"),
     "language_registry": (language_registry, "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' END AS code FROM documents"),
     "glossary_match": (glossary_match, "SELECT p_partkey AS id, g.term, g.english FROM part, (VALUES ('ring', 'loop'), ('widg', 'gadget'), ('red widget', 'crimson gadget'), ('bol', 'never')) g(term, english) WHERE CASE WHEN contains(g.term, ' ') THEN contains(' ' || p_name || ' ', ' ' || g.term || ' ') ELSE list_contains(string_split(p_name, ' '), g.term) OR (len(g.term) >= 4 AND len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, g.term))) > 0) END"),
