@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..frames import cut, shared_folder
 from ..functions import documents as D
-from ..frames import cut
-from ..functions import language, notation, preview, translation
+from ..functions import language, notation, preview, text, translation
 from ..functions import requirements as R
-from ..operators import rag, segmentation
+from ..operators import lexical, rag, segmentation
 from ..streaming import events as E
+from ..streaming import ingest as I
 from .retrieval_queries import zipf_costs
 from .tables import read
 from .text_queries import PAIRS as TEXT
@@ -110,6 +113,24 @@ def spec_terms(spark, d):
     return t.select("p_partkey", "pos", "t.term", "t.kind")
 
 
+def pages_ingested(spark, d):
+    """Pages fetched in three batches, the last of what failed before: each page's last status, how often it was tried, and whether it can be searched."""
+    at = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    log, index = I.StatusLog(spark, f"{at}/log"), lexical.Index(spark, f"{at}/index", "kys_id")
+    run, k = I.ingest(log, index, text.tokens), F.col("page_id")
+    fetched = lambda rows, failing: rows.select(
+        k.alias("kys_id"), F.when(failing & (k % 7 == 1), 503).otherwise(200).alias("search_code"), F.when(k % 7 != 2, F.col("url")).alias("preview_url"), F.when(failing & (k % 7 == 3), 404).otherwise(200).alias("preview_code"),
+        F.when(k % 7 == 4, F.substring("html", 1, 100)).otherwise(F.col("html")).alias("html"), F.when(failing & (k % 7 == 5), "Timeout").alias("error"))
+    pages = read(spark, d, "pages")
+    for batch in (0, 1):
+        run(fetched(pages.where(k % 2 == batch), F.lit(True)), batch)
+    again = log.open(pages.select(k.alias("kys_id"))).withColumnRenamed("kys_id", "page_id")
+    run(fetched(pages.join(cut(again), "page_id"), k % 3 == 0), 2)
+    tries = log.read().groupBy("kys_id").agg(F.count(F.lit(1)).alias("tries"))
+    found = index.live().select(F.col("doc").alias("kys_id"), F.lit(True).alias("indexed"))
+    return log.latest().join(tries, "kys_id").join(found, "kys_id", "left").select(F.col("kys_id").alias("page_id"), "status", "tries", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
 def tumbling_events(spark, d):
     return E.tumbling(E.timed(read(spark, d, "events"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -186,6 +207,8 @@ SELECT run, words, cost FROM (SELECT run, words, round(cost, 6) AS cost, row_num
     "detect_language": (detect_language, None),
     "detection_confidence": (detection_confidence, _DETECT),
     "languages_varied": (languages_varied, "SELECT p_partkey, x.code AS code, x.confidence AS confidence, x.method AS method FROM (SELECT p_partkey, [" + ", ".join(f"{{'code': '{c}', 'confidence': {s}::DOUBLE, 'method': '{m}'}}" for _, c, s, m in LINES) + f"][CAST(p_partkey % {len(LINES)} + 1 AS INTEGER)] AS x FROM part)"),
+    "pages_ingested": (pages_ingested, "WITH p AS (SELECT page_id, page_id % 7 AS k, CASE page_id % 7 WHEN 1 THEN 'search_http_503' WHEN 3 THEN 'preview_http_404' WHEN 5 THEN 'error:Timeout' END AS failed, CASE page_id % 7 WHEN 2 THEN 'no_preview_link' WHEN 4 THEN 'preview_empty' ELSE CASE WHEN strlen(html) < 1500 THEN 'preview_empty' ELSE 'ok' END END AS good FROM pages), "
+        "s AS (SELECT page_id, CASE WHEN failed IS NOT NULL AND page_id % 3 = 0 THEN failed ELSE good END AS status, CASE WHEN failed IS NULL THEN 1 ELSE 2 END AS tries FROM p) SELECT page_id, status, tries, status = 'ok' AS indexed FROM s"),
     "mask_unmask": (mask_unmask, "SELECT p_partkey, p_name || ' @1@ @2@ as per @3@' AS masked, 'code,quantity,citation' AS kinds, 3 AS n FROM part"),
     "language_registry": (language_registry, "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' END AS code FROM documents"),
     "glossary_match": (glossary_match, "SELECT p_partkey AS id, g.term, g.english FROM part, (VALUES ('ring', 'loop'), ('widg', 'gadget'), ('red widget', 'crimson gadget'), ('bol', 'never')) g(term, english) WHERE CASE WHEN contains(g.term, ' ') THEN contains(' ' || p_name || ' ', ' ' || g.term || ' ') ELSE list_contains(string_split(p_name, ' '), g.term) OR (len(g.term) >= 4 AND len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, g.term))) > 0) END"),
