@@ -31,6 +31,26 @@ def generate(prompts: DataFrame, model: Callable[[list[str]], list[str]], prompt
     return prompts.mapInPandas(run, schema)
 
 
+def in_order(*models: Callable[[list[str]], list[str]]) -> Callable[[list[str]], list[str]]:
+    """A model that asks several in order: prompts that one fails on, or says nothing to, go to the next. What none answers is an empty text."""
+
+    def ask(prompts: list[str]) -> list[str]:
+        said: list[str] = [""] * len(prompts)
+        for model in models:
+            open_ = [i for i, s in enumerate(said) if not s]
+            if not open_:
+                break
+            try:
+                got = list(model([prompts[i] for i in open_]))
+            except Exception:  # a model that is away must not cost the answer
+                continue
+            for i, text_ in zip(open_, got, strict=False):
+                said[i] = text_ or ""
+        return said
+
+    return ask
+
+
 def parse_answer(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """answers with parsed (a struct of ANSWER) and parse_error; nothing raises."""
     raw = text.json_object(answer)

@@ -68,39 +68,38 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, query: str = "item_id",
 def vector_top(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = TOP, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, key, score, rank) by exact cosine.
 
-    The query set goes to the vectors in blocks of bounded size; each task multiplies its
-    batches with a block and keeps the best of it, so only top rows of tasks are shuffled.
+    A query set of at most block_bytes goes to the vectors whole; each task multiplies its
+    batches with it and keeps the best, so only top rows of tasks are shuffled. Larger
+    ones meet the vectors in cells, see vectors.Cells.
     """
-    first = queries.first()
-    width = max(1, len(first[vector]) if first else 1)
-    step = max(1, block_bytes // (8 * width))
-    n = queries.count()
-    numbered = queries.select(key, vector, F.floor((F.row_number().over(W.orderBy(key)) - 1) / step).alias("block")) if n > step else queries.select(key, vector, F.lit(0).alias("block"))
+    first = queries.select(vector).first()
+    most = max(1, block_bytes // (8 * max(1, len(first[vector]) if first else 1)))
+    rows = queries.select(key, vector).limit(most + 1).collect()
+    if len(rows) > most:
+        from .vectors import Cells
+
+        return Cells(vectors, key, vector).search(queries, top)
     kind = vectors.schema[key].dataType.simpleString()
-    out = None
-    for block in range(-(-n // step)):
-        rows = numbered.where(F.col("block") == block).orderBy(key).collect()
-        ids = np.array([r[key] for r in rows])
-        q = np.array([r[vector] for r in rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(batches, ids=ids, q=q):
-            held = None
-            for b in batches:
-                x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, q.shape[1]))
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s, k = np.round(q @ x.T, 6), np.broadcast_to(b[key].to_numpy(), (len(q), len(b)))
-                s, k = (s, k) if held is None else (np.hstack((held[0], s)), np.hstack((held[1], k)))
-                order = np.lexsort((k, -s), axis=1)[:, :top]
-                held = np.take_along_axis(s, order, 1), np.take_along_axis(k, order, 1)
-            if held is not None and held[0].size:
-                yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), key: held[1].ravel(), "score": held[0].ravel()})
-
-        one = vectors.select(key, vector).mapInPandas(best, f"query_id {kind}, {key} {kind}, score double")
-        out = one if out is None else out.union(one)
-    if out is None:
-        out = vectors.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
-    return ranked(out, "query_id", "score", key, top)
+    if not rows:
+        return ranked(vectors.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score")).limit(0), "query_id", "score", key, top)
+    rows.sort(key=lambda r: r[key])
+    ids = np.array([r[key] for r in rows])
+    q = np.array([r[vector] for r in rows], dtype=np.float64)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+    def best(batches):
+        held = None
+        for b in batches:
+            x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, q.shape[1]))
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            s, k = np.round(q @ x.T, 6), np.broadcast_to(b[key].to_numpy(), (len(q), len(b)))
+            s, k = (s, k) if held is None else (np.hstack((held[0], s)), np.hstack((held[1], k)))
+            order = np.lexsort((k, -s), axis=1)[:, :top]
+            held = np.take_along_axis(s, order, 1), np.take_along_axis(k, order, 1)
+        if held is not None and held[0].size:
+            yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), key: held[1].ravel(), "score": held[0].ravel()})
+
+    return ranked(vectors.select(key, vector).mapInPandas(best, f"query_id {kind}, {key} {kind}, score double"), "query_id", "score", key, top)
 
 
 def fuse(lists: dict[str, DataFrame], query: str = "item_id", doc: str = "doc_id", top: int = TOP) -> DataFrame:

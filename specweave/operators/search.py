@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import requirements as R
 from ..functions import scoring, text
-from . import graph, retrieval
+from . import graph, lexical, retrieval
 
 FINAL = 10
 #: Share of a title's words that a sound scope holds.
@@ -28,13 +28,15 @@ def items_of(documents: DataFrame, costs: dict[str, float] | None = None, doc: s
     return d.where((F.char_length("query") >= 3) | (F.size("cited") > 0))
 
 
-def candidates(items: DataFrame, index: DataFrame, this_year: int, key: str = "item_id", top: int = FINAL, extra: dict[str, DataFrame] | None = None) -> DataFrame:
+def candidates(items: DataFrame, index: DataFrame, this_year: int, key: str = "item_id", top: int = FINAL, extra: dict[str, DataFrame] | None = None, keyword: lexical.Index | None = None) -> DataFrame:
     """Ranked standards of each item (key, query): keyword search, fused with further ranked lists, boosted, tiered, explained.
 
     index: kys_id, is_number, lexical_text, aspect, mandatory_cert, is_year. extra: lists of (key, kys_id, rank).
+    keyword: a stored index of lexical_text; without one the texts are read as they are.
     """
     q, d = items.select(key, F.col("query").alias("text")), index.select("kys_id", F.col("lexical_text").alias("text"))
-    lists = {"keyword": retrieval.bm25(q, d, text.tokens("text"), text.tokens("text"), key, "kys_id"), **(extra or {})}
+    by_words = keyword.search(q, text.tokens("text"), key) if keyword is not None else retrieval.bm25(q, d, text.tokens("text"), text.tokens("text"), key, "kys_id")
+    lists = {"keyword": by_words, **(extra or {})}
     fused = retrieval.fuse(lists, key, "kys_id").join(index, "kys_id").join(items.select(key, "query"), key)
     boosted = scoring.boost(F.col("aspect"), F.col("mandatory_cert"), F.col("is_year"), this_year)
     fused = fused.withColumn("score", scoring.combine(scoring.relevance(F.col("score"), len(lists)), boosted))
@@ -62,7 +64,8 @@ class Parts:
 
     scopes: kys_id, scope_text. dense, fallback: a function from items (key, query) to a
     ranked list (key, kys_id, rank); *_built: the fingerprint of the texts they were made from.
-    rerank: a function from (queries, texts) to relevances in [0, 1].
+    rerank: a function from (queries, texts) to relevances in [0, 1]. keyword: a stored index of the
+    texts; its manifest says what they were.
     """
 
     scopes: DataFrame | None = None
@@ -71,13 +74,15 @@ class Parts:
     fallback: Callable[[DataFrame], DataFrame] | None = None
     fallback_built: str | None = None
     rerank: Callable[[list[str], list[str]], list[float]] | None = None
+    keyword: lexical.Index | None = None
 
     def usable(self, built: str | None) -> Parts:
-        """Without encoders whose vectors were made from other texts than those fingerprinted as built."""
+        """Without encoders and indexes that were made from other texts than those fingerprinted as built."""
         stale = lambda own: built is not None and own is not None and own != built
         dense = None if self.dense is None or stale(self.dense_built) else self.dense
         fallback = None if self.fallback is None or stale(self.fallback_built) else self.fallback
-        return replace(self, dense=dense, fallback=fallback)
+        keyword = None if self.keyword is None or stale(self.keyword.manifest().source) else self.keyword
+        return replace(self, dense=dense, fallback=fallback, keyword=keyword)
 
 
 def ranked_lists(items: DataFrame, index: DataFrame, parts: Parts, key: str = "item_id") -> dict[str, DataFrame]:
@@ -116,7 +121,7 @@ def reranked(ranked: DataFrame, items: DataFrame, index: DataFrame, model: Calla
 def retrieve(items: DataFrame, index: DataFrame, this_year: int, parts: Parts | None = None, built: str | None = None, key: str = "item_id", top: int = FINAL) -> DataFrame:
     """Candidates by all that can be used: keywords always; scopes, vectors and the second reading where they are there and fresh."""
     use = (parts or Parts()).usable(built)
-    found = candidates(items, index, this_year, key, top if use.rerank is None else retrieval.TOP, ranked_lists(items, index, use, key))
+    found = candidates(items, index, this_year, key, top if use.rerank is None else retrieval.TOP, ranked_lists(items, index, use, key), use.keyword)
     return found if use.rerank is None else reranked(found, items, index, use.rerank, this_year, key, top)
 
 
@@ -126,7 +131,7 @@ def with_pins(ranked: DataFrame, items: DataFrame, index: DataFrame, editions: D
     known = graph.resolve(cited, index, editions)
     exact = cited.join(known.where("outcome = 'current'").select("base", "kys_id"), "base").select(key, "kys_id", F.lit(scoring.SCORE_CITED).alias("score"), F.col("n").alias("rank"))
     parts = cited.join(known.where("parts is not null").select("base", F.explode(F.split("parts", ", ")).alias("is_base_id")), "base").join(index.select("is_base_id", "kys_id"), "is_base_id")
-    parts = parts.select(key, "kys_id", F.lit(scoring.SCORE_CITED_PART).alias("score"), (F.col("n") + 1000).alias("rank"))
+    parts = parts.select(key, "kys_id", F.lit(scoring.SCORE_CITED_PART).alias("score"), (F.col("n") + F.lit(1 << 40)).alias("rank"))  # behind every exact one
     pins = exact.union(parts).groupBy(key, "kys_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
     return retrieval.pin(ranked.select(key, "kys_id", "score", F.col("place").alias("rank")), pins, key, "kys_id", top)
 

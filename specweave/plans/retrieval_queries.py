@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..frames import cut, shared_folder
 from ..functions import scoring, text
-from ..operators import lexical
+from ..operators import lexical, vectors
 from ..operators import retrieval as R
 from .tables import read, sql, standards, stored_index
 
@@ -66,6 +66,12 @@ def dense_topk(spark, d):
     return R.vector_top(v.where("vec_id % 50 = 0"), v, top=TOP)
 
 
+def dense_cells(spark, d):
+    """The same by cells around pivots, of which a query meets only those that may hold its nearest."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.Cells(v).search(v.where("vec_id % 50 = 0"), TOP)
+
+
 def rrf_hybrid(spark, d):
     lists = {"keyword": index(spark, d).search(_items(spark, d), text.tokens("text")), "overlap": R.keyword_overlap(_items(spark, d), _docs(spark, d), top=R.TOP)}
     return R.fuse(lists, top=TOP)
@@ -190,6 +196,7 @@ PAIRS = {
     "bm25_segments": (bm25_segments, "WITH " + _bm25(_TOK, TOP) + " SELECT item_id, doc_id, score, rank FROM bm25"),
     "bm25_ablation": (bm25_ablation, "WITH " + _bm25(_ALL, 1, "a_") + ", " + _bm25(_TOK, 1, "b_") + " SELECT 'with stopwords' AS config, count(*) AS answered, round(avg(score), 4) AS mean_score FROM a_bm25 UNION ALL SELECT 'without', count(*), round(avg(score), 4) FROM b_bm25"),
     "dense_topk": (dense_topk, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) WHERE rank < 10"),
+    "dense_cells": (dense_cells, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) WHERE rank < 10"),
     "rrf_hybrid": (rrf_hybrid, "WITH " + _bm25(_TOK, 50) + ", " + _overlap(50) + ", u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, 'keyword' AS src FROM bm25 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'overlap' FROM ov), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY item_id, doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM f) WHERE rank < 10"),
     "boost_and_tier": (boost_and_tier, sql("SELECT kys_id, round(b, 6) AS boost, s AS score, CASE WHEN s >= 0.95 THEN 'Highly relevant' WHEN s >= 0.82 THEN 'Related' ELSE 'Possibly relevant' END AS tier FROM (SELECT kys_id, b, round(greatest(0, least(1, CAST(CAST(60.0::DOUBLE / (60 + kys_id % 50) AS FLOAT) AS DOUBLE) * (1 + b) / 1.11::DOUBLE)), 5) AS s FROM (SELECT *, " + _BOOST + " AS b FROM standards))")),
     "why_overlap": (why_overlap, "WITH " + _bm25(_TOK, 3) + ", w AS (SELECT b.item_id, b.doc_id, q.t AS q, d.t AS d FROM bm25 b JOIN (SELECT item_id, " + _TOK + " AS t FROM benchmark) q USING (item_id) JOIN (SELECT doc_id, " + _TOK + " AS t FROM documents) d USING (doc_id)) SELECT item_id, doc_id, array_to_string(list_filter(q, lambda x, i: list_contains(d, x) AND list_position(q, x) = i)[1:4], ', ') AS matched FROM w"),

@@ -1,6 +1,7 @@
 """The answer chain, what a search may use, references, contracts, sources and sinks."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,7 +174,7 @@ def test_a_merge_of_few_keys_leaves_other_partitions_alone(spark, tmp_path, monk
     want = {(r["k"], r["v"]) for r in rows.collect()} - {(7, "a"), (None, "a"), (9, "a")} | {(7, "b"), (None, "b")}
     assert {tuple(r) for r in table.read().collect()} == want and table.read().count() == 499
     # a batch that breaks off before its manifest is not there
-    monkeypatch.setattr(merge.json, "dumps", lambda *_: 1 / 0)
+    monkeypatch.setattr(merge, "json", SimpleNamespace(dumps=lambda *_: 1 / 0, loads=json.loads))
     with pytest.raises(ZeroDivisionError):
         table.merge(few.withColumn("v", F.lit("c")), batch="2", deleted="gone")
     monkeypatch.undo()

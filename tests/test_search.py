@@ -40,6 +40,40 @@ def test_recommend(engine):
     assert json.loads(engine.recommend_json("polyethylene tanks"))["candidates"][0]["why"].startswith("matched polyethylene, tanks")
 
 
+def test_answers_in_any_language_by_what_is_there(spark, index, tmp_path):
+    from specweave.functions import text
+    from specweave.operators import lexical
+
+    now = index.where("status = 'current'")
+    store = lexical.of_source(spark, f"{tmp_path}/i", now.select("kys_id", F.col("lexical_text").alias("text")), text.tokens("text"), "texts-1", "kys_id")
+    edges = spark.createDataFrame([(1, "REFERENCES", 2)], "src long, rel string, dst long")
+    broken = lambda prompts: 1 / 0
+    first = lambda prompts: [json.dumps({"direct_recommendations": [{"standard_id": p[p.find("[") + 1 : p.find("]")], "reason": "first"}, {"standard_id": "IS 5", "reason": "made up"}], "related_standards": [], "warnings": [], "confidence": "high"}) if "tanks" in p else "" for p in prompts]
+    second = lambda prompts: ["no json at all"] * len(prompts)
+    translator = lambda texts, code: ["polyethylene water storage tanks" if "टंकी" in t else "" for t in texts]
+    labels = spark.createDataFrame([("hin_Deva", "Related", "संबंधित"), ("tam_Taml", "Weak", "x")], "lang string, label string, text string")
+    engine = service.Engine(spark, now, index.withColumn("replaced_by_id", F.lit(None).cast("long")), edges, 2026, search.Parts(keyword=store), "texts-1", (broken, first, second), translator, labels)
+    out = engine.answer("पानी की टंकी के लिए\nDeformed steel bars to IS 1786 for works")
+    assert out["language"] == {"code": "hin_Deva", "confidence": 0.95} and out["labels"] == {"Related": "संबंधित", "Weak": "Weak"}
+    tank, bars = out["answers"]
+    assert [r["standard_id"] for r in tank["recommendations"]] == ["IS 12701:1996"] and tank["rejected"] == 1 and tank["confidence"] == "high" and tank["asked"].startswith("polyethylene")
+    # the second model was asked for what the first left open; what it said could not be read
+    assert bars["recommendations"] is None and "the answer could not be read" in bars["warnings"] and bars["n_evidence"] >= 1
+    assert engine.answer("water tanks", language="ta")["language"] == {"code": "tam_Taml", "confidence": 1.0}
+    assert engine.status() == {"standards": 4, "stored_index": True, "scopes": False, "semantic": False, "rerank": False, "models": 3, "translator": True}
+    stale = service.Engine(spark, now, index, edges, 2026, search.Parts(keyword=store), "texts-2")
+    assert not stale.status()["stored_index"] and stale.recommend("polyethylene tanks")["candidates"][0]["is_number"] == "IS 12701:1996"
+    assert {x["code"] for x in engine.languages()} >= {"hin_Deva", "urd_Arab"}
+
+
+def test_parts_stand_behind_all_exact_citations(spark, index):
+    many = [f"IS {k}" for k in range(3000, 4100)]
+    items = spark.createDataFrame([(1, ["IS 2062", *many, "IS 1786"])], "item_id long, cited array<string>")
+    none = spark.createDataFrame([], "item_id long, kys_id long, score double, place int")
+    got = search.with_pins(none, items, index.where("status = 'current'"), index.withColumn("replaced_by_id", F.lit(None).cast("long"))).orderBy("place").collect()
+    assert [r["kys_id"] for r in got] == [1, 3]
+
+
 def test_health(engine):
     assert engine.health("Steel bars to IS 1786 here\nTanks to IS 999 please\nPlain wooden doors") == {"doc_id": 0, "items": 3, "items_without": 1, "cited": 2, "current": 1, "outdated": 1}
 
