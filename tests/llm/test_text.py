@@ -251,25 +251,10 @@ def test_a_very_long_text_keeps_no_other_out_of_training(spark, monkeypatch):
         assert np.mean([s for s, y in held if y]) > 0.9 and np.mean([s for s, y in held if not y]) < 0.03
 
 
-def test_rows_of_one_doc_id_are_drawn_as_often_as_they_are_there(spark):
-    rows = [(i % 3 * 10 + 2, f"text {i % 4} of it" if i % 5 else None, i % 3 == 0) for i in range(120)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(2, 1), (12, 0), (22, 0)], "doc_id long, toxic int")
-    seen = []
-    keep, toxicity.fit = toxicity.fit, lambda texts, toxic: seen.append(sorted(zip(texts, toxic.tolist(), strict=True)))
-    try:
-        toxicity.train(docs, labels)
-    finally:
-        toxicity.fit = keep
-    taught = {i for i in (2, 12, 22) if zlib.crc32(str(i).encode()) % 3 != 1}
-    assert seen == [sorted(((t or "").encode(), y) for i, t, y in rows if i in taught)]
-
-
 def test_training_rows_are_drawn_by_label(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TRAIN_BYTES", 40_000)
     monkeypatch.setattr(toxicity, "TRAIN_TEXT", 1_000)
     got = spark.createDataFrame([(int(i % 10 == 0), "x" * (900 if i % 10 else 100), i, i) for i in range(200)] + [(1, "y" * 2_000, -1, 500), (0, "z" * 50_000, -2, 501), (0, "", -3, 502)], "toxic int, text string, o long, doc_id long")
-    got = got.withColumn("b", F.octet_length("text").cast("long")).withColumn("mark", F.xxhash64("text"))
     kept = _rows(toxicity._bounded(got, 100))
     toxic = sum(r["toxic"] for r in kept)
     assert 45 <= len(kept) <= 60 and 4 <= toxic <= 6 and {r["doc_id"] for r in kept} & {500, 501, 502} == {502}
