@@ -12,7 +12,7 @@ from ..functions import text
 from ..functions import scoring
 from ..operators import evaluation
 from ..operators import relational as R
-from ..sources import merge
+from ..sources import merge, ordered
 from .tables import edges, read, sql, standards
 
 _LIVE = "status = 'current' and is_canonical"
@@ -192,6 +192,25 @@ merged AS (SELECT kys_id, CAST(greatest(coalesce(old, u), coalesce(u, old)) AS I
   CASE WHEN f IS NULL THEN 'not found' WHEN u IS NULL THEN 'dropped' WHEN old IS NULL THEN 'filled' WHEN u > old THEN 'raised' ELSE 'kept' END AS change FROM m)"""
 _PICK = "SELECT is_base_id, kys_id, is_year, status FROM (SELECT *, row_number() OVER (PARTITION BY is_base_id ORDER BY {0}) AS k FROM standards {1}) WHERE k = 1"
 
+def _stored_standards(spark, d):
+    """Standards in natural order of their numbers, stored."""
+    s = standards(spark, d).select(text.id_parts("is_number").alias("x"), "is_number", "kys_id", "title").select("x.*", "is_number", "kys_id", "title")
+    keys, at = ["number", "part", "section", "is_number", "kys_id"], f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
+    ordered.write(s, at, keys, 200)
+    return ordered.Ordered(spark, at, keys)
+
+
+def sorted_index(spark, d):
+    """Each standard's place in natural order, read off the stored order."""
+    return _stored_standards(spark, d).placed().select("kys_id", "is_number", "place")
+
+
+def sorted_lookup(spark, d):
+    """Standards of the numbers that some order lines name, from the few files that hold them."""
+    wanted = read(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 100 = 0").select((F.lit(100) + F.col("l_partkey") % 7).cast("int").alias("number"))
+    return _stored_standards(spark, d).lookup(wanted).select("number", "kys_id", "title")
+
+
 def merged_orders(spark, d):
     """A keyed table of orders after three batches: new rows, changed ones, and a batch that takes some away; the last is done twice."""
     o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -204,7 +223,10 @@ def merged_orders(spark, d):
     return table.read()
 
 
+_PARTS = "p AS (SELECT kys_id, is_number, title, CAST(nullif(regexp_extract(is_number, '(\\d+)', 1), '') AS INTEGER) AS number, CAST(nullif(regexp_extract(is_number, '(?i)Part\\s*(\\d+)', 1), '') AS INTEGER) AS part, CAST(nullif(regexp_extract(is_number, '(?i)Sec(?:tion)?\\s*(\\d+)', 1), '') AS INTEGER) AS section FROM standards)"
 PAIRS = {
+    "sorted_index": (sorted_index, sql("SELECT kys_id, is_number, row_number() OVER (ORDER BY number NULLS FIRST, part NULLS FIRST, section NULLS FIRST, is_number, kys_id) - 1 AS place FROM p", _PARTS)),
+    "sorted_lookup": (sorted_lookup, sql("SELECT number, kys_id, title FROM p WHERE number IN (SELECT 100 + l_partkey % 7 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 100 = 0)", _PARTS)),
     "merged_orders": (merged_orders, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'L' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0)"),
     "latest_edition": (latest_edition, sql("SELECT is_base_id, kys_id, is_year, status FROM newest")),
     "latest_current_first": (latest_current_first, sql(_PICK.format("CASE status WHEN 'current' THEN 0 ELSE 1 END, coalesce(is_year, -1) DESC, kys_id DESC", ""))),
