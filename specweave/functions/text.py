@@ -183,6 +183,14 @@ def json_object(c: Column | str) -> Column:
     return F.when(fenced != "", fenced).when(bare != "", bare)
 
 
+def one_object(json: Column) -> Column:
+    """Whether the first brace of a text closes at its very end, quoted text aside: parsers stop there and read no further."""
+    braces = F.split(F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}]", ""), "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("closed"))
+    step = lambda s, x: F.struct((s["open"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("open"), (s["closed"] + F.when((x == "}") & (s["open"] <= 1), 1).otherwise(0)).alias("closed"))
+    return F.aggregate(braces, start, step, lambda s: (s["open"] == 0) & (s["closed"] == 1))
+
+
 def cites_unknown_clause(reason: Column, title: Column) -> Column:
     """Whether a reason names a clause, section or part number that the title does not have."""
     found = F.regexp_extract_all(F.lower(_text(reason)), F.lit(r"\b(?:clause|section|sec|cl)\.?\s*\d+(?:\.\d+)*"), F.lit(0))

@@ -55,7 +55,7 @@ def parse_answer(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """answers with parsed (a struct of ANSWER) and parse_error; nothing raises."""
     raw = text.json_object(answer)
     out = answers.withColumn("parsed", F.from_json(raw, ANSWER, {"mode": "PERMISSIVE"}))
-    bad = raw.isNull() | F.col("parsed").isNull() | F.expr("try_parse_json(regexp_extract(coalesce(%s, ''), '(?s)(\\\\{.*\\\\})', 1)) is null" % answer)
+    bad = raw.isNull() | F.col("parsed").isNull() | F.try_parse_json(raw).isNull() | ~text.one_object(raw)
     return out.withColumn("parse_error", F.coalesce(bad, F.lit(True)))
 
 
