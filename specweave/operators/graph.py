@@ -175,5 +175,43 @@ def ring(focus: DataFrame, edges: DataFrame, key: str = "kys_id", order: tuple[s
     return placed.where(F.col("place") < places).select("src", "dst", "rel", "place", "overflow")
 
 
+def summary(candidates: DataFrame, edges: DataFrame, nodes: DataFrame, key: str = "kys_id", most: int = 12, older: int = 6) -> DataFrame:
+    """What the graph adds to each candidate: its first normative references with status and what to use instead of withdrawn ones, totals, and what it replaces.
+
+    Columns: key, normative (array of dst, is_number, status, use_instead), normative_total,
+    references_total, referenced_by_total, replaces (array of numbers). References are ordered by id.
+    """
+    asked = candidates.select(F.col(key).alias("src")).distinct()
+    near = neighbours(candidates, edges, key)
+    w = W.partitionBy("src", "rel").orderBy("dst")
+    near = near.withColumn("n", F.row_number().over(w))
+    known = nodes.select(F.col(key).alias("dst"), "is_number", "status").join(use_instead(nodes, key).withColumnRenamed(key, "dst"), "dst", "left")
+    first = near.where(((F.col("rel") == "NORMATIVELY_REFERENCES") & (F.col("n") <= most)) | ((F.col("rel") == "REPLACES") & (F.col("n") <= older))).join(known, "dst", "left")
+    normative = F.array_sort(F.collect_list(F.when(F.col("rel") == "NORMATIVELY_REFERENCES", F.struct("dst", "is_number", "status", "use_instead"))))
+    replaces = F.transform(F.array_sort(F.collect_list(F.when(F.col("rel") == "REPLACES", F.struct("dst", "is_number")))), lambda x: x["is_number"])
+    listed = first.groupBy("src").agg(normative.alias("normative"), replaces.alias("replaces"))
+    total = lambda rel: F.count_if(F.col("rel") == rel)
+    totals = near.groupBy("src").agg(total("NORMATIVELY_REFERENCES").alias("normative_total"), total("REFERENCES").alias("references_total"), total("REFERENCED_BY").alias("referenced_by_total"))
+    out = asked.join(totals, "src", "left").join(listed, "src", "left").fillna(0, ["normative_total", "references_total", "referenced_by_total"])
+    return out.select(F.col("src").alias(key), F.coalesce("normative", F.array().cast("array<struct<dst:bigint,is_number:string,status:string,use_instead:string>>")).alias("normative"), "normative_total", "references_total", "referenced_by_total", F.coalesce("replaces", F.array().cast("array<string>")).alias("replaces"))
+
+
+def describe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: standards, relations, relations by name, and a warning where there is nothing to relate."""
+    kinds = edges.groupBy("rel").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("relations"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "rel", F.col("n").cast("string")))), ", ").alias("by_name"))
+    both = nodes.agg(F.count(F.lit(1)).alias("standards")).crossJoin(kinds)  # a row each
+    warning = F.when(F.col("standards") == 0, "the graph holds no standards: nothing related can be told, recommendations rest on retrieval alone").when(F.col("relations") == 0, "the graph holds no relations: nothing related can be told")
+    return both.select("standards", "relations", "by_name", warning.alias("warning"))
+
+
+def coded(rows: DataFrame, codes: list[str]) -> DataFrame:
+    """Rows whose codes all say something, without spaces round them."""
+    cut_ = {c: F.trim(F.col(c)) for c in codes}
+    condition = F.lit(True)
+    for c in codes:
+        condition = condition & (F.coalesce(cut_[c], F.lit("")) != "")
+    return rows.where(condition).withColumns(cut_)
+
+
 def is_empty(edges: DataFrame) -> bool:
     return edges.isEmpty()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..sources import readers
 from .relational_queries import newest
 from .tables import edges, sql, standards
 
@@ -78,13 +79,53 @@ def edition_counts(spark, d):
     return s.groupBy("is_base_id").agg(F.count(F.lit(1)).alias("editions"), F.count_if(F.col("status") == "current").alias("current"), F.max(F.coalesce("is_year", F.lit(-1))).alias("newest"))
 
 
+def _five(spark, d):
+    """Edges of which a part is normative."""
+    e = loaded(spark, d)
+    return e.withColumn("rel", F.when((F.col("rel") == "REFERENCES") & (F.col("dst") % 4 == 0), "NORMATIVELY_REFERENCES").otherwise(F.col("rel")))
+
+
+def graph_summary(spark, d):
+    s = G.summary(newest(spark, d), _five(spark, d), standards(spark, d))
+    line = lambda x: F.concat_ws(":", x["dst"].cast("string"), x["is_number"], x["status"], x["use_instead"])
+    return s.select("kys_id", F.array_join(F.transform("normative", line), "|").alias("normative"), "normative_total", "references_total", "referenced_by_total", F.array_join("replaces", "|").alias("replaces"))
+
+
+def graph_description(spark, d):
+    """The whole graph, one of standards that nothing relates, and one without any."""
+    s, e = standards(spark, d), _five(spark, d)
+    named = lambda n, x: x.select(F.lit(n).alias("graph"), "*")
+    return named("whole", G.describe(s, e)).union(named("apart", G.describe(s, e.where("src < 0")))).union(named("none", G.describe(s.where("kys_id < 0"), e.where("src < 0"))))
+
+
+def nodes_with_codes(spark, d):
+    """Standards with department and committee, of which some are blank or null."""
+    k = F.col("kys_id")
+    s = standards(spark, d).select("kys_id", F.when(k % 5 != 0, F.concat(F.lit("  "), F.col("dept_code"), F.lit(" "))).alias("dept_code"), F.when(k % 7 == 0, "   ").otherwise(F.concat(F.lit("C"), (k % 9).cast("string"))).alias("committee_code"))
+    return G.coded(s, ["dept_code", "committee_code"])
+
+
+def fetch_wanted(spark, d):
+    """What a fetch by families, by departments, and by ids asks for."""
+    n = newest(spark, d)
+    pick = lambda how, df: df.select(F.lit(how).alias("how"), "kys_id")
+    out = pick("families", readers.wanted(n, families=["IS 101", "IS 13"])).union(pick("departments", readers.wanted(n, departments=["brand#11", "Brand#23"])))
+    return out.union(pick("ids", readers.wanted(n, ids=[3, 5, 8, 13, 21, 34, 55, 89], families=["IS 101"]))).union(pick("all", readers.wanted(n)))
+
+
 _BOTH = """both_ways AS (SELECT src, rel, dst FROM edges UNION ALL SELECT dst, CASE rel WHEN 'REFERENCES' THEN 'REFERENCED_BY' ELSE 'REPLACES' END, src FROM edges)"""
 _NEAR = _BOTH + """, near AS (SELECT DISTINCT src, rel, dst FROM both_ways WHERE src IN (SELECT kys_id FROM newest))"""
 _PARTS = """parts AS (SELECT base, string_agg(part, ', ' ORDER BY part) AS parts FROM (
   SELECT base, part, row_number() OVER (PARTITION BY base ORDER BY part) AS n FROM (SELECT DISTINCT split_part(is_base_id, ' (', 1) AS base, is_base_id AS part FROM newest WHERE contains(is_base_id, ' (')))
   WHERE n <= 3 GROUP BY base)"""
 
+_FIVE = "five AS (SELECT src, CASE WHEN rel = 'REFERENCES' AND dst % 4 = 0 THEN 'NORMATIVELY_REFERENCES' ELSE rel END AS rel, dst FROM edges), both5 AS (SELECT * FROM five UNION SELECT dst, CASE rel WHEN 'REFERENCES' THEN 'REFERENCED_BY' ELSE 'REPLACES' END, src FROM five WHERE rel IN ('REFERENCES', 'REPLACED_BY'))"
 PAIRS = {
+    "nodes_with_codes": (nodes_with_codes, sql("SELECT kys_id, dept_code, 'C' || (kys_id % 9) AS committee_code FROM standards WHERE kys_id % 5 <> 0 AND kys_id % 7 <> 0")),
+    "fetch_wanted": (fetch_wanted, sql("SELECT 'families' AS how, kys_id FROM newest WHERE is_base_id = 'IS 101' OR starts_with(is_base_id, 'IS 101 ') OR is_base_id = 'IS 13' OR starts_with(is_base_id, 'IS 13 ') UNION ALL SELECT 'departments', kys_id FROM newest WHERE dept_code IN ('BRAND#11', 'BRAND#23') UNION ALL SELECT 'ids', kys_id FROM newest WHERE kys_id IN (3, 5, 8, 13, 21, 34, 55, 89) UNION ALL SELECT 'all', kys_id FROM newest")),
+    "graph_description": (graph_description, sql(
+        "SELECT 'whole' AS graph, (SELECT count(*) FROM standards) AS standards, (SELECT count(*) FROM five) AS relations, (SELECT string_agg(rel || '=' || n, ', ' ORDER BY rel || '=' || n) FROM (SELECT rel, count(*) AS n FROM five GROUP BY rel)) AS by_name, NULL AS warning "
+        "UNION ALL SELECT 'apart', (SELECT count(*) FROM standards), 0, '', 'the graph holds no relations: nothing related can be told' UNION ALL SELECT 'none', 0, 0, '', 'the graph holds no standards: nothing related can be told, recommendations rest on retrieval alone'", _FIVE)),
     "edges_dedupe": (edges_dedupe, sql("SELECT * FROM edges")),
     "graph_counts": (graph_counts, sql("SELECT rel, count(*) AS n, count(DISTINCT src) AS sources FROM both_ways GROUP BY rel", _BOTH)),
     "neighbours_five_way": (neighbours_all, sql("SELECT * FROM near", _NEAR)),
@@ -115,3 +156,12 @@ PAIRS = {
     "pair_confirm": (pair_confirm, sql("SELECT a, b, EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a) AS confirmed FROM p", "p AS (SELECT DISTINCT x.is_base_id AS a, y.is_base_id AS b FROM edges e JOIN standards x ON x.kys_id = e.src JOIN standards y ON y.kys_id = e.dst WHERE e.rel = 'REFERENCES')")),
     "edition_counts": (edition_counts, sql("SELECT is_base_id, count(*) AS editions, count(*) FILTER (WHERE status = 'current') AS current, max(coalesce(is_year, -1)) AS newest FROM standards GROUP BY is_base_id")),
 }
+
+# the summary's SQL names successors as the chase does
+PAIRS["graph_summary"] = (graph_summary, sql(
+    "SELECT n.kys_id, coalesce(array_to_string(a.normative, '|'), '') AS normative, coalesce(t.nt, 0) AS normative_total, coalesce(t.rt, 0) AS references_total, coalesce(t.bt, 0) AS referenced_by_total, coalesce(array_to_string(a.replaces, '|'), '') AS replaces "
+    "FROM newest n LEFT JOIN (SELECT src, count(*) FILTER (WHERE rel = 'NORMATIVELY_REFERENCES') AS nt, count(*) FILTER (WHERE rel = 'REFERENCES') AS rt, count(*) FILTER (WHERE rel = 'REFERENCED_BY') AS bt FROM both5 GROUP BY src) t ON t.src = n.kys_id "
+    "LEFT JOIN (SELECT src, list(concat_ws(':', CAST(dst AS VARCHAR), is_number, status, use_instead) ORDER BY dst) FILTER (WHERE rel = 'NORMATIVELY_REFERENCES' AND k <= 12) AS normative, list(is_number ORDER BY dst) FILTER (WHERE rel = 'REPLACES' AND k <= 6) AS replaces "
+    "FROM (SELECT b.*, s.is_number, s.status, u.use_instead, row_number() OVER (PARTITION BY src, rel ORDER BY dst) AS k FROM both5 b LEFT JOIN standards s ON s.kys_id = b.dst LEFT JOIN u ON u.kys_id = b.dst) GROUP BY src) a ON a.src = n.kys_id",
+    _FIVE, "chase AS (" + PAIRS["successor_recursive"][1] + ")",
+    "u AS (SELECT g.kys_id, coalesce(f.is_number, x.is_number) AS use_instead FROM standards g LEFT JOIN chase c ON c.start = g.kys_id AND c.reached LEFT JOIN standards f ON f.kys_id = c.final LEFT JOIN standards x ON x.kys_id = g.replaced_by_id WHERE g.status = 'withdrawn')"))

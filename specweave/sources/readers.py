@@ -134,6 +134,23 @@ def one_document(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("typed", text)], "path string, text string")
 
 
+def wanted(editions: DataFrame, ids: list[int] | None = None, families: list[str] | None = None, departments: list[str] | None = None) -> DataFrame:
+    """The editions that a fetch is asked for: by id, else families with all their parts, else departments, else all."""
+    if ids:
+        return editions.where(F.col("kys_id").isin(*ids))
+    if families:
+        base, out = F.coalesce("is_base_id", F.lit("")), F.lit(False)
+        for f in families:
+            out = out | (base == f) | F.startswith(base, F.lit(f + " ")) | F.startswith(base, F.lit(f + "("))
+        return editions.where(out)
+    return editions.where(F.col("dept_code").isin(*[d.upper() for d in departments])) if departments else editions
+
+
+def pdf_cached(files: DataFrame) -> DataFrame:
+    """Downloads (path, content) that are PDF by their first bytes; what a server sends in place of one is not kept."""
+    return files.where(F.hex(F.substring("content", 1, 5)) == "255044462D")
+
+
 def not_yet_done(wanted: DataFrame, status: DataFrame, key: str = "kys_id", final: tuple[str, ...] = ("ok", "no_preview_link", "preview_empty")) -> DataFrame:
     """What a resumed fetch still has to do: rows without a final status."""
     return wanted.join(status.where(F.col("status").isin(*final)).select(key).distinct(), key, "left_anti")

@@ -137,6 +137,8 @@ def test_sources_and_sinks_of_few_lines(spark, tmp_path):
     assert [(r["line"], r["name"][-4:]) for r in readers.cache_names(readers.line_list(spark, f"{d}/urls.txt")).orderBy("n").collect()] == [("https://Example.org/A.pdf", ".pdf"), ("http://b", ".pdf")]
     open(f"{d}/set.jsonl", "w").write('{"id": 1, "text": "a"}\nbroken\n\n[1]\n')
     assert readers.json_lines(spark, f"{d}/set.jsonl").count() == 1 and readers.broken_lines(spark, f"{d}/set.jsonl") == 2
+    files = spark.createDataFrame([("a", b"%PDF-1.7 x"), ("b", b"<html>not here</html>"), ("c", b""), ("d", None)], "path string, content binary")
+    assert [r["path"] for r in readers.pdf_cached(files).collect()] == ["a"]
     docs = spark.createDataFrame([("a", "x (cid:3) é y"), ("b", None)], "path string, text string")
     assert {r["path"]: r["text"] for r in readers.flattened_documents(docs, f"{d}/flat").collect()} == {"a": "x y", "b": ""}
     more = docs.where("path = 'a'").withColumn("text", F.lit("read anew")).union(spark.createDataFrame([("c", "new")], "path string, text string"))
