@@ -58,7 +58,7 @@ def spec_squash_cover(spark, d):
     """Whether each word of benchmark items stands, squashed, in the documents that keyword overlap finds for the item among all."""
     docs, items = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", "text")
     top = retrieval.keyword_overlap(items, docs, top=TOP).select("item_id", "doc_id", "rank")
-    e = docs.join(F.broadcast(top), "doc_id").select(F.col("item_id").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("is_number"), "text")  # TOP rows an item
+    e = docs.join(top, "doc_id").select(F.col("item_id").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("is_number"), "text")  # TOP rows an item
     q = items.select(F.col("item_id").alias("query_id"), F.posexplode(F.split("text", r"[ ]+")).alias("seq", "term"))
     return rag.coverage(q, e)
 
