@@ -13,10 +13,10 @@ from ..operators import graph as G
 from ..operators import rag
 from ..operators import retrieval as R
 from ..operators import search as S
+from .graph_queries import _PARTS, loaded
 from .graph_queries import PAIRS as GRAPH
-from .graph_queries import loaded
 from .relational_queries import newest
-from .retrieval_queries import _OTOK, _TOK, _bm25, _docs, _items, _overlap, index
+from .retrieval_queries import _BOOST, _OTOK, _TOK, YEAR, _bm25, _docs, _items, _overlap, index
 from .tables import edges, read, sql, standards, stored_index
 
 # --- references ----------------------------------------------------------------------------
@@ -76,6 +76,16 @@ def scope_fusion(spark, d):
     return R.fuse(lists, top=10)
 
 
+def items_searched(spark, d):
+    """Line items that cite a standard, against the newest editions: keywords, boosts and tiers, with cited standards and parts of split ones first."""
+    s = standards(spark, d)
+    index_ = newest(spark, d).select("kys_id", "is_number", "is_base_id", F.concat_ws(" | ", "title", "aspect", "is_base_id").alias("lexical_text"), "aspect", "mandatory_cert", "is_year")
+    items = s.where("kys_id % 40 = 7").select(F.col("kys_id").alias("item_id"), F.concat(F.col("title"), F.lit(" methods "), F.col("is_base_id")).alias("query"), F.array_distinct(F.array("is_base_id", F.substring_index("is_base_id", " (", 1))).alias("cited"))
+    ranked = S.retrieve(items, index_, YEAR)
+    out = S.with_pins(ranked, items, index_, s).join(ranked.select("item_id", "kys_id", "tier"), ["item_id", "kys_id"], "left")
+    return out.select("item_id", "kys_id", F.round("score", 6).alias("score"), F.col("group").alias("kind"), "place", "tier")
+
+
 def family_recall(spark, d):
     """Whether a document of the source that holds an item's first document by id is among the best five."""
     docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("family"))
@@ -225,6 +235,18 @@ PAIRS = {
         "repl AS (SELECT m.is_base_id AS base, t.is_base_id AS replacement FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_base_id ORDER BY is_year DESC NULLS LAST, kys_id DESC) AS n FROM standards) WHERE n = 1) m JOIN standards t ON t.kys_id = m.replaced_by_id WHERE t.is_base_id IN (SELECT is_base_id FROM newest))")),
     "sound_scopes": (sound_scopes, "SELECT * FROM (SELECT page_id, CASE WHEN len(html) % 3 = 0 THEN 'too_short' ELSE 'ok' END AS scope_status, len(html) % 100 / 100.0::DOUBLE AS title_overlap, CASE WHEN len(html) % 7 <> 0 THEN url END AS scope_text FROM pages) WHERE scope_status = 'ok' AND title_overlap >= 0.35::DOUBLE AND coalesce(scope_text, '') <> ''"),
     "scope_fusion": (scope_fusion, "WITH firsts AS (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents), " + _bm25(_TOK, 50) + ", " + _SCOPES + ", " + _overlap(50) + ", u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, 'keyword' AS src FROM bm25 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'overlap' FROM ov UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), 'scope' FROM s_bm25), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY item_id, doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM f) WHERE rank < 10"),
+    "items_searched": (items_searched, sql(
+        "SELECT item_id, kys_id, round(score, 6) AS score, kind, place, tier FROM (SELECT a.*, row_number() OVER (PARTITION BY a.item_id ORDER BY kind, a.rank, a.kys_id) AS place, r.tier FROM every a LEFT JOIN rk r ON r.item_id = a.item_id AND r.kys_id = a.kys_id) WHERE place <= 10",
+        "qs AS (SELECT kys_id AS item_id, title || ' methods ' || is_base_id AS text FROM standards WHERE kys_id % 40 = 7)",
+        "idx AS (SELECT kys_id AS doc_id, concat_ws(' | ', title, aspect, is_base_id) AS text FROM newest)",
+        _bm25(_TOK, 50).replace("FROM documents", "FROM idx").replace("FROM benchmark", "FROM qs"),
+        "sc2 AS (SELECT item_id, doc_id AS kys_id, rank, greatest(0, least(1, CAST(CAST(round(1.0::DOUBLE / (60 + rank), 9) / (1.0::DOUBLE / 60) AS FLOAT) AS DOUBLE) * (1 + " + _BOOST + ") / 1.11::DOUBLE)) AS score FROM bm25 JOIN newest ON kys_id = doc_id)",
+        "rk AS (SELECT *, CASE WHEN score >= 0.95 THEN 'Highly relevant' WHEN score >= 0.82 THEN 'Related' ELSE 'Possibly relevant' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, kys_id) AS p FROM sc2) WHERE p <= 10)",
+        _PARTS,
+        "ct AS (SELECT kys_id AS item_id, 0 AS n, is_base_id AS base FROM standards WHERE kys_id % 40 = 7 UNION SELECT kys_id, 1, split_part(is_base_id, ' (', 1) FROM standards WHERE kys_id % 40 = 7 AND contains(is_base_id, ' ('))",
+        "px AS (SELECT item_id, i.kys_id, 1.0::DOUBLE AS score, n AS rank FROM ct JOIN newest i ON i.is_base_id = base UNION ALL SELECT item_id, p.kys_id, 0.95::DOUBLE, n + 1099511627776 FROM (SELECT item_id, n, unnest(string_split(parts, ', ')) AS part FROM ct JOIN parts USING (base) WHERE NOT contains(base, '(') AND base NOT IN (SELECT is_base_id FROM newest)) JOIN newest p ON p.is_base_id = part)",
+        "pins AS (SELECT item_id, kys_id, max(score) AS score, min(rank) AS rank FROM px GROUP BY ALL)",
+        "every AS (SELECT item_id, kys_id, score, 0 AS kind, rank FROM pins UNION ALL SELECT item_id, kys_id, score, 1, p FROM rk WHERE (item_id, kys_id) NOT IN (SELECT item_id, kys_id FROM pins))")),
     "family_recall": (family_recall, "WITH " + _overlap(10) + ", g AS (SELECT item_id, source FROM benchmark JOIN documents ON documents.doc_id = item_id * 7), h AS (SELECT g.item_id, min(CASE WHEN d.source = g.source THEN o.rank + 1 END) AS f FROM g LEFT JOIN ov o USING (item_id) LEFT JOIN documents d ON d.doc_id = o.doc_id GROUP BY g.item_id) SELECT count(*) AS n, round(avg(coalesce((f <= 5)::INT, 0)), 6) AS family_recall_5 FROM h"),
     "mined_terms": (mined_terms, "WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), t AS (SELECT NULL AS a, unnest(w) AS b FROM w UNION ALL SELECT unnest(w[1:len(w) - 1]), unnest(w[2:]) FROM w WHERE len(w) > 1), c AS (SELECT a, b, concat_ws(' ', a, b) AS term, count(*) AS n FROM t GROUP BY a, b HAVING count(*) >= 25) SELECT term, n FROM c WHERE (term IN ('the', 'of the', 'not there') OR (a IS NOT NULL AND list_contains(" + _HEADS + ", b) AND len(a) >= 3 AND a NOT IN ('and', 'the', 'of')) OR (a IS NULL AND list_contains(" + _HEADS + ", b))) AND term NOT IN ('was', 'for that')"),
     "answers": (answers, sql(
