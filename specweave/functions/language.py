@@ -51,6 +51,7 @@ ENGLISH_WORDS = (
 ).split()
 #: What parts words; marks of vowels do not.
 BETWEEN = r"""[\s,;:.()\[\]/\\|"'!?%+*=<>@#&~`{}^_–—-]+"""
+TELLING = sorted({w for table in (*MARKERS.values(), ROMANISED, {"eng_Latn": ENGLISH_WORDS}) for words in table.values() for w in words})
 DEFAULTS = {"Devanagari": "hin_Deva", "Bengali": "ben_Beng", "Arabic": "urd_Arab", "Latin": "eng_Latn"}
 PRESENT = 0.10
 
@@ -141,11 +142,11 @@ def _of_script(script: str, text: Column, tokens: Column) -> Column:
     return found
 
 
-def _of_latin(tokens: Column) -> Column:
-    """English, another language in Latin letters, or one of another script that is written in them."""
+def _of_latin(tokens: Column, n: Column) -> Column:
+    """English, another language in Latin letters, or one of another script that is written in them; n: words in all."""
 
     def choose(x: Column) -> Column:
-        n, roman, other = F.size(tokens), x["roman"], x["other"]
+        roman, other = x["roman"], x["other"]
         enough = ((roman["n"] >= 2) | ((roman["n"] == 1) & (n <= 6))) & (roman["n"] >= x["english"])
         return (
             F.when(n == 0, _found("eng_Latn", NOTHING, "default", "Latin"))
@@ -167,13 +168,15 @@ def detection(c: Column | str, declared: Column | None = None) -> Column:
 
     def choose(x: Column) -> Column:
         one = F.create_map(*[F.lit(v) for kv in BY_SCRIPT.items() for v in kv])[x["script"]]
-        out = _of_latin(x["tokens"])
+        out = _of_latin(x["tokens"], x["n"])
         for script in SURE:
             out = F.when(x["script"] == script, _of_script(script, x["text"], x["tokens"])).otherwise(out)
         single = F.struct(one.alias("code"), F.lit(ONE_LANGUAGE).alias("confidence"), F.lit("script").alias("method"), x["script"].alias("script"), F.lit(False).alias("romanised"))
         return F.when(one.isNotNull(), single).when(~x["text"].rlike(r"\p{L}"), _found("eng_Latn", NOTHING, "default", "Latin")).otherwise(out)
 
-    found = _let(F.struct(_script(c).alias("script"), _tokens(c).alias("tokens"), _text(c).alias("text")), choose)
+    # tables are looked up for words that stand in any of them, which are few
+    told = lambda t: F.struct(_script(c).alias("script"), F.filter(t, lambda w: w.isin(*TELLING)).alias("tokens"), F.size(t).alias("n"), _text(c).alias("text"))
+    found = _let(_let(_tokens(c), told), choose)
     if declared is None:
         return found
     named = F.struct(declared.alias("code"), F.lit(1.0).alias("confidence"), F.lit("declared").alias("method"), F.lit(None).cast("string").alias("script"), F.lit(False).alias("romanised"))

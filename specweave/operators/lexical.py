@@ -2,17 +2,17 @@
 
 A segment is written once from documents and their tokens:
 
-    docs      doc, dl (tokens), rng, terms (token and count): one row a document
+    docs      doc, dl (number of tokens), rng, t (tokens): one row a document
     postings  token, rng, docs, tfs, dls, n, max_tf, min_dl: one row a token and range of documents,
-              dealt out by token and sorted by it, so that Parquet's statistics skip row groups
+              sorted by token in each file, so that Parquet's statistics skip row groups
     terms     token, df
 
-Documents are numbered in order of length, and ``RANGE`` of them in a row are a range. A block
+Documents of a partition are sorted by length, and ``RANGE`` of them in a row are a range. A block
 of postings never leaves a range, so what a document of a range can score for a query is
 bounded by the sum of its blocks' bounds, each from the greatest count and the least length.
 ``search`` scores the most promising ranges of every query in full, takes the score of place
-``top`` as a threshold, and then reads only the blocks of ranges whose bound reaches it. What is
-found equals a search of all postings.
+``top`` as a threshold, and then reads only the blocks of ranges whose bound reaches it. An index
+of few ranges is read whole. What is found equals a search of all postings either way.
 
 A manifest names the segments of a version, the documents that later segments replaced, and
 the statistics of the whole. It is written last, so a version is either there or not; a batch
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import cut
+from ..frames import stored
 from .retrieval import EPSILON, K1, B, ranked
 
 #: Documents of a range.
@@ -41,6 +41,8 @@ RANGE = 128
 FIRST = 4
 #: Segments of like size (within this factor) that compaction joins, once there are so many.
 TIER = 4
+#: Ranges of an index up to which a search reads all: bounds cost more than they save.
+FEW = 1024
 #: Tokens of a query set up to which they are named in the scan's filter.
 NAMED = 2000
 _SLACK = 2e-6  # scores are rounded to six places
@@ -101,38 +103,33 @@ class Index:
         return self.spark.read.parquet(*[f"{self.path}/dead/{d}" for d in m.dead]) if m.dead else None
 
     def live(self, m: Manifest | None = None) -> DataFrame:
-        """segment, doc, dl, rng, terms of all documents that count."""
+        """segment, doc, dl, rng, t of all documents that count."""
         m = m or self.manifest()
         docs = self._table("docs", [s for s, *_ in m.segments])
         if docs is None:
-            return self.spark.createDataFrame([], f"doc {self.kind}, dl int, rng long, terms array<struct<token:string,tf:int>>, segment string")
+            return self.spark.createDataFrame([], f"doc {self.kind}, dl int, rng long, t array<string>, segment string")
         dead = self._dead(m)
         return docs if dead is None else docs.join(dead, ["segment", "doc"], "left_anti")
 
     # --- writing
 
-    def _write_segment(self, docs: DataFrame) -> tuple[str, int, int]:
-        """docs: doc, dl, terms. Name, documents and tokens of a new segment; nothing refers to it yet."""
+    def _write_segment(self, docs: DataFrame) -> tuple[str, int]:
+        """docs: doc, dl, t, dealt out by doc. Name and documents of a new segment; nothing refers to it yet."""
         name = f"s{uuid.uuid4().hex}"
         at = f"{self.path}/segments/{name}"
-        docs = cut(docs)
-        held = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        cores = self.spark.sparkContext.defaultParallelism
-        parts = max(1, min(cores if held["n"] < 1_000_000 else 8192, -(-held["n"] // (4 * RANGE))))
-        # in order of length, by ranges of it; places in a partition follow from the rows alone
-        dealt = cut(docs.repartitionByRange(parts, "dl", "doc").withColumn("part", F.spark_partition_id()))
-        place = F.row_number().over(W.partitionBy("part").orderBy("dl", "doc")) - 1
-        dealt.withColumn("rng", F.col("part").cast("long") * (1 << 32) + F.floor(place / RANGE)).select("doc", "dl", "rng", "terms").write.parquet(f"{at}/docs")
+        # a row's number in its partition, which is in order of length, tells its range
+        nth, low = F.monotonically_increasing_id(), (1 << 33) - 1
+        rng = F.shiftright(F.col("nth"), 33) * (1 << 33) + F.floor(F.col("nth").bitwiseAND(low) / RANGE)
+        docs.sortWithinPartitions("dl", "doc").withColumn("nth", nth).select("doc", "dl", rng.alias("rng"), "t").write.parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
-        each = docs.select("doc", "dl", "rng", F.inline("terms"))
+        # one shuffle: counts and blocks are made where a token's range lies
+        each = docs.select("doc", "dl", "rng", F.explode("t").alias("token")).repartition("token", "rng").groupBy("token", "rng", "doc", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         block = F.array_sort(F.collect_list(F.struct("doc", "tf", "dl")))
         blocks = each.groupBy("token", "rng").agg(block.alias("b"), F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         blocks = blocks.select("token", "rng", F.col("b.doc").alias("docs"), F.col("b.tf").alias("tfs"), F.col("b.dl").alias("dls"), "n", "max_tf", "min_dl")
-        # a token's blocks may be many: they are sorted by token and range over all files, however many a token takes
-        blocks.repartitionByRange(parts, "token", "rng").sortWithinPartitions("token", "rng").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
-        found = self.spark.read.parquet(f"{at}/postings")
-        found.groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
-        return name, held["n"], held["tokens"]
+        blocks.sortWithinPartitions("token", "rng").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+        self.spark.read.parquet(f"{at}/postings").groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
+        return name, docs.count()
 
     def document_frequencies(self, m: Manifest) -> DataFrame:
         """token, df over live documents."""
@@ -142,7 +139,7 @@ class Index:
         terms = terms.select("token", "df")
         dead = self._dead(m)
         if dead is not None:
-            gone = self._table("docs", [s for s, *_ in m.segments]).join(dead, ["segment", "doc"], "left_semi").select(F.explode("terms.token").alias("token"))
+            gone = self._table("docs", [s for s, *_ in m.segments]).join(dead, ["segment", "doc"], "left_semi").select(F.explode(F.array_distinct("t")).alias("token"))
             terms = terms.union(gone.groupBy("token").agg((-F.count(F.lit(1))).alias("df")))
         return terms.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
@@ -162,7 +159,7 @@ class Index:
         m = self.manifest()
         if batch is not None and any(batch == b for *_, b in m.segments):
             return m
-        name, n, _ = self._write_segment(_forward(docs, self.key, self.kind, tokens))
+        name, n = self._write_segment(_forward(docs, self.key, self.kind, tokens))
         dead = m.dead
         if m.segments:
             new = self.spark.read.parquet(f"{self.path}/segments/{name}/docs").select("doc")
@@ -184,8 +181,8 @@ class Index:
             return m
         names = {s for s, *_ in joined}
         rest = tuple(s for s in m.segments if s[0] not in names)
-        rows = self.live(m).where(F.col("segment").isin(*names)).select("doc", "dl", "terms")
-        name, n, _ = self._write_segment(rows)
+        rows = self.live(m).where(F.col("segment").isin(*names)).select("doc", "dl", "t")
+        name, n = self._write_segment(rows.repartition("doc"))
         dead = m.dead
         if dead:
             mark = f"d{uuid.uuid4().hex}"
@@ -226,25 +223,28 @@ class Index:
         asked = queries.select(query, F.explode(tokens).alias("token")).groupBy(query, "token").agg(F.count(F.lit(1)).alias("qf"))
         raw = F.log(m.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         idf = F.when(raw < 0, F.lit(EPSILON * m.mean_idf)).otherwise(raw)
-        asked = cut(asked.join(self.document_frequencies(m), "token").select(query, "token", (F.col("qf") * idf).alias("weight")))
+        asked = stored(asked.join(self.document_frequencies(m), "token").select(query, "token", (F.col("qf") * idf).alias("weight")))
         part = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(m.mean_length or 1))))
         blocks = self._blocks(m, asked)
-        # what a document of a range can have at most: columns of lists are not read for it
-        bound = F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * part(F.col("max_tf"), F.col("min_dl")))
-        bounds = blocks.select("segment", "rng", "token", "max_tf", "min_dl").join(asked, "token").groupBy(query, "segment", "rng").agg(bound.alias("bound"))
-        bounds = cut(bounds)
-        most = max(first, -(-first * top // RANGE))
-        seeds = ranked(bounds.withColumn("at", F.concat_ws(":", "segment", "rng")), query, "bound", "at", most).select(query, "segment", "rng")
         dead = self._dead(m)
 
-        def score(ranges: DataFrame) -> DataFrame:
-            hits = blocks.join(asked, "token").join(ranges, [query, "segment", "rng"])
+        def score(ranges: DataFrame | None) -> DataFrame:
+            hits = blocks.join(asked, "token")
+            hits = hits if ranges is None else hits.join(ranges, [query, "segment", "rng"])
             each = hits.select(query, "segment", "weight", F.inline(F.arrays_zip("docs", "tfs", "dls"))).withColumnRenamed("docs", "doc")
             each = each if dead is None else each.join(dead, ["segment", "doc"], "left_anti")
             got = each.groupBy(query, "doc").agg(F.round(F.sum(F.col("weight") * part(F.col("tfs"), F.col("dls"))), 6).alias("score"))
             return got.where("score > 0").withColumnRenamed("doc", self.key)
 
-        early = cut(score(seeds))
+        if m.n <= FEW * RANGE:
+            return score(None), asked, blocks.select("segment", "rng", "token").join(asked, "token").select(query, "segment", "rng").distinct()
+        # what a document of a range can have at most: columns of lists are not read for it
+        bound = F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * part(F.col("max_tf"), F.col("min_dl")))
+        bounds = blocks.select("segment", "rng", "token", "max_tf", "min_dl").join(asked, "token").groupBy(query, "segment", "rng").agg(bound.alias("bound"))
+        bounds = stored(bounds)
+        most = max(first, -(-first * top // RANGE))
+        seeds = ranked(bounds.withColumn("at", F.concat_ws(":", "segment", "rng")), query, "bound", "at", most).select(query, "segment", "rng")
+        early = stored(score(seeds))
         reached = early.withColumn("n", F.row_number().over(W.partitionBy(query).orderBy(F.col("score").desc()))).where(F.col("n") <= top)
         reached = reached.groupBy(query).agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).otherwise(F.lit(0.0)).alias("least"))
         rest = bounds.join(reached, query, "left").where(F.col("bound") + _SLACK >= F.coalesce("least", F.lit(0.0))).select(query, "segment", "rng")
@@ -253,12 +253,10 @@ class Index:
 
 
 def _forward(docs: DataFrame, key: str, kind: str, tokens: Column) -> DataFrame:
-    """(doc, dl, terms) of documents, one row a key: of several the one of most tokens. Rows are dealt out once."""
+    """(doc, dl, t) of documents, one row a key: of several the one of most tokens. Rows are dealt out once."""
     rows = docs.where(F.col(key).isNotNull()).repartition(key).select(F.col(key).cast(kind).alias("doc"), tokens.alias("t")).withColumn("dl", F.size("t"))
     w = W.partitionBy("doc").orderBy(F.col("dl").desc(), F.col("t"))
-    rows = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    each = rows.select("doc", "dl", F.explode_outer("t").alias("token")).groupBy("doc", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return each.groupBy("doc", "dl").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "tf"))).alias("terms"))
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("doc", "dl", "t")
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> str:
@@ -279,6 +277,6 @@ def of_source(spark: SparkSession, path: str, docs: DataFrame, tokens: Column, s
     index = Index(spark, path, key, docs.schema[key].dataType.simpleString())
     m = index.manifest()
     if not m.segments or m.source != source:
-        name, n, _ = index._write_segment(_forward(docs, key, index.kind, tokens))
+        name, n = index._write_segment(_forward(docs, key, index.kind, tokens))
         index._commit(index._measured(Manifest(m.version + 1, ((name, n, source),), source=source)))
     return index

@@ -34,6 +34,7 @@ def _plain(queries, docs, top):
 @pytest.mark.parametrize("top", [1, 10, 50])
 def test_ranks_are_those_of_all_postings(spark, queries, tmp_path, monkeypatch, top):
     monkeypatch.setattr(lexical, "RANGE", 8)
+    monkeypatch.setattr(lexical, "FEW", 0)
     docs = _corpus(spark, 900)
     index = lexical.Index(spark, str(tmp_path))
     index.add(docs, TOKENS())
@@ -43,7 +44,9 @@ def test_ranks_are_those_of_all_postings(spark, queries, tmp_path, monkeypatch,
     assert seen["read"] < seen["postings"] * (0.5 if top == 1 else 0.9 if top == 10 else 1.01)
 
 
-def test_a_batch_writes_its_segment_alone_and_replaces_documents(spark, queries, tmp_path):
+@pytest.mark.parametrize("few", [0, 1024])
+def test_a_batch_writes_its_segment_alone_and_replaces_documents(spark, queries, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(lexical, "FEW", few)
     docs, later = _corpus(spark, 120), _corpus(spark, 60, seed=9).withColumn("doc_id", F.col("doc_id") + 90)
     index = lexical.Index(spark, str(tmp_path))
     index.add(docs, TOKENS(), "first")
