@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from specweave.llm.common import store, table
+from specweave.llm.common import drop, store, table
 
 SHARDS = 24
 
@@ -79,7 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop(before)  # its rows are all judged and written anew
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
