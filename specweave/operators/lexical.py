@@ -50,10 +50,10 @@ _SLACK = 2e-6  # scores are rounded to six places
 
 @dataclass(frozen=True)
 class Manifest:
-    """One version: segments as (name, documents, batch), and statistics of live documents."""
+    """One version: segments as (name, documents, batches), and statistics of live documents."""
 
     version: int = 0
-    segments: tuple[tuple[str, int, str], ...] = ()
+    segments: tuple[tuple[str, int, list[str]], ...] = ()
     n: int = 0
     tokens: int = 0
     mean_idf: float = 0.0
@@ -157,7 +157,7 @@ class Index:
         most tokens counts. A null key is no document.
         """
         m = self.manifest()
-        if batch is not None and any(batch == b for *_, b in m.segments):
+        if batch is not None and any(batch in b for *_, b in m.segments):
             return m
         name, n = self._write_segment(_forward(docs, self.key, self.kind, tokens))
         dead = m.dead
@@ -168,12 +168,12 @@ class Index:
             older.write.parquet(f"{self.path}/dead/{mark}")
             if not self.spark.read.parquet(f"{self.path}/dead/{mark}").isEmpty():
                 dead = (*m.dead, mark)
-        return self._commit(self._measured(Manifest(m.version + 1, (*m.segments, (name, n, batch or name)), source=source or m.source, dead=dead)))
+        return self._commit(self._measured(Manifest(m.version + 1, (*m.segments, (name, n, [batch or name])), source=source or m.source, dead=dead)))
 
     def compact(self, tier: int = TIER) -> Manifest:
         """A version in which segments of like size are one, if there are ``tier`` of them; replaced documents go."""
         m = self.manifest()
-        by_size: dict[int, list[tuple[str, int, str]]] = {}
+        by_size: dict[int, list[tuple[str, int, list[str]]]] = {}
         for s in m.segments:
             by_size.setdefault(int(math.log(max(s[1], 1), tier)), []).append(s)
         joined = next((group for _, group in sorted(by_size.items()) if len(group) >= tier), None)
@@ -188,7 +188,7 @@ class Index:
             mark = f"d{uuid.uuid4().hex}"
             self._dead(m).where(~F.col("segment").isin(*names)).write.parquet(f"{self.path}/dead/{mark}")
             dead = (mark,)
-        batches = "|".join(b for *_, b in joined)
+        batches = [b for *_, held in joined for b in held]
         return self._commit(self._measured(Manifest(m.version + 1, (*rest, (name, n, batches)), source=m.source, dead=dead)))
 
     # --- reading
@@ -278,5 +278,5 @@ def of_source(spark: SparkSession, path: str, docs: DataFrame, tokens: Column, s
     m = index.manifest()
     if not m.segments or m.source != source:
         name, n = index._write_segment(_forward(docs, key, index.kind, tokens))
-        index._commit(index._measured(Manifest(m.version + 1, ((name, n, source),), source=source)))
+        index._commit(index._measured(Manifest(m.version + 1, ((name, n, [source]),), source=source)))
     return index

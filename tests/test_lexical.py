@@ -71,7 +71,8 @@ def test_compaction_joins_segments_of_like_size(spark, queries, tmp_path):
     assert len(m.segments) == 2 and m.version == 6
     assert _rows(index.search(queries, TOKENS(), top=10)) == _plain(queries, docs, 10)
     # the batches that were joined are still known
-    index.compact(2)
+    m = index.compact(2)
+    assert index.add(docs, TOKENS(), "2") == m
     assert _rows(index.search(queries, TOKENS(), top=10)) == _plain(queries, docs, 10)
 
 

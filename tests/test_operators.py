@@ -9,7 +9,7 @@ from specweave.operators import graph as G
 from specweave.operators import rag
 from specweave.operators import relational as R
 from specweave.operators import retrieval
-from specweave.sources import readers, writers
+from specweave.sources import merge, readers, writers
 from specweave.streaming import events as E
 
 
@@ -188,7 +188,7 @@ def test_stream_equals_batch(spark, tmp_path):
     q = E.tumbling(E.read_stream(spark, folder)).writeStream.format("memory").queryName("t").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("t")) == batch
-    out = str(tmp_path / "up")
-    q = E.read_stream(spark, folder).writeStream.foreachBatch(E.upsert_into(out, ["user_id"])).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    table = merge.KeyedTable(spark, str(tmp_path / "up"), ["user_id"], E.EVENTS.replace("timestamp_ntz", "timestamp"), 8)
+    q = E.read_stream(spark, folder).writeStream.foreachBatch(E.upsert_into(table)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.read.parquet(f"{out}/v2").count() == src.select("user_id").distinct().count()
+    assert table.versions() == [1, 2, 3] and table.read().count() == src.select("user_id").distinct().count()
