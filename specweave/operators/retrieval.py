@@ -65,12 +65,48 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, query: str = "item_id",
     return ranked(scored, query, "score", doc, top)
 
 
+#: Scores that are held at a time, and what rounding to six places may hide.
+SCORES, ROUNDED = 1 << 20, 2e-6
+
+
+def unit(rows) -> np.ndarray:
+    """Vectors of a column, at length 1."""
+    x = np.stack(rows.to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def best_of(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best rows of every query (its number is in who), in order; ties go by id."""
+    order = np.lexsort((ids, -scores, who))
+    who = who[order]
+    first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
+    place = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
+    kept = place < top
+    return who[kept], ids[order][kept], scores[order][kept]
+
+
+def near_pairs(q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, id, score) of rows x that can be among the first of queries whose place ``top`` scores at least ``least``.
+
+    At most SCORES products are held at a time, however many queries and rows there are.
+    """
+    step, out = max(1, SCORES // max(1, len(x))), []
+    for a in range(0, len(q), step):
+        s = q[a : a + step] @ x.T
+        floor = least[a : a + step]
+        if len(x) > top and not np.isfinite(floor).all():
+            floor = np.maximum(floor, np.partition(s, len(x) - top, axis=1)[:, len(x) - top])
+        who, which = np.nonzero(s >= floor[:, None] - ROUNDED)
+        out.append(best_of(who + a, ids[which], np.round(s[who, which], 6), top))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), ids[:0], np.zeros(0))
+
+
 def vector_top(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = TOP, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, key, score, rank) by exact cosine.
 
     A query set of at most block_bytes goes to the vectors whole; each task multiplies its
-    batches with it and keeps the best, so only top rows of tasks are shuffled. Larger
-    ones meet the vectors in cells, see vectors.Cells.
+    batches with it, a block of queries at a time, and keeps the best, so only top rows of
+    tasks are shuffled. Larger ones meet the vectors in cells, see vectors.Cells.
     """
     first = queries.select(vector).first()
     most = max(1, block_bytes // (8 * max(1, len(first[vector]) if first else 1)))
@@ -83,21 +119,23 @@ def vector_top(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vect
     if not rows:
         return ranked(vectors.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score")).limit(0), "query_id", "score", key, top)
     rows.sort(key=lambda r: r[key])
-    ids = np.array([r[key] for r in rows])
+    asked = np.array([r[key] for r in rows])
     q = np.array([r[vector] for r in rows], dtype=np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
     def best(batches):
-        held = None
+        held, least = None, np.full(len(q), -np.inf)
         for b in batches:
-            x = np.stack(b[vector].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, q.shape[1]))
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s, k = np.round(q @ x.T, 6), np.broadcast_to(b[key].to_numpy(), (len(q), len(b)))
-            s, k = (s, k) if held is None else (np.hstack((held[0], s)), np.hstack((held[1], k)))
-            order = np.lexsort((k, -s), axis=1)[:, :top]
-            held = np.take_along_axis(s, order, 1), np.take_along_axis(k, order, 1)
-        if held is not None and held[0].size:
-            yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), key: held[1].ravel(), "score": held[0].ravel()})
+            if not len(b):
+                continue
+            found = near_pairs(q, unit(b[vector]), b[key].to_numpy(), least, top)
+            held = best_of(*(found if held is None else map(np.concatenate, zip(held, found, strict=True))), top)
+            # a query that has as many rows as are asked for needs none below its last
+            full = np.bincount(held[0], minlength=len(q)) >= top
+            least[held[0]] = held[2]
+            least[~full] = -np.inf
+        if held is not None:
+            yield pd.DataFrame({"query_id": asked[held[0]], key: held[1], "score": held[2]})
 
     return ranked(vectors.select(key, vector).mapInPandas(best, f"query_id {kind}, {key} {kind}, score double"), "query_id", "score", key, top)
 

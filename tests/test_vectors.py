@@ -56,3 +56,22 @@ def test_no_vectors_and_no_queries(spark):
     assert vectors.Cells(rows).search(rows.limit(0), 3).count() == 0
     assert vectors.Cells(rows.limit(0)).search(rows, 3).count() == 0
     assert retrieval.vector_top(rows.limit(0), rows).count() == 0
+
+
+def test_products_are_held_a_block_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    q, x = retrieval.unit(_series(rng.normal(size=(6000, 4)))), retrieval.unit(_series(rng.normal(size=(5000, 4))))
+    tracemalloc.start()
+    who, ids, scores = retrieval.near_pairs(q, x, np.arange(5000), np.full(6000, -np.inf), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # all products are 240 MB
+    assert len(who) == 6000 * 3 and (np.diff(scores.reshape(-1, 3)) <= 0).all()
+
+
+def _series(x):
+    import pandas as pd
+
+    return pd.Series(list(x))
