@@ -71,6 +71,15 @@ def test_products_are_held_a_block_at_a_time():
     assert len(who) == 6000 * 3 and (np.diff(scores.reshape(-1, 3)) <= 0).all()
 
 
+def test_a_query_goes_once_to_a_group_of_cells(spark):
+    rows = _frame(spark, np.random.default_rng(7).normal(size=(600, 8)))
+    cells = vectors.Cells(rows, pivots=12, part_rows=200)
+    first, every = cells._passes(rows.where("vec_id % 50 = 0"), 10, 5)
+    assert len(cells.known) > 100 and cells.groups["bin"].max() < 6
+    for visits in (first, every):
+        assert visits.count() == visits.select("query_id", "bin").distinct().count() <= 12 * len(cells.groups)
+
+
 def _series(x):
     import pandas as pd
 
