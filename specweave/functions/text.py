@@ -64,21 +64,27 @@ def join_parts(*parts: Column, separator: str = " | ") -> Column:
 
 # --- citations ---------------------------------------------------------------------------
 
-# The shape of a citation; number, part, section and year are its groups.
+# The shape of a citation; number, part, section and year are its groups. A number is taken whole, however long: its
+# first five digits would name another standard.
 CITATION = (
-    r"(?i)\bIS(?:\s*/\s*(?:ISO|IEC|TS|TR|QC|EN))*\s*[:.]?\s*(\d{1,5})"
+    r"(?i)\bIS(?:\s*/\s*(?:ISO|IEC|TS|TR|QC|EN))*\s*[:.]?\s*(\d+)"
     r"(?:\s*\(?\s*Part\s*(\d+)\s*\)?)?(?:\s*\(?\s*Sec(?:tion)?\s*(\d+)\s*\)?)?(?:\s*[:\-]\s*((?:19|20)\d{2}))?"
 )
 
 
+def number(digits: Column) -> Column:
+    """Digits without leading zeros, however many."""
+    return F.regexp_replace(digits, r"^0+(?=\d)", "")
+
+
 def citations(c: Column | str) -> Column:
     """Base ids that a text cites, in order of appearance, each once."""
     group = lambda i: F.regexp_extract_all(_text(c), F.lit(CITATION), F.lit(i))
     parts = F.arrays_zip(group(1).alias("n"), group(2).alias("p"), group(3).alias("s"))
     name = lambda x: F.concat(
-        F.lit("IS "), x["n"].cast("int").cast("string"),
-        F.when(x["p"] != "", F.concat(F.lit(" (Part "), x["p"].cast("int").cast("string"), F.lit(")"))).otherwise(F.lit("")),
-        F.when(x["s"] != "", F.concat(F.lit(" (Sec "), x["s"].cast("int").cast("string"), F.lit(")"))).otherwise(F.lit("")),
+        F.lit("IS "), number(x["n"]),
+        F.when(x["p"] != "", F.concat(F.lit(" (Part "), number(x["p"]), F.lit(")"))).otherwise(F.lit("")),
+        F.when(x["s"] != "", F.concat(F.lit(" (Sec "), number(x["s"]), F.lit(")"))).otherwise(F.lit("")),
     )
     return F.array_distinct(F.transform(parts, name))
 
@@ -89,9 +95,8 @@ def strip_citations(c: Column | str) -> Column:
 
 def base_id(c: Column | str) -> Column:
     """Base id of one reference, with "Part p" or "Part p/Sec s"; null for ranges and anything else."""
-    pattern = r"(?i)^\s*IS(?:\s*/\s*(?:ISO|IEC|TS|TR|QC|EN))*\s*[:.]?\s*(\d{1,5})(?:\s*\(\s*Part\s*(\d+)(?:\s*/\s*Sec(?:tion)?\s*(\d+))?\s*\))?(?:\s*[:\-]\s*(?:19|20)\d{2})?\s*$"
+    pattern = r"(?i)^\s*IS(?:\s*/\s*(?:ISO|IEC|TS|TR|QC|EN))*\s*[:.]?\s*(\d+)(?:\s*\(\s*Part\s*(\d+)(?:\s*/\s*Sec(?:tion)?\s*(\d+))?\s*\))?(?:\s*[:\-]\s*(?:19|20)\d{2})?\s*$"
     n, p, s = (F.regexp_extract(_text(c), pattern, i) for i in (1, 2, 3))
-    number = lambda x: x.cast("int").cast("string")
     part = F.when(p == "", "").when(s == "", F.concat(F.lit(" (Part "), number(p), F.lit(")"))).otherwise(F.concat(F.lit(" (Part "), number(p), F.lit("/Sec "), number(s), F.lit(")")))
     return F.when(n != "", F.concat(F.lit("IS "), number(n), part))
 

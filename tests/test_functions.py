@@ -30,6 +30,14 @@ def test_citations_agree_as_column_and_as_parser(spark, line, want):
     assert one(spark, text.citations("t"), t=line) == want
 
 
+@pytest.mark.parametrize("digits", ["123456", "00123456", "9" * 5000])
+def test_a_citation_has_its_whole_number(spark, digits):
+    line, name = f"as per IS {digits} (Part 2):2004; pipe", f"IS {digits.lstrip('0')}"
+    assert D.citations(line) == [f"{name} (Part 2)"] == one(spark, text.citations("t"), t=line)
+    assert one(spark, text.strip_citations("t"), t=line) == "as per ; pipe"
+    assert one(spark, text.base_id("t"), t=f"IS {digits}") == name
+
+
 @pytest.mark.parametrize(("raw", "want"), [("Hexagon head bolts Part 1 ( Fifth Revision )", "Hexagon head bolts Part 1"), ("N/A", ""), (None, ""), ("a ? b--c", "a - b - c"), (" `x` ", "x")])
 def test_clean_text(spark, raw, want):
     assert one(spark, text.clean_text("t"), t=raw) == want
