@@ -38,6 +38,11 @@ def test_a_citation_has_its_whole_number(spark, digits):
     assert one(spark, text.base_id("t"), t=f"IS {digits}") == name
 
 
+def test_a_mask_covers_the_whole_number():
+    n = notation.Notation("bars IP66 as per IS 123456")
+    assert n.masked() == "bars @1@ as per @2@" and n.values == ["IP66", "IS 123456"]
+
+
 @pytest.mark.parametrize(("raw", "want"), [("Hexagon head bolts Part 1 ( Fifth Revision )", "Hexagon head bolts Part 1"), ("N/A", ""), (None, ""), ("a ? b--c", "a - b - c"), (" `x` ", "x")])
 def test_clean_text(spark, raw, want):
     assert one(spark, text.clean_text("t"), t=raw) == want
