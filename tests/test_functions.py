@@ -43,6 +43,11 @@ def test_a_mask_covers_the_whole_number():
     assert n.masked() == "bars @1@ as per @2@" and n.values == ["IP66", "IS 123456"]
 
 
+def test_digits_behind_a_mask_come_back_as_they_were():
+    n = notation.Notation("as per IS 100012 Fe500D")
+    assert n.restored(n.masked().translate(str.maketrans("123", "१२३"))) == (n.text, [])
+
+
 @pytest.mark.parametrize(("raw", "want"), [("Hexagon head bolts Part 1 ( Fifth Revision )", "Hexagon head bolts Part 1"), ("N/A", ""), (None, ""), ("a ? b--c", "a - b - c"), (" `x` ", "x")])
 def test_clean_text(spark, raw, want):
     assert one(spark, text.clean_text("t"), t=raw) == want
