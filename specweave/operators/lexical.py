@@ -26,8 +26,12 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,11 +126,9 @@ class Index:
         rng = F.shiftright(F.col("nth"), 33) * (1 << 33) + F.floor(F.col("nth").bitwiseAND(low) / RANGE)
         docs.sortWithinPartitions("dl", "doc").withColumn("nth", nth).select("doc", "dl", rng.alias("rng"), "t").write.parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
-        # one shuffle: counts and blocks are made where a token's range lies
-        each = docs.select("doc", "dl", "rng", F.explode("t").alias("token")).repartition("token", "rng").groupBy("token", "rng", "doc", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        block = F.array_sort(F.collect_list(F.struct("doc", "tf", "dl")))
-        blocks = each.groupBy("token", "rng").agg(block.alias("b"), F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        blocks = blocks.select("token", "rng", F.col("b.doc").alias("docs"), F.col("b.tf").alias("tfs"), F.col("b.dl").alias("dls"), "n", "max_tf", "min_dl")
+        # a range lies whole in a file, so its blocks are made where it is read; one shuffle deals them out by token
+        schema = f"token string, rng long, docs array<{self.kind}>, tfs array<int>, dls array<int>, n int, max_tf int, min_dl int"
+        blocks = docs.select("doc", "dl", "rng", "t").mapInArrow(_blocks_of, schema).repartition("token", "rng")
         blocks.sortWithinPartitions("token", "rng").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
         self.spark.read.parquet(f"{at}/postings").groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
         return name, docs.count()
@@ -252,6 +254,31 @@ class Index:
         return early.union(score(rest)), asked, seeds.union(rest)
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (doc, dl, rng, t), a range at a time. One that a batch's end cuts gets two blocks a token, whose bounds add up to no less."""
+    for b in batches:
+        rng = b.column("rng").to_numpy()
+        edges = np.r_[0, np.nonzero(rng[1:] != rng[:-1])[0] + 1, len(rng)]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            rows = b.slice(start, stop - start)
+            rows = rows.take(pc.sort_indices(rows.column("doc")))
+            lists = rows.column("t")
+            words = pc.dictionary_encode(lists.flatten())
+            if not len(words):
+                continue
+            key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(rows) + pc.list_parent_indices(lists).to_numpy(), return_counts=True)
+            code, row, tf = key // len(rows), key % len(rows), tf.astype(np.int32)
+            first = np.nonzero(np.r_[True, code[1:] != code[:-1]])[0]  # of each token
+            dl = rows.column("dl").to_numpy()[row]
+            listed = lambda values, at=np.r_[first, len(key)]: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            columns = {
+                "token": words.dictionary.take(pa.array(code[first])), "rng": pa.array(np.full(len(first), rng[start])),
+                "docs": listed(rows.column("doc").take(pa.array(row))), "tfs": listed(pa.array(tf)), "dls": listed(pa.array(dl)),
+                "n": pa.array(np.diff(np.r_[first, len(key)]), pa.int32()), "max_tf": pa.array(np.maximum.reduceat(tf, first)), "min_dl": pa.array(np.minimum.reduceat(dl, first)),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+
 def _forward(docs: DataFrame, key: str, kind: str, tokens: Column) -> DataFrame:
     """(doc, dl, t) of documents, one row a key: of several the one of most tokens. Rows are dealt out once."""
     rows = docs.where(F.col(key).isNotNull()).repartition(key).select(F.col(key).cast(kind).alias("doc"), tokens.alias("t")).withColumn("dl", F.size("t"))

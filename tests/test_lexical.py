@@ -108,3 +108,12 @@ def test_staleness_is_seen_where_a_search_starts(spark, tmp_path):
     two = lexical.fingerprint(spark, f"{tmp_path}/docs")
     fresh = lexical.of_source(spark, f"{tmp_path}/index", spark.read.parquet(f"{tmp_path}/docs"), TOKENS(), two)
     assert one != two and fresh.manifest().version == 2 and fresh.manifest().n == 2
+
+
+def test_blocks_are_made_range_by_range_in_arrow():
+    import pyarrow as pa
+
+    t = pa.array([["b", "a", "b"], ["a"], None, [], ["c", "a"]], pa.list_(pa.string()))
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 3, 4, 5, 9]), pa.array([3, 1, -1, 0, 2], pa.int32()), pa.array([0, 0, 0, 0, 1]), t], ["doc", "dl", "rng", "t"])
+    got = sorted((r["token"], *[r[c] for c in ("rng", "docs", "tfs", "dls", "n", "max_tf", "min_dl")]) for b in lexical._blocks_of([rows]) for r in b.to_pylist())
+    assert got == [("a", 0, [3, 7], [1, 1], [1, 3], 2, 1, 1), ("a", 1, [9], [1], [2], 1, 1, 2), ("b", 0, [7], [2], [3], 1, 2, 3), ("c", 1, [9], [1], [2], 1, 1, 2)]
