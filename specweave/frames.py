@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def tasks_for(df: DataFrame, each: int = 8 << 20) -> int:
+    """Tasks of at most ``each`` stored bytes of df, at least one a core: a fixed number would have a task grow with its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(8192, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as written to the checkpoint folder: worked out once, read by every later plan, kept when executors go."""
     shared_folder(df.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import cut
+from ..frames import cut, tasks_for
 from ..functions import scoring, text
 
 # Fixed values of BM25.
@@ -59,7 +59,9 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, query: str = "item_id",
     words = F.array_distinct(text.ascii_tokens("text", text.OVERLAP_STOPWORDS, 2))
     q = queries.select(query, words.alias("t")).select(query, F.size("t").alias("nq"), F.explode("t").alias("token"))
     # explode_outer: a plain explode has Spark filter by the tokens' number, and so make them twice
-    d = docs.select(doc, "text").repartition(doc).select(doc, words.alias("t")).select(doc, F.size("t").alias("nd"), F.explode_outer("t").alias("token"))
+    # a task counts the pairs of its documents and all queries, so there are as many tasks as the texts need
+    d = docs.select(doc, "text")
+    d = d.repartition(tasks_for(d), doc).select(doc, words.alias("t")).select(doc, F.size("t").alias("nd"), F.explode_outer("t").alias("token"))
     shared = d.join(q, "token").groupBy(query, doc, "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
     scored = shared.select(query, doc, F.round(F.col("n") / F.sqrt(F.col("nq").cast("double") * F.col("nd")), 4).alias("score"))
     return ranked(scored, query, "score", doc, top)

@@ -192,3 +192,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q = E.read_stream(spark, folder).writeStream.foreachBatch(E.upsert_into(table)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert table.versions() == [1, 2, 3] and table.read().count() == src.select("user_id").distinct().count()
+
+
+def test_tasks_grow_with_the_stored_bytes(spark, tmp_path):
+    from specweave.frames import tasks_for
+
+    spark.range(100_000).write.parquet(f"{tmp_path}/t")
+    rows, cores = spark.read.parquet(f"{tmp_path}/t"), spark.sparkContext.defaultParallelism
+    assert tasks_for(rows) == cores and tasks_for(rows, each=10_000) > 2 * cores
