@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -210,6 +214,19 @@ def family_recall(ranked_rows: DataFrame, gold: DataFrame, query: str = "item_id
     return all_.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce((F.col("first") <= at).cast("double"), F.lit(0.0))), 6).alias(f"family_recall_{at}"))
 
 
+def terms_counted(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """(term, words, n) of batches of (w): words and pairs of neighbours, counted for ``rows`` texts at a time, so that what is held does not grow with a task."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            lists = b.column(0).slice(at, rows)
+            one, owner = lists.flatten(), pc.list_parent_indices(lists)
+            within = pc.equal(owner[:-1], owner[1:])
+            two = pc.binary_join_element_wise(one[:-1].filter(within), one[1:].filter(within), " ")
+            for words, terms in ((1, one), (2, two)):
+                got = pc.value_counts(terms)
+                yield pa.RecordBatch.from_pydict({"term": got.field(0), "words": pa.array(np.full(len(got), words, np.int32)), "n": got.field(1)})
+
+
 def mined_terms(texts: DataFrame, body: str, seeds: list[str], heads: list[str], modifiers_out: list[str], generic: list[str], reviewed_out: list[str], least: int = 25, alone: bool = False) -> DataFrame:
     """term and n of a gazetteer: seeds that the texts use, two words that end in a head word, and (alone) head words by themselves.
 

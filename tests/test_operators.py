@@ -200,3 +200,15 @@ def test_tasks_grow_with_the_stored_bytes(spark, tmp_path):
     spark.range(100_000).write.parquet(f"{tmp_path}/t")
     rows, cores = spark.read.parquet(f"{tmp_path}/t"), spark.sparkContext.defaultParallelism
     assert tasks_for(rows) == cores and tasks_for(rows, each=10_000) > 2 * cores
+
+
+def test_terms_are_counted_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"w": pa.array([["red", "pipe", "red", "pipe"], None, ["red"], ["pipe", "red"], []], pa.list_(pa.string()))})
+    for rows in (1, 2, 1024):
+        total = {}
+        for b in retrieval.terms_counted(iter([batch]), rows):
+            for r in b.to_pylist():
+                total[r["term"], r["words"]] = total.get((r["term"], r["words"]), 0) + r["n"]
+        assert total == {("red", 1): 4, ("pipe", 1): 3, ("red pipe", 2): 2, ("pipe red", 2): 2}
