@@ -155,14 +155,14 @@ def quantities_varied(spark, d):
     """One quantity of each kind, bounded in each way, and what must not be read."""
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
     line = F.concat(F.lit("as per IS 269 "), F.col("p_name"), F.lit(" of "), _pick([b[0] for b in _BOUNDS], k % 4), n, F.lit(" "), _pick([u[0] for u in _UNITS], k % 7), F.when(k % 5 == 0, F.lit(", 100 nos")).otherwise(""))
-    q = read(spark, d, "part").select("p_partkey", F.posexplode(Q.quantity_items(line)).alias("pos", "q"))
+    q = read(spark, d, "part", parsed=True).select("p_partkey", F.posexplode(Q.quantity_items(line)).alias("pos", "q"))
     return q.select("p_partkey", "pos", "q.value", "q.unit", "q.field", "q.qualifier", "q.raw")
 
 
 def products_varied(spark, d):
     k = F.col("p_partkey")
     line = F.concat(_pick(_VERBS, k % 6), _pick(_NAMES, k % 8), _pick(_TAILS, k % 5))
-    return read(spark, d, "part").select("p_partkey", Q.product_column(line).alias("product"))
+    return read(spark, d, "part", parsed=True).select("p_partkey", Q.product_column(line).alias("product"))
 
 
 def requirement_pairs(spark, d):
@@ -170,19 +170,19 @@ def requirement_pairs(spark, d):
     pair = lambda a, b: F.struct(F.lit(a).alias("k"), b.alias("v"))
     pairs = F.array(pair("Material", F.concat(F.col("p_brand"), F.lit(" / steel"))), pair("Capacity", F.concat(F.col("p_size").cast("string"), F.lit(" litres"))), pair("Colour", F.col("p_name")), pair("Item", F.lit("Water tanks")))
     r = Q.requirement_column(F.lit("Tank, galvanised"), pairs, {"property": ["galvanised"]})
-    out = read(spark, d, "part").select("p_partkey", r.alias("r"))
+    out = read(spark, d, "part", parsed=True).select("p_partkey", r.alias("r"))
     return out.select("p_partkey", "r.product", F.array_join("r.material", "|").alias("material"), F.array_join("r.property", "|").alias("property"), F.get("r.quantities", F.lit(0))["value"].alias("capacity"), F.array_join("r.unmapped", "|").alias("unmapped"))
 
 
 def spoken_varied(spark, d):
     line = F.concat(F.col("p_name"), F.lit(" "), _pick([a for a, _ in _SAID], F.col("p_partkey") % 8), F.lit(" bars"))
-    return read(spark, d, "part").select("p_partkey", notation.spoken_text(line).alias("written"))
+    return read(spark, d, "part", parsed=True).select("p_partkey", notation.spoken_text(line).alias("written"))
 
 
 def masks_restored(spark, d):
     """Masked, put into other digits and spacing, and restored: nothing may be lost."""
     line = F.concat(F.col("p_name"), F.lit(" IP66 "), F.col("p_size").cast("string"), F.lit(" mm as per IS "), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" Fe500D")).otherwise(""))
-    m = read(spark, d, "part").select("p_partkey", line.alias("line"), F.translate(F.regexp_replace(notation.masked(line)["text"], r"@(\d)@", "@ $1 @"), "123", "१२३").alias("m"))
+    m = read(spark, d, "part", parsed=True).select("p_partkey", line.alias("line"), F.translate(F.regexp_replace(notation.masked(line)["text"], r"@(\d)@", "@ $1 @"), "123", "१२३").alias("m"))
     back = notation.restored(F.col("m"), F.col("line"))
     return m.select("p_partkey", back["text"].alias("text"), F.size(back["missing"]).alias("missing"))
 

@@ -20,10 +20,11 @@ TEXTS = ("documents", "pages", "conversations")
 SMALL = 8 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, parsed: bool = False) -> DataFrame:
+    """A table. parsed: every row goes through Python, so that a small file of any table is worth dealing out."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
+    if (parsed or name in TEXTS) and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
         df = df.repartition(cores)
     return df
 

@@ -58,13 +58,13 @@ def unjoined_words(spark, d):
 
 def quantities(spark, d):
     line = F.concat(F.lit("pipe "), F.col("p_size").cast("string"), F.lit(" mm to "), (F.col("p_size") + 9).cast("string"), F.lit(" mm diameter, capacity "), F.round("p_retailprice").cast("int").cast("string"), F.lit(" litres, DN "), F.col("p_size").cast("string"))
-    q = read(spark, d, "part").select("p_partkey", F.posexplode(R.quantity_items(line)).alias("pos", "q"))
+    q = read(spark, d, "part", parsed=True).select("p_partkey", F.posexplode(R.quantity_items(line)).alias("pos", "q"))
     return q.select("p_partkey", "pos", "q.value", "q.unit", "q.field", "q.value_max")
 
 
 def product(spark, d):
     line = F.concat(F.lit("Supply of 20 nos "), F.col("p_name"), F.lit(" tanks for outdoor use, "), F.col("p_size").cast("string"), F.lit(" litres"))
-    return read(spark, d, "part").select("p_partkey", R.product_column(line, ["stainless steel"]).alias("product"))
+    return read(spark, d, "part", parsed=True).select("p_partkey", R.product_column(line, ["stainless steel"]).alias("product"))
 
 
 def detect_language(spark, d):
@@ -96,20 +96,20 @@ def languages_varied(spark, d):
     """Every part's name behind a line of one of many languages: few Latin letters must not outweigh a script."""
     k = F.col("p_partkey") % len(LINES)
     line = F.get(F.array(*[F.lit(t) for t, *_ in LINES]), k.cast("int"))
-    return read(spark, d, "part").select("p_partkey", language.detection(line).alias("x")).select("p_partkey", "x.code", "x.confidence", "x.method")
+    return read(spark, d, "part", parsed=True).select("p_partkey", language.detection(line).alias("x")).select("p_partkey", "x.code", "x.confidence", "x.method")
 
 
 def mask_unmask(spark, d):
     m = notation.masked(F.concat(F.col("p_name"), F.lit(" IP66 "), F.col("p_size").cast("string"), F.lit(" mm as per IS "), F.col("p_partkey").cast("string")))
-    return read(spark, d, "part").select("p_partkey", m["text"].alias("masked"), F.array_join(m["kinds"], ",").alias("kinds"), F.size(m["values"]).alias("n"))
+    return read(spark, d, "part", parsed=True).select("p_partkey", m["text"].alias("masked"), F.array_join(m["kinds"], ",").alias("kinds"), F.size(m["values"]).alias("n"))
 
 
 def spoken_notation(spark, d):
-    return read(spark, d, "part").select("p_partkey", notation.spoken_text(F.concat(F.lit("eye ess seventeen eighty six pipe twenty five millimetre "), F.col("p_name"))).alias("written"))
+    return read(spark, d, "part", parsed=True).select("p_partkey", notation.spoken_text(F.concat(F.lit("eye ess seventeen eighty six pipe twenty five millimetre "), F.col("p_name"))).alias("written"))
 
 
 def spec_terms(spark, d):
-    t = read(spark, d, "part").select("p_partkey", F.posexplode(notation.spec_term_items(F.concat(F.lit("90W LED IP66 "), F.col("p_size").cast("string"), F.lit(" mm"), F.lit(" ip 66")))).alias("pos", "t"))
+    t = read(spark, d, "part", parsed=True).select("p_partkey", F.posexplode(notation.spec_term_items(F.concat(F.lit("90W LED IP66 "), F.col("p_size").cast("string"), F.lit(" mm"), F.lit(" ip 66")))).alias("pos", "t"))
     return t.select("p_partkey", "pos", "t.term", "t.kind")
 
 

@@ -212,3 +212,11 @@ def test_terms_are_counted_a_few_texts_at_a_time():
             for r in b.to_pylist():
                 total[r["term"], r["words"]] = total.get((r["term"], r["words"]), 0) + r["n"]
         assert total == {("red", 1): 4, ("pipe", 1): 3, ("red pipe", 2): 2, ("pipe red", 2): 2}
+
+
+def test_rows_for_python_are_dealt_out(spark):
+    from specweave.plans import tables
+
+    d, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    assert tables.read(spark, d, "part", parsed=True).rdd.getNumPartitions() == cores > 1
+    assert tables.read(spark, d, "part").rdd.getNumPartitions() == 1
