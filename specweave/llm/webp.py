@@ -8,6 +8,7 @@ colour cache, a palette (pixels of few colours are packed), predictor and cross-
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 
@@ -32,9 +33,12 @@ MAX_SIDE = 1 << 14
 CACHE_HASH = 0x1E35A7BD
 #: Pixels that a back-reference has at least, and at most.
 LEAST_COPY, MOST_COPY = 16, 4096
-#: Pixels from which a table of two literals at a time pays.
-TWO = 9000
+#: Bytes of a stream that are read at once; more bits than any symbol takes with its extra bits.
+WINDOW, COPIES = 4096, 64
 
+_EIGHT = np.arange(8)
+#: Extra bits of length and distance symbols; colours of a cache have none.
+_EXTRA = np.array([max(0, (p - 2) >> 1) if p < 40 else 0 for p in range(24 + (1 << 11))])
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], dtype=np.uint8)
 
 
@@ -59,6 +63,13 @@ class Bits:
         return (int.from_bytes(self.data[i : i + 3], "little") >> (self.at & 7)) & 0x7FFF
 
 
+@functools.cache
+def _reversed(n: int) -> np.ndarray:
+    """All numbers of n bits, with the first bit last."""
+    i = np.arange(1 << n)
+    return sum((i >> b & 1) << (n - 1 - b) for b in range(n))
+
+
 class Code:
     """A canonical prefix code, from the lengths of its symbols."""
 
@@ -68,34 +79,39 @@ class Code:
         if not used:
             raise ValueError("a prefix code without symbols")
         self.symbols, self.lengths = used, lengths
+        sizes = [n for n in lengths if n]
         #: Bits of every symbol if all have the same number, else None.
-        self.width = 0 if self.only is not None else lengths[used[0]] if all(lengths[s] == lengths[used[0]] for s in used) and len(used) == 1 << lengths[used[0]] else None
+        self.width = 0 if self.only is not None else sizes[0] if len(used) == 1 << sizes[0] and min(sizes) == max(sizes) else None
+        self._arrays: tuple[np.ndarray, np.ndarray, int] | None = None
         self._table: tuple[list[int], list[int], int] | None = None
-        if self.only is None and sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
+        if self.only is None and sum([1 << (15 - n) for n in sizes]) != 1 << 15:
             raise ValueError("a prefix code that is not complete")
 
     @classmethod
     def single(cls, symbol: int) -> Code:
         self = cls.__new__(cls)
-        self.only, self.symbols, self.lengths, self.width, self._table = symbol, [symbol], [], 0, None
+        self.only, self.symbols, self.lengths, self.width, self._arrays, self._table = symbol, [symbol], [], 0, None, None
         return self
 
-    def table(self) -> tuple[list[int], list[int], int]:
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, int]:
         """Symbols and their bits by the next bits of the stream, and the mask of as many bits as the longest code has."""
-        if self._table is None:
+        if self._arrays is None:
             if self.only is not None:
-                self._table = [self.only], [0], 0
-                return self._table
-            longest = max([self.lengths[s] for s in self.symbols])
-            size = 1 << longest
-            symbols, sizes, code, last = [0] * size, [0] * size, 0, 0
-            for n, s in sorted([(self.lengths[s], s) for s in self.symbols]):
-                code <<= n - last
-                last = n
-                at = slice(int(f"{code:0{n}b}"[::-1], 2), None, 1 << n)
-                symbols[at], sizes[at] = [s] * (size >> n), [n] * (size >> n)
-                code += 1
-            self._table = symbols, sizes, size - 1
+                self._arrays = np.array([self.only], np.int16), np.zeros(1, np.uint8), 0
+                return self._arrays
+            symbols = np.array(self.symbols, np.int16)
+            sizes = np.array([n for n in self.lengths if n], np.uint8)
+            order = np.argsort(sizes, kind="stable")
+            longest = int(sizes[order[-1]])
+            many, first = 1 << (longest - sizes[order].astype(np.int64)), _reversed(longest)
+            self._arrays = symbols[order].repeat(many)[first], sizes[order].repeat(many)[first], (1 << longest) - 1
+        return self._arrays
+
+    def table(self) -> tuple[list[int], list[int], int]:
+        """The same as lists."""
+        if self._table is None:
+            symbols, sizes, mask = self.arrays()
+            self._table = symbols.tolist(), sizes.tolist(), mask
         return self._table
 
     def read(self, bits: Bits) -> int:
@@ -108,6 +124,10 @@ class Code:
 
 
 def read_code(bits: Bits, size: int) -> Code:
+    x = bits.peek15()
+    if x & 7 == 5 and bits.at + 11 <= 8 * len(bits.data):  # one symbol of 8 bits
+        bits.at += 11
+        return Code.single(x >> 3 & 255)
     lengths = [0] * size
     if bits.read(1):  # one or two symbols, as they are
         two = bits.read(1)
@@ -122,20 +142,34 @@ def read_code(bits: Bits, size: int) -> Code:
     code, left = Code(first), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    symbols, sizes, mask = code.table()
+    data, at, x, more = bits.data, bits.at, 0, 0
     i, previous = 0, 8
     while i < size and left:
         left -= 1
-        n = code.read(bits)
+        if more < 14:  # x: the next bits of the stream, more of them for certain
+            x, more = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 57
+        n, k = symbols[x & mask], sizes[x & mask]
+        x >>= k
         if n < 16:
             lengths[i] = n
             previous = n or previous
             i += 1
-            continue
-        value, count = (previous, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
-        if i + count > size:
-            raise ValueError("more code lengths than symbols")
-        lengths[i : i + count] = [value] * count
-        i += count
+        else:
+            value, least, extra = (previous, 3, 2) if n == 16 else (0, 3, 3) if n == 17 else (0, 11, 7)
+            count = least + (x & ((1 << extra) - 1))
+            if i + count > size:
+                raise ValueError("more code lengths than symbols")
+            if value:
+                lengths[i : i + count] = [value] * count
+            i += count
+            x >>= extra
+            k += extra
+        at += k
+        more -= k
+    if at > 8 * len(data):
+        raise ValueError("the stream ends too early")
+    bits.at = at
     return Code(lengths)
 
 
@@ -264,68 +298,68 @@ def _pixels(bits: Bits, group: list[Code], n: int, width: int, cache_bits: int)
     return image
 
 
-@functools.cache
-def _runs() -> list[bytes | None]:
-    """All pairs of bytes by low + 256 * high, then all single bytes, then nothing."""
-    return [bytes((x & 255, x >> 8)) for x in range(1 << 16)] + [bytes((x,)) for x in range(256)] + [None]
-
-
-def _pairs(symbols: list[int], sizes: list[int], mask: int) -> tuple[list[bytes | None], list[int]]:
-    """What the next 12 bits hold for certain, up to two literals, and the bits of it; None before anything else."""
-    i = np.arange(1 << 12)
-    symbols, sizes = np.array(symbols), np.array(sizes)
-    a, k = symbols[i & mask], sizes[i & mask]
-    rest = i >> k
-    b, m = symbols[rest & mask], sizes[rest & mask]
-    one, two = (a < 256) & (k <= 12), (a < 256) & (b < 256) & (k + m <= 12)
-    index = np.where(two, a | b << 8, np.where(one, 65536 + a, 65792))
-    return list(map(_runs().__getitem__, index.tolist())), np.where(two, k + m, k).tolist()
-
-
 def _greens(bits: Bits, group: list[Code], n: int, width: int) -> bytearray:
-    """The greens of n pixels that vary in nothing else."""
-    data = bits.data
-    symbols, sizes, mask = group[0].table()
-    out, at, left, i = bytearray(), bits.at, 57, 0
-    # at: place of the stream before the next 57 bits or more, x; left of them are unread
-    x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
-    append = out.append
-    both, taken = _pairs(symbols, sizes, mask) if n >= TWO else (None, None)
+    """The greens of n pixels that vary in nothing else.
+
+    What would be read is looked up at every bit of a window, and with it where the next
+    symbol begins; such steps are doubled to sixteen symbols. The window is walked in strides
+    of those, and the symbols in between are filled in.
+    """
+    data, distances = bits.data, group[4]
+    symbols, sizes, mask = group[0].arrays()
+    copying = symbols >= 256
+    if copying.any():
+        steps = np.where(copying, sizes + np.uint8(COPIES), sizes)
+        far, far_sizes, far_mask = distances.arrays()
+    else:
+        steps = sizes
+    raw = np.frombuffer(data + bytes(16), np.uint8)
+    out = bytearray()
     while len(out) < n:
-        if both is not None:
-            try:  # two literals at a time, as far as they go
-                for _ in range((n - len(out)) // 2):
-                    if left < 12:
-                        at += 57 - left
-                        x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
-                        left = 57
-                    i = x & 4095
-                    out += both[i]
-                    k = taken[i]
-                    x >>= k
-                    left -= k
-            except TypeError:  # None: nothing that is certain
-                pass
-        try:
-            for _ in range(min(1, n - len(out)) if both is not None else n - len(out)):
-                if left < 15:
-                    at += 57 - left
-                    x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
-                    left = 57
-                i = x & mask
-                k = sizes[i]
-                x >>= k
-                left -= k
-                append(symbols[i])
-        except ValueError:  # no byte
-            s = symbols[i]
-            bits.at = at + 57 - left
-            if s >= 280:
-                raise ValueError("a colour that the cache cannot hold") from None
-            _copy(out, *_reference(bits, s, group[4], width), n)
-            at, left = bits.at, 57
-            x = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
-    bits.at = at + 57 - left
+        base = bits.at >> 3
+        many = min(WINDOW, len(data) - base)
+        if many <= 0:
+            raise ValueError("the stream ends too early")
+        size = 8 * many
+        part = raw[base : base + many + 10].astype(np.int64)
+        three = part[:-2] | part[1:-1] << 8 | part[2:] << 16
+        ahead = (three[:many, None] >> _EIGHT & mask).reshape(-1)
+        step = steps[ahead]
+        one = np.arange(size + COPIES)  # what ends beyond the window stays there
+        one[:size] += step
+        if steps is not sizes:
+            # a copy: extra bits of its length, its distance and the extra bits of that
+            at = np.flatnonzero(step >= COPIES)
+            to = one[at] - COPIES + _EXTRA[symbols[ahead[at]] - 256]
+            where = three[to >> 3] >> (to & 7) & far_mask
+            one[at] = to + far_sizes[where] + _EXTRA[far[where]]
+        two = one[one]
+        four = two[two]
+        eight = four[four]
+        stride = memoryview(eight[eight])
+        met, i = [], bits.at & 7
+        while i < size:
+            met.append(i)
+            i = stride[i]
+        at = np.array(met)
+        for jump in (eight, four, two, one):
+            both = np.empty(2 * len(at), np.int64)
+            both[::2], both[1::2] = at, jump[at]
+            at = both
+        at = at[: np.searchsorted(at, size)]
+        found = symbols[ahead[at]]
+        green, begin = found.astype(np.uint8).tobytes(), 0
+        for end in [*(np.flatnonzero(found >= 256).tolist() if steps is not sizes else ()), len(found)]:
+            took = begin + min(end - begin, n - len(out))
+            out += green[begin:took]
+            if len(out) == n or end == len(found):
+                bits.at = 8 * base + (int(at[took]) if took < len(at) else i)
+                break
+            if found[end] >= 280:
+                raise ValueError("a colour that the cache cannot hold")
+            bits.at = 8 * base + int(at[end]) + int(sizes[ahead[at[end]]])
+            _copy(out, *_reference(bits, int(found[end]), distances, width), n)
+            begin = end + 1
     if bits.at > 8 * len(data):
         raise ValueError("the stream ends too early")
     return out
@@ -577,12 +611,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     used = np.flatnonzero(lengths)
     if len(used) < 2:
         return out
-    code = last = 0
-    for n, s in sorted(zip(lengths[used].tolist(), used.tolist(), strict=True)):
-        code <<= n - last
-        last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    used = used[np.argsort(lengths[used], kind="stable")]
+    places = 1 << (15 - lengths[used])  # of 15 bits that begin with a code; the codes follow each other
+    out[used] = _reversed(15)[np.cumsum(places) - places]
     return out
 
 
@@ -634,9 +665,11 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(len(tokens) - 2, n)
     else:
         w.put(0, 1)
+    value = at = 0
     for s, extra, n in tokens:
-        w.put(codes[s], sizes[s])
-        w.put(extra, n)
+        value |= (codes[s] | extra << sizes[s]) << at
+        at += sizes[s] + n
+    w.put(value, at)
 
 
 def _one(symbol: int) -> np.ndarray:
@@ -681,9 +714,9 @@ def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
     before = np.full(len(key), -1)
     before[order[1:][same]] = order[:-1][same]
     raw, wide, out, end = argb.tobytes(), argb.itemsize, [], 0
-    for i in np.flatnonzero(before >= 0).tolist():
-        if i < end:
-            continue
+    places, next_ = np.flatnonzero(before >= 0).tolist(), 0
+    while (next_ := bisect.bisect_left(places, end, next_)) < len(places):
+        i = places[next_]
         j, m = int(before[i]), 0
         limit = min(MOST_COPY, len(argb) - i)
         step = 64
@@ -695,6 +728,8 @@ def copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
         if m >= LEAST_COPY:
             out.append((i, m, i - j))
             end = i + m
+        else:  # another stretch of the same hash
+            end = i + 1
     return out
 
 

@@ -1,6 +1,7 @@
 """Lossless WebP: streams made here, with every part of the format, must come back as they went in."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -311,3 +312,41 @@ def test_long_payloads_become_several_files():
     data = media.payload(bytes(range(256)) * 37_000)
     stored = media.store(data)
     assert stored.count(b"WEBPVP8L") == 10 and media.load(stored).tobytes() == data
+
+
+def _greys(seed: int, n: int = 64 * 400) -> np.ndarray:
+    """Grey pixels of skewed samples, with stretches that come again near and far."""
+    rng = np.random.default_rng(seed)
+    x = np.minimum(rng.geometric(0.06, n), 255).astype(np.uint8)
+    for at, back, long in ((3000, 40, 900), (9000, 8000, 70), (15000, 1, 300), (20000, 64, 5000)):
+        for i in range(at, at + long):
+            x[i] = x[i - back]
+    return np.stack([x, x, x, np.full(n, 255, np.uint8)], -1).reshape(-1, 64, 4)
+
+
+@pytest.mark.parametrize("window", [1, 3, 100, 4096])
+def test_what_a_window_of_the_stream_cuts_is_read_whole(monkeypatch, window):
+    image = _greys(window % 50)
+    monkeypatch.setattr(webp, "WINDOW", window)
+    data = webp.write(image, cross=(32, 32, 0))
+    assert (webp.decode(data) == image).all()
+    with pytest.raises(ValueError):
+        webp.decode_stream(data[20:-40])
+
+
+def test_a_pixel_takes_less_than_a_step_of_python():
+    image, steps = _greys(7), 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    data, before = webp.write(image, cross=(32, 32, 0), references=False), sys.gettrace()
+    sys.settrace(count)
+    try:
+        back = webp.decode(data)
+    finally:
+        sys.settrace(before)
+    assert (back == image).all()
+    assert steps < image.shape[0] * image.shape[1] / 2
