@@ -182,9 +182,12 @@ def spoken_varied(spark, d):
 def masks_restored(spark, d):
     """Masked, put into other digits and spacing, and restored: nothing may be lost."""
     line = F.concat(F.col("p_name"), F.lit(" IP66 "), F.col("p_size").cast("string"), F.lit(" mm as per IS "), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" Fe500D")).otherwise(""))
-    m = read(spark, d, "part", parsed=True).select("p_partkey", line.alias("line"), F.translate(F.regexp_replace(notation.masked(line)["text"], r"@(\d)@", "@ $1 @"), "123", "१२३").alias("m"))
-    back = notation.restored(F.col("m"), F.col("line"))
-    return m.select("p_partkey", back["text"].alias("text"), F.size(back["missing"]).alias("missing"))
+    m = read(spark, d, "part", parsed=True).select("p_partkey", line.alias("line"), notation.masked(line)["text"].alias("m"))
+    said = F.col("m")
+    for digit, other in zip("123", "१२३", strict=True):  # of placeholders alone: digits of the prose are not theirs
+        said = F.regexp_replace(said, f"(?<=@[0-9१२३]{{0,2}}){digit}(?=[0-9१२३]{{0,2}}@)", other)
+    back = notation.restored(F.regexp_replace(said, "@([0-9१२३])@", "@ $1 @"), F.col("line"))
+    return m.select("p_partkey", F.when(F.col("line").isNotNull(), back["text"]).alias("text"), F.size(back["missing"]).alias("missing"))
 
 
 def nfc_texts(spark, d):

@@ -48,6 +48,23 @@ def test_digits_behind_a_mask_come_back_as_they_were():
     assert n.restored(n.masked().translate(str.maketrans("123", "१२३"))) == (n.text, [])
 
 
+@pytest.mark.parametrize("line", ["hot bolt_1  IP66 ", "IS 456 Part 1 bars", " M20", "a@1@b"])
+def test_spaces_of_a_text_come_back_with_its_masks(line):
+    n = notation.Notation(line)
+    assert n.restored(n.masked()) == (line, [])
+
+
+def test_masks_restored_changes_no_digit_of_the_prose(spark, tmp_path):
+    """Digits that are no notation, spaces in a row and no name at all."""
+    from specweave.plans import answer_queries
+
+    names = ["hot bolt_1", "red  rod", " pad 2", "x_12_y", "a@1@b", None]
+    rows = [(k, name, 7) for k, name in enumerate(names, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: (r["text"], r["missing"]) for r in answer_queries.masks_restored(spark, str(tmp_path)).collect()}
+    assert got == {k: (name and f"{name} IP66 7 mm as per IS {k}{'' if k % 3 else ' Fe500D'}", 0) for k, name, _ in rows}
+
+
 @pytest.mark.parametrize(("raw", "want"), [("Hexagon head bolts Part 1 ( Fifth Revision )", "Hexagon head bolts Part 1"), ("N/A", ""), (None, ""), ("a ? b--c", "a - b - c"), (" `x` ", "x")])
 def test_clean_text(spark, raw, want):
     assert one(spark, text.clean_text("t"), t=raw) == want
