@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..frames import tasks_for
+
 REVERSED = {"REFERENCES": "REFERENCED_BY", "REPLACED_BY": "REPLACES"}
 MAX_HOPS = 5
+#: Stored bytes of edges that one task sorts or tells apart.
+SHARE = 4 << 20
 
 
 def load_edges(edges: DataFrame, nodes: DataFrame, key: str = "kys_id") -> DataFrame:
-    """Distinct edges whose two ends exist."""
-    ids = nodes.select(F.col(key).alias("id")).distinct()
-    e = edges.where("src is not null and dst is not null").distinct()
-    return e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "rel", "dst")
+    """Distinct edges whose two ends exist. Ids are hashed, edges pass by; a task tells those of one share of the stored bytes apart."""
+    ids = nodes.select(F.col(key).alias("id")).distinct().hint("shuffle_hash")
+    e = edges.where("src is not null and dst is not null")
+    e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return e.select("src", "rel", "dst").repartition(tasks_for(edges, SHARE), "src", "dst").distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -35,10 +40,11 @@ def counts(edges: DataFrame) -> DataFrame:
 
 def two_hop(edges: DataFrame, nodes: DataFrame, key: str = "kys_id") -> DataFrame:
     """References to withdrawn nodes with what replaced them: (src, middle, dst)."""
-    gone = nodes.where("status = 'withdrawn'").select(F.col(key).alias("middle"))
+    gone = nodes.where("status = 'withdrawn'").select(F.col(key).alias("middle")).distinct().hint("shuffle_hash")
     a = edges.where("rel = 'REFERENCES'").select("src", F.col("dst").alias("middle"))
     b = edges.where("rel = 'REPLACED_BY'").select(F.col("src").alias("middle"), "dst")
-    return a.join(gone, "middle").join(b, "middle").select("src", "middle", "dst").distinct()
+    a = a.join(gone, "middle", "left_semi").repartition(tasks_for(edges, SHARE), "middle")
+    return a.join(b, "middle").select("src", "middle", "dst").distinct()
 
 
 def successors(nodes: DataFrame, key: str = "kys_id", next_: str = "replaced_by_id", hops: int = MAX_HOPS) -> DataFrame:

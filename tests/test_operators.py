@@ -220,3 +220,26 @@ def test_rows_for_python_are_dealt_out(spark):
     d, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
     assert tables.read(spark, d, "part", parsed=True).rdd.getNumPartitions() == cores > 1
     assert tables.read(spark, d, "part").rdd.getNumPartitions() == 1
+
+
+def test_edges_are_told_apart_in_tasks_of_one_size(spark, tmp_path, monkeypatch):
+    """More edges, more tasks: shares of them must not grow with the input. And nothing is lost by it."""
+    from specweave.frames import tasks_for
+    from specweave.operators import graph as G
+
+    n, counts = 6000, []
+    nodes = spark.range(n).selectExpr("id AS kys_id", "if(id % 3 = 0, 'withdrawn', 'current') AS status")
+    for times in (1, 8):
+        at = f"{tmp_path}/edges{times}"
+        rows = spark.range(n * times).selectExpr("id * 31 % 5999 AS src", "if(id % 2 = 0, 'REFERENCES', 'REPLACED_BY') AS rel", "id * 17 % 6007 AS dst")
+        rows.union(rows).repartition(1).write.parquet(at)
+        edges = spark.read.parquet(at)
+        monkeypatch.setattr(G, "SHARE", 1500, raising=False)
+        out = G.two_hop(G.load_edges(edges, nodes), nodes)
+        counts.append((tasks_for(edges, 1500), out.rdd.getNumPartitions()))
+        edges.createOrReplaceTempView("e")
+        nodes.createOrReplaceTempView("n")
+        d = "(SELECT DISTINCT src, rel, dst FROM e WHERE src < 6000 AND dst < 6000)"
+        want = spark.sql(f"SELECT DISTINCT a.src, a.dst AS middle, b.dst FROM {d} a JOIN n ON kys_id = a.dst AND status = 'withdrawn' JOIN {d} b ON b.src = a.dst AND b.rel = 'REPLACED_BY' WHERE a.rel = 'REFERENCES'")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    assert counts[0][0] * 2 < counts[1][0] and all(got >= asked for asked, got in counts)
