@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import cut
+from ..frames import cut, stored
 
 #: Letters from which a run may be two or three words; letters of a word at least and at most.
 LONG, SHORTEST, LONGEST = 8, 2, 20
@@ -27,11 +27,14 @@ class Model:
 
 
 def counted(texts: DataFrame, text: str = "text") -> Model:
-    """Counts of words and of pairs of neighbours in lower-cased texts; a pair never leaves its text."""
+    """Counts of words and of pairs of neighbours in lower-cased texts; a pair never leaves its text.
+
+    Texts are read once: a word stands as often as it comes first in a pair, or last in its text.
+    """
     t = texts.select(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    words = cut(t.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    both = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = cut(t.where(F.size("w") > 1).select(F.inline(both)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    both = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))  # null behind the last
+    all_ = stored(t.select(F.inline(both)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    words, pairs = cut(all_.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))), all_.where("b is not null")
     return Model(words, pairs, words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
@@ -60,14 +63,17 @@ def split(runs: DataFrame, model: Model) -> DataFrame:
     """
     total = float(max(model.total, 1))
     # a word's letters and its place decide who meets: pieces of one run, one ending where the next begins
-    known = cut(pieces(runs.where(F.char_length("run") >= LONG), model.words))
+    known = stored(pieces(runs.where(F.char_length("run") >= LONG), model.words))
+    # pairs of words that no run holds are left out before they move
+    held = stored(known.select("piece").distinct())
+    both_held = stored(model.pairs.join(held.withColumnRenamed("piece", "a"), "a", "left_semi").join(held.withColumnRenamed("piece", "b"), "b", "left_semi"))
     size = F.char_length("run")
     alone = -F.log(F.col("n") / total)
     first = known.where("start = 0").select("run", F.col("end").alias("at"), F.col("piece").alias("last"), F.col("n").alias("last_n"), F.col("piece").alias("words"), alone.alias("cost"))
 
     def further(ways: DataFrame) -> DataFrame:
         nexts = known.where("start > 0").select("run", F.col("start").alias("at"), "end", "piece", "n")
-        pairs = model.pairs.select(F.col("a").alias("last"), F.col("b").alias("piece"), F.col("n").alias("both"))
+        pairs = both_held.select(F.col("a").alias("last"), F.col("b").alias("piece"), F.col("n").alias("both"))
         step = F.when(F.col("both").isNotNull(), -F.log(F.col("both") / F.col("last_n"))).otherwise(-F.log(F.lit(BACK_OFF) * F.col("n") / total))
         out = ways.where(F.col("at") < size).join(nexts, ["run", "at"]).join(pairs, ["last", "piece"], "left")
         return out.select("run", F.col("end").alias("at"), F.col("piece").alias("last"), F.col("n").alias("last_n"), F.concat_ws(" ", "words", "piece").alias("words"), (F.col("cost") + step).alias("cost"))

@@ -243,3 +243,20 @@ def test_edges_are_told_apart_in_tasks_of_one_size(spark, tmp_path, monkeypatch)
         want = spark.sql(f"SELECT DISTINCT a.src, a.dst AS middle, b.dst FROM {d} a JOIN n ON kys_id = a.dst AND status = 'withdrawn' JOIN {d} b ON b.src = a.dst AND b.rel = 'REPLACED_BY' WHERE a.rel = 'REFERENCES'")
         assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
     assert counts[0][0] * 2 < counts[1][0] and all(got >= asked for asked, got in counts)
+
+
+def test_words_and_pairs_are_counted_in_one_reading(spark):
+    from specweave.operators import segmentation
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    texts = spark.createDataFrame([("steel pipe steel pipe",), ("pipe",), ("",), (None,), ("Bolt 3 nut",)], "text string").mapInPandas(count, "text string")
+    model = segmentation.counted(texts)
+    assert {tuple(r) for r in model.words.collect()} == {("steel", 2), ("pipe", 3), ("bolt", 1), ("nut", 1)} and model.total == 7
+    assert {tuple(r) for r in model.pairs.collect()} == {("steel", "pipe", 2), ("pipe", "steel", 1), ("bolt", "nut", 1)}
+    assert seen.value == 5
